@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_digests, token_counts
 from .common import table
+from .jaccard import jaccard_components
 from .lines import LINES_SQL, dedup_lines
 from .merkle import document_fingerprints
 from .secrets import scan_secrets
+from .vectors import near_vectors
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -26,6 +28,14 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), limit=2048)
 
@@ -35,7 +45,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fingerprints, op4_secrets, op5_bpe, op9_token_counts, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_fingerprints, op4_secrets, op5_bpe, op6_jaccard_join, op8_near_vectors, op9_token_counts, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
