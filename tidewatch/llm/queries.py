@@ -11,6 +11,7 @@ from .jaccard import jaccard_components
 from .lines import LINES_SQL, dedup_lines
 from .merkle import document_fingerprints
 from .secrets import scan_secrets
+from .substrings import dedup_substrings
 from .vectors import near_vectors
 
 WORD_BPE = "word_bpe_49k.json"
@@ -32,6 +33,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), 0.93)
 
@@ -45,7 +50,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fingerprints, op4_secrets, op5_bpe, op6_jaccard_join, op8_near_vectors, op9_token_counts, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_fingerprints, op4_secrets, op5_bpe, op6_jaccard_join, op7_substring_dedup, op8_near_vectors, op9_token_counts, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
