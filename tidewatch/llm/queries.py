@@ -10,8 +10,10 @@ from .common import table
 from .jaccard import jaccard_components
 from .lines import LINES_SQL, dedup_lines
 from .merkle import document_fingerprints
+from .mixing import mix_rates
 from .secrets import scan_secrets
 from .substrings import dedup_substrings
+from .toxicity import toxicity_scores
 from .vectors import near_vectors
 
 WORD_BPE = "word_bpe_49k.json"
@@ -21,6 +23,14 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -50,7 +60,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fingerprints, op4_secrets, op5_bpe, op6_jaccard_join, op7_substring_dedup, op8_near_vectors, op9_token_counts, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_toxicity, op3_mixing, op4_secrets, op5_bpe, op6_jaccard_join, op7_substring_dedup, op8_near_vectors, op9_token_counts, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
