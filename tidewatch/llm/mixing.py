@@ -25,7 +25,7 @@ BUCKETS = 8192
 #: Labelled documents that the classifiers are fitted on at most (the first by hash of doc_id).
 SAMPLE_DOCS = 20_000
 #: A document counts as at most so many words of evidence, which keeps the posteriors of long ones soft.
-EVIDENCE_WORDS = 60
+EVIDENCE_WORDS = 10
 MOST_ROUNDS, CLOSE = 60, 1e-6
 
 

@@ -13,10 +13,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns
+from .common import map_columns, pieces
+from .shingles import mix
 
 WINDOW, STRIDE = 48, 32
 WORDS, GRAMS = 1 << 16, 1 << 17
@@ -33,9 +35,24 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def grams(word: str) -> list[int]:
-    w = f"<{word}>".encode()
-    return [zlib.crc32(w[i : i + n]) % GRAMS for n in (4, 6, 7) for i in range(max(1, len(w) - n + 1))]
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the 4-, 6- and 7-byte runs of all words, word after word; where each word's begin; and their number."""
+    raw = [f"<{w}>>".encode() for w in words]
+    size = np.fromiter(map(len, raw), np.int64, len(raw))
+    text = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
+    owner = np.repeat(np.arange(len(raw)), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(text))  # bytes to the end of the word
+    found = []
+    for n in (4, 6, 7):
+        at = np.flatnonzero(left >= n)
+        h = np.full(len(at), n, np.uint64)
+        for j in range(n):
+            h = h * np.uint64(0x100000001B3) + text[at + j]
+        found.append((owner[at], mix(h) % np.uint64(GRAMS)))
+    owner = np.concatenate([o for o, _ in found])
+    order = np.argsort(owner, kind="stable")
+    n = np.bincount(owner, minlength=len(raw))
+    return np.concatenate([h for _, h in found])[order].astype(np.int64), np.r_[0, np.cumsum(n)[:-1]], n.astype(np.float32)
 
 
 def word_bucket(word: str) -> int:
@@ -55,11 +72,11 @@ class LogOdds:
         return np.where(both >= 2, odds * both / (both + 3), 0).astype(np.float32) * 0.5
 
 
-def features(word: str, odds: LogOdds, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    g = grams(word)
-    go = odds.gram[g]
-    b = word_bucket(word)
-    return np.concatenate([table[0][b], table[1][g].mean(0), [odds.word[b], go.max(), go.mean()]])
+def features(words: list[str], odds: LogOdds, tables: tuple[np.ndarray, np.ndarray], at: tuple | None = None) -> np.ndarray:
+    """A row of inputs for each word; at: the words' buckets and grams, if they are known."""
+    bucket, (flat, cut, n) = at or (np.fromiter(map(word_bucket, words), np.int64, len(words)), grams(words))
+    go = odds.gram[flat]
+    return np.concatenate([tables[0][bucket], np.add.reduceat(tables[1][flat], cut) / n[:, None], odds.word[bucket][:, None], np.maximum.reduceat(go, cut)[:, None], (np.add.reduceat(go, cut) / n)[:, None]], 1).astype(np.float32)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -155,7 +172,7 @@ class Scorer:
         self.both = np.concatenate([weights["wf"], weights["wb"]], 1), np.concatenate([weights["cf"], weights["cb"]])
 
     def learn(self, words: list[str]) -> None:
-        x = np.stack([features(w, self.odds, self.tables) for w in words]).astype(np.float32)
+        x = features(words, self.odds, self.tables)
         while self.used + len(words) > len(self.gates):
             self.gates = np.concatenate([self.gates, np.zeros_like(self.gates)])
         self.gates[self.used : self.used + len(words)] = x @ self.both[0] + self.both[1]
@@ -227,9 +244,8 @@ def train(texts: list[str], marks: list[int]) -> Scorer | float:
     vocabulary = sorted({w for d in docs for w in d})
     number = {w: i for i, w in enumerate(vocabulary)}
     hashed = np.array([word_bucket(w) for w in vocabulary], np.int64)
-    gram_lists = [np.array(grams(w), np.int64) for w in vocabulary]
-    gram_flat, gram_cut = np.concatenate(gram_lists), np.r_[0, np.cumsum([len(g) for g in gram_lists])[:-1]]
-    gram_n = np.array([len(g) for g in gram_lists], np.float32)
+    flat, cut, gram_n = grams(vocabulary)
+    gram_lists = np.split(flat, cut[1:])
     ids = [np.array([number[w] for w in d], np.int64) for d in docs]
     fold = rng.permutation(len(docs)) % FOLDS
     w_counts, g_counts, n = np.zeros((FOLDS, 2, WORDS), np.float32), np.zeros((FOLDS, 2, GRAMS), np.float32), np.zeros((FOLDS, 2))
@@ -245,9 +261,7 @@ def train(texts: list[str], marks: list[int]) -> Scorer | float:
 
     def inputs(odds: LogOdds) -> np.ndarray:
         """Features of the vocabulary, row 0 for padding."""
-        go = odds.gram[gram_flat]
-        x = np.concatenate([net.tables[0][hashed], np.add.reduceat(net.tables[1][gram_flat], gram_cut) / gram_n[:, None], odds.word[hashed][:, None], np.maximum.reduceat(go, gram_cut)[:, None], (np.add.reduceat(go, gram_cut) / gram_n)[:, None]], 1)
-        return np.concatenate([np.zeros((1, INPUT)), x]).astype(np.float32)
+        return np.concatenate([np.zeros((1, INPUT), np.float32), features(vocabulary, odds, net.tables, (hashed, (flat, cut, gram_n)))])
 
     scorer = Scorer(net.p, net.tables, full)
     rows, owner = scorer.windows([x + 1 for x in ids])
@@ -308,6 +322,24 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer | float:
     return train([r.text for r in rows], [r.toxic for r in rows])
 
 
+def drop_toxic(df: DataFrame, labels: DataFrame) -> DataFrame:
+    """df, all columns, without the documents that toxicity_scores predicts toxic; texts are scored where they are, without a shuffle."""
+    scorer = fit(df.select("doc_id", "text"), labels.select("doc_id", "toxic"))
+    if isinstance(scorer, float):
+        return df if scorer < 0.5 else df.limit(0)
+    held = df.sparkSession.sparkContext.broadcast((scorer.p, scorer.tables, scorer.odds))
+    place = df.columns.index("text")
+
+    def run(batches):
+        own = Scorer(*held.value)
+        for batch in batches:
+            for part in pieces(batch):
+                score = own.score([t or "" for t in part.column(place).to_pylist()])
+                yield part.filter(pa.array([x < 0.5 for x in score], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def toxicity_scores(df: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (1 from 0.5) of every whole text.
 
