@@ -19,14 +19,14 @@ from .common import cut
 
 #: Domains in the order of all arrays: (quality, toxic).
 DOMAINS = ("low_clean", "low_toxic", "high_clean", "high_toxic")
-#: Shares of the tokens that the mix shall have.
-TARGETS = {"low_clean": 0.08, "low_toxic": 0.005, "high_clean": 0.9, "high_toxic": 0.015}
+#: Default targets: each domain's present share of the tokens times this, scaled to 1. Absolute shares can be given instead.
+TILT = {"low_clean": 0.75, "low_toxic": 0.6, "high_clean": 1.0, "high_toxic": 0.7}
 BUCKETS = 8192
 #: Labelled documents that the classifiers are fitted on at most (the first by hash of doc_id).
 SAMPLE_DOCS = 20_000
 #: A document counts as at most so many words of evidence, which keeps the posteriors of long ones soft.
-EVIDENCE_WORDS = 10
-MOST_ROUNDS, CLOSE = 60, 1e-6
+EVIDENCE_WORDS = 20
+MOST_ROUNDS, CLOSE = 40, 1e-6
 
 
 def words(text: Column) -> Column:
@@ -84,34 +84,47 @@ def _solve(a: list[list[float]], b: list[float]) -> list[float]:
     return [m[i][n] / m[i][i] if m[i][i] else 0.0 for i in range(n)]
 
 
-def fit_rates(held: DataFrame, targets: dict[str, float]) -> DataFrame:
+def fit_rates(held: DataFrame, targets: dict[str, float] | None) -> DataFrame:
     """held (n_words, p, ...) with a column rate >= 0: the expected tokens of each domain come to its share of all words.
 
-    A domain without any expected token is left out. With whitened residuals a unit step is the gradient step, and the first
-    one already solves the unconstrained problem; more are needed where rates stop at 0.
+    Projected gradient for 1/2 |A r - 1|^2, A being each document's share of its domains' targets. The gradient is taken in
+    the metric that whitens the domains over the documents whose rate is above 0, so that a few rounds do; a step that does
+    not lower the objective is halved. One aggregation a round gathers the residuals and that metric: k + k x k numbers.
+    A domain without expected tokens or without a target is left out.
     """
     k = len(DOMAINS)
     mass = held.agg(F.sum("n_words").alias("n"), *[F.sum(F.col("p")[i] * F.col("n_words")).alias(f"s{i}") for i in range(k)]).head()
+    if targets is None:
+        targets = {d: TILT[d] * (mass[f"s{i}"] or 0) for i, d in enumerate(DOMAINS)}
     live = [i for i in range(k) if (mass[f"s{i}"] or 0) > 0 and targets.get(DOMAINS[i], 0) > 0]
     if not live:
         return held.withColumn("rate", F.lit(1.0))
     share = sum(targets[DOMAINS[i]] for i in live)
-    goal = {i: targets[DOMAINS[i]] / share * mass.n for i in live}
-    a = {i: F.col("p")[i] * F.col("n_words") / F.lit(goal[i]) for i in live}
-    gram = held.agg(*[F.sum(a[i] * a[j]).alias(f"g{i}_{j}") for i in live for j in live]).head()
-    g = [[gram[f"g{i}_{j}"] * (1 + 1e-9 * (i == j)) for j in live] for i in live]
-    now = held.withColumn("rate", F.lit(1.0))
-    for turn in range(MOST_ROUNDS):
-        got = now.agg(*[F.sum(a[i] * F.col("rate")).alias(f"e{i}") for i in live]).head()
-        residual = [got[f"e{i}"] - 1 for i in live]
-        if max(map(abs, residual)) < CLOSE:
+    a = {i: F.col("p")[i] * F.col("n_words") / F.lit(targets[DOMAINS[i]] / share * mass.n) for i in live}
+    at = held.withColumn("rate", F.lit(1.0))  # the best rates so far, and what is known of them
+    best, residual, metric, size = math.inf, [], [], 1.0
+    now, since = at, 0
+    for _ in range(MOST_ROUNDS):
+        free = (F.col("rate") > 0).cast("double")
+        got = now.agg(*[F.sum(a[i] * F.col("rate")).alias(f"e{i}") for i in live], *[F.sum(a[i] * a[j] * free).alias(f"g{i}_{j}") for i in live for j in live if i <= j]).head()
+        e = [got[f"e{i}"] - 1 for i in live]
+        value = sum(x * x for x in e)
+        if value < best:
+            slow = value > 0.9 * best
+            at, best, residual, size = now, value, e, 1.0
+            metric = [[got[f"g{min(i, j)}_{max(i, j)}"] * (1 + 1e-9 * (i == j)) for j in live] for i in live]
+            if max(map(abs, e)) < CLOSE or slow and since > 12:
+                break
+        elif size < 0.05:
             break
-        step = _solve(g, residual)
-        change = sum((a[i] * F.lit(c) for i, c in zip(live, step, strict=True)), F.lit(0.0))
-        now = now.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - change))
-        if turn % 6 == 5:
-            now = cut(now)
-    return now
+        else:
+            size /= 2
+        if (since := since + 1) % 8 == 0:
+            at = cut(at)
+        step = _solve(metric, residual)
+        change = sum((a[i] * F.lit(size * c) for i, c in zip(live, step, strict=True)), F.lit(0.0))
+        now = at.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - change))
+    return at
 
 
 def mix_rates(df: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
@@ -123,7 +136,7 @@ def mix_rates(df: DataFrame, labels: DataFrame, targets: dict[str, float] | None
     """
     docs = df.select("doc_id", "text")
     held = cut(posteriors(docs, fit_classifiers(docs, labels)))
-    rated = fit_rates(held, targets or TARGETS)
+    rated = fit_rates(held, targets)
     return rated.select("doc_id", "n_words", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], F.when(F.col("n_words") == 0, 1.0).otherwise(F.col("rate")).alias("rate"))
 
 
