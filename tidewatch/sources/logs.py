@@ -58,7 +58,7 @@ def parse_w3c_log(lines: DataFrame) -> DataFrame:
 def parse_iis_native(lines: DataFrame, zone: str = "UTC") -> DataFrame:
     """The fixed fifteen columns; the wall clock is taken in the zone."""
     text = F.regexp_replace("line", ",+$", "")
-    parts = F.transform(F.split(text, ", "), F.trim)
+    parts = F.transform(F.split(text, ", "), lambda x: F.trim(x))
     n = len(IIS_FIELDS)
     padded = F.slice(F.concat(parts, F.array_repeat(F.lit("-"), n)), 1, n)
     rows = lines.where(~F.col("line").startswith("#")).select("file", "line_no", F.map_from_arrays(F.array(*map(F.lit, IIS_FIELDS)), padded).alias("row"))
