@@ -32,11 +32,17 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of each run of k consecutive word hashes."""
+    """A 64-bit hash of each run of k consecutive word hashes, put together from runs of 1, 2, 4, ... words."""
     n = len(h) - k + 1
-    out = h[:n].copy()
-    for j in range(1, k):
-        out = mix(out) + h[j : n + j]
+    out, done, power, length = None, 0, h, 1
+    while done < k:
+        if k & length:
+            part = power[done : done + n]
+            out = part if out is None else mix(out) + part
+            done += length
+        if done < k:
+            power = mix(power[: len(power) - length]) + power[length:]
+            length *= 2
     return mix(out)
 
 

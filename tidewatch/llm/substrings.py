@@ -6,8 +6,8 @@ super-k-mer: one string of words that stands for all of them. Equal windows have
 1. every document sends its distinct minimisers; those that one document alone has are done with,
 2. the super-k-mers of the others travel as packed strings to their minimiser's bucket, where equal strings collapse to
    their smallest document. In every other document all windows of such a string have an earlier copy,
-3. the windows of the collapsed strings are unpacked and sorted, each by a 128-bit hash within its bucket; where a window's
-   smallest document is another one, its words go.
+3. the windows of the collapsed strings are unpacked and counted exactly within their bucket, by minimiser and a 64-bit hash;
+   where a window's smallest document is another one, its words go.
 
 Buckets are keyed by minimiser and string (then minimiser and window), not by minimiser alone, so that a passage which a third of all
 documents share spreads over tasks and is combined before the shuffle. Equal whole texts collapse before all this.
@@ -27,6 +27,8 @@ from .shingles import run_hashes, word_hashes
 WINDOW, MINIMISER = 50, 10
 #: Minimisers in the lists of shared ones up to which the side that holds them is broadcast (8 bytes each).
 BROADCAST_MINIMISERS = 3_000_000
+#: The same for windows that several documents have (24 bytes each).
+BROADCAST_WINDOWS = 1_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -72,7 +74,7 @@ def outlines(docs: DataFrame) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """mini, string, doc_id, start, n of the super-k-mers whose minimiser is in the document's list (columns doc_id, text, key, minis)."""
+    """mini, key, string, doc_id, start, n of the super-k-mers whose minimiser is in the document's list (columns doc_id, text, key, minis)."""
 
     def run(ids: list, texts: list, keys: list, lists: list) -> list:
         out = []
@@ -80,25 +82,31 @@ def packed(docs: DataFrame) -> DataFrame:
             if key_of(text) != key:
                 continue
             words, shared = words_of(text), set(minis)
-            out += [(m, b" ".join(words[s : s + n + WINDOW - 1]), doc_id, s, n) for m, s, n in super_kmers(words) if m in shared]
-        return [list(c) for c in zip(*out, strict=True)] if out else [[] for _ in range(5)]
+            for m, s, n in super_kmers(words):
+                if m in shared:
+                    string = b" ".join(words[s : s + n + WINDOW - 1])
+                    out.append((m, hashlib.blake2b(string, digest_size=16).digest(), string, doc_id, s, n))
+        return [list(c) for c in zip(*out, strict=True)] if out else [[] for _ in range(6)]
 
-    return map_columns(docs.select("doc_id", "text", "key", "minis"), run, "mini long, string binary, doc_id long, start int, n int")
+    return map_columns(docs.select("doc_id", "text", "key", "minis"), run, "mini long, key binary, string binary, doc_id long, start int, n int")
 
 
 def unpacked(strings: DataFrame) -> DataFrame:
-    """mini, w1, w2 (hash of a window), doc_id, at of every window of packed strings (columns mini, string, doc_id, start)."""
+    """mini, w, doc_id, at of every window of packed strings (columns mini, string, doc_id, start); mini and w are 127 bits of hash."""
 
     def run(minis: list, held: list, ids: list, starts: list) -> list:
-        cols: list[list] = [[], [], [], [], []]
-        for mini, string, doc_id, start in zip(minis, held, ids, starts, strict=True):
-            h = word_hashes(string.split(b" "))
-            w = run_hashes(h, WINDOW)
-            for col, x in zip(cols, (np.full(len(w), mini), w.view(np.int64), run_hashes(h ^ np.uint64(0x5851F42D4C957F2D), WINDOW).view(np.int64), np.full(len(w), doc_id), np.arange(start, start + len(w))), strict=True):
-                col.append(x)
-        return [np.concatenate(c) if c else [] for c in cols]
+        words = [s.split(b" ") for s in held]
+        size = np.array([len(w) for w in words], np.int64)
+        h = word_hashes([w for ws in words for w in ws])
+        if not len(h):
+            return [[], [], [], []]
+        row = np.repeat(np.arange(len(size)), size)
+        place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+        at = np.flatnonzero(place + WINDOW <= size[row])  # windows that lie within one string
+        row = row[at]
+        return [np.array(minis, np.int64)[row], run_hashes(h, WINDOW)[at].view(np.int64), np.array(ids, np.int64)[row], np.array(starts, np.int64)[row] + place[at]]
 
-    return map_columns(strings.select("mini", "string", "doc_id", "start"), run, "mini long, w1 long, w2 long, doc_id long, at int")
+    return map_columns(strings.select("mini", "string", "doc_id", "start"), run, "mini long, w long, doc_id long, at int")
 
 
 def without_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -139,12 +147,13 @@ def dedup_substrings(df: DataFrame) -> DataFrame:
     few = (lists.agg(F.sum(F.size("minis"))).head()[0] or 0) <= BROADCAST_MINIMISERS
     chosen = cut(docs.join(F.broadcast(lists) if few else lists, "doc_id"))
     strings = cut(packed(chosen))
-    whole = cut(strings.groupBy("mini", "string").agg(F.min("doc_id").alias("first")))
-    placed = strings.join(whole, ["mini", "string"])
+    whole = strings.groupBy("mini", "key").agg(F.min("doc_id").alias("first"))
+    placed = cut(strings.join(whole, ["mini", "key"]).select("mini", "doc_id", "start", "n", "first", F.when(F.col("doc_id") == F.col("first"), F.col("string")).alias("string")))
     copies = placed.where("doc_id > first").select("doc_id", F.col("start").alias("s"), (F.col("start") + F.col("n") + WINDOW - 1).alias("e"))
-    windows = cut(unpacked(placed.where("doc_id = first")))
-    early = windows.groupBy("mini", "w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    later = windows.join(early, ["mini", "w1", "w2"]).where("doc_id > lo").select("doc_id", F.col("at").alias("s"), (F.col("at") + WINDOW).alias("e"))
+    windows = unpacked(placed.where("doc_id = first"))
+    early = cut(windows.groupBy("mini", "w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("mini", "w", "lo"))
+    few = early.count() <= BROADCAST_WINDOWS
+    later = windows.join(F.broadcast(early) if few else early, ["mini", "w"]).where("doc_id > lo").select("doc_id", F.col("at").alias("s"), (F.col("at") + WINDOW).alias("e"))
     spans = copies.union(later).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     changed = without_repeats(chosen, spans).dropDuplicates(["doc_id", "key"]).withColumnRenamed("kept_sha256", "new_sha256")
     copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
