@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from tidewatch.plans import more  # noqa: F401  registers its queries
 from tidewatch.plans import queries as plans
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
