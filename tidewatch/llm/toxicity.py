@@ -9,6 +9,7 @@ document trains through the window that now scores highest. Log-odds of a traini
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import zlib
 
@@ -245,7 +246,7 @@ def train(texts: list[str], marks: list[int]) -> Scorer | float:
     number = {w: i for i, w in enumerate(vocabulary)}
     hashed = np.array([word_bucket(w) for w in vocabulary], np.int64)
     flat, cut, gram_n = grams(vocabulary)
-    gram_lists = np.split(flat, cut[1:])
+    grams_of = lambda words: flat[np.concatenate([np.arange(c, c + k) for c, k in zip(cut[words], gram_n[words].astype(np.int64), strict=True)])]
     ids = [np.array([number[w] for w in d], np.int64) for d in docs]
     fold = rng.permutation(len(docs)) % FOLDS
     w_counts, g_counts, n = np.zeros((FOLDS, 2, WORDS), np.float32), np.zeros((FOLDS, 2, GRAMS), np.float32), np.zeros((FOLDS, 2))
@@ -254,7 +255,7 @@ def train(texts: list[str], marks: list[int]) -> Scorer | float:
         n[k, mark] += 1
         w_counts[k, mark, np.unique(hashed[u])] += 1
         if len(u):
-            g_counts[k, mark, np.unique(np.concatenate([gram_lists[i] for i in u]))] += 1
+            g_counts[k, mark, np.unique(grams_of(u))] += 1
     held = [LogOdds(w_counts.sum(0) - w_counts[k], g_counts.sum(0) - g_counts[k], n.sum(0) - n[k]) for k in range(FOLDS)]
     full = LogOdds(w_counts.sum(0), g_counts.sum(0), n.sum(0))
     net = Network()
@@ -303,7 +304,7 @@ def train(texts: list[str], marks: list[int]) -> Scorer | float:
             dxs = dx[r > 0]
             np.add.at(net.tables[0], hashed[at_word], -rate * 5 * dxs[:, :EMBED])
             for w, d in zip(at_word.tolist(), dxs[:, EMBED : 2 * EMBED], strict=True) if epoch % 3 == 1 else ():
-                net.tables[1][gram_lists[w]] -= rate * 5 * d / gram_n[w]
+                net.tables[1][flat[cut[w] : cut[w] + int(gram_n[w])]] -= rate * 5 * d / gram_n[w]
     return Scorer(net.p, net.tables, full)
 
 
@@ -313,13 +314,20 @@ def held_out(doc_id) -> object:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Scorer | float:
-    """Trains on a bounded sample of labelled rows that are not held out; the sample alone reaches the driver."""
+    """Trains on a bounded sample of labelled rows that are not held out, in one task; only the weights reach the driver."""
     marks = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     first = lambda mark, n: marks.where(F.col("toxic") == mark).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = first(1, SAMPLE_TOXIC).union(first(0, SAMPLE_OTHER))
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.substring(F.coalesce(F.col("text"), F.lit("")), 1, SAMPLE_CHARS).alias("text"), "toxic").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
-    return train([r.text for r in rows], [r.toxic for r in rows])
+    sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.substring(F.coalesce(F.col("text"), F.lit("")), 1, SAMPLE_CHARS).alias("text"), F.col("toxic").cast("int").alias("toxic"))
+
+    def run(batches):
+        rows = sorted(r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
+        made = train([r[1] for r in rows], [r[2] for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made if isinstance(made, float) else (made.p, made.tables, made.odds))], pa.binary())], names=["model"])
+
+    found = sample.repartition(1).mapInArrow(run, "model binary").collect()  # weights of a fixed size; an empty sample has no task
+    made = pickle.loads(found[0].model) if found else 0.0
+    return made if isinstance(made, float) else Scorer(*made)
 
 
 def drop_toxic(df: DataFrame, labels: DataFrame) -> DataFrame:
