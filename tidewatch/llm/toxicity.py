@@ -232,7 +232,7 @@ class Scorer:
         rows, owner = self.windows(ids)
         best = np.full(len(texts), -np.inf)
         np.maximum.at(best, owner, self.raw(rows).astype(np.float64))
-        return (1 / (1 + np.exp(-np.clip(best, -700, 700)))).tolist() if len(texts) else []
+        return np.where(np.isinf(best), 0.0, 1 / (1 + np.exp(-np.clip(best, -700, 700)))).tolist()
 
 
 def train(texts: list[str], marks: list[int]) -> Scorer | float:
