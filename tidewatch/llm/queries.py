@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe_digests, token_counts
 from .common import table
 from .jaccard import jaccard_components
-from .lines import LINES_SQL, dedup_lines
+from .lines import dedup_lines
 from .merkle import document_fingerprints
 from .mixing import mix_rates
+from .oracles import ORACLES
 from .secrets import scan_secrets
 from .substrings import dedup_substrings
 from .toxicity import toxicity_scores
@@ -64,4 +65,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": LINES_SQL}
+    return dict(ORACLES)
