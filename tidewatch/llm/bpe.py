@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import map_columns
 
-CACHE_WORDS = 250_000
+CACHE_WORDS = 120_000
 
 
 def byte_symbols() -> list[str]:

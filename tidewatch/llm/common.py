@@ -55,7 +55,7 @@ def map_columns(df: DataFrame, fn: Callable[..., list], schema: str, setup: Call
     return df.mapInArrow(run, schema)
 
 
-def pieces(batch: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about most_bytes, so that very long texts do not pile up in a Python worker."""
     n = max(1, -(-batch.nbytes // most_bytes))
     step = max(1, -(-batch.num_rows // n))
