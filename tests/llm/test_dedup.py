@@ -50,6 +50,27 @@ def test_jaccard(make, corpus, few, monkeypatch):
     assert all(r.component_id is None for r in out if r.doc_id is None)
 
 
+def short_copies(seed):
+    """Short texts with a word more or less at either end, in groups of 2 to 30."""
+    rng, rows, used = random.Random(seed), [], iter(range(10**6))
+    new = lambda: f"x{next(used)}"
+    for group in (2, 2, 2, 3, 5, 9, 12, 16, 30):
+        for n in range(5, 18):
+            base = [new() for _ in range(n)]
+            for _ in range(group):
+                w = base[rng.choice((0, 0, 0, 1)) : n - rng.choice((0, 0, 0, 1))]
+                rows.append(" ".join([new()] * rng.choice((0, 0, 0, 1)) + w + [new()] * rng.choice((0, 0, 1, 1, 2))))
+    return [(i, t) for i, t in enumerate(rows)]
+
+
+def test_jaccard_of_short_texts(make):
+    words = [f"w{i}" for i in range(1, 10)]
+    rows = [*short_copies(4), (5000, " ".join(words[:8])), (5001, " ".join(words))]
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(make(rows)).collect()}
+    assert out[5001] == (5, 5000)
+    assert out == brute_jaccard(rows)
+
+
 def test_jaccard_without_rows(make):
     assert jaccard.jaccard_components(make([])).count() == 0
     assert [(r.n_shingles, r.component_id) for r in jaccard.jaccard_components(make([(1, None)])).collect()] == [(0, 1)]

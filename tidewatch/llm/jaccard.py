@@ -5,13 +5,15 @@ partner, so its first n - ceil(0.8 n) + 1 hold one of them, and a prefix longer
 
 1. Equal sets form one class; its smallest doc_id stands for it.
 2. Every class keeps a prefix that is longer by e = e(n). A shingle is rare if at most RARE prefixes hold it, else frequent.
-   A class is sparse if it has at most e(0.8 n) frequent shingles in its prefix: with any partner it then shares a rare one,
-   found in the index of single shingles. The number of rare shingles that a pair shares is bounded below too, which drops
+   Two prefixes share at least min(e + 1, i) shingles, i being the least intersection that links sets of these sizes (a short
+   set is its own prefix, and need have no more than i in common). A class is sparse if its prefix has less than min(e + 1, i)
+   frequent shingles for any partner: with each it then shares a rare one, found in the index of single shingles. The number of rare shingles that a pair shares is bounded below too, which drops
    nearly all chance pairs before any set is fetched.
 3. Pairs of dense classes (boilerplate, large groups of near copies) are found over their full sets, counted afresh, rare
    shingles first. Frequent shingles fall into classes by hash, and the index holds pairs of the same class: a prefix is
    extended until (rare ones) + sum over classes of (members - 1) exceeds what a partner may miss, so that any partner shares
-   a rare shingle or two shingles of one class.
+   a rare shingle or two shingles of one class. Sets too small for that (10 or less) put all pairs of their frequent shingles
+   into the index, so that they meet each other and the pairs of a class of larger partners.
 4. Candidates are verified on whole sets. In a bucket of the dense index every member is first held against one leader, and
    what that links needs no further pairs. Buckets that still hold several components are then cut into blocks, and each pair
    of blocks is compared by one product of its members' incidence matrices; only edges that join components leave it, never
@@ -133,7 +135,8 @@ def sparse_pairs(flagged: DataFrame) -> DataFrame:
     two = one.select("x", F.explode(F.slice("m", F.col("i") + 2, F.lit(RARE))).alias("y")).where(_fits(F.col("x.n"), F.col("y.n")))
     shared = two.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.count("*").alias("k"), F.first("x.n").alias("n"), F.first("y.n").alias("m"), F.first("x.f").alias("f"), F.first("y.f").alias("g"))
     small = F.least("n", "m")
-    return shared.where(F.col("k") >= F.floor((small - F.ceil(small * 4 / 5)) / 4) + 9 - F.least("f", "g")).select("a", "b")
+    common = F.least(F.floor((small - F.ceil(small * 4 / 5)) / 4) + 9, F.ceil((F.col("n") + F.col("m")) * 4 / 9))
+    return shared.where(F.col("k") >= common - F.least("f", "g")).select("a", "b")
 
 
 def dense_signatures(flagged: DataFrame) -> DataFrame:
@@ -149,14 +152,17 @@ def dense_signatures(flagged: DataFrame) -> DataFrame:
             found = [rare[shown >= 2].view(np.uint64)]
             if len(rare) <= most:
                 often = t[c > RARE]
-                group = (mix(often.view(np.uint64)) % np.uint64(CLASSES)).astype(np.int64)
-                first = np.zeros(CLASSES, bool)
-                weight, end = len(rare), 0
-                for end, g in enumerate(group.tolist(), 1):  # the first of a class adds nothing, the others one each
-                    weight += bool(first[g])
-                    first[g] = True
-                    if weight > most:
-                        break
+                if n - CLASSES <= most:  # too small for classes to tell; all its frequent ones are paired
+                    group, end = np.zeros(len(often), np.int64), len(often)
+                else:
+                    group = (mix(often.view(np.uint64)) % np.uint64(CLASSES)).astype(np.int64)
+                    first = np.zeros(CLASSES, bool)
+                    weight, end = len(rare), 0
+                    for end, g in enumerate(group.tolist(), 1):  # the first of a class adds nothing, the others one each
+                        weight += bool(first[g])
+                        first[g] = True
+                        if weight > most:
+                            break
                 for g in range(CLASSES):
                     x = often[:end][group[:end] == g].view(np.uint64)
                     i, j = np.triu_indices(len(x), 1)
@@ -301,7 +307,7 @@ def jaccard_components(df: DataFrame) -> DataFrame:
     flagged = cut(with_counts(reps, tokens, counted_only=True).where(F.size("tokens") > 0))
     pairs = cut(sparse_pairs(flagged))
     least = F.ceil(F.col("n") * 4 / 5)
-    dense = flagged.where(F.size(F.filter("c", lambda c: c > RARE)) > F.floor((least - F.ceil(least * 4 / 5)) / 4) + 8).select("doc_id")
+    dense = flagged.where(F.size(F.filter("c", lambda c: c > RARE)) >= F.least(F.floor((least - F.ceil(least * 4 / 5)) / 4) + 9, least)).select("doc_id")
     wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).withColumn("dense", F.lit(False)).union(dense.withColumn("dense", F.lit(True))).groupBy("doc_id").agg(F.max("dense").alias("dense")))
     n_wanted = wanted.count()
     ours = chosen.join(F.broadcast(wanted.select("doc_id")) if n_wanted <= BROADCAST_ROWS else wanted.select("doc_id"), "doc_id", "left_semi")
