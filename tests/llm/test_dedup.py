@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 
+import numpy as np
 import pytest
 
 from tidewatch.llm import common, jaccard, lines, substrings, vectors
@@ -108,10 +109,11 @@ def brute_substrings(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("few", [1_000_000, 0])
-def test_substrings(make, corpus, few, monkeypatch):
-    monkeypatch.setattr(substrings, "BROADCAST_MINIMISERS", few)
-    monkeypatch.setattr(substrings, "BROADCAST_WINDOWS", few)
+@pytest.mark.parametrize(("hot", "at_once", "one_in"), [(20_000, 1 << 20, 1000), (20_000, 1, 5), (3, 1 << 20, 5)])
+def test_substrings(make, corpus, hot, at_once, one_in, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT_DOCS", hot)
+    monkeypatch.setattr(substrings, "SORT_WINDOWS", at_once)
+    monkeypatch.setattr(common, "HOT_ONE_IN", one_in)
     got = sorted((tuple(r) for r in substrings.dedup_substrings(make(corpus)).collect()), key=str)
     assert got == brute_substrings(corpus)
     assert sum(r[2] > 0 for r in got) > 30
@@ -121,6 +123,14 @@ def test_substrings_without_rows(make):
     assert substrings.dedup_substrings(make([])).count() == 0
 
 
+def test_substrings_of_very_long_texts(make):
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(70)]
+    long = [f"w{rng.randrange(10**9)}" for _ in range(300_000)]
+    rows = [(1, " ".join(long)), (2, " ".join([*long[1000:90_000], "x", *passage])), (3, " ".join(["y"] * 40_000)), (4, " ".join(["y"] * 60)), (5, " ".join(passage * 300))]
+    assert sorted((tuple(r) for r in substrings.dedup_substrings(make(rows)).collect()), key=str) == brute_substrings(rows)
+
+
 def brute_lines(rows):
     seen, out = {}, []
     for i, t in rows:
@@ -146,6 +156,19 @@ def test_lines(make, corpus):
     assert lines.dedup_lines(make([])).count() == 0
 
 
+@pytest.mark.parametrize("one_in", [1000, 2])
+def test_lines_keep_columns_of_any_name(spark, one_in, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ONE_IN", one_in)
+    names = ["starts", "gone", "l", "row", "h", "pos", "first", "n", "c0", "salt_", "starts_", "a.b"]
+    rows = [(i, f"own {i}\na\nb\nc\nd", *[f"{c}{i}" for c in names]) for i in range(30)] + [(None, "a\nb\nc", *names), (7, None, *names)]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *[f"`{c}` string" for c in names]]))
+    out = lines.dedup_lines(df)
+    assert out.columns == ["doc_id", "text", *names, "n_lines", "n_removed"]
+    got = {(r.doc_id, r.starts): r for r in out.collect()}
+    assert all(got[i, f"starts{i}"][2:14] == rows[i][2:] and got[i, f"starts{i}"].text == (rows[0][1] if i == 0 else f"own {i}") for i in range(30))
+    assert got[None, "starts"].text == "a\nb\nc" and got[7, "starts"].text is None and len(got) == 32
+
+
 def test_vectors(spark, monkeypatch):
     rng = random.Random(1)
     near = lambda v, s: [x + rng.gauss(0, s) for x in v]
@@ -180,5 +203,29 @@ def test_vectors(spark, monkeypatch):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_cells_meet_as_the_triangle_inequality_says():
+    """Well-separated groups stay in their own cells; a pair that a border cuts is seen on the other side, and nothing near is missed."""
+    rng = np.random.default_rng(4)
+    centres = vectors.unit(rng.normal(size=(12, 32)))
+    x = vectors.unit(np.repeat(centres, 30, 0) + rng.normal(size=(360, 32)) * 0.04)
+    middle = vectors.unit(centres[:1] + centres[1:2] + rng.normal(size=(40, 32)) * 0.02)
+    x, r = np.concatenate([x, middle]), math.acos(0.93)
+    cos = x @ centres.T
+    home = cos.argmax(1)
+    reach = np.array([np.arccos(np.clip(cos[home == j, j].min(), -1, 1)) for j in range(12)])
+    meets = vectors.meeting_cells(x, home, centres, reach, r)
+    near = x @ x.T >= 0.93
+    i, j = np.nonzero(near)
+    assert meets[j, home[i]].all() and (home[i] != home[j]).any()
+    assert len(x) < meets.sum() < 0.5 * meets.size
+
+
+def test_every_label_has_pivots(spark):
+    rng = random.Random(6)
+    df = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)], "abc"[i % 3]) for i in range(90)] + [(900, [1.0] * 8, "d")], "vec_id long, embedding array<float>, label string")
+    pivots = vectors._pivots(vectors.vector_classes(df))
+    assert {k: len(v) for k, v in pivots.items()} == {("a", 8): 4, ("b", 8): 4, ("c", 8): 4, ("d", 8): 1}
+
+
 def test_scratch_folder_comes_from_the_session(spark):
     assert common.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")

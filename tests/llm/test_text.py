@@ -1,7 +1,9 @@
 """Tokenisation, fingerprints, secrets, toxicity, mixing and the pipeline."""
 
 import hashlib
+import math
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -94,8 +96,10 @@ def labelled(spark, n=240):
         w = [rng.choice("the river runs over stone and paper in green light".split()) for _ in range(rng.randint(5, 160))]
         if toxic:
             w[rng.randrange(len(w))] = rng.choice(["vileword", "nastyword"])
+        good = rng.random() < 0.7
+        w += [rng.choice(["filler", "cheap", "bargain"]) for _ in range(0 if good else len(w) // 2 + 1)]
         docs.append((i, " ".join(w)))
-        labels.append((i, int(rng.random() < 0.8), int(toxic)))
+        labels.append((i, int(good), int(toxic)))
     return docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
@@ -114,6 +118,46 @@ def test_toxicity(spark, make):
     assert toxicity.toxicity_scores(make([]), labels).count() == 0
 
 
+def test_toxic_passages_are_found_at_every_offset(spark):
+    """Passages of 8 to 33 words lie whole in a window wherever they begin; scores equal a plain loop's over all windows."""
+    docs, labels = labelled(spark)
+    marks = {r.doc_id: r.toxic for r in labels.collect()}
+    scorer = toxicity.train([t for _, t in docs], [marks[i] for i, _ in docs])
+    clean = ["river", "stone", "paper", "green", "light", "over"] * 40
+    texts = []
+    for size in (8, 20, 33):
+        passage = (["vileword", "nastyword"] * size)[:size]
+        texts += [" ".join(clean[:at] + passage + clean[at:]) for at in range(120)]
+    found = scorer.score([*texts, " ".join(clean)])
+    assert all(s >= 0.5 for s in found[:-1]) and found[-1] < 0.5
+    for text, got in zip(texts[::37], found[::37], strict=True):
+        words = toxicity.words_of(text)
+        best = -math.inf
+        for start in toxicity.window_starts(len(words)):
+            part = words[start : start + toxicity.WINDOW]
+            x = toxicity.features(part, scorer.odds, scorer.tables)[None]
+            net = toxicity.Network()
+            net.p = scorer.p
+            best = max(best, float(net.run(x, np.ones(x.shape[:2], bool))[0][0]))
+        assert abs(got - 1 / (1 + math.exp(-best))) < 1e-4
+
+
+def test_window_starts_cover_all_words():
+    for n in range(1, 400):
+        starts = toxicity.window_starts(n)
+        assert starts[-1] + toxicity.WINDOW >= n and all(b - a == toxicity.STRIDE for a, b in zip(starts, starts[1:], strict=False))
+
+
+def test_training_rows_are_whole_and_bounded(spark, make, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_TEXT", 60_000)
+    rows = [(i, "word " * (10 if i % 2 else 3000)) for i in range(40)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 < 2)) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = toxicity.chosen_rows(make(rows).select("doc_id", "text"), labels).collect()
+    assert all(r.text == dict(rows)[r.doc_id] and zlib.crc32(str(r.doc_id).encode()) % 5 for r in got)
+    for mark in (0, 1):
+        assert 0 < sum(len(r.text) for r in got if r.toxic == mark) <= 60_000
+
+
 def test_gradients_match_differences():
     net, rng = toxicity.Network(), np.random.default_rng(0)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
@@ -132,21 +176,63 @@ def test_gradients_match_differences():
     assert not dx[1, 4:].any()
 
 
-@pytest.mark.parametrize("targets", [None, {"low_clean": 0.3, "low_toxic": 0.1, "high_clean": 0.5, "high_toxic": 0.1}])
-def test_mixing(spark, make, targets):
-    docs, labels = labelled(spark)
-    rates = mixing.mix_rates(make([*docs, (900, None), (901, "")]), labels, targets).collect()
+def shares(rates):
     n = sum(r.n_words for r in rates)
-    shares = {d: sum(r[f"p_{d}"] * r.n_words * r.rate for r in rates) / n for d in mixing.DOMAINS}
-    if targets is None:
-        before = {d: sum(r[f"p_{d}"] * r.n_words for r in rates) for d in mixing.DOMAINS}
-        total = sum(before[d] * mixing.TILT[d] for d in before)
-        targets = {d: before[d] * mixing.TILT[d] / total for d in before}
-        assert all(abs(shares[d] - targets[d]) < 1e-3 for d in shares)
+    return {d: sum(r[f"p_{d}"] * r.n_words * r.rate for r in rates) / n for d in mixing.DOMAINS}
+
+
+@pytest.mark.parametrize("targets", [None, {"low_clean": 0.3, "low_toxic": 0.1, "high_clean": 0.5, "high_toxic": 0.1}, {"low_clean": 8.0, "low_toxic": 0.5, "high_clean": 90.0, "high_toxic": 1.5}])
+def test_mixing_meets_stated_targets(spark, data, targets):
+    docs, labels = (spark.read.parquet(f"{data.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    rates = mixing.mix_rates(docs, labels, targets).collect()
+    got, want = shares(rates), targets or mixing.TARGETS
+    total = sum(want.values())
+    assert len(rates) == docs.count()
+    assert all(abs(got[d] - want[d] / total) < 1e-5 * want[d] / total for d in got) and all(r.miss <= mixing.CLOSE for r in rates)
+
+
+def test_mixing(spark, make):
+    docs, labels = labelled(spark)
+    rates = mixing.mix_rates(make([*docs, (900, None), (901, "")]), labels, {"low_clean": 0.3, "low_toxic": 0.1, "high_clean": 0.5, "high_toxic": 0.1}).collect()
     assert all(r.rate >= 0 and abs(sum(r[f"p_{d}"] for d in mixing.DOMAINS) - 1) < 1e-6 for r in rates)
     assert {r.rate for r in rates if r.n_words == 0} == {1.0}
 
 
+def test_targets_out_of_reach_are_reported(spark):
+    """No document leans to two of the domains: the rates are as good as projected gradient in numpy finds, and miss says what is left."""
+    p = np.array([[0.7, 0.1, 0.1, 0.1]] * 5 + [[0.1, 0.7, 0.1, 0.1]] * 9)
+    n = np.arange(10, 24)
+    held = spark.createDataFrame([(int(k), v.tolist()) for k, v in zip(n, p, strict=True)], "n_words long, p array<double>")
+    targets = {"low_clean": 0.1, "low_toxic": 0.1, "high_clean": 0.4, "high_toxic": 0.4}
+    rows = mixing.fit_rates(held, targets).collect()
+    a = (p * n[:, None]).T / (np.array(list(targets.values()))[:, None] * n.sum())
+    r = np.ones(14)
+    for _ in range(20_000):
+        r = np.maximum(0, r - 0.5 / np.linalg.norm(a @ a.T, 2) * a.T @ (a @ r - 1))
+    got = a @ np.array([x.rate for x in sorted(rows, key=lambda x: x.n_words)]) - 1
+    assert got @ got <= 1.001 * ((a @ r - 1) @ (a @ r - 1))
+    assert abs(rows[0].miss - np.abs(got).max()) < 1e-9 and rows[0].miss > 0.1
+
+
+def test_posteriors_follow_plain_bayes(spark, make):
+    docs, labels = labelled(spark, 60)
+    made = mixing.fit_classifiers(make(docs), labels)
+    marks = {r.doc_id: r for r in labels.collect()}
+    n, yes, all_words = {}, {}, 0
+    for i, t in docs:
+        for w in t.split():
+            n[w] = n.get(w, 0) + 1
+            yes[w] = yes.get(w, 0) + marks[i].toxic
+            all_words += 1
+    ones = sum(yes.values())
+    prior = math.log((sum(m.toxic for m in marks.values()) + 1) / (sum(1 - m.toxic for m in marks.values()) + 1))
+    weight = lambda w: math.log((yes[w] + 200 * n[w] / all_words) / (ones + 200)) - math.log((n[w] - yes[w] + 200 * n[w] / all_words) / (all_words - ones + 200))
+    for r in mixing.posteriors(make(docs), made).collect():
+        words = docs[r.doc_id][1].split()
+        odds = prior + sum(map(weight, words)) * mixing.EVIDENCE_WORDS / max(len(words), mixing.EVIDENCE_WORDS)
+        assert abs(r.p[1] + r.p[3] - 1 / (1 + math.exp(-odds))) < 1e-3
+
+
 def test_mixing_edges(spark, make):
     _, labels = labelled(spark)
     assert mixing.mix_rates(make([]), labels).count() == 0
@@ -154,6 +240,10 @@ def test_mixing_edges(spark, make):
     rates = spark.createDataFrame([(1, 0.0), (2, 2.0), (3, 1.0)], "doc_id long, rate double")
     drawn = [r.doc_id for r in mixing.draw(make([(1, "a"), (2, "b"), (3, "c"), (None, "d")]), rates).collect()]
     assert sorted(map(str, drawn)) == ["2", "2", "3", "None"]
+    names = ["rate", "rate_", "copies", "copy_", "row", "i", "a.b"]
+    odd = spark.createDataFrame([(2, "b", *names), (1, "a", *names)], ", ".join(["doc_id long", "text string", *[f"`{c}` string" for c in names]]))
+    out = mixing.draw(odd, rates)
+    assert out.columns == odd.columns and [tuple(r) for r in out.collect()] == [(2, "b", *names)] * 2
 
 
 def test_pipeline(spark, data):

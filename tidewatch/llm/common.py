@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,12 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a session whose executors are threads of the driver (local master) gets a folder of this machine; any
+    other session is refused, since its executors would each write to their own disk.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = getattr(shared_folder, "own", None) or f"file://{tempfile.mkdtemp(prefix='tidewatch-')}"
-        shared_folder.own = folder
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not hasattr(shared_folder, "own"):
+        shared_folder.own = f"file://{tempfile.mkdtemp(prefix='tidewatch-')}"
+        atexit.register(shutil.rmtree, shared_folder.own[7:], True)
+    return shared_folder.own
 
 
 def cut(df: DataFrame, *partition_by: str) -> DataFrame:
@@ -31,6 +42,24 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+#: A key counts as hot if more than one row in HOT_ONE_IN has it, so that no more than HOT_ONE_IN keys do; each spreads over SALTS tasks.
+HOT_ONE_IN, SALTS = 1000, 64
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], spread: Column) -> DataFrame:
+    """rows with what is known of their keys; facts has one row a key, and a column n: how many of rows have it.
+
+    A hot key's rows are dealt over SALTS tasks by the hash of spread, and its fact goes to each of them. Only the hot keys
+    are broadcast: HOT_ONE_IN rows at most, whatever the size of rows. Keys without facts drop out; the column n goes.
+    """
+    total = facts.agg(F.sum("n")).head()[0] or 0
+    hot = F.col("n") > F.lit(max(1, total // HOT_ONE_IN))
+    known = F.broadcast(facts.where(hot).select(*keys, F.lit(SALTS).alias("salts_")))
+    salted = rows.join(known, keys, "left").withColumn("salt_", F.coalesce(F.pmod(F.xxhash64(spread), "salts_"), F.lit(0)).cast("int")).drop("salts_")
+    held = facts.withColumn("salt_", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("n")
+    return salted.join(held, [*keys, "salt_"]).drop("salt_")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

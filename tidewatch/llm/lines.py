@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, join_facts
+
 WINDOW = 3
 
 
@@ -21,20 +23,29 @@ def dedup_lines(df: DataFrame) -> DataFrame:
     The first occurrence of a window is the one of the smallest (doc_id, position); every other one loses its three
     lines, and overlapping windows merge into one stretch. Windows are judged on the input. A null text stays null with 0
     lines; an empty text is one empty line. Rows without a doc_id pass unchanged. Rows that share a doc_id count as the
-    same place, so exact repeats of a row keep what the first keeps. Other columns pass through; columns of the input
-    named n_lines or n_removed give way.
+    same place, so exact repeats of a row keep what the first keeps. Columns of any name pass through; columns of the
+    input named n_lines or n_removed give way. An empty table stays empty.
+
+    A window that a large share of all documents have is dealt over many tasks (join_facts); documents are joined by their
+    doc_id, rows without one going around that join.
     """
     windows = line_windows(df.select("doc_id", "text"))
-    firsts = windows.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max(F.struct("doc_id", "pos")).alias("final")).where("first != final")
-    later = windows.join(firsts.select("h", "first"), "h").where(F.struct("doc_id", "pos") != F.col("first"))
-    covered = later.groupBy("doc_id").agg(F.collect_set("pos").alias("starts_"))
-    base = df.drop("n_lines", "n_removed").withColumn("lines_", F.split("text", "\n", -1))
-    n = F.coalesce(F.when(F.col("text").isNotNull(), F.size("lines_")), F.lit(0))
-    gone = F.array_distinct(F.flatten(F.transform("starts_", lambda p: F.sequence(p + 1, p + WINDOW))))
-    kept = F.transform(F.array_except(F.sequence(F.lit(1), F.size("lines_")), "gone_"), lambda i: F.element_at("lines_", i))
-    cut = base.join(covered, "doc_id", "left").withColumn("gone_", gone)
-    text = F.when(F.col("gone_").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return cut.withColumn("n_lines", n.cast("long")).withColumn("n_removed", F.coalesce(F.size("gone_"), F.lit(0)).cast("long")).withColumn("text", text).select(*[c for c in df.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+    place = F.struct("doc_id", "pos")
+    repeated = windows.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("final"), F.count("*").alias("n")).where("first != final")
+    later = join_facts(windows, cut(repeated.select("h", "first", "n")), ["h"], F.col("doc_id")).where(place != F.col("first"))
+    covered = later.groupBy("doc_id").agg(F.collect_set("pos").alias("starts"))
+    names = [c for c in df.columns if c not in ("n_lines", "n_removed")]
+    others = {c: f"c{i}" for i, c in enumerate(names) if c not in ("doc_id", "text")}  # under plain names until the end
+    rows = df.select("doc_id", "text", *[F.col(f"`{c}`").alias(own) for c, own in others.items()])
+    found = rows.where("doc_id IS NOT NULL").join(covered, "doc_id", "left")
+    split = found.unionByName(rows.where("doc_id IS NULL").withColumn("starts", F.lit(None).cast("array<int>"))).withColumn("l", F.split("text", "\n", -1))
+    gone = split.withColumn("gone", F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p + 1, p + WINDOW)))))
+    kept = F.transform(F.array_except(F.sequence(F.lit(1), F.size("l")), "gone"), lambda i: F.element_at("l", i))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    n_lines = F.when(F.col("text").isNotNull(), F.size("l")).otherwise(0).cast("long")
+    n_removed = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
+    out = [text.alias(c) if c == "text" else F.col(others.get(c, c)).alias(c) for c in names]
+    return gone.select(*out, n_lines.alias("n_lines"), n_removed.alias("n_removed"))
 
 
 LINES_SQL = """

@@ -2,9 +2,11 @@
 
 Domains are the four combinations of the label table's quality and toxic marks. Two naive Bayes classifiers over hashed
 words, fitted on labelled documents, give each document its posterior over the domains; a document of n words adds
-n x posterior x rate expected tokens to each. Rates start at 1 and are fitted by projected gradient on whitened least
-squares, so that the expected domain totals equal the targets; the gradient of every document follows from one number a
-domain, and one aggregation an iteration is all that is gathered.
+n x posterior x rate expected tokens to each. Rates start at 1 and are fitted by projected gradient least squares, so that the
+expected domain totals equal stated shares of all tokens. The gradient of every document follows from one number a domain,
+and the projection onto rates >= 0 is taken of the sum of all steps so far: the state is one number a domain, rates are a
+column expression of it, and one aggregation a round is all that is gathered. Targets that no nonnegative rates meet get the
+closest rates, and the column ``miss`` says by how much they fail.
 """
 
 from __future__ import annotations
@@ -19,14 +21,17 @@ from .common import cut
 
 #: Domains in the order of all arrays: (quality, toxic).
 DOMAINS = ("low_clean", "low_toxic", "high_clean", "high_toxic")
-#: Default targets: each domain's present share of the tokens times this, scaled to 1. Absolute shares can be given instead.
-TILT = {"low_clean": 0.75, "low_toxic": 0.6, "high_clean": 1.0, "high_toxic": 0.7}
+#: Default targets: each domain's share of the expected tokens.
+TARGETS = {"low_clean": 0.1, "low_toxic": 0.01, "high_clean": 0.85, "high_toxic": 0.04}
 BUCKETS = 8192
 #: Labelled documents that the classifiers are fitted on at most (the first by hash of doc_id).
 SAMPLE_DOCS = 20_000
 #: A document counts as at most so many words of evidence, which keeps the posteriors of long ones soft.
 EVIDENCE_WORDS = 20
-MOST_ROUNDS, CLOSE = 40, 1e-6
+#: Each bucket's chance in a class is drawn to its chance in all texts by so many words.
+PRIOR_WORDS = 200
+#: Rounds at most, the relative miss of every domain at which they end, and the weights of the pull to rate 1, taken in turn.
+MOST_ROUNDS, CLOSE, PULLS = 120, 1e-6, (1e-2, 1e-4, 1e-6, 1e-8, 1e-10)
 
 
 def words(text: Column) -> Column:
@@ -50,7 +55,8 @@ def fit_classifiers(docs: DataFrame, labels: DataFrame) -> dict[str, tuple[float
         yes, total = sum(r[mark] for r in counts), sum(r.n for r in counts)
         weights = [0.0] * BUCKETS
         for r in counts:
-            weights[r.b] = math.log((r[mark] + 1) / (yes + BUCKETS)) - math.log((r.n - r[mark] + 1) / (total - yes + BUCKETS))
+            pull = PRIOR_WORDS * r.n / total
+            weights[r.b] = math.log((r[mark] + pull) / (yes + PRIOR_WORDS)) - math.log((r.n - r[mark] + pull) / (total - yes + PRIOR_WORDS))
         out[mark] = (math.log(((n[mark] or 0) + 1) / (n.n - (n[mark] or 0) + 1)), weights)
     return out
 
@@ -84,65 +90,85 @@ def _solve(a: list[list[float]], b: list[float]) -> list[float]:
     return [m[i][n] / m[i][i] if m[i][i] else 0.0 for i in range(n)]
 
 
-def fit_rates(held: DataFrame, targets: dict[str, float] | None) -> DataFrame:
-    """held (n_words, p, ...) with a column rate >= 0: the expected tokens of each domain come to its share of all words.
+def fit_rates(held: DataFrame, targets: dict[str, float]) -> DataFrame:
+    """held (n_words, p, ...) with columns rate >= 0 (expected tokens of each domain come to its share of all words) and miss.
 
-    Projected gradient for 1/2 |A r - 1|^2, A being each document's share of its domains' targets. The gradient is taken in
-    the metric that whitens the domains over the documents whose rate is above 0, so that a few rounds do; a step that does
-    not lower the objective is halved. One aggregation a round gathers the residuals and that metric: k + k x k numbers.
+    Projected gradient for 1/2 |A r - 1|^2 + w/2 |r - 1|^2, A being each document's share of its domains' targets and w a
+    small pull to rate 1 that is lowered in turn. All steps are summed before they are projected, r = max(0, 1 - A'y), so
+    that y, one number a domain, is all that changes. A step is the gradient in y in the metric of the documents whose rate is
+    above 0; it is shortened until the objective's dual falls. A round is one aggregation: a dozen sums and products.
+    miss is the largest |expected / target - 1| of a domain: at most CLOSE where the targets can be met, else what is left.
     A domain without expected tokens or without a target is left out.
     """
     k = len(DOMAINS)
     mass = held.agg(F.sum("n_words").alias("n"), *[F.sum(F.col("p")[i] * F.col("n_words")).alias(f"s{i}") for i in range(k)]).head()
-    if targets is None:
-        targets = {d: TILT[d] * (mass[f"s{i}"] or 0) for i, d in enumerate(DOMAINS)}
     live = [i for i in range(k) if (mass[f"s{i}"] or 0) > 0 and targets.get(DOMAINS[i], 0) > 0]
     if not live:
-        return held.withColumn("rate", F.lit(1.0))
+        return held.withColumns({"rate": F.lit(1.0), "miss": F.lit(0.0)})
     share = sum(targets[DOMAINS[i]] for i in live)
-    a = {i: F.col("p")[i] * F.col("n_words") / F.lit(targets[DOMAINS[i]] / share * mass.n) for i in live}
-    at = held.withColumn("rate", F.lit(1.0))  # the best rates so far, and what is known of them
-    best, residual, metric, size = math.inf, [], [], 1.0
-    now, since = at, 0
-    for _ in range(MOST_ROUNDS):
+    a = [F.col("p")[i] * F.col("n_words") / F.lit(targets[DOMAINS[i]] / share * mass.n) for i in live]
+    places = range(len(live))
+    rate_of = lambda y: F.greatest(F.lit(0.0), F.lit(1.0) - sum((a[i] * F.lit(y[i]) for i in places), F.lit(0.0)))
+
+    def look(y: list[float]) -> tuple[list[float], list[list[float]], float]:
+        """Misses of the domains, metric, and half the square of the rates."""
         free = (F.col("rate") > 0).cast("double")
-        got = now.agg(*[F.sum(a[i] * F.col("rate")).alias(f"e{i}") for i in live], *[F.sum(a[i] * a[j] * free).alias(f"g{i}_{j}") for i in live for j in live if i <= j]).head()
-        e = [got[f"e{i}"] - 1 for i in live]
-        value = sum(x * x for x in e)
-        if value < best:
-            slow = value > 0.9 * best
-            at, best, residual, size = now, value, e, 1.0
-            metric = [[got[f"g{min(i, j)}_{max(i, j)}"] * (1 + 1e-9 * (i == j)) for j in live] for i in live]
-            if max(map(abs, e)) < CLOSE or slow and since > 12:
+        sums = [F.sum(a[i] * F.col("rate")).alias(f"e{i}") for i in places] + [F.sum(a[i] * a[j] * free).alias(f"g{i}_{j}") for i in places for j in places if i <= j]
+        got = held.withColumn("rate", rate_of(y)).agg(F.sum(F.col("rate") * F.col("rate")).alias("r"), *sums).head()
+        return [got[f"e{i}"] - 1 for i in places], [[got[f"g{min(i, j)}_{max(i, j)}"] for j in places] for i in places], got.r / 2
+
+    y = [0.0] * len(live)
+    e, metric, half = look(y)
+    scale = sum(metric[i][i] for i in places) / len(live)
+    rounds = 1
+    off = lambda e: sum(x * x for x in e)
+    best, least = y, e
+    for pull in (w * scale for w in PULLS):
+        dual = lambda y, half: half + sum(y) + pull / 2 * sum(v * v for v in y)  # noqa: B023, E731
+        while rounds < MOST_ROUNDS and max(map(abs, e)) > CLOSE:
+            slope = [pull * v - x for v, x in zip(y, e, strict=True)]
+            if max(map(abs, slope)) < CLOSE / 10:
+                break
+            step = _solve([[metric[i][j] + (pull + 1e-12 * scale) * (i == j) for j in places] for i in places], slope)
+            fall = sum(g * s for g, s in zip(slope, step, strict=True))
+            size, moved = 1.0, False
+            while rounds < MOST_ROUNDS and size > 1e-4 and not moved:
+                tried = [v - size * s for v, s in zip(y, step, strict=True)]
+                seen = look(tried)
+                rounds += 1
+                moved = dual(tried, seen[2]) <= dual(y, half) - 1e-4 * size * fall
+                size /= 4
+            if not moved:
                 break
-        elif size < 0.05:
+            y, (e, metric, half) = tried, seen
+        if off(e) >= off(least):  # out of reach, and as close as these numbers tell
             break
-        else:
-            size /= 2
-        if (since := since + 1) % 8 == 0:
-            at = cut(at)
-        step = _solve(metric, residual)
-        change = sum((a[i] * F.lit(size * c) for i, c in zip(live, step, strict=True)), F.lit(0.0))
-        now = at.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - change))
-    return at
+        best, least = y, e
+    return held.withColumns({"rate": rate_of(best), "miss": F.lit(max(map(abs, least)))})
 
 
 def mix_rates(df: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """doc_id, n_words, p_<domain> and rate (expected copies) of every document.
+    """doc_id, n_words, p_<domain>, rate (expected copies) and miss (see fit_rates; one value for all) of every document.
 
+    targets: share of the expected tokens of each domain, TARGETS by default; they are scaled to add up to 1.
     Null and empty texts have no words and keep rate 1. Labels that are null or not 0 or 1 are ignored; a document labelled
     more than once takes the larger marks. Without labels every posterior is even. Repeated rows each get a rate. Other
-    columns are ignored.
+    columns, of any name, are ignored. Empty tables give no rows.
     """
     docs = df.select("doc_id", "text")
     held = cut(posteriors(docs, fit_classifiers(docs, labels)))
-    rated = fit_rates(held, targets)
-    return rated.select("doc_id", "n_words", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], F.when(F.col("n_words") == 0, 1.0).otherwise(F.col("rate")).alias("rate"))
+    rated = fit_rates(held, TARGETS if targets is None else targets)
+    shown = [F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)]
+    return rated.select("doc_id", "n_words", *shown, F.when(F.col("n_words") == 0, 1.0).otherwise(F.col("rate")).alias("rate"), "miss")
 
 
 def draw(df: DataFrame, rates: DataFrame) -> DataFrame:
-    """df with each document floor(rate + u) times, u in [0, 1) being fixed by its doc_id; rows without a doc_id stay once."""
+    """df with each document floor(rate + u) times, u in [0, 1) being fixed by its doc_id; rows without a doc_id stay once.
+
+    Rows that share a doc_id are drawn alike, by the larger of their rates; documents without a rate stay once. Columns of
+    any name pass through.
+    """
     u = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("mix")), F.lit(1 << 32)) / float(1 << 32)
-    per_id = rates.groupBy("doc_id").agg(F.max("rate").alias("rate_"))
-    copies = F.coalesce(F.floor(F.col("rate_") + u), F.lit(1)).cast("int")
-    return df.join(per_id, "doc_id", "left").withColumn("copies_", copies).where("copies_ > 0").withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select(*df.columns)
+    per_id = rates.groupBy("doc_id").agg(F.max("rate").alias("rate")).select("doc_id", F.floor(F.col("rate") + u).cast("int").alias("copies"))
+    whole = df.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")).join(per_id, "doc_id", "left")
+    return whole.select("row", F.explode(F.array_repeat(F.lit(0), F.coalesce("copies", F.lit(1)))).alias("i")).select("row.*")

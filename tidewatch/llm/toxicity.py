@@ -1,9 +1,10 @@
 """Toxicity scores: a bidirectional gated recurrent network with attention pooling over character and word inputs.
 
 A word's input is its hashed word embedding beside the mean of its hashed character n-gram embeddings, with the log-odds of
-the word and of its n-grams in toxic against other training documents. Windows of 48 words, 32 apart, cover the whole text;
-every window is scored and the highest score is the document's. Training in numpy follows multiple-instance learning: each
-document trains through the window that now scores highest. Log-odds of a training document are counted without its own fold.
+the word and of its n-grams in toxic against other training documents. Windows of 48 words, 16 apart, cover the whole text,
+so that any passage of up to 33 words lies whole in one of them; every window is scored and the highest score is the
+document's. Training in numpy follows multiple-instance learning: each document, read whole, trains through the window that
+scores highest. Log-odds of a training document are counted without its own fold.
 """
 
 from __future__ import annotations
@@ -12,23 +13,30 @@ import math
 import pickle
 import re
 import zlib
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_columns, pieces
 from .shingles import mix
 
-WINDOW, STRIDE = 48, 32
+WINDOW, STRIDE = 48, 16
 WORDS, GRAMS = 1 << 16, 1 << 17
 EMBED, HIDDEN = 4, 8
 INPUT = 2 * EMBED + 3
-#: Labelled documents that train the network at most: of each class the first by hash of doc_id, and code points of each.
-SAMPLE_TOXIC, SAMPLE_OTHER, SAMPLE_CHARS = 1200, 2400, 20_000
+#: Labelled documents that train the network at most: of each class the first by hash of doc_id, as many as have so many code
+#: points together. Documents are taken whole or not at all.
+SAMPLE_TOXIC, SAMPLE_OTHER, SAMPLE_TEXT = 1200, 2400, 10_000_000
 FOLDS, EPOCHS, BATCH, RATE = 4, 14, 64, 0.01
-CACHE_WORDS = 150_000
+#: Epochs that look for each document's highest window anew.
+LOOK_AT = (0, 1, 2, 4, 7, 10)
+#: Words that a task's table holds at most, besides those of one slice of texts; the table goes with the task.
+CACHE_WORDS = 60_000
+#: Words whose n-grams are worked out at once.
+AT_ONCE = 8_192
 WORD = re.compile(r"\w+")
 
 
@@ -73,11 +81,27 @@ class LogOdds:
         return np.where(both >= 2, odds * both / (both + 3), 0).astype(np.float32) * 0.5
 
 
-def features(words: list[str], odds: LogOdds, tables: tuple[np.ndarray, np.ndarray], at: tuple | None = None) -> np.ndarray:
-    """A row of inputs for each word; at: the words' buckets and grams, if they are known."""
-    bucket, (flat, cut, n) = at or (np.fromiter(map(word_bucket, words), np.int64, len(words)), grams(words))
+def embedded(at: tuple, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Word embedding and mean n-gram embedding of words; at: their buckets and what grams says of them."""
+    bucket, (flat, cut, n) = at
+    return np.concatenate([tables[0][bucket], np.add.reduceat(tables[1][flat], cut) / n[:, None]], 1)
+
+
+def rated(at: tuple, odds: LogOdds) -> np.ndarray:
+    """Log-odds of words, and the largest and the mean of their n-grams."""
+    bucket, (flat, cut, n) = at
     go = odds.gram[flat]
-    return np.concatenate([tables[0][bucket], np.add.reduceat(tables[1][flat], cut) / n[:, None], odds.word[bucket][:, None], np.maximum.reduceat(go, cut)[:, None], (np.add.reduceat(go, cut) / n)[:, None]], 1).astype(np.float32)
+    return np.stack([odds.word[bucket], np.maximum.reduceat(go, cut), np.add.reduceat(go, cut) / n], 1)
+
+
+def features(words: list[str], odds: LogOdds, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A row of inputs for each word."""
+    at = np.fromiter(map(word_bucket, words), np.int64, len(words)), grams(words)
+    return np.concatenate([embedded(at, tables), rated(at, odds)], 1).astype(np.float32)
+
+
+def in_turn(words: list[str]) -> list[list[str]]:
+    return [words[i : i + AT_ONCE] for i in range(0, len(words), AT_ONCE)]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -162,32 +186,39 @@ def window_starts(n: int) -> list[int]:
 
 
 class Scorer:
-    """Scores texts with a trained network. Each word's contribution to both ways' gates is worked out once."""
+    """Scores texts with a trained network. Each word's contribution to both ways' gates is worked out once while the table has room."""
 
     def __init__(self, weights: dict, tables: tuple, odds: LogOdds):
         self.p, self.tables, self.odds = weights, tables, odds
         self.index: dict[str, int] = {}
-        self.gates = np.zeros((1024, 6 * HIDDEN), np.float32)
-        self.gates[0, [*range(HIDDEN, 2 * HIDDEN), *range(4 * HIDDEN, 5 * HIDDEN)]] = 60  # padding: the update gate keeps the state
+        self.gates = np.zeros((2, 1024, 3 * HIDDEN), np.float32)
         self.used = 1
-        self.both = np.concatenate([weights["wf"], weights["wb"]], 1), np.concatenate([weights["cf"], weights["cb"]])
+
+    def gates_of(self, x: np.ndarray, out: np.ndarray) -> None:
+        for k, way in enumerate("fb"):
+            np.matmul(x, self.p[f"w{way}"], out=out[k])
+            out[k] += self.p[f"c{way}"]
 
     def learn(self, words: list[str]) -> None:
-        x = features(words, self.odds, self.tables)
-        while self.used + len(words) > len(self.gates):
-            self.gates = np.concatenate([self.gates, np.zeros_like(self.gates)])
-        self.gates[self.used : self.used + len(words)] = x @ self.both[0] + self.both[1]
-        self.index.update(zip(words, range(self.used, self.used + len(words)), strict=True))
-        self.used += len(words)
+        need = self.used + len(words)
+        if need > self.gates.shape[1]:
+            grown = np.zeros((2, max(need, min(2 * self.gates.shape[1], CACHE_WORDS)), 3 * HIDDEN), np.float32)
+            grown[:, : self.used] = self.gates[:, : self.used]
+            self.gates = grown
+        self.gates[:, 0, HIDDEN : 2 * HIDDEN] = 60  # padding: the update gate keeps the state
+        for part in in_turn(words):
+            self.gates_of(features(part, self.odds, self.tables), self.gates[:, self.used : self.used + len(part)])
+            self.index.update(zip(part, range(self.used, self.used + len(part)), strict=True))
+            self.used += len(part)
 
     def indexed(self, texts: list[list[str]]) -> list[np.ndarray]:
         new = list({w for t in texts for w in t} - self.index.keys())
+        if new and self.used + len(new) > CACHE_WORDS:
+            self.index, self.used, self.gates = {}, 1, self.gates[:, :1024].copy()
+            new = list({w for t in texts for w in t})
         if new:
-            if self.used > CACHE_WORDS:
-                self.index, self.used = {}, 1
-                new = list({w for t in texts for w in t})
             self.learn(new)
-        return [np.fromiter(map(self.index.__getitem__, t), np.int64, len(t)) for t in texts]
+        return [np.fromiter(map(self.index.__getitem__, t), np.int32, len(t)) for t in texts]
 
     def windows(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """All windows of all texts as rows of word numbers (0: none), and each row's text."""
@@ -195,20 +226,19 @@ class Scorer:
         for k, x in enumerate(ids):
             if len(x):
                 starts = window_starts(len(x))
-                x = np.concatenate([x, np.zeros(starts[-1] + WINDOW - len(x), np.int64)]) if starts[-1] + WINDOW > len(x) else x
+                x = np.concatenate([x, np.zeros(starts[-1] + WINDOW - len(x), np.int32)]) if starts[-1] + WINDOW > len(x) else x
                 rows.append(np.lib.stride_tricks.sliding_window_view(x, WINDOW)[starts])
-                owner.append(np.full(len(starts), k))
-        return (np.concatenate(rows), np.concatenate(owner)) if rows else (np.empty((0, WINDOW), np.int64), np.empty(0, np.int64))
+                owner.append(np.full(len(starts), k, np.int32))
+        return (np.concatenate(rows), np.concatenate(owner)) if rows else (np.empty((0, WINDOW), np.int32), np.empty(0, np.int64))
 
     def raw(self, rows: np.ndarray) -> np.ndarray:
         """Log-odds of windows."""
         p, hid, out = self.p, HIDDEN, np.empty(len(rows), np.float32)
-        halves = [np.ascontiguousarray(self.gates[: max(self.used, 1), 3 * hid * k : 3 * hid * (k + 1)]) for k in range(2)]
         for at in range(0, len(rows), 2048):
             part = np.ascontiguousarray(rows[at : at + 2048].T)
             states = np.empty((WINDOW, part.shape[1], 2 * hid), np.float32)
             for k, way in enumerate("fb"):
-                h, u, table = np.zeros((part.shape[1], hid), np.float32), p[f"u{way}"], halves[k]
+                h, u, table = np.zeros((part.shape[1], hid), np.float32), p[f"u{way}"], self.gates[k]
                 for i in range(WINDOW) if way == "f" else range(WINDOW - 1, -1, -1):
                     a = table[part[i]]
                     g = h @ u
@@ -235,76 +265,130 @@ class Scorer:
         return np.where(np.isinf(best), 0.0, 1 / (1 + np.exp(-np.clip(best, -700, 700)))).tolist()
 
 
-def train(texts: list[str], marks: list[int]) -> Scorer | float:
+class Vocabulary:
+    """The words of the training texts, their buckets and their n-grams."""
+
+    def __init__(self, texts: Iterable[str]):
+        number: dict[str, int] = {}
+        self.docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t in texts]
+        self.parts = in_turn(list(number))
+        self.hashed = np.array([word_bucket(w) for w in number], np.int32)
+        made = [grams(p) for p in self.parts]
+        self.flat = [f.astype(np.int32) for f, _, _ in made]
+        self.cut, self.n = [c for _, c, _ in made], [n for _, _, n in made]
+
+    def __len__(self) -> int:
+        return len(self.hashed)
+
+    def grams_of(self, words: np.ndarray) -> np.ndarray:
+        found = [np.empty(0, np.int32)]
+        for w in words.tolist():
+            k, i = divmod(w, AT_ONCE)
+            found.append(self.flat[k][self.cut[k][i] : self.cut[k][i] + int(self.n[k][i])])
+        return np.concatenate(found)
+
+    def rows(self, of: Callable[[tuple], np.ndarray], width: int) -> np.ndarray:
+        """of(at) for all words, row 0 for padding."""
+        out = np.zeros((len(self) + 1, width), np.float32)
+        for k, part in enumerate(self.parts):
+            lo = k * AT_ONCE
+            out[lo + 1 : lo + 1 + len(part)] = of((self.hashed[lo : lo + len(part)], (self.flat[k], self.cut[k], self.n[k])))
+        return out
+
+    def move(self, tables: tuple, words: np.ndarray, by: np.ndarray) -> None:
+        """Adds to the n-gram embeddings of words (with repeats) a row each, shared out over the n-grams."""
+        unique, where = np.unique(words, return_inverse=True)
+        total = np.zeros((len(unique), EMBED), np.float32)
+        np.add.at(total, where, by)
+        n = np.array([self.n[k][i] for k, i in (divmod(w, AT_ONCE) for w in unique.tolist())], np.int64)
+        np.add.at(tables[1], self.grams_of(unique), np.repeat(total / n[:, None], n, 0))
+
+
+def folded_odds(words: Vocabulary, y: np.ndarray, fold: np.ndarray) -> tuple[list[LogOdds], LogOdds]:
+    """Log-odds without each fold, and of all; counted by documents."""
+    w, g, n = np.zeros((FOLDS, 2, WORDS), np.float32), np.zeros((FOLDS, 2, GRAMS), np.float32), np.zeros((FOLDS, 2))
+    for k, mark, x in zip(fold, y, words.docs, strict=True):
+        u = np.unique(x)
+        n[k, mark] += 1
+        w[k, mark, np.unique(words.hashed[u])] += 1
+        g[k, mark, np.unique(words.grams_of(u))] += 1
+    return [LogOdds(w.sum(0) - w[k], g.sum(0) - g[k], n.sum(0) - n[k]) for k in range(FOLDS)], LogOdds(w.sum(0), g.sum(0), n.sum(0))
+
+
+class Descent:
+    """Adam steps for the network's weights; plain steps for the embeddings."""
+
+    def __init__(self, net: Network):
+        self.net, self.step = net, 0
+        self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
+
+    def __call__(self, g: dict, rate: float) -> None:
+        self.step += 1
+        for name, grad in g.items():
+            m, v = self.moments[name]
+            grad = grad + 1e-4 * self.net.p[name]
+            m += 0.1 * (grad - m)
+            v += 0.01 * (grad * grad - v)
+            self.net.p[name] -= rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.99**self.step)) + 1e-8)
+
+
+def window_values(net: Network, shared: np.ndarray, own: list[np.ndarray], rows: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """Scores of all training windows, each without its own fold's log-odds."""
+    value = np.zeros(len(rows), np.float32)
+    part = Scorer(net.p, net.tables, None)
+    part.gates = np.empty((2, len(shared), 3 * HIDDEN), np.float32)
+    for k, table in enumerate(own):
+        mine = np.flatnonzero(fold == k)
+        part.gates_of(np.concatenate([shared, table], 1), part.gates)
+        part.gates[:, 0] = 0
+        part.gates[:, 0, HIDDEN : 2 * HIDDEN] = 60
+        value[mine] = part.raw(rows[mine])
+    return value
+
+
+def train(texts: Iterable[str], marks: list[int]) -> Scorer | float:
     """A scorer fitted to labelled texts; with one class only, the share of toxic ones."""
     y = np.array(marks, np.int64)
     if len(set(marks)) < 2:
         return float(y.mean()) if len(y) else 0.0
     rng = np.random.default_rng(11)
-    docs = [words_of(t) for t in texts]
-    vocabulary = sorted({w for d in docs for w in d})
-    number = {w: i for i, w in enumerate(vocabulary)}
-    hashed = np.array([word_bucket(w) for w in vocabulary], np.int64)
-    flat, cut, gram_n = grams(vocabulary)
-    grams_of = lambda words: flat[np.concatenate([np.arange(c, c + k) for c, k in zip(cut[words], gram_n[words].astype(np.int64), strict=True)])]
-    ids = [np.array([number[w] for w in d], np.int64) for d in docs]
-    fold = rng.permutation(len(docs)) % FOLDS
-    w_counts, g_counts, n = np.zeros((FOLDS, 2, WORDS), np.float32), np.zeros((FOLDS, 2, GRAMS), np.float32), np.zeros((FOLDS, 2))
-    for k, mark, x in zip(fold, y, ids, strict=True):
-        u = np.unique(x)
-        n[k, mark] += 1
-        w_counts[k, mark, np.unique(hashed[u])] += 1
-        if len(u):
-            g_counts[k, mark, np.unique(grams_of(u))] += 1
-    held = [LogOdds(w_counts.sum(0) - w_counts[k], g_counts.sum(0) - g_counts[k], n.sum(0) - n[k]) for k in range(FOLDS)]
-    full = LogOdds(w_counts.sum(0), g_counts.sum(0), n.sum(0))
+    words = Vocabulary(texts)
+    fold = rng.permutation(len(y)) % FOLDS
+    held, full = folded_odds(words, y, fold)
     net = Network()
-
-    def inputs(odds: LogOdds) -> np.ndarray:
-        """Features of the vocabulary, row 0 for padding."""
-        return np.concatenate([np.zeros((1, INPUT), np.float32), features(vocabulary, odds, net.tables, (hashed, (flat, cut, gram_n)))])
-
-    scorer = Scorer(net.p, net.tables, full)
-    rows, owner = scorer.windows([x + 1 for x in ids])
+    descend = Descent(net)
+    rows, owner = Scorer(net.p, net.tables, full).windows([x + 1 for x in words.docs])
     used = np.unique(owner)
-    weight = np.where(y == 1, 0.5 * len(y) / max(1, y.sum()), 1.0)
-    weight = np.minimum(weight, 3.0).astype(np.float32)
-    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
-    step = 0
+    weight = np.minimum(np.where(y == 1, 0.5 * len(y) / max(1, y.sum()), 1.0), 3.0).astype(np.float32)
+    top = np.empty(0, np.int64)
+    own = [words.rows(lambda at, o=o: rated(at, o), INPUT - 2 * EMBED) for o in held]
     for epoch in range(EPOCHS):
-        tables = [inputs(o) for o in held]
-        value = np.zeros(len(rows), np.float32)
-        for k in range(FOLDS):
-            mine = np.flatnonzero(fold[owner] == k)
+        shared = words.rows(lambda at: embedded(at, net.tables), 2 * EMBED)
+        if epoch in LOOK_AT:
             if epoch == 0:  # before anything is learned: the window with the largest log-odds
-                value[mine] = np.maximum(tables[k][rows[mine], -2], 0).sum(1)
-            elif len(mine):
-                part = Scorer(net.p, net.tables, held[k])
-                part.gates = np.concatenate([scorer.gates[:1], tables[k][1:] @ np.concatenate([net.p["wf"], net.p["wb"]], 1) + np.concatenate([net.p["cf"], net.p["cb"]])]).astype(np.float32)
-                part.used = len(part.gates)
-                value[mine] = part.raw(rows[mine])
-        order = np.lexsort((value, owner))
-        top = order[np.flatnonzero(np.diff(np.r_[owner[order], -1]))]
+                value = np.zeros(len(rows), np.float32)
+                for at in range(0, len(rows), AT_ONCE):
+                    part = slice(at, at + AT_ONCE)
+                    for k, table in enumerate(own):
+                        mine = fold[owner[part]] == k
+                        value[part][mine] = np.maximum(table[rows[part][mine], 1], 0).sum(1)
+            else:
+                value = window_values(net, shared, own, rows, fold[owner])
+            order = np.lexsort((value, owner))
+            top = order[np.flatnonzero(np.diff(np.r_[owner[order], -1]))]
         rate = RATE * (1 - epoch / EPOCHS) + 0.001
         for at in np.array_split(rng.permutation(len(used)), max(1, len(used) // BATCH)):
-            r = rows[top[at]]
-            docs_at = owner[top[at]]
-            x = np.stack([tables[fold[d]][row] for d, row in zip(docs_at, r, strict=True)])
+            r, docs_at = rows[top[at]], owner[top[at]]
+            x = np.concatenate([shared[r], np.stack([own[fold[d]][row] for d, row in zip(docs_at, r, strict=True)])], 2)
             score, kept = net.run(x, r > 0)
             dy = ((sigmoid(score) - y[docs_at]) * weight[docs_at] / len(at)).astype(np.float32)
             g, dx = net.gradients(kept, dy)
-            step += 1
-            for name, value_g in g.items():
-                m, v = moments[name]
-                value_g = value_g + 1e-4 * net.p[name]
-                m += 0.1 * (value_g - m)
-                v += 0.01 * (value_g * value_g - v)
-                net.p[name] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-            at_word = (r[r > 0] - 1).ravel()
+            descend(g, rate)
+            at_word = r[r > 0] - 1
             dxs = dx[r > 0]
-            np.add.at(net.tables[0], hashed[at_word], -rate * 5 * dxs[:, :EMBED])
-            for w, d in zip(at_word.tolist(), dxs[:, EMBED : 2 * EMBED], strict=True) if epoch % 3 == 1 else ():
-                net.tables[1][flat[cut[w] : cut[w] + int(gram_n[w])]] -= rate * 5 * d / gram_n[w]
+            np.add.at(net.tables[0], words.hashed[at_word], -rate * 5 * dxs[:, :EMBED])
+            if epoch % 3 == 1:
+                words.move(net.tables, at_word, -rate * 5 * dxs[:, EMBED : 2 * EMBED])
     return Scorer(net.p, net.tables, full)
 
 
@@ -313,25 +397,37 @@ def held_out(doc_id) -> object:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def chosen_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text, toxic of the labelled rows that train: not held out, bounded in number and in total length, each whole."""
+    marks = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    first = lambda mark, n: marks.where(F.col("toxic") == mark).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    chosen = first(1, SAMPLE_TOXIC).union(first(0, SAMPLE_OTHER))  # at most 3,600 rows of 12 bytes
+    found = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), "toxic")
+    so_far = F.sum("size").over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
+    fits = found.select("doc_id", "toxic", F.length("text").alias("size")).select("doc_id", "toxic", so_far.alias("size")).groupBy("doc_id").agg(F.max("size").alias("size")).where(F.col("size") <= SAMPLE_TEXT)
+    return found.join(F.broadcast(fits.select("doc_id")), "doc_id")
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Scorer | float:
     """Trains on a bounded sample of labelled rows that are not held out, in one task; only the weights reach the driver."""
-    marks = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    first = lambda mark, n: marks.where(F.col("toxic") == mark).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    chosen = first(1, SAMPLE_TOXIC).union(first(0, SAMPLE_OTHER))
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.substring(F.coalesce(F.col("text"), F.lit("")), 1, SAMPLE_CHARS).alias("text"), F.col("toxic").cast("int").alias("toxic"))
 
     def run(batches):
         rows = sorted(r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
-        made = train([r[1] for r in rows], [r[2] for r in rows])
+        marks = [r[2] for r in rows]
+        rows.reverse()
+        made = train((rows.pop()[1] for _ in marks), marks)  # a text is let go once it is read
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made if isinstance(made, float) else (made.p, made.tables, made.odds))], pa.binary())], names=["model"])
 
-    found = sample.repartition(1).mapInArrow(run, "model binary").collect()  # weights of a fixed size; an empty sample has no task
+    found = chosen_rows(docs, labels).repartition(1).mapInArrow(run, "model binary").collect()  # weights of a fixed size; an empty sample has no task
     made = pickle.loads(found[0].model) if found else 0.0
     return made if isinstance(made, float) else Scorer(*made)
 
 
 def drop_toxic(df: DataFrame, labels: DataFrame) -> DataFrame:
-    """df, all columns, without the documents that toxicity_scores predicts toxic; texts are scored where they are, without a shuffle."""
+    """df, all columns, without the documents that toxicity_scores predicts toxic; texts are scored where they are, without a shuffle.
+
+    Null and empty texts, and null ids, stay (empty ones score 0); repeated rows go or stay together. Columns of any name pass.
+    """
     scorer = fit(df.select("doc_id", "text"), labels.select("doc_id", "toxic"))
     if isinstance(scorer, float):
         return df if scorer < 0.5 else df.limit(0)
