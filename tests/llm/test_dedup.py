@@ -41,10 +41,10 @@ def brute_jaccard(rows):
     return {i: (len(s), g.root(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("few", [4_000_000, 0])
-def test_jaccard(make, corpus, few, monkeypatch):
-    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", few)
-    monkeypatch.setattr(jaccard, "BROADCAST_TOKENS", few)
+@pytest.mark.parametrize(("block", "one_in"), [(512, 1000), (4, 3)])
+def test_jaccard(make, corpus, block, one_in, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(common, "HOT_ONE_IN", one_in)
     out = jaccard.jaccard_components(make(corpus)).collect()
     assert len(out) == len(corpus)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out if r.doc_id is not None} == brute_jaccard(corpus)
@@ -72,6 +72,28 @@ def test_jaccard_of_short_texts(make):
     assert out == brute_jaccard(rows)
 
 
+@pytest.mark.parametrize(("seed", "block"), [(1, 3), (2, 512), (3, 5)])
+def test_jaccard_of_random_small_sets(make, seed, block, monkeypatch):
+    """Sets of 1 to 30 shingles in chains and groups of near copies; few and many frequent shingles, whole and cut groups."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng, texts = random.Random(seed), []
+    for _ in range(14):
+        base = [f"v{rng.randrange(10**6)}" for _ in range(rng.randint(5, 34))]
+        shared = [f"s{i}" for i in range(12)] if rng.random() < 0.5 else []
+        for _ in range(rng.choice((2, 4, 14, 25))):
+            w = list(base)
+            for _ in range(rng.choice((0, 0, 1, 1, 2))):
+                if rng.random() < 0.5:
+                    w[rng.choice((0, len(w) - 1))] = f"v{rng.randrange(10**6)}"
+                else:
+                    w = w[1:] if rng.random() < 0.5 else [*w, f"v{rng.randrange(10**6)}"]
+            texts.append(" ".join(shared + w))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(make(rows)).collect()}
+    assert out == brute_jaccard(rows)
+
+
 def test_jaccard_without_rows(make):
     assert jaccard.jaccard_components(make([])).count() == 0
     assert [(r.n_shingles, r.component_id) for r in jaccard.jaccard_components(make([(1, None)])).collect()] == [(0, 1)]

@@ -14,10 +14,13 @@ partner, so its first n - ceil(0.8 n) + 1 hold one of them, and a prefix longer
    extended until (rare ones) + sum over classes of (members - 1) exceeds what a partner may miss, so that any partner shares
    a rare shingle or two shingles of one class. Sets too small for that (10 or less) put all pairs of their frequent shingles
    into the index, so that they meet each other and the pairs of a class of larger partners.
-4. Candidates are verified on whole sets. In a bucket of the dense index every member is first held against one leader, and
-   what that links needs no further pairs. Buckets that still hold several components are then cut into blocks, and each pair
-   of blocks is compared by one product of its members' incidence matrices; only edges that join components leave it, never
-   all pairs. No link that joins components is lost.
+4. Candidates are verified on whole sets. Each bucket of the dense index is led by its member of the smallest hash; all
+   buckets of one leader form one group, which a document joins once however many of them it is in. First every member is held
+   against its leader. Groups that still hold several components are then cut into blocks, and each pair of blocks is compared
+   by one product of its members' incidence matrices; only edges that join components leave it, never all pairs. No link that
+   joins components is lost.
+
+Joins whose keys may be hot are salted (join_facts). The plan is the same at every size: nothing but hot keys is broadcast.
 """
 
 from __future__ import annotations
@@ -29,20 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_columns
+from .common import cut, join_facts, map_columns, pieces
 from .components import components
 from .shingles import mix, shingle_set
 
 RARE = 8
 CLASSES = 8
-#: A side of a join that is counted to have at most so many rows (16 bytes each), or sets of so many shingles (8 bytes each), is
-#: broadcast; beyond that it is shuffled. The results are the same.
-BROADCAST_ROWS = 4_000_000
-BROADCAST_TOKENS = 250_000
-#: The same for the sets of all dense classes, which the block comparison reads by doc_id.
-BROADCAST_DENSE = 12_000_000
-#: Members of a bucket in one block.
-BLOCK = 512
+#: Members of a group, and shingles of theirs, in one block.
+BLOCK, BLOCK_TOKENS = 512, 1 << 18
 
 
 def needed(n: int) -> int:
@@ -74,55 +71,34 @@ def prefixes_of(docs: DataFrame) -> DataFrame:
     return map_columns(docs, run, "doc_id long, n long, tokens array<long>, set_key binary")
 
 
-def with_counts(sets: DataFrame, counts: DataFrame, counted_only: bool = False) -> DataFrame:
-    """sets with a column c: for each token its count, 0 if the table of counts (token, c) does not have it (counted_only: such tokens go)."""
-    if counts.count() <= BROADCAST_ROWS:
-        rows = counts.select("token", "c").toArrow()
-        token, c = rows["token"].to_numpy(), rows["c"].to_numpy()
-        order = np.argsort(token)
-        held = sets.sparkSession.sparkContext.broadcast((token[order], c[order].astype(np.int32)))
+def token_counts(sets: DataFrame) -> DataFrame:
+    """token, c of the shingles that more than one row of sets has."""
+    return sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
 
-        def run(batches):
-            keys, values = held.value
-            for batch in batches:
-                tokens = batch.column("tokens")
-                flat = tokens.flatten().to_numpy(zero_copy_only=False)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
-                    c = np.where(keys[at] == flat, values[at], 0).astype(np.int32)
-                else:
-                    c = np.zeros(len(flat), np.int32)
-                sizes = tokens.value_lengths().to_numpy(zero_copy_only=False)
-                if counted_only:
-                    kept = c > 0
-                    sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[kept], minlength=len(sizes))
-                    flat, c = flat[kept], c[kept]
-                ends = pa.array(np.r_[0, np.cumsum(sizes)], pa.int32())
-                lists = [pa.ListArray.from_arrays(ends, pa.array(x, t)) for x, t in ((flat, pa.int64()), (c, pa.int32()))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), *lists], names=["doc_id", "n", "tokens", "c"])
-
-        return sets.select("doc_id", "n", "tokens").mapInArrow(run, "doc_id long, n long, tokens array<long>, c array<int>")
-    rows = sets.select("doc_id", "n", F.posexplode("tokens").alias("pos", "token")).join(counts, "token", "inner" if counted_only else "left")
-    grouped = rows.groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "token", F.coalesce(F.col("c"), F.lit(0)).cast("int").alias("c")))).alias("x"))
-    return grouped.select("doc_id", "n", F.col("x.token").alias("tokens"), F.col("x.c").alias("c"))
+
+def with_counts(sets: DataFrame, counts: DataFrame) -> DataFrame:
+    """doc_id, n, tokens (ascending) and c of the tokens that are in the table of counts; documents without such tokens drop out."""
+    rows = sets.select("doc_id", F.explode("tokens").alias("token"))
+    known = join_facts(rows, counts.withColumn("n", F.col("c")), ["token"], F.col("doc_id"))
+    grouped = known.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("token", F.col("c").cast("int").alias("c")))).alias("x"))
+    return grouped.join(sets.select("doc_id", "n"), "doc_id").select("doc_id", "n", F.col("x.token").alias("tokens"), F.col("x.c").alias("c"))
 
 
 def _fits(n: Column, m: Column) -> Column:
     return (n * 5 >= m * 4) & (m * 5 >= n * 4)
 
 
-def _side(sets: DataFrame, pairs: DataFrame, end: str) -> DataFrame:
-    """The sets at one end of the pairs, to be joined with them: broadcast if they are few, however many pairs share them."""
-    ids = pairs.select(F.col(end).alias("doc_id")).distinct()
-    own = sets.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi").select(F.col("doc_id").alias(end), F.col("n").alias(f"n_{end}"), F.col("tokens").alias(f"t_{end}"))
-    size = own.agg(F.sum(f"n_{end}")).head()[0] or 0
-    return F.broadcast(own) if size <= BROADCAST_TOKENS else own
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) with 100 x intersection >= 80 x union."""
+def verified(pairs: DataFrame, sets: DataFrame, led: bool = False) -> DataFrame:
+    """The pairs (a, b) with 100 x intersection >= 80 x union; led: very many pairs may share their b."""
+    side = lambda end: sets.select(F.col("doc_id").alias(end), F.col("n").alias(f"n_{end}"), F.col("tokens").alias(f"t_{end}"))
+    half = pairs.join(side("a"), "a")
+    if led:
+        facts = cut(side("b").join(pairs.groupBy("b").agg(F.count("*").alias("n")), "b"))
+        whole = join_facts(half, facts, ["b"], F.col("a"))
+    else:
+        whole = half.join(side("b"), "b")
     both = F.size(F.array_intersect("t_a", "t_b"))
-    return pairs.join(_side(sets, pairs, "a"), "a").join(_side(sets, pairs, "b"), "b").where(both * 100 >= (F.col("n_a") + F.col("n_b") - both) * 80).select("a", "b")
+    return whole.where(both * 100 >= (F.col("n_a") + F.col("n_b") - both) * 80).select("a", "b")
 
 
 def sparse_pairs(flagged: DataFrame) -> DataFrame:
@@ -177,15 +153,12 @@ def dense_signatures(flagged: DataFrame) -> DataFrame:
     return map_columns(flagged.select("doc_id", "n", "tokens", "c"), run, "sig long, doc_id long, n long")
 
 
-def _labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return nodes.select("doc_id").distinct().join(components(edges).withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"))
-
-
-def leader_edges(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of each bucket's members with the member of the smallest hash, so that few leaders serve many buckets."""
-    lead = members.groupBy("sig").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", "n")).alias("lead"))
-    led = members.join(lead, "sig").where((F.col("doc_id") != F.col("lead.doc_id")) & _fits(members["n"], F.col("lead.n")))
-    return cut(verified(cut(led.select(F.col("doc_id").alias("a"), F.col("lead.doc_id").alias("b")).distinct()), sets))
+def leader_groups(members: DataFrame) -> DataFrame:
+    """lead, doc_id, n, lead_n: each document once for every leader that one of its buckets has, leaders included."""
+    lead = F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", F.col("n").alias("lead_n"))).alias("x")
+    led = members.groupBy("sig").agg(F.count("*").alias("n"), lead).where("n > 1").select("sig", "n", F.col("x.doc_id").alias("lead"), "x.lead_n")
+    rows = join_facts(members.select("sig", "doc_id", F.col("n").alias("size")), cut(led), ["sig"], F.col("doc_id"))
+    return rows.groupBy("lead", "doc_id").agg(F.first("size").alias("n"), F.first("lead_n").alias("lead_n"))
 
 
 def joined(docs: list[int], comps: list[int], sets: list[np.ndarray], left: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -225,64 +198,46 @@ def joined(docs: list[int], comps: list[int], sets: list[np.ndarray], left: np.n
     return out
 
 
-def block_edges(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between members of a bucket in different components; buckets with the same members count once."""
-    held = members.join(labels, "doc_id")
-    open_sigs = held.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("who")).where("lo != hi")
-    open_sigs = open_sigs.groupBy("m", "who").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
-    placed = held.join(open_sigs, "sig").withColumn("k", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("nb")).cast("int"))
-    spread = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("sig", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "k", "doc_id", "comp")
-    few = (sets.agg(F.sum("n")).head()[0] or 0) <= BROADCAST_DENSE
-    item = F.struct("doc_id", "comp", "k")
-    if few:
-        rows = sets.select("doc_id", "tokens").toArrow()
-        ids, tokens = rows["doc_id"].to_numpy(), rows["tokens"].combine_chunks()
-        order = np.argsort(ids)
-        ends = np.r_[0, np.cumsum(tokens.value_lengths().to_numpy(zero_copy_only=False))]
-        known = sets.sparkSession.sparkContext.broadcast((ids[order], ends[:-1][order], ends[1:][order], tokens.flatten().to_numpy(zero_copy_only=False)))
-    else:
-        spread, item = spread.join(sets.select("doc_id", "tokens"), "doc_id"), F.struct("doc_id", "comp", "k", "tokens")
-    groups = spread.groupBy("sig", "i", "j").agg(F.collect_list(item).alias("x"))  # about two blocks at most
+def block_edges(groups: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between members of a group in different components; labels: doc_id, comp of documents with links."""
+    held = cut(groups.join(labels, "doc_id", "left").select("lead", "doc_id", F.coalesce("comp", "doc_id").alias("comp"), F.col("n").alias("size")))
+    sizes = held.groupBy("lead").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.sum("size").alias("tokens")).where("lo != hi")
+    sizes = sizes.select("lead", "n", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int").alias("nb"))
+    placed = join_facts(held, cut(sizes), ["lead"], F.col("doc_id")).withColumn("k", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("nb")).cast("int"))
+    with_sets = placed.join(sets.select("doc_id", "tokens"), "doc_id")
+    item = F.struct("doc_id", "comp", "k", "tokens")
+    spread = with_sets.select("lead", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"), item.alias("x"))
+    places = spread.select("lead", F.least("x.k", "o").alias("i"), F.greatest("x.k", "o").alias("j"), "x")
+    pairs_of_blocks = places.groupBy("lead", "i", "j").agg(F.collect_list("x").alias("x"))  # two blocks at most
 
     def run(batches):
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            x, diagonal = batch.column("x").flatten(), batch.column("i").to_numpy() == batch.column("j").to_numpy()
-            block = batch.column("i").to_numpy()
-            docs, comps, k = (x.field(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "comp", "k"))
-            ends = np.r_[0, np.cumsum(batch.column("x").value_lengths().to_numpy(zero_copy_only=False))]
-            for r in range(batch.num_rows):
-                at = slice(int(ends[r]), int(ends[r + 1]))
-                if len(np.unique(comps[at])) < 2:
-                    continue
-                if few:
-                    keys, start, end, flat = known.value
-                    own = [flat[start[p] : end[p]] for p in np.searchsorted(keys, docs[at])]
-                else:
-                    own = [np.array(t, np.int64) for t in x.field("tokens")[at].to_pylist()]
-                out += joined(docs[at].tolist(), comps[at].tolist(), own, None if diagonal[r] else k[at] == block[r])
-            yield pa.RecordBatch.from_arrays([pa.array([e[k_] for e in out], pa.int64()) for k_ in (0, 1)], names=["a", "b"])
+            for part in pieces(batch, 8 << 20):
+                out: list[tuple[int, int]] = []
+                first, second = (part.column(c).to_numpy() for c in "ij")
+                x = part.column("x").flatten()
+                docs, comps, k = (x.field(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "comp", "k"))
+                tokens = x.field("tokens")
+                flat = tokens.flatten().to_numpy(zero_copy_only=False)
+                cuts = np.r_[0, np.cumsum(tokens.value_lengths().to_numpy(zero_copy_only=False))]
+                ends = np.r_[0, np.cumsum(part.column("x").value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
+                for r in range(part.num_rows):
+                    at = slice(int(ends[r]), int(ends[r + 1]))
+                    if len(np.unique(comps[at])) > 1:
+                        own = [flat[cuts[m] : cuts[m + 1]] for m in range(at.start, at.stop)]
+                        out += joined(docs[at].tolist(), comps[at].tolist(), own, None if first[r] == second[r] else k[at] == first[r])
+                yield pa.RecordBatch.from_arrays([pa.array([e[k_] for e in out], pa.int64()) for k_ in (0, 1)], names=["a", "b"])
 
-    return groups.select("i", "j", "x").mapInArrow(run, "a long, b long")
+    return pairs_of_blocks.select("i", "j", "x").mapInArrow(run, "a long, b long")
 
 
 def dense_edges(members: DataFrame, sets: DataFrame, edges: DataFrame) -> DataFrame:
     """Links that join all components of the dense index; members: sig, doc_id, n; edges: links known before."""
-    members = cut(members)
-    shared = members.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1")
-    members = cut(members.join(shared.select("sig"), "sig"))
-    edges = cut(edges.union(leader_edges(members, sets)))
-    return cut(edges.union(block_edges(members, _labels(members, edges), sets)))
-
-
-def narrowed(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """The rows of docs whose doc_id is among the n rows of ids."""
-    return docs.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
-
-
-def _chosen_rows(rows: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
-    """The rows of the n (doc_id, set_key) of chosen."""
-    return rows.join(F.broadcast(chosen) if n <= BROADCAST_ROWS else chosen, ["doc_id", "set_key"], "left_semi")
+    groups = cut(leader_groups(cut(members)))
+    pairs = groups.where((F.col("doc_id") != F.col("lead")) & _fits(F.col("n"), F.col("lead_n"))).select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
+    edges = cut(edges.union(verified(pairs, sets, led=True)))
+    labels = components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("comp"))
+    return cut(edges.union(block_edges(groups, labels, sets)))
 
 
 def jaccard_components(df: DataFrame) -> DataFrame:
@@ -291,38 +246,40 @@ def jaccard_components(df: DataFrame) -> DataFrame:
     The set of a document: distinct runs of five words (maximal runs without ASCII white space, A-Z in lower case); with
     fewer words all of them as one; null and empty texts have the empty set, which links with nothing. Rows with a null
     doc_id link with nothing and have a null component. Rows that share a doc_id share a component; of their sets the one
-    with the smallest key that no smaller doc_id has is compared. Columns but doc_id and text are ignored.
+    with the smallest key that no smaller doc_id has is compared. Columns but doc_id and text, of any name, are ignored. An
+    empty table gives no rows.
     """
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     all_rows = cut(prefixes_of(docs))
     full = all_rows.where("n > 0 AND doc_id IS NOT NULL")
-    classes = cut(full.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
+    classes = cut(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     chosen = cut(classes.groupBy(F.col("rep").alias("doc_id")).agg(F.min("set_key").alias("set_key")))
-    n_chosen = chosen.count()
-    reps = _chosen_rows(full, chosen, n_chosen).select("doc_id", "n", "tokens")
-    repeats = reps.count() > n_chosen  # whole rows that occur more than once; only then are sets shuffled to tell
-    once = lambda x: x.dropDuplicates(["doc_id"]) if repeats else x
-    reps = once(reps)
-    tokens = cut(reps.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1"))
-    flagged = cut(with_counts(reps, tokens, counted_only=True).where(F.size("tokens") > 0))
+    reps = full.join(chosen, ["doc_id", "set_key"], "left_semi").select("doc_id", "n", "tokens")
+    reps = cut(reps.groupBy("doc_id").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")))  # on the same partitioning
+    flagged = cut(with_counts(reps, cut(token_counts(reps))))
     pairs = cut(sparse_pairs(flagged))
     least = F.ceil(F.col("n") * 4 / 5)
     dense = flagged.where(F.size(F.filter("c", lambda c: c > RARE)) >= F.least(F.floor((least - F.ceil(least * 4 / 5)) / 4) + 9, least)).select("doc_id")
-    wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).withColumn("dense", F.lit(False)).union(dense.withColumn("dense", F.lit(True))).groupBy("doc_id").agg(F.max("dense").alias("dense")))
-    n_wanted = wanted.count()
-    ours = chosen.join(F.broadcast(wanted.select("doc_id")) if n_wanted <= BROADCAST_ROWS else wanted.select("doc_id"), "doc_id", "left_semi")
-    sets = cut(once(_chosen_rows(sets_of(narrowed(docs, wanted.select("doc_id"), n_wanted)), ours, n_wanted).select("doc_id", "n", "tokens")))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"), F.lit(False).alias("dense"))
+    wanted = cut(ends.union(dense.select("doc_id", F.lit(True))).groupBy("doc_id").agg(F.max("dense").alias("dense")).join(chosen, "doc_id"))
+    whole = sets_of(docs.join(wanted.select("doc_id"), "doc_id", "left_semi")).join(wanted, ["doc_id", "set_key"])
+    sets = cut(whole.groupBy("doc_id").agg(*[F.first(c).alias(c) for c in ("n", "tokens", "dense")]))
     edges = cut(verified(pairs, sets))
-    thick = cut(sets.join(wanted.where("dense").select("doc_id"), "doc_id", "left_semi"))
-    counts = cut(thick.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1"))
-    edges = dense_edges(dense_signatures(with_counts(thick, counts)), thick, edges)
+    thick = sets.where("dense").drop("dense")
+    edges = dense_edges(dense_signatures(with_counts(thick, cut(token_counts(thick)))), thick, edges)
     labels = components(edges).withColumnsRenamed({"node": "rep", "component": "comp"})
-    placed = classes.join(labels, "rep", "left").select("set_key", F.coalesce("comp", "rep").alias("component_id"))
+    placed = cut(classes.join(labels, "rep", "left").select("set_key", F.coalesce("comp", "rep").alias("component_id"), F.col("n")))
+    linked = join_facts(full.select("doc_id", F.col("n").alias("n_shingles"), "set_key"), placed, ["set_key"], F.col("doc_id"))
     empty = all_rows.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return full.join(placed, "set_key").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(empty)
+    return linked.select("doc_id", "n_shingles", "component_id").union(empty)
 
 
 def keep_one(df: DataFrame) -> DataFrame:
-    """df without the documents that have a smaller document in their group; rows without a doc_id stay."""
+    """df without the documents that have a smaller document in their group; rows without a doc_id stay.
+
+    Null and empty texts stay (they link with nothing); rows that repeat the kept document's doc_id all stay. Columns of any
+    name pass through.
+    """
     gone = jaccard_components(df).where("component_id != doc_id").select("doc_id").distinct()
-    return df.join(gone, "doc_id", "left_anti")
+    held = df.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in df.columns])
+    return held.union(df.where("doc_id IS NULL"))

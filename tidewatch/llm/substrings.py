@@ -29,7 +29,7 @@ from .shingles import run_hashes, word_hashes
 
 WINDOW, MINIMISER = 50, 10
 #: Documents with one minimiser up to which its windows are sorted in one bucket.
-HOT_DOCS = 20_000
+HOT_DOCS = 1_000
 #: Windows of a bucket that are sorted at once, and strings whose words a task remembers to have sent.
 SORT_WINDOWS, SENT_STRINGS = 1 << 20, 200_000
 
