@@ -3,6 +3,8 @@
 import hashlib
 import math
 import random
+import re
+import string
 import zlib
 
 import numpy as np
@@ -61,6 +63,50 @@ def test_fingerprints(make):
     assert merkle.document_fingerprints(make([(None, "x"), (1, "b"), (1, "a"), (None, None)])).count() == 4
 
 
+def plain_tree(text):
+    """(root, lengths of the leaves by their shortened digest), by a plain recursion over sections, paragraphs and sentences."""
+    h = lambda b: hashlib.blake2b(b, digest_size=16).digest()
+    leaves, sections, open_ = [], [], []
+    for line in text.split("\n"):
+        cut, rest = [], line
+        while rest:
+            n = 0
+            while n < len(rest) and n < 400 and rest[n] not in ".!?":
+                n += 1
+            while n < len(rest) and rest[n] in ".!?":
+                n += 1
+            while n < len(rest) and rest[n].isspace():
+                n += 1
+            cut.append(rest[:n])
+            rest = rest[n:]
+        leaves += cut
+        p = h(b"p" + b"".join(h(x.encode()) for x in cut))
+        open_.append(p)
+        if not cut or p[15] % 8 == 0:
+            sections.append(open_)
+            open_ = []
+    sections += [open_] if open_ else []
+    lengths = {}
+    for x in leaves:
+        k = h(x.encode())[:4].hex()
+        lengths[k] = lengths.get(k, 0) + len(x)
+    return h(b"d" + b"".join(h(b"s" + b"".join(s)) for s in sections)).hex(), lengths
+
+
+def test_likeness_follows_plain_trees(make, corpus):
+    rows = [(i, t) for i, t in corpus if i is not None] + [(900, "A. B? C! " * 100_000 + "x" * 1_000_000), (901, "A. B? C! " * 100_000)]
+    rows = sorted({i: (i, t or "") for i, t in rows}.values())
+    out = {r.doc_id: r for r in merkle.document_fingerprints(make(rows)).collect()}
+    for (i, t), (_, after) in zip(rows, [*rows[1:], rows[0]], strict=True):
+        changed = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        (root, mine), (new_root, new), (next_root, following) = map(plain_tree, (t, changed, after))
+        for got, other_root, other in ((out[i].near_edited, new_root, new), (out[i].near_next, next_root, following)):
+            shared = sum(min(n, other.get(k, 0)) for k, n in mine.items())
+            total = sum(mine.values()) + sum(other.values())
+            assert abs(got - (1.0 if other_root == root else 2 * shared / max(1, total))) < 1e-6
+        assert out[i].fingerprint.startswith(root + "|") and out[i].edited_fingerprint.startswith(new_root + "|")
+
+
 def test_roots_tell_texts_apart_and_edits_are_located():
     assert len({merkle.Tree(t).root for t in ("", "\n", "a", "a\n", "a.b", "a. b", "b\na", "a\nb", "a\n\nb")}) == 9
     text = "\n".join(f"line number {i}." for i in range(40))
@@ -88,6 +134,60 @@ def test_secret_scan(spark, make, data):
     assert secrets.scan_secrets(make([])).count() == 0
 
 
+def plain_spans(text, table):
+    """Base spans by the patterns as stated, and random stretches by trying every one; no vectors."""
+    found = []
+    for kind, pattern in enumerate((r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", r"AKIA[A-Z0-9]+", r"[0-9a-f]+")):
+        for m in re.finditer(pattern, text, re.I | re.A if kind == 0 else 0):
+            size, least = (len(m[2]), 6) if kind == 0 else (len(m[0]), 20 if kind == 1 else 24)
+            if size >= least:
+                found.append((m.start(), kind, m.end()))
+    base, free = sorted(found), list(text)
+    for s, _, e in base:
+        free[s:e] = [" "] * (e - s)
+
+    def walk(run, at):
+        if len(run) < 16:
+            return
+        c = [secrets.SYMBOLS.index(x) for x in run]
+        gain = [table[secrets.SIZE][c[0]], *[table[a][b] for a, b in zip(c, c[1:], strict=False)]]
+        best, s, e = max((round(sum(gain[i:j]), 9), -j, i) for i in range(len(run) - 15) for j in range(i + 16, len(run) + 1))
+        s, e = e, -s
+        if best >= 12 and best >= 0.5 * (e - s):
+            while s and run[s - 1].isalnum():
+                s -= 1
+            while e < len(run) and run[e].isalnum():
+                e += 1
+            walk(run[:s], at)
+            found.append((at + s, 3, at + e))
+            walk(run[e:], at + e)
+
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", "".join(free)):
+        walk(m[0], m.start())
+    return base, sorted(found)
+
+
+def test_secret_spans_follow_plain_loops(spark, data):
+    rng = random.Random(4)
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    table = secrets.train(docs)
+    key = lambda n, a=string.ascii_letters + string.digits: "".join(rng.choices(a, k=n))
+    texts = [r.text or "" for r in docs.collect()][:150]
+    texts += [f"path/to/some/directory/{key(22)} and {key(30)}/{key(30)}", f"secret={key(9)} x_{key(24)}", f"{key(40, '0123456789abcdef')}{key(20)}", f"AKIA{key(16, string.ascii_uppercase)}/{key(20)}"]
+    texts += [" ".join(key(rng.randint(3, 34)) for _ in range(12)) for _ in range(10)]
+    for t in texts:
+        assert secrets.all_spans(t, table) == plain_spans(t, table), t
+    assert [t[s:e] for t in [f"some/long/path/of/a/configuration/{'x9K2pQ7vLm4Tz8Rw1YbN'}"] for s, _, e in secrets.all_spans(t, table)[1]] == ["x9K2pQ7vLm4Tz8Rw1YbN"]
+
+
+def test_secrets_in_a_very_long_text(make):
+    text = "plain words go on " * 200_000 + "password=hunter22 " + "0123456789abcdef" * 3 + " end"
+    table = np.full((secrets.SIZE + 1, secrets.SIZE), -1.0)
+    (row,) = secrets.scan_secrets(make([(1, text)]), table).collect()
+    at = 200_000 * 18
+    assert (row.n_assign, row.n_access, row.n_hex) == (1, 0, 1) and row.spans == f"assign:{at}:{at + 17},hex:{at + 18}:{at + 66}"
+
+
 def labelled(spark, n=240):
     rng = random.Random(2)
     docs, labels = [], []

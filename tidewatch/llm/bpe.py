@@ -2,7 +2,12 @@
 
 Both reproduce, for the public vocabulary file, what its library gives with add_special_tokens=False and without
 truncation or padding. Special strings inside a text become their special id, as the library does by default.
-Null and empty texts have no tokens.
+Null and empty texts have no tokens. Rows are coded one by one: repeated rows and null ids pass, in the order of the input's
+partitions; columns but the id and the text, of any name, are ignored; empty tables give no rows.
+
+A partition is read in slices of at most 2 MB of text. The index covers all words of a slice that the task has not coded yet,
+once each: an index over a whole partition of 128 MB would need some twenty times that in one Python process, and since no
+pair crosses a word, the ids are the same.
 """
 
 from __future__ import annotations
@@ -10,6 +15,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import itertools
 import json
 import unicodedata
 
@@ -18,9 +24,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns
+from .common import TASK_TABLES, map_columns
 
-CACHE_WORDS = 120_000
+#: Words whose codes, or counts, a task keeps at most, and characters of the longest.
+CACHE_WORDS, CACHE_LONGEST = 60_000, 40
 
 
 def byte_symbols() -> list[str]:
@@ -67,6 +74,7 @@ class Vocabulary:
         self.coded: dict[str, tuple[bytes, str]] = {}
         self.chunks: dict[str, int] = {}
         self.words: dict[str, int] = {}
+        TASK_TABLES.extend((self.coded, self.chunks, self.words))
 
     def segments(self, text: str) -> list[tuple[str, bool]]:
         """Pieces of a text, and whether each is a special string."""
@@ -164,9 +172,8 @@ class Vocabulary:
             got = [new.get(w) or self.coded[w] for w in ws]
             of[c] = got[0] if len(got) == 1 else (b"".join([g[0] for g in got]), " ".join([g[1] for g in got]))
         known = self.coded
-        if len(known) < CACHE_WORDS:  # frequent words come early; what comes once the table is full is coded batch by batch
-            known.update(of)
-            of = {}
+        room = CACHE_WORDS - len(known)  # frequent words come early; what comes once the table is full is coded batch by batch
+        known.update(itertools.islice(((c, got) for c, got in of.items() if len(c) <= CACHE_LONGEST), max(0, room)))
         out = []
         for p in parts:
             got = []
@@ -226,10 +233,10 @@ class Vocabulary:
             k = self.words.get(w)
             if k is None:
                 k = self.word_tokens(w)
-                if len(self.words) < CACHE_WORDS:
+                if len(self.words) < CACHE_WORDS and len(w) <= CACHE_LONGEST:
                     self.words[w] = k
             n += k
-        if len(self.chunks) < CACHE_WORDS:
+        if len(self.chunks) < CACHE_WORDS and len(chunk) <= CACHE_LONGEST:
             self.chunks[chunk] = n
         return n
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -64,6 +65,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Tables that worker processes fill during a task, such as hashes of words seen; they are emptied when the task ends.
+TASK_TABLES: list[dict] = []
+
+
+@contextlib.contextmanager
+def task_memory():
+    """Around a task's work: empties its tables afterwards and gives unused Arrow memory back, as workers are used again."""
+    try:
+        yield
+    finally:
+        for held in TASK_TABLES:
+            held.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def map_columns(df: DataFrame, fn: Callable[..., list], schema: str, setup: Callable[[], object] | None = None) -> DataFrame:
     """Arrow batches in and out; fn takes the columns as Python lists and returns the output columns as lists.
 
@@ -75,11 +91,12 @@ def map_columns(df: DataFrame, fn: Callable[..., list], schema: str, setup: Call
     arrow = to_arrow_schema(StructType.fromDDL(schema), prefers_large_types=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        extra = (setup(),) if setup else ()
-        for batch in batches:
-            for part in pieces(batch):
-                out = fn(*extra, *(part.column(i).to_pylist() for i in range(part.num_columns)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
+        with task_memory():
+            extra = (setup(),) if setup else ()
+            for batch in batches:
+                for part in pieces(batch):
+                    out = fn(*extra, *(part.column(i).to_pylist() for i in range(part.num_columns)))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
 
     return df.mapInArrow(run, schema)
 

@@ -30,7 +30,7 @@ SIZE = len(SYMBOLS)
 CODE = np.full(128, SIZE, np.int64)
 CODE[[ord(c) for c in SYMBOLS]] = np.arange(SIZE)
 
-#: A run counts as a secret from this log-likelihood ratio, in nats, for the run and for each character.
+#: A stretch counts as a secret from this log-likelihood ratio, in nats, in all and for each character.
 RATIO_LEAST, RATIO_EACH = 12.0, 0.5
 #: Training documents at most (the first by hash of doc_id), and strings of each alphabet that the generator adds.
 SAMPLE_DOCS, MADE_EACH = 4_000, 400
@@ -53,10 +53,34 @@ def codes(run: str) -> np.ndarray:
     return CODE[np.frombuffer(run.encode(), np.uint8)]
 
 
-def ratio(run: str, table: np.ndarray) -> float:
-    """Log-likelihood of run as a random string less that as an identifier; table holds this for each step, first row: the start."""
+def steps_of(run: str, table: np.ndarray) -> np.ndarray:
+    """For each character, its log-likelihood in a random string less that in an identifier, given the one before (at first: the start)."""
     c = codes(run)
-    return float(table[SIZE, c[0]] + table[c[:-1], c[1:]].sum())
+    return np.r_[table[SIZE, c[0]], table[c[:-1], c[1:]]]
+
+
+def best_stretch(gain: np.ndarray) -> tuple[float, int, int]:
+    """Sum, start and end of the stretch of RUN_LEAST characters or more with the largest sum; of equal ones the first to end."""
+    total = np.r_[0.0, np.cumsum(gain)]
+    ends = total[RUN_LEAST:]
+    lowest = np.minimum.accumulate(total[: len(ends)])
+    end = int(np.argmax(ends - lowest))
+    start = int(np.argmin(total[: end + 1]))
+    return float(ends[end] - lowest[end]), start, end + RUN_LEAST
+
+
+def random_stretches(run: str, table: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches of a run that look random: the best one, widened to whole letters and digits, then those of what is left."""
+    if len(run) < RUN_LEAST:
+        return []
+    sum_, s, e = best_stretch(steps_of(run, table))
+    if sum_ < RATIO_LEAST or sum_ < RATIO_EACH * (e - s):
+        return []
+    while s and run[s - 1].isalnum():
+        s -= 1
+    while e < len(run) and run[e].isalnum():
+        e += 1
+    return [*random_stretches(run[:s], table), (s, e), *[(e + a, e + b) for a, b in random_stretches(run[e:], table)]]
 
 
 def all_spans(text: str, table: np.ndarray) -> tuple[list, list]:
@@ -64,11 +88,11 @@ def all_spans(text: str, table: np.ndarray) -> tuple[list, list]:
     more = []
     if max(map(len, text.split()), default=0) >= RUN_LEAST:
         for m in RUN.finditer(text):
-            if any(s < m.end() and m.start() < e for s, _, e in base):
-                continue
-            r = ratio(m[0], table)
-            if r >= RATIO_LEAST and r >= RATIO_EACH * len(m[0]):
-                more.append((m.start(), 3, m.end()))
+            at = m.start()
+            for s, e in [*((s, e) for s, _, e in base if s < m.end() and m.start() < e), (m.end(), m.end())]:  # what lies beside base spans
+                if s > at:
+                    more += [(at + a, 3, at + b) for a, b in random_stretches(text[at:s], table)]
+                at = max(at, e)
     return base, sorted(base + more)
 
 
@@ -92,11 +116,21 @@ def steps(runs: list[str]) -> dict[tuple[int, int], int]:
     return out
 
 
+def joined_words(words: list[str]) -> list[str]:
+    """Labelled ordinary identifiers that texts may lack: each three words in turn, joined by a sign or by capitals."""
+    out = []
+    for i in range(0, len(words) - 2, 3):
+        three = words[i : i + 3]
+        sign = "_-/=+"[i // 3 % 5]
+        out.append("".join([three[0], *[w.capitalize() for w in three[1:]]]) if sign == "+" else sign.join(three))
+    return out
+
+
 def train(df: DataFrame) -> np.ndarray:
     """Log-probability ratios of each step, from a bounded sample of documents.
 
     Labels: values of base matches are random strings, runs outside base matches are ordinary. Generated random strings
-    are added to the former. Step counts are summed by Spark; at most 2 x 70 x 70 rows reach the driver.
+    are added to the former, and identifiers joined of the documents' own words to the latter. Step counts are summed by Spark; at most 2 x 70 x 70 rows reach the driver.
     """
     ids = df.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
     sample = df.select("doc_id", "text").join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
@@ -111,7 +145,7 @@ def train(df: DataFrame) -> np.ndarray:
             for s, _, e in [*spans, (len(text), 0, len(text))]:
                 plain += WORD.findall(text[at:s]) if at < s else []
                 at = max(at, e)
-        rows = [(k, a, b, n) for k, runs in enumerate((plain, secret)) for (a, b), n in steps(runs).items()]
+        rows = [(k, a, b, n) for k, runs in enumerate((plain + joined_words(plain), secret)) for (a, b), n in steps(runs).items()]
         return [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], [], []]
 
     counted = map_columns(sample.select("text"), run, "secret int, a int, b int, n long").groupBy("secret", "a", "b").agg(F.sum("n").alias("n")).collect()
@@ -127,10 +161,12 @@ def train(df: DataFrame) -> np.ndarray:
 def scan_secrets(df: DataFrame, table: np.ndarray | None = None) -> DataFrame:
     """Spans of secrets in every whole text, as code points with exclusive ends.
 
-    Base spans come from fixed patterns, leftmost and without overlap within a kind. A further span (kind markov) is a run
-    of at least 16 characters of [A-Za-z0-9+/_=-] that overlaps no base span and whose likelihood under the model of random
-    strings exceeds that under the model of identifiers by RATIO_LEAST in all and RATIO_EACH a character. Null and empty
-    texts have none. Rows are judged one by one: repeated rows and null ids pass; other columns are ignored.
+    Base spans come from fixed patterns, leftmost and without overlap within a kind. A further span (kind markov) is a stretch
+    of at least 16 characters of a run of [A-Za-z0-9+/_=-], beside base spans, whose likelihood under the model of random
+    strings exceeds that under the model of identifiers by RATIO_LEAST in all and RATIO_EACH a character; it is the stretch
+    of the run where this is largest, widened to whole letters and digits, then those in what is left on both sides. Null and
+    empty texts have none. Rows are judged one by one: repeated rows and null ids pass; other columns, of any name, are
+    ignored; an empty table gives no rows.
     """
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = train(rows) if table is None else table

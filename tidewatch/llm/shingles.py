@@ -5,9 +5,13 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .common import TASK_TABLES
+
 SHINGLE = 5
-CACHE_WORDS = 150_000
+#: Words whose hashes a task keeps at most, and bytes of the longest.
+CACHE_WORDS, CACHE_LONGEST = 60_000, 48
 _known: dict[bytes, int] = {}
+TASK_TABLES.append(_known)
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -26,7 +30,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
         for i, h in enumerate(out):
             if h is None:
                 out[i] = h = xxhash.xxh3_64_intdigest(words[i])
-                if len(_known) < CACHE_WORDS:
+                if len(_known) < CACHE_WORDS and len(words[i]) <= CACHE_LONGEST:
                     _known[words[i]] = h
     return np.array(out, np.uint64)
 

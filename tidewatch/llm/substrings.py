@@ -171,7 +171,7 @@ def bucket_spans(strings: DataFrame, leads: DataFrame) -> DataFrame:
                 held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "s", "e"])
 
-        for batch in batches:
+        for batch in batches:  # few words, so their hashes are not kept
             for mini, key, lead, doc_id, start, string in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if mini != waiting and windows >= SORT_WINDOWS:
                     yield found()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_columns, pieces
+from .common import map_columns, pieces, task_memory
 from .shingles import mix
 
 WINDOW, STRIDE = 48, 16
@@ -435,11 +435,12 @@ def drop_toxic(df: DataFrame, labels: DataFrame) -> DataFrame:
     place = df.columns.index("text")
 
     def run(batches):
-        own = Scorer(*held.value)
-        for batch in batches:
-            for part in pieces(batch):
-                score = own.score([t or "" for t in part.column(place).to_pylist()])
-                yield part.filter(pa.array([x < 0.5 for x in score], pa.bool_()))
+        with task_memory():
+            own = Scorer(*held.value)
+            for batch in batches:
+                for part in pieces(batch):
+                    score = own.score([t or "" for t in part.column(place).to_pylist()])
+                    yield part.filter(pa.array([x < 0.5 for x in score], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 
