@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tidewatch.plans import more  # noqa: F401  registers its queries
+from tidewatch.plans import catalog, more  # noqa: F401  register their queries
 from tidewatch.plans import queries as plans
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -43,9 +43,9 @@ def test_entry(spark):
 
 def test_all_kinds_of_indicators_in_documents(spark, tmp_path):
     sha256, sha1, md5 = "a" * 64, "B" * 40, "c" * 32
-    one = f"{sha256} {sha1} {md5} 10.1.2.3 http://ex.test/p evil.com C:\\Temp\\x.exe HKLM\\Software\\Run service: spoolsvc task name = Updater"
-    rows = [(1, one), (2, f"EVIL.com {sha1.lower()}"), (3, None), (4, "0.0.0.0 nothing")]
+    one = f"{sha256} {sha1} {md5} 10.1.2.3 http://ex.test/p). www.evil.com api.evil.app bare.dev C:\\Temp\\x.exe; HKLM\\Software\\Run, Name: spoolsvc TaskName: \\\\Updater"
+    rows = [(1, one), (2, f"WWW.EVIL.com {sha1.lower()}"), (3, None), (4, "0.0.0.0 nothing")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {(r.type, r.key, r.value, r.n_texts, r.first_id) for r in plans.QUERIES["document_iocs_all"](spark, str(tmp_path)).collect()}
-    once = [("sha256", sha256), ("md5", md5), ("ipv4", "10.1.2.3"), ("url", "http://ex.test/p"), ("file_path", "C:\\Temp\\x.exe"), ("registry_key", "HKLM\\Software\\Run"), ("service", "spoolsvc"), ("task", "Updater")]
-    assert got == {(t, v.lower(), v, 1, 1) for t, v in once} | {("sha1", "b" * 40, sha1, 2, 1), ("domain", "evil.com", "evil.com", 2, 1)}
+    got = {(r.type, r.key, r.value, r.n_texts, r.first_id) for r in plans.QUERIES["document_iocs"](spark, str(tmp_path)).collect()}
+    once = [("sha256", sha256), ("md5", md5), ("ipv4", "10.1.2.3"), ("url", "http://ex.test/p"), ("file_path", "C:\\Temp\\x.exe"), ("registry_key", "HKLM\\Software\\Run"), ("service", "spoolsvc"), ("task", "\\\\Updater"), ("domain", "api.evil.app")]
+    assert got == {(t, v.lower(), v, 1, 1) for t, v in once} | {("sha1", "b" * 40, sha1, 2, 1), ("domain", "www.evil.com", "www.evil.com", 2, 1)}

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +25,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a session whose executors are threads of the driver (local master) gets a folder of this machine; any
+    other session is refused, since its executors would each write to their own disk.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not hasattr(shared_folder, "own"):
+        shared_folder.own = f"file://{tempfile.mkdtemp(prefix='tidewatch-')}"
+        atexit.register(shutil.rmtree, shared_folder.own[7:], True)
+    return shared_folder.own
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: lineage ends there, so a lost executor costs no recomputation."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
 def audit_id(case: Column, artifact: Column, index: Column, raw: Column) -> Column:
     """First 32 hexadecimal digits of SHA-256 over the four parts, joined by the unit separator; the same row gives the same id."""
     joined = F.concat_ws(SEPARATOR, case, artifact, index.cast("string"), raw)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import base_technique, event_data, evtx_time, is_web_root, json_field, time_change_benign
+from ..functions.scalars import base_technique, canonical_tactic, event_data, evtx_time, is_web_root, json_field, time_change_benign
 from ..model import micros, seconds
 from .aggregates import iocs_of
 from .sessions import temporal_outliers
 
-# Words of noise narratives, named claims with their aliases and grounding techniques, salient tactics, actions by tactic.
+# Words of noise narratives, and named claims with their aliases and grounding techniques.
 NOISE_WORDS = ("誤検知", "false positive", "false-positive", "正規のインストール", "正規のバックグラウンド", "正規のソフトウェア", "legitimate install", "legitimate software", "benign system", "sysprep", "first boot", "初回ブート", "vm 作成", "vm作成", "os セットアップ")
 CLAIMS = (
     ("Mimikatz", ("mimikatz",), ()),
@@ -22,11 +22,36 @@ CLAIMS = (
     ("LaZagne", ("lazagne",), ()),
     ("CrackMapExec", ("crackmapexec",), ()),
     ("PowerSploit", ("powersploit", "mimikittenz"), ()),
-    ("Web shell", ("web shell", "webshell"), ("T1505.003", "T1190")),
-    ("Pass-the-Hash", ("pass-the-hash", "pass the hash", "passthehash"), ("T1550.002",)),
+    ("Web shell", ("web shell", "webshell", "ウェブシェル", "web シェル"), ("T1505.003", "T1190")),
+    ("Pass-the-Hash", ("pass-the-hash", "pass the hash", "passthehash", "パスザハッシュ", "パス・ザ・ハッシュ"), ("T1550.002",)),
 )
-HEDGES = ("unconfirmed", "not confirmed", "possible", "possibly", "may ", "might ", "cannot", "no evidence", "suspected", "could ")
-TACTIC_WORDS = {"credential-access": ("credential", "password", "lsass"), "lateral-movement": ("lateral", "remote"), "exfiltration": ("exfil", "upload"), "impact": ("ransom", "encrypt", "destroy", "wipe"), "persistence": ("persist", "autorun", "service", "scheduled task"), "command-and-control": ("c2", "command and control", "beacon")}
+# Marks of hedged prose.
+HEDGES = (
+    "ではなく", "ではない", "ではありません", "では無く", "証拠が無い", "証拠がない", "証拠は無い",
+    "誤検知", "断定でき", "可能性", "未確認", "とは限らない", "確証", "裏付けられ", "示していません", "不明",
+    "未裏付け", "裏付けが無い", "裏付けがない", "証跡が無い", "証跡がない", "証跡は無い",
+    "no evidence", "false positive", "cannot confirm", "could not confirm",
+    "unconfirmed", "rather than", "not confirmed", "is not ", "was not ",
+)
+# Words by which prose covers a tactic; marks of a security control in findings and in prose; severities that count.
+TACTIC_WORDS = {
+    "initial-access": ("初期アクセス", "initial access", "侵入経路", "phishing", "フィッシング", "exploit", "公開アプリ"),
+    "execution": ("実行", "execution", "powershell", "コマンド", "script", "スクリプト", "wsmprovhost", "cmd.exe"),
+    "persistence": ("永続化", "persistence", "subscription", "サブスクリプション", "scheduled task", "スケジュール", "run key", "自動実行", "wmi"),
+    "privilege-escalation": ("権限昇格", "昇格", "privilege", "escalat", "uac", "token", "sid history"),
+    "defense-evasion": ("防御回避", "回避", "evasion", "難読", "obfuscat", "disable", "無効化", "exclusion", "除外", "ログ削除", "clear log"),
+    "credential-access": ("資格情報", "認証情報", "credential", "ダンプ", "dump", "lsass", "窃取", "パスワード", "password", "ハッシュ", "hash"),
+    "discovery": ("偵察", "探索", "列挙", "discovery", "recon", "enumerat", "whoami", "nltest", "systeminfo", "ipconfig"),
+    "lateral-movement": ("横展開", "横移動", "lateral", "remote", "リモート", "winrm", "psexec", "rdp", "wmi exec"),
+    "collection": ("収集", "collection", "ステージング", "staging", "archive", "圧縮", "screenshot"),
+    "command-and-control": ("c2", "command-and-control", "command and control", "ビーコン", "beacon", "外部通信", "外部接続", "コールバック"),
+    "exfiltration": ("持ち出し", "流出", "exfiltrat", "アップロード", "upload", "送信", "転送", "transfer"),
+    "impact": ("impact", "破壊", "暗号化", "ransom", "ランサム", "wipe", "destruction", "改ざん", "サービス停止"),
+}
+CONTROL_MARKS = ("defender", "antivirus", "anti-virus", "amsi", "applocker", "quarantine", "hacktool", "threat detected", "blocked", "prevented", "edr")
+CONTROL_PROSE = ("defender", "antivirus", "anti-virus", "amsi", "applocker", "quarantine", "blocked", "検知", "遮断", "ブロック", "検疫", "防御製品", "セキュリティ製品")
+SALIENT = ("critical", "high")
+# This library's own actions by tactic, and what a tactic puts at risk.
 ACTIONS = (
     ("initial-access", "containment", "block the entry point"), ("execution", "containment", "stop the processes"), ("persistence", "eradication", "remove the autostart entries"), ("privilege-escalation", "eradication", "patch and reset privileges"), ("defense-evasion", "recovery", "restore logging and protection"),
     ("credential-access", "containment", "reset the credentials"), ("lateral-movement", "containment", "isolate the hosts"), ("collection", "recovery", "review the data that was gathered"), ("command-and-control", "containment", "block the addresses"), ("exfiltration", "recovery", "assess the data that left"), ("impact", "recovery", "restore from backups"), ("*", "recovery", "keep the evidence and watch for a return"),
@@ -116,7 +141,7 @@ def ungrounded_mentions(prose: DataFrame, findings: DataFrame, confirmed: DataFr
 
 def asserted_mentions(mentions: DataFrame, prose: DataFrame) -> DataFrame:
     """Mentions (doc_id, label) without those whose every sentence is hedged; labels that no sentence names stay."""
-    sentences = prose.select("doc_id", F.explode(F.split("text", r"(?<=[.!?。])\s*|\n+")).alias("sentence"))
+    sentences = prose.select("doc_id", F.explode(F.split("text", r"[。．.！!？?\n\r；;]+")).alias("sentence"))
     hedged = F.lit(False)
     for h in HEDGES:
         hedged = hedged | F.lower("sentence").contains(h)
@@ -124,16 +149,28 @@ def asserted_mentions(mentions: DataFrame, prose: DataFrame) -> DataFrame:
     return mentions.join(named, ["doc_id", "label"], "left").where(~F.coalesce("all_hedged", F.lit(False))).drop("all_hedged")
 
 
+def _holds(text: Column, words: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | text.contains(w)
+    return out
+
+
 def coverage_gaps(clusters: DataFrame) -> DataFrame:
-    """Salient tactics of a cluster's findings that its narrative has no word for. clusters: case_id, cluster_id, narrative, findings."""
-    text = F.lower(F.coalesce("narrative", F.lit("")))
-    rows = clusters.select("case_id", "cluster_id", text.alias("n_"), F.explode("findings").alias("f")).select("case_id", "cluster_id", "n_", F.explode("f.tactics").alias("tactic"))
-    missing = F.lit(False)
+    """Activity of a cluster's critical and high findings that its narrative has no word for: by tactic, or 'security-control'.
+
+    clusters: case_id, cluster_id, narrative, findings (title, source, rule_id, severity, tactics). Findings that name a
+    security control or a block count under 'security-control' alone, the others under their first tactic; unknown tactics
+    are left out.
+    """
+    f = F.col("f")
+    rows = clusters.select("case_id", "cluster_id", F.lower(F.coalesce("narrative", F.lit(""))).alias("prose"), F.explode("findings").alias("f"))
+    rows = rows.where(F.lower(F.trim(f["severity"])).isin(*SALIENT))
+    control = _holds(F.lower(F.concat_ws(" ", f["title"], f["source"], f["rule_id"])), CONTROL_MARKS)
+    rows = rows.withColumn("tactic", F.when(control, "security-control").otherwise(canonical_tactic(F.get(f["tactics"], F.lit(0)))))
+    missing = F.when(F.col("tactic") == "security-control", ~_holds(F.col("prose"), CONTROL_PROSE))
     for tactic, words in TACTIC_WORDS.items():
-        said = F.lit(False)
-        for w in words:
-            said = said | F.col("n_").contains(w)
-        missing = F.when(F.col("tactic") == tactic, ~said).otherwise(missing)
+        missing = missing.when(F.col("tactic") == tactic, ~_holds(F.col("prose"), words))
     return rows.where(missing).groupBy("case_id", "cluster_id", "tactic").agg(F.count("*").alias("n_findings"))
 
 

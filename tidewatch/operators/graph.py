@@ -2,39 +2,32 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _kept(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir and read back; where none is set, df itself."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
-    path = f"{folder}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..model import kept
 
 
 def link_components(links: DataFrame, left: str, right: str, most_rounds: int = 100) -> DataFrame:
     """left, component: the smallest left value that is reachable over shared right values; links need not be distinct.
 
     Each round passes the smallest label from left to right and back (two aggregations with map-side combining, so a value
-    that a third of all rows share is no single task's list), then follows the label's own label; it ends when none changes.
+    that a third of all rows share is no single task's list), then follows the label's own label; it ends when none changes. Labels
+    that have not settled after most_rounds are an error.
     """
-    links = _kept(links.select(F.col(left).alias("l"), F.col(right).alias("r")).where("l IS NOT NULL AND r IS NOT NULL").distinct())
-    labels = _kept(links.select("l").distinct().withColumn("c", F.col("l")))
+    links = kept(links.select(F.col(left).alias("l"), F.col(right).alias("r")).where("l IS NOT NULL AND r IS NOT NULL").distinct())
+    labels = kept(links.select("l").distinct().withColumn("c", F.col("l")))
     for _ in range(most_rounds):
         to_right = links.join(labels, "l").groupBy("r").agg(F.min("c").alias("c"))
         to_left = links.join(to_right, "r").groupBy("l").agg(F.min("c").alias("m"))
         jumped = to_left.join(labels.select(F.col("l").alias("m"), F.col("c").alias("c2")), "m", "left").select("l", F.least("m", F.coalesce("c2", "m")).alias("c"))
-        new = _kept(jumped)
+        new = kept(jumped)
         changed = new.join(labels.withColumnRenamed("c", "old"), "l").where("c != old").limit(1).count()
         labels = new
         if not changed:
             break
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return labels.select(F.col("l").alias(left), F.col("c").alias("component"))
 
 

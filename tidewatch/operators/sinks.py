@@ -80,7 +80,7 @@ def vacuum_cases(tables: dict[str, DataFrame], keep: DataFrame, drop: DataFrame)
 
 
 def upsert_last(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Both tables, of each key the row with the largest order (new rows winning ties)."""
+    """Both tables, of each key one row: a new one if there is any, and of several the one with the largest order."""
     both = old.withColumn("g_", F.lit(0)).unionByName(new.withColumn("g_", F.lit(1)), allowMissingColumns=True)
     w = Window.partitionBy(*keys).orderBy(F.desc("g_"), F.desc(order))
     return both.withColumn("r_", F.row_number().over(w)).where("r_ = 1").drop("r_", "g_")

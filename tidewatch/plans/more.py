@@ -121,7 +121,7 @@ def evidence_with_tz(spark, sf_dir):
 def full_clusters(spark, sf_dir) -> DataFrame:
     """Clusters with phase, techniques and findings, as the mapping operators take them."""
     c = W.cluster_findings(W.first_evidence(findings(spark, sf_dir)))
-    return c.groupBy("case_id", "cluster_id").agg(F.min("first_ts").alias("start_ts"), F.max("first_ts").alias("end_ts"), F.min(F.col("tactics")[0]).alias("attack_phase"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("techniques")))).alias("techniques"), F.array_sort(F.collect_list(F.struct("finding_id", "severity", "techniques", "tactics"))).alias("findings"), F.concat_ws(" ", F.array_sort(F.collect_set("title"))).alias("narrative"))
+    return c.groupBy("case_id", "cluster_id").agg(F.min("first_ts").alias("start_ts"), F.max("first_ts").alias("end_ts"), F.min(F.col("tactics")[0]).alias("attack_phase"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("techniques")))).alias("techniques"), F.array_sort(F.collect_list(F.struct("finding_id", "severity", "techniques", "tactics", "title", "source", "rule_id"))).alias("findings"), F.concat_ws(" ", F.array_sort(F.collect_set("title"))).alias("narrative"))
 
 
 @query(f"WITH {CL} SELECT case_id, technique, count(DISTINCT cluster_id) AS n_clusters, min(tactic) AS tactic FROM cl GROUP BY 1, 2")
@@ -151,7 +151,7 @@ def intrusion_path(spark, sf_dir):
     return W.intrusion_path(full_clusters(spark, sf_dir).withColumn("noise", F.lit(False))).select("case_id", "cluster_id", "step")
 
 
-@query(f"WITH {CL} SELECT case_id, cluster_id, tactic, count(*) AS n_findings FROM cl WHERE tactic IN ('persistence', 'credential-access', 'lateral-movement', 'impact') GROUP BY ALL")
+@query(f"WITH {CL} SELECT case_id, cluster_id, tactic, count(*) AS n_findings FROM cl WHERE severity IN ('critical', 'high') GROUP BY ALL")
 def coverage_gaps(spark, sf_dir):
     return C.coverage_gaps(full_clusters(spark, sf_dir))
 

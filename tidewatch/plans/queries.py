@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.iocs import extract_iocs
+from ..functions.iocs import extract_iocs, iocs_sql
 from ..model import EVENTS_SQL, table, unified_events
 from ..operators import aggregates as A
 from ..operators import checks as C
@@ -431,18 +431,12 @@ def split_uri(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", stem.alias("stem"), q.alias("query"))
 
 
-@query(r"WITH x AS (SELECT doc_id AS id, unnest(list_transform(regexp_extract_all(text, '\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b'), lambda v: ['ipv4', v])) AS t FROM documents UNION ALL SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '\b[A-Fa-f0-9]{40}\b'), lambda v: ['sha1', v])) FROM documents) SELECT t[1] AS type, lower(t[2]) AS key, min(t[2]) AS value, count(DISTINCT id) AS n_texts, min(id) AS first_id FROM x GROUP BY 1, 2")
+@query(iocs_sql("documents", "doc_id", "text"))
 def document_iocs(spark, sf_dir):
-    return extract_iocs(table(spark, sf_dir, "documents"), "doc_id", "text").where("type IN ('ipv4', 'sha1')")
-
-
-@query()
-def document_iocs_all(spark, sf_dir):
-    """Indicators of all ten kinds; document_iocs keeps the two that its SQL covers."""
     return extract_iocs(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query()
+@query(iocs_sql("pages", "page_id", "html"))
 def page_iocs(spark, sf_dir):
     return extract_iocs(table(spark, sf_dir, "pages"), "page_id", "html")
 
