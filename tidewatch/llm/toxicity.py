@@ -1,8 +1,8 @@
 """Toxicity scores: a bidirectional gated recurrent network with attention pooling over character and word inputs.
 
 A word's input is its hashed word embedding beside the mean of its hashed character n-gram embeddings, with the log-odds of
-the word and of its n-grams in toxic against other training documents. Windows of 48 words, 16 apart, cover the whole text,
-so that any passage of up to 33 words lies whole in one of them; every window is scored and the highest score is the
+the word and of its n-grams in toxic against other training documents. Windows of 48 words, 24 apart, cover the whole text,
+so that any passage of up to 25 words lies whole in one of them; every window is scored and the highest score is the
 document's. Training in numpy follows multiple-instance learning: each document, read whole, trains through the window that
 scores highest. Log-odds of a training document are counted without its own fold.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import map_columns, pieces, task_memory
 from .shingles import mix
 
-WINDOW, STRIDE = 48, 16
+WINDOW, STRIDE = 48, 24
 WORDS, GRAMS = 1 << 16, 1 << 17
 EMBED, HIDDEN = 4, 8
 INPUT = 2 * EMBED + 3
@@ -198,6 +198,7 @@ class Scorer:
         for k, way in enumerate("fb"):
             np.matmul(x, self.p[f"w{way}"], out=out[k])
             out[k] += self.p[f"c{way}"]
+            out[k, :, : 2 * HIDDEN] *= 0.5  # the sigmoid of x is half of tanh(x / 2), and a half
 
     def learn(self, words: list[str]) -> None:
         need = self.used + len(words)
@@ -205,7 +206,7 @@ class Scorer:
             grown = np.zeros((2, max(need, min(2 * self.gates.shape[1], CACHE_WORDS)), 3 * HIDDEN), np.float32)
             grown[:, : self.used] = self.gates[:, : self.used]
             self.gates = grown
-        self.gates[:, 0, HIDDEN : 2 * HIDDEN] = 60  # padding: the update gate keeps the state
+        self.gates[:, 0, HIDDEN : 2 * HIDDEN] = 30  # padding: the update gate keeps the state
         for part in in_turn(words):
             self.gates_of(features(part, self.odds, self.tables), self.gates[:, self.used : self.used + len(part)])
             self.index.update(zip(part, range(self.used, self.used + len(part)), strict=True))
@@ -238,12 +239,12 @@ class Scorer:
             part = np.ascontiguousarray(rows[at : at + 2048].T)
             states = np.empty((WINDOW, part.shape[1], 2 * hid), np.float32)
             for k, way in enumerate("fb"):
-                h, u, table = np.zeros((part.shape[1], hid), np.float32), p[f"u{way}"], self.gates[k]
+                h, u, table = np.zeros((part.shape[1], hid), np.float32), p[f"u{way}"].copy(), self.gates[k]
+                u[:, : 2 * hid] *= 0.5
                 for i in range(WINDOW) if way == "f" else range(WINDOW - 1, -1, -1):
                     a = table[part[i]]
                     g = h @ u
                     rz = a[:, : 2 * hid] + g[:, : 2 * hid]
-                    rz *= 0.5
                     np.tanh(rz, out=rz)
                     rz *= 0.5
                     rz += 0.5
@@ -341,7 +342,7 @@ def window_values(net: Network, shared: np.ndarray, own: list[np.ndarray], rows:
         mine = np.flatnonzero(fold == k)
         part.gates_of(np.concatenate([shared, table], 1), part.gates)
         part.gates[:, 0] = 0
-        part.gates[:, 0, HIDDEN : 2 * HIDDEN] = 60
+        part.gates[:, 0, HIDDEN : 2 * HIDDEN] = 30
         value[mine] = part.raw(rows[mine])
     return value
 
