@@ -78,7 +78,7 @@ def web_server_present(df: DataFrame) -> DataFrame:
 
 def demote_techniques(mapping: DataFrame, context: DataFrame) -> DataFrame:
     """mapping (case_id, technique) with demoted and reason; context: case_id, web_server, n_burst_accounts, reversed."""
-    m = mapping.join(F.broadcast(context), "case_id", "left")
+    m = mapping.join(context, "case_id", "left")
     web = F.col("technique").isin("T1190", "T1505.003") & ~F.coalesce("web_server", F.lit(False))
     pth = (F.col("technique") == "T1550.002") & (F.coalesce("n_burst_accounts", F.lit(0)) > 0)
     stomp = (F.col("technique") == "T1070.006") & F.coalesce("reversed", F.lit(False))

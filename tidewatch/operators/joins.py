@@ -135,7 +135,9 @@ def resolve_follow_ups(ids: DataFrame, excerpt: DataFrame) -> DataFrame:
 def input_presence(catalog: DataFrame, artifacts: DataFrame, channels: DataFrame) -> DataFrame:
     """catalog (input_id, artifact_id, tokens) with present: the artifact is at hand, or a channel holds one of the tokens, in any case."""
     tokens = catalog.select("input_id", F.explode_outer("tokens").alias("token")).where("token IS NOT NULL AND token != ''")
-    by_channel = tokens.join(F.broadcast(channels.select(F.lower("channel").alias("c_")).distinct()), F.col("c_").contains(F.lower("token")), "left_semi").select("input_id").distinct().withColumn("ch_", F.lit(True))
+    names = channels.select(F.lower("channel").alias("c_")).distinct()
+    met = names.join(F.broadcast(tokens), F.col("c_").contains(F.lower("token")))  # the catalog's tokens: a list that does not grow with the data
+    by_channel = met.select("input_id").distinct().withColumn("ch_", F.lit(True))
     by_artifact = artifacts.select("artifact_id").distinct().withColumn("ar_", F.lit(True))
     return catalog.join(by_artifact, "artifact_id", "left").join(by_channel, "input_id", "left").withColumn("present", F.coalesce("ar_", "ch_", F.lit(False))).drop("ar_", "ch_")
 

@@ -1,11 +1,12 @@
 """Detection rules as data, and the runner that evaluates all of them in one scan.
 
 A rule is a predicate over unified events with a fixed leading projection and extras. The runner turns all rules into one
-array of hits a row, so N rules cost one pass; a row evaluates only the rules of its own artifact.
+array of hits a row, so N rules cost one pass and one parse of the payload; a row evaluates only the rules of its own artifact.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import BAR, json_field, like_any, like_ci, norm_level, tactic_slugs, technique_ids
+from ..model import kept
 
 
 @dataclass(frozen=True)
@@ -29,8 +31,17 @@ class Rule:
     source: str = "custom"
 
 
+FIELDS = "payload_fields_"
+
+
+def with_fields(df: DataFrame) -> DataFrame:
+    """df with the payload's top-level fields as a map of texts, parsed once a row; rules look their keys up in it."""
+    return df.withColumn(FIELDS, F.from_json("payload_json", "map<string,string>"))
+
+
 def p(key: str) -> Column:
-    return json_field(F.col("payload_json"), key)
+    """A payload field of a row that with_fields prepared; paths that begin with '$' are read from the payload itself."""
+    return json_field(F.col("payload_json"), key) if key.startswith("$") else F.try_element_at(F.col(FIELDS), F.lit(key))
 
 
 def low(key: str) -> Column:
@@ -141,7 +152,7 @@ def valid_rules(df: DataFrame, rules: tuple[Rule, ...]) -> tuple[tuple[Rule, ...
     good, bad = [], {}
     for r in rules:
         try:
-            df.limit(0).select(r.predicate().alias("x")).schema  # noqa: B018
+            with_fields(df.limit(0)).select(r.predicate().alias("x")).schema  # noqa: B018
             good.append(r)
         except AnalysisException as e:
             bad[r.rule_id] = str(e).splitlines()[0]
@@ -156,7 +167,7 @@ def rule_hits(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         return F.when((F.col("artifact_id").isin(*r.artifacts) if r.artifacts else F.lit(True)) & r.predicate(), F.struct(F.lit(r.rule_id).alias("rule_id"), extra.alias("extra")))
 
     hits = F.filter(F.array(*[hit(r) for r in rules]), lambda x: x.isNotNull())
-    return df.withColumn("hit_", F.explode(hits)).select("case_id", "evidence_id", "artifact_id", "audit_id", "ts_utc", "event_type", "computer", "hit_.rule_id", "hit_.extra")
+    return with_fields(df).withColumn("hit_", F.explode(hits)).select("case_id", "evidence_id", "artifact_id", "audit_id", "ts_utc", "event_type", "computer", "hit_.rule_id", "hit_.extra")
 
 
 def capped_evidence(hits: DataFrame, keys: list[str], cap: int) -> DataFrame:
@@ -174,9 +185,15 @@ def rule_table(spark, rules: tuple[Rule, ...]) -> DataFrame:
 
 
 def run_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, max_evidence: int = 100) -> DataFrame:
-    """Findings: one row a case and rule that matches, with the exact count and capped evidence; invalid rules are left out (see valid_rules)."""
-    rules, _ = valid_rules(df, rules)
-    found = capped_evidence(rule_hits(df, rules), ["case_id", "rule_id"], max_evidence)
+    """Findings: one row a case and rule that matches, with the exact count and capped evidence.
+
+    The hits of the one scan are written to the shared folder, since counts and evidence both read them. Rules that do not
+    analyse are left out with a warning (see valid_rules and rule_run_report).
+    """
+    rules, bad = valid_rules(df, rules)
+    for rule_id, error in bad.items():
+        warnings.warn(f"rule {rule_id} is left out: {error}", stacklevel=2)
+    found = capped_evidence(kept(rule_hits(df, rules)), ["case_id", "rule_id"], max_evidence)
     meta = rule_table(df.sparkSession, rules).drop("artifacts")
     return found.join(F.broadcast(meta), "rule_id").withColumn("finding_id", F.concat_ws("-", "case_id", "rule_id")).withColumn("approved", norm_level(F.col("severity")).isin("critical", "high")).withColumn("rejected", F.lit(False))
 
@@ -198,7 +215,7 @@ def passthrough_findings(df: DataFrame, include_info: bool = False, cap: int = 1
 
     Tactics and techniques are those of the first row, by time, that has any.
     """
-    rows = df.where(F.col("artifact_id") == "hayabusa").select("*", p("RuleID").alias("rule_id"), p("RuleTitle").alias("title"), norm_level(p("Level")).alias("severity"), tactic_slugs(F.coalesce(p("MitreTactics"), F.lit(""))).alias("t_"), technique_ids(F.coalesce(p("MitreTags"), F.lit(""))).alias("q_"))
+    rows = with_fields(df.where(F.col("artifact_id") == "hayabusa")).select("*", p("RuleID").alias("rule_id"), p("RuleTitle").alias("title"), norm_level(p("Level")).alias("severity"), tactic_slugs(F.coalesce(p("MitreTactics"), F.lit(""))).alias("t_"), technique_ids(F.coalesce(p("MitreTags"), F.lit(""))).alias("q_"))
     rows = rows.where(F.coalesce(F.col("rule_id"), F.lit("")) != "")
     if not include_info:
         rows = rows.where(~F.coalesce(F.col("severity"), F.lit("")).isin("info", "informational", "low", ""))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import event_data, image_of, norm_user, phase_rank, severity_rank, suspicious_path
-from ..model import micros, seconds
+from ..model import kept, micros, seconds
 from .filters import drop_evtx_noise
 from .joins import burst_success, near_findings
 
@@ -76,11 +76,16 @@ def bruteforced_accounts(bursts: DataFrame) -> DataFrame:
 
 
 def stratified_sample(df: DataFrame, max_rows: int) -> DataFrame:
-    """The earliest rows of each artifact, at most max(100, max(2000, 5 max_rows) / artifacts) each; evtx noise is left out."""
+    """The earliest rows of each artifact, at most max(100, max(2000, 5 max_rows) / artifacts) each; evtx noise is left out.
+
+    The largest quota is a literal bound, which Spark applies in each task before the rows are shuffled.
+    """
+    most = max(2000, 5 * max_rows)
     shares = df.groupBy("case_id").agg(F.countDistinct("artifact_id").alias("n_"))
-    quota = F.greatest(F.lit(100), F.floor(F.lit(max(2000, 5 * max_rows)) / F.col("n_")))
     order = Window.partitionBy("case_id", "artifact_id").orderBy(F.col("ts_utc").asc_nulls_last(), "audit_id")
-    return drop_evtx_noise(df).join(F.broadcast(shares), "case_id").withColumn("r_", F.row_number().over(order)).where(F.col("r_") <= quota).drop("r_", "n_")
+    first = drop_evtx_noise(df).withColumn("r_", F.row_number().over(order)).where(F.col("r_") <= most)
+    quota = F.greatest(F.lit(100), F.floor(F.lit(most) / F.col("n_")))
+    return first.join(shares, "case_id").where(F.col("r_") <= quota).drop("r_", "n_")
 
 
 # Points that scarce artifacts add (lens A0).
@@ -93,7 +98,7 @@ def anomaly_candidates(df: DataFrame, cited: DataFrame, times: DataFrame, max_ro
     A1 before 6 or from 22 o'clock 2, A2 watched path 3, A4 image seen fewer than 3 times in the sample 2, A5 within 30
     minutes of a prior finding 1, A0 the artifact's boost; rows without points are dropped.
     """
-    sample = stratified_sample(df, max_rows).withColumn("image_", F.lower(image_of(F.col("payload_json"))))
+    sample = kept(stratified_sample(df, max_rows).withColumn("image_", F.lower(image_of(F.col("payload_json")))))  # each lens reads it
     images = sample.where("image_ != ''").groupBy("case_id", "image_").agg(F.count("*").alias("n_img"))
     near = near_findings(sample.select("case_id", "audit_id", "ts_utc"), times).select("case_id", "audit_id", F.lit(True).alias("near_")).distinct()
     rows = sample.join(cited.select("case_id", "audit_id").distinct(), ["case_id", "audit_id"], "left_anti").join(images, ["case_id", "image_"], "left").join(near, ["case_id", "audit_id"], "left")
@@ -134,11 +139,12 @@ def cluster_anchors(points: DataFrame, most: int = 96) -> DataFrame:
 def proximity_sample(rows: DataFrame, anchors: DataFrame, max_rows: int = 300) -> DataFrame:
     """Of each cluster's window rows, for each artifact the max(30, max_rows / artifacts) nearest to an anchor, in whole seconds; without anchors the earliest."""
     shares = rows.groupBy("case_id", "cluster_id").agg(F.countDistinct("artifact_id").alias("n_"))
-    held = drop_evtx_noise(rows).join(shares, ["case_id", "cluster_id"]).join(anchors, ["case_id", "cluster_id"], "left")
+    held = drop_evtx_noise(rows).join(anchors, ["case_id", "cluster_id"], "left")
     away = F.coalesce(F.array_min(F.transform("anchors", lambda a: F.abs(seconds(F.col("ts_utc")) - a))), F.lit(0))
     order = Window.partitionBy("case_id", "cluster_id", "artifact_id").orderBy("away", "ts_utc", "audit_id")
+    first = held.withColumn("away", away).drop("anchors").withColumn("r_", F.row_number().over(order)).where(F.col("r_") <= max(30, max_rows))
     quota = F.greatest(F.lit(30), F.floor(F.lit(max_rows) / F.col("n_")))
-    return held.withColumn("away", away).withColumn("r_", F.row_number().over(order)).where(F.col("r_") <= quota).drop("r_", "n_", "anchors")
+    return first.join(shares, ["case_id", "cluster_id"]).where(F.col("r_") <= quota).drop("r_", "n_")
 
 
 def cluster_boundaries(clusters: DataFrame) -> DataFrame:
@@ -204,13 +210,25 @@ def temporal_outliers(clusters: DataFrame, far_s: int = 365 * 86400) -> DataFram
     return clusters.withColumn("mid_", mid).join(median, "case_id", "left").withColumn("outlier", F.coalesce(F.abs(F.col("mid_") - F.col("med_")) > far_s, F.lit(False))).drop("mid_", "med_")
 
 
+def numbered_rows(df: DataFrame, key: str, order: list[Column], name: str) -> DataFrame:
+    """df with each row's number (from 0) within its key in order, and n_, the key's rows: ranges are numbered apart, then offset.
+
+    No task holds a whole key: rows are dealt by ranges of key and order, and a table of one row a range and key has the counts.
+    """
+    ranged = kept(df.repartitionByRange(key, *order).withColumn("range_", F.spark_partition_id()))
+    sizes = ranged.groupBy(key, "range_").agg(F.count("*").alias("c_"))
+    before = F.sum("c_").over(Window.partitionBy(key).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(key, "range_", F.coalesce(before, F.lit(0)).alias("before_"), F.sum("c_").over(Window.partitionBy(key)).alias("n_"))
+    own = F.row_number().over(Window.partitionBy(key, "range_").orderBy(*order))
+    return ranged.withColumn("own_", own).join(sizes, [key, "range_"]).withColumn(name, F.col("own_") - 1 + F.col("before_")).drop("own_", "before_", "range_")
+
+
 def sliding_windows(df: DataFrame, size: int, overlap: float = 0.2) -> DataFrame:
     """Rows of each case in time order, once for each of the overlapping row windows that hold them; odd overlaps count as 0.2."""
     if not 0 < overlap <= 0.5:
         overlap = 0.2
     stride = max(1, int(size * (1 - overlap)))
-    order = Window.partitionBy("case_id").orderBy(F.col("ts_utc").asc_nulls_last(), "audit_id")
-    rows = df.withColumn("i_", F.row_number().over(order) - 1).join(df.groupBy("case_id").agg(F.count("*").alias("n_")), "case_id")
+    rows = numbered_rows(df, "case_id", [F.col("ts_utc").asc_nulls_last(), F.col("audit_id").asc()], "i_")
     last = F.greatest(F.lit(0), F.ceil((F.col("n_") - size) / stride))
     lo = F.greatest(F.lit(0), F.floor((F.col("i_") - size) / stride) + 1)
     hi = F.least(last, F.floor(F.col("i_") / stride))

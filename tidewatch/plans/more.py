@@ -321,7 +321,7 @@ def sigma_tags(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.array_join(technique, ",").alias("techniques"), F.array_join(tactic, ",").alias("tactics"))
 
 
-@query()
+@query(f"WITH {CL} SELECT ct.case_id, ct.cluster_id, CAST(count(*) FILTER (ev.artifact_id <> 'mft') AS INTEGER) AS n, count(*) FILTER (ev.artifact_id = 'mft') AS unresolved FROM ct JOIN ev ON ev.case_id = ct.case_id AND ev.ts_utc BETWEEN ct.start_ts AND ct.end_ts GROUP BY ALL")
 def resolve_follow_ups(spark, sf_dir):
     w = clusters(spark, sf_dir).selectExpr("case_id", "cluster_id", "start_ts AS win_start", "end_ts AS win_end")
     rows = J.window_events(unified_events(spark, sf_dir), w)

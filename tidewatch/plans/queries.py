@@ -122,9 +122,9 @@ def stratified_sample(spark, sf_dir):
     return W.stratified_sample(unified_events(spark, sf_dir), 300).select("case_id", "artifact_id", "audit_id")
 
 
-@query(f"WITH {EVENTS_SQL} SELECT audit_id, CASE WHEN length(payload_json) > 5 THEN substr(payload_json, 1, 5) || '...' ELSE payload_json END AS excerpt FROM ev WHERE artifact_id = 'evtx'")
+@query(f"WITH {EVENTS_SQL} SELECT audit_id, CASE WHEN length(payload_json) > 5 THEN substr(payload_json, 1, 5) || '...' ELSE payload_json END AS excerpt FROM ev")
 def shrink_payload(spark, sf_dir):
-    df = unified_events(spark, sf_dir).where("artifact_id = 'evtx'").withColumn("artifact_id", F.lit("unlisted"))
+    df = unified_events(spark, sf_dir).withColumn("artifact_id", F.lit("unlisted"))
     return L.shrink_payload(df, 5).select("audit_id", F.col("payload")["_excerpt"].alias("excerpt"))
 
 
@@ -243,12 +243,35 @@ def story_gaps(spark, sf_dir):
     return W.story_gaps(clusters(spark, sf_dir), 7200).select("case_id", "cluster_id", F.col("quiet_s").cast("long").alias("quiet_s"))
 
 
-@query()
+def _window_sql(start: str, end: str, width: int) -> str:
+    """win_start and win_end of a hull in microseconds, as cluster_window holds them."""
+    return f"least(greatest({start} - {width}, coalesce(pb, {start} - {width})), {start}) AS ws, greatest(least({end} + {width}, coalesce(nb, {end} + {width})), {end}) AS we"
+
+
+def chase_sql(rounds: int = 2) -> str:
+    half, near = 1800 * 1_000_000, 4 * 3600 * 1_000_000
+    sql = f"""WITH {CL},
+h AS (SELECT case_id, cluster_id, epoch_us(start_ts) AS s, epoch_us(end_ts) AS e FROM ct),
+p AS (SELECT *, max(e) OVER (PARTITION BY case_id ORDER BY s, cluster_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe, lead(s) OVER (PARTITION BY case_id ORDER BY s, cluster_id) AS ns FROM h),
+b AS (SELECT case_id, cluster_id, s, e, pe + CAST(floor((s - pe) / 2.0) AS BIGINT) AS pb, e + CAST(floor((ns - e) / 2.0) AS BIGINT) - 1 AS nb FROM p),
+w AS (SELECT *, {_window_sql('s', 'e', near)} FROM b),
+fl AS (SELECT DISTINCT w.case_id, w.cluster_id, epoch_us(ev.ts_utc) AS t FROM w JOIN ev ON ev.case_id = w.case_id AND epoch_us(ev.ts_utc) BETWEEN w.ws AND w.we),
+n0 AS (SELECT *, {_window_sql('s', 'e', half)}, false AS fp, false AS fn, 0 AS r, true AS o FROM b)"""
+    for k in range(1, rounds + 2):
+        sql += f""",
+t{k} AS (SELECT n.case_id, n.cluster_id, min(t) AS lo, max(t) AS hi FROM n{k - 1} n JOIN fl ON fl.case_id = n.case_id AND fl.cluster_id = n.cluster_id AND t BETWEEN ws AND we GROUP BY ALL),
+u{k} AS (SELECT n.*, least(s, coalesce(lo, s)) AS l, greatest(e, coalesce(hi, e)) AS g FROM n{k - 1} n LEFT JOIN t{k} USING (case_id, cluster_id)),
+v{k} AS (SELECT *, coalesce(l < pb, false) AS cl_, coalesce(g > nb, false) AS ch_, CASE WHEN l < pb THEN pb ELSE l END AS nl, CASE WHEN g > nb THEN nb ELSE g END AS nh FROM u{k}),
+x{k} AS (SELECT *, o AND (nl < s OR nh > e) AS grows FROM v{k}),
+n{k} AS (SELECT *, {_window_sql('s', 'e', half)} FROM (SELECT case_id, cluster_id, CASE WHEN grows THEN nl ELSE s END AS s, CASE WHEN grows THEN nh ELSE e END AS e, pb, nb, fp OR (cl_ AND o) AS fp, fn OR (ch_ AND o) AS fn, CASE WHEN grows THEN {k} ELSE r END AS r, grows AS o FROM x{k}))"""
+    return sql + f" SELECT case_id, cluster_id, make_timestamp(s) AS start_ts, make_timestamp(e) AS end_ts, fp AS continues_from_prev, fn AS continues_into_next, r AS chase_rounds, grows AS capped FROM x{rounds + 1}"
+
+
+@query(chase_sql())
 def chase(spark, sf_dir):
     c = clusters(spark, sf_dir)
-    near = unified_events(spark, sf_dir).where("artifact_id = 'evtx'").select("case_id", "ts_utc")
     w = W.cluster_window(W.cluster_boundaries(c), 4 * 3600).select("case_id", "cluster_id", "win_start", "win_end")
-    flagged = J.window_events(near, w).select("case_id", "cluster_id", "ts_utc")
+    flagged = J.window_events(unified_events(spark, sf_dir).select("case_id", "ts_utc"), w).select("case_id", "cluster_id", "ts_utc")
     return W.chase(c, flagged).select("case_id", "cluster_id", "start_ts", "end_ts", "continues_from_prev", "continues_into_next", "chase_rounds", "capped")
 
 
@@ -370,13 +393,29 @@ def best_attribution(spark, sf_dir):
     return W.best_attribution(unified_events(spark, sf_dir), refs).select("case_id", "audit_id", "finding_id", "tactic")
 
 
-@query()
+TACTIC_IDS = {"initial-access": "TA0001", "execution": "TA0002", "persistence": "TA0003", "credential-access": "TA0006", "lateral-movement": "TA0008", "impact": "TA0040"}
+_CODE = "CASE WHEN case_id = 'C0' AND tactic = 'lateral-movement' THEN 'TA0005' " + " ".join(f"WHEN tactic = '{t}' THEN '{i}'" for t, i in TACTIC_IDS.items()) + " END"
+
+
+@query(f"""WITH {FE},
+q AS (SELECT *, {_CODE} AS code, CASE WHEN case_id = 'C0' AND tactic = 'lateral-movement' THEN 'T1070.001' ELSE technique END AS tech FROM fe WHERE NOT (case_id = 'C2' AND event_type = 'signup')),
+g AS (SELECT case_id, finding_id, code, tech, min(ts_utc) AS t, bool_or(artifact_id IN ('prefetch', 'amcache')) AS runs FROM q GROUP BY ALL),
+p AS (SELECT case_id, count(*) FILTER (starts_with(tech, 'T1070.001') AND code = 'TA0005') AS cleared, count(*) FILTER (code = 'TA0008') AS moves, count(*) FILTER (code = 'TA0006') AS credential, count(*) FILTER (code = 'TA0003') AS persistent, count(*) FILTER (code = 'TA0003' AND runs) AS backed, min(t) FILTER (code = 'TA0002') AS te, min(t) FILTER (code = 'TA0001') AS ti FROM g GROUP BY 1),
+h AS (SELECT case_id, count(*) FILTER (artifact_id IN ('prefetch', 'amcache')) AS runs, count(DISTINCT CASE WHEN case_id = 'C1' THEN 'ONE' ELSE computer END) AS hosts FROM ev GROUP BY 1)
+SELECT case_id, 'R1' AS rule, 'warning' AS severity FROM p WHERE cleared > 0 AND NOT (moves >= 2 AND credential >= 2)
+UNION ALL SELECT case_id, 'R2', CASE WHEN runs = 0 THEN 'info' ELSE 'warning' END FROM p JOIN h USING (case_id) WHERE persistent > 0 AND (runs = 0 OR backed = 0)
+UNION ALL SELECT case_id, 'R3', 'warning' FROM p JOIN h USING (case_id) WHERE moves > 0 AND hosts < 2
+UNION ALL SELECT case_id, 'R4', 'warning' FROM p WHERE te < ti""")
 def case_consistency(spark, sf_dir):
-    ids = {t: i for t, i in zip(TACTICS, ("TA0001", "TA0002", "TA0003", "TA0006", "TA0008", "TA0040"), strict=True)}
-    code = F.col("tactics")[0]
-    for t, i in ids.items():
-        code = F.when(F.col("tactics")[0] == t, F.lit(i)).otherwise(code)
-    return C.check_case_consistency(findings(spark, sf_dir).withColumn("tactics", F.array(code)), unified_events(spark, sf_dir))
+    """Findings of C0 that clear logs instead of moving, C1 with one host, C2 without execution artifacts behind persistence."""
+    case, first = F.col("case_id"), F.col("tactics")[0]
+    cleared = (case == "C0") & (first == "lateral-movement")
+    code = F.when(cleared, "TA0005")
+    for t, i in TACTIC_IDS.items():
+        code = code.when(first == t, i)
+    f = findings(spark, sf_dir).where(~((case == "C2") & F.col("finding_id").contains("-signup-")))
+    f = f.withColumn("techniques", F.when(cleared, F.array(F.lit("T1070.001"))).otherwise(F.col("techniques"))).withColumn("tactics", F.array(code))
+    return C.check_case_consistency(f, unified_events(spark, sf_dir).withColumn("computer", F.when(case == "C1", "ONE").otherwise(F.col("computer"))))
 
 
 @query(f"WITH {FE}, a AS (SELECT * FROM (VALUES ('initial-access','containment'),('execution','containment'),('persistence','eradication'),('credential-access','containment'),('lateral-movement','containment'),('impact','recovery')) t(tactic, kind)) SELECT DISTINCT case_id, kind, tactic FROM fe JOIN a USING (tactic) UNION SELECT DISTINCT case_id, 'recovery', '*' FROM fe")
@@ -392,16 +431,22 @@ def affected_scope(spark, sf_dir):
 # ---- other tables --------------------------------------------------------------------------------------------------
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_quantity >= 49), n AS (SELECT DISTINCT a.o AS a, b.o AS b FROM e a JOIN e b USING (p)), c AS (SELECT a, b FROM n UNION SELECT c.a, n.b FROM c JOIN n ON c.b = n.a) SELECT a AS l_orderkey, min(b) AS component FROM c GROUP BY 1")
-def link_components(spark, sf_dir):
-    return G.link_components(table(spark, sf_dir, "lineitem").where("l_quantity >= 49"), "l_orderkey", "l_partkey")
+LINKS_SQL = """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem),
+c(o, m) USING KEY (o) AS (SELECT o, o FROM (SELECT DISTINCT o FROM e) UNION SELECT y.o, min(c.m) FROM c JOIN e x ON x.o = c.o JOIN e y ON y.p = x.p JOIN recurring.c AS r ON r.o = y.o WHERE c.m < r.m GROUP BY y.o)
+SELECT o AS l_orderkey, m AS component FROM c"""
 
 
-@query()
-def link_components_all(spark, sf_dir):
+@query(LINKS_SQL)
+def link_components(spark, sf_dir):
     return G.link_components(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
 
 
+@query(LINKS_SQL.replace("FROM lineitem", "FROM lineitem WHERE l_quantity >= 49"))
+def link_components_sparse(spark, sf_dir):
+    """As link_components for orders linked by large quantities only: thousands of components rather than one."""
+    return G.link_components(table(spark, sf_dir, "lineitem").where("l_quantity >= 49"), "l_orderkey", "l_partkey")
+
+
 @query("SELECT l_returnflag AS tactic, count(*) AS n, min(CAST(l_quantity AS DOUBLE)) AS min_events, max(CAST(l_quantity AS DOUBLE)) AS max_events, round(regr_slope(CAST(l_extendedprice AS DOUBLE), CAST(l_quantity AS DOUBLE)), 4) AS slope, round(regr_intercept(CAST(l_extendedprice AS DOUBLE), CAST(l_quantity AS DOUBLE)), 2) AS intercept, round(regr_r2(CAST(l_extendedprice AS DOUBLE), CAST(l_quantity AS DOUBLE)), 6) AS r2 FROM lineitem GROUP BY 1")
 def calibrate(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("tactic"), F.col("l_quantity").alias("events"), F.col("l_extendedprice").alias("duration_s"))
@@ -473,10 +518,10 @@ def merge_parse_results(spark, sf_dir):
     return A.merge_parse_results(o).select("case_id", "evidence_id", "artifact_id", F.col("exit_code").cast("long").alias("exit_code"), F.col("row_count").cast("long").alias("row_count"))
 
 
-@query("WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders) SELECT o_custkey AS case_id, o_orderkey AS finished_at FROM o WHERE r = 1")
+@query("SELECT o_custkey AS case_id, coalesce(max(o_orderkey) FILTER (o_orderkey % 3 = 0), max(o_orderkey)) AS finished_at FROM orders GROUP BY 1")
 def upsert_last(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("finished_at"))
-    return K.upsert_last(o.limit(0), o, ["case_id"], "finished_at")
+    return K.upsert_last(o.where("finished_at % 3 > 0"), o.where("finished_at % 3 = 0"), ["case_id"], "finished_at")
 
 
 @query("SELECT p_partkey AS artifact_id, 0::BIGINT AS row_count FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
@@ -486,11 +531,19 @@ def not_present(spark, sf_dir):
     return T.not_present(catalog, held).select("artifact_id", "row_count")
 
 
-@query()
+PROSE = ("Mimikatz was run.", "It is not confirmed that mimikatz ran. No web shell.", "Nothing at all.", "A beacon is possible", "ウェブシェルの可能性。")
+_CLAIMS_SQL = ", ".join(f"('{label}', '{alias}', {bool(techniques)})" for label, aliases, techniques in C.CLAIMS for alias in aliases)
+
+
+@query(f"WITH d AS (SELECT doc_id, 'C' || doc_id % 3 AS case_id, lower(text || ' ' || [{', '.join(repr(p) for p in PROSE)}][doc_id % 5 + 1]) AS t FROM documents), c AS (SELECT * FROM (VALUES {_CLAIMS_SQL}) c(label, alias, gated)) SELECT DISTINCT doc_id, case_id, label FROM d JOIN c ON contains(t, alias) WHERE NOT (label = 'Web shell' AND case_id = 'C0') AND NOT (label = 'Mimikatz' AND case_id = 'C1')")
 def ungrounded_mentions(spark, sf_dir):
-    prose = table(spark, sf_dir, "documents").select(F.concat(F.lit("C"), (F.col("doc_id") % 3).cast("string")).alias("case_id"), "doc_id", "text")
+    """Documents with a sentence on tools and techniques; C0 confirms one technique of web shells, a finding of C1 names a tool."""
+    said = F.element_at(F.array(*map(F.lit, PROSE)), (F.col("doc_id") % 5).cast("int") + 1)
+    prose = table(spark, sf_dir, "documents").select(F.concat(F.lit("C"), (F.col("doc_id") % 3).cast("string")).alias("case_id"), "doc_id", F.concat_ws(" ", "text", said).alias("text"))
     f = findings(spark, sf_dir)
-    return C.ungrounded_mentions(prose, f, f.select("case_id", F.explode("techniques").alias("technique")))
+    f = f.withColumn("title", F.when(F.col("case_id") == "C1", "Mimikatz seen").otherwise(F.col("title")))
+    confirmed = f.where("case_id = 'C0'").select("case_id", F.lit("T1190").alias("technique"))
+    return C.ungrounded_mentions(prose, f, confirmed)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
