@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidewatch.llm import bpe, merkle, mixing, secrets, toxicity
@@ -347,25 +348,42 @@ def test_mixing_edges(spark, make):
 
 
 def test_pipeline(spark, data):
+    """Each stage, on what its predecessor kept, against plain loops; scores and rates come from their operators."""
     import corpus_pipeline as P
+    from test_dedup import brute_jaccard, brute_lines
 
     docs = spark.read.parquet(f"{data}/documents.parquet")
+    docs = docs.union(docs.limit(3)).withColumn("rate", F.lit("kept")).withColumn("starts", F.lit(None).cast("string"))
+    docs = P.cut(docs.unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs.limit(1).withColumns({"doc_id": F.lit(10**9), "text": F.lit(None).cast("string")})))
     labels = spark.read.parquet(f"{data}/labels.parquet")
-    columns = docs.columns
+    rows = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
     for name, stage in P.STAGES:
-        before = {r.doc_id: r.text for r in docs.collect()}
-        out = stage(spark, docs, data)
+        before = rows(docs)
+        out = P.cut(stage(spark, docs, data))
         if name == "encoding":
             lib = Tokenizer.from_file(PATH)
-            assert all(r.ids == lib.encode(before[r.doc_id] or "", add_special_tokens=False).ids for r in out.collect())
+            want = sorted((str(i), lib.encode(t or "", add_special_tokens=False).ids) for i, t in before)
+            assert sorted((str(r.doc_id), list(r.ids)) for r in out.collect()) == want
             break
-        assert out.columns == columns
-        out = P.cut(out)
-        kept = {r.doc_id for r in out.collect()}
-        assert kept and kept <= set(before)
+        assert out.columns == docs.columns and {r.rate for r in out.collect()} == {"kept"}
         if name == "toxicity":
             bad = {r.doc_id for r in toxicity.toxicity_scores(docs, labels).where("predicted = 1").collect()}
-            assert kept == set(before) - bad
+            assert rows(out) == [r for r in before if r[0] not in bad]
+        if name == "line_dedup":
+            left = [(i, t) for i, t, n in brute_lines(before) if not n or t]
+            assert rows(out) == sorted(left, key=str)
+        if name == "near_copies":
+            groups = brute_jaccard(before)
+            assert rows(out) == [(i, t) for i, t in before if i is None or groups[i][1] == i]
+        if name == "mixing":
+            rates = {r.doc_id: r.rate for r in mixing.mix_rates(docs, labels).collect()}
+            want = {}
+            for i, _ in before:
+                want[i] = want.get(i, 0) + 1
+            got = {}
+            for i, _ in rows(out):
+                got[i] = got.get(i, 0) + 1
+            assert all(got.get(i, 0) in (n * math.floor(rates[i]), n * math.floor(rates[i] + 1)) if i is not None else got[i] == n for i, n in want.items())
         docs = out
     assert [n for n, _ in P.STAGES] == ["toxicity", "line_dedup", "near_copies", "mixing", "encoding"]
 

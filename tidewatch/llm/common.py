@@ -2,45 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..model import kept, shared_folder, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["TASK_TABLES", "cut", "join_facts", "map_columns", "partitions", "pieces", "shared_folder", "table", "task_memory"]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset, a session whose executors are threads of the driver (local master) gets a folder of this machine; any
-    other session is refused, since its executors would each write to their own disk.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not hasattr(shared_folder, "own"):
-        shared_folder.own = f"file://{tempfile.mkdtemp(prefix='tidewatch-')}"
-        atexit.register(shutil.rmtree, shared_folder.own[7:], True)
-    return shared_folder.own
-
-
-def cut(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, so a lost executor costs no recomputation."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+#: Writes df to the folder in spark.checkpoint.dir and reads it back, so that a lost executor costs no recomputation.
+cut = kept
 
 
 #: A key counts as hot if more than one row in HOT_ONE_IN has it, so that no more than HOT_ONE_IN keys do; each spreads over SALTS tasks.
