@@ -187,3 +187,59 @@ def test_phantoms_and_citations(spark):
     obs = spark.createDataFrame([("o1", ["a", "x"]), ("o2", ["x"])], "obs_id string, audit_ids array<string>")
     real = spark.createDataFrame([("a",)], "audit_id string")
     assert [(r.obs_id, r.audit_ids, r.dropped) for r in J.filter_phantom(obs, real).collect()] == [("o1", ["a"], 1)]
+
+
+def test_rows_and_lines_are_numbered_over_blocks(spark, tmp_path):
+    """Files larger than a block: numbers run on from block to block."""
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+    try:
+        for name in "ab":
+            (tmp_path / f"{name}.csv").write_text("\ufeffn,Created0x10\n" + "".join(f"{name}{i},2026-01-01 00:00:{i % 60:02d}\n" for i in range(100)))
+            (tmp_path / f"{name}.log").write_text("".join(f"line {name}{i}\n" + "\n" * (i % 3 == 0) for i in range(80)))
+        rows = T.indexed(T.read_csv(spark, f"{tmp_path}/*.csv", multi_line=False))
+        assert rows.select("_file", "_block").distinct().count() > 6
+        assert sorted((r.n, r._i) for r in rows.collect()) == sorted((f"{n}{i}", i) for n in "ab" for i in range(100))
+        lines = P.read_lines(spark, f"{tmp_path}/*.log").collect()
+        assert sorted((r.line, r.line_no) for r in lines) == sorted((f"line {n}{i}", i + (i + 2) // 3) for n in "ab" for i in range(80))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_w3c_fields_change_within_a_file(spark):
+    lines = ["#Software: x", "2026-01-01 00:00:00 before", "#Fields: date time a b", "2026-01-01 00:00:01 1 2 3", "#Fields: date time c", "2026-01-01 00:00:02", "2026-01-01 00:00:03 4"]
+    df = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, line_no long, line string")
+    got = {r.line_no: {k: v for k, v in r.row.items() if k not in ("date", "time")} for r in P.parse_w3c_log(df).collect()}
+    assert got == {3: {"a": "1", "b": "2 3"}, 5: {"c": "-"}, 6: {"c": "4"}}
+
+
+def test_upsert_prefers_new_rows(spark):
+    old = spark.createDataFrame([("a", 9), ("b", 1)], "case_id string, finished_at int")
+    new = spark.createDataFrame([("a", 5), ("a", 4), ("c", 2)], "case_id string, finished_at int")
+    assert sorted(map(tuple, K.upsert_last(old, new, ["case_id"], "finished_at").collect())) == [("a", 5), ("b", 1), ("c", 2)]
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    from tidewatch.operators import graph as G
+
+    chain = spark.createDataFrame([(i, i // 2 if i % 2 == 0 else (i + 1) // 2) for i in range(1, 200)] + [(i, 1000 + i) for i in range(200)] + [(i + 1, 1000 + i) for i in range(200)], "l int, r int")
+    with pytest.raises(RuntimeError):
+        G.link_components(chain, "l", "r", most_rounds=1)
+
+
+def test_windows_are_numbered_over_ranges(spark):
+    rows = [("c", f"{i:03d}", at(i % 7)) for i in range(90)] + [("d", "x", None)]
+    df = spark.createDataFrame(rows, "case_id string, audit_id string, ts_utc timestamp_ntz")
+    got = {(r.case_id, r.audit_id): (r.i_, r.n_) for r in W.numbered_rows(df, "case_id", [F.col("ts_utc").asc_nulls_last(), F.col("audit_id").asc()], "i_").collect()}
+    order = sorted((r for r in rows if r[0] == "c"), key=lambda r: (r[2], r[1]))
+    assert got == {("c", a): (i, 90) for i, (_, a, _) in enumerate(order)} | {("d", "x"): (0, 1)}
+
+
+def test_values_of_tactics_and_tasks(spark):
+    c = F.col("a")
+    want = {"stealth": "defense-evasion", "defense-impairment": "defense-evasion", "defense_evasion": "defense-evasion", "Credential_Access": "credential-access", "command and control": "command-and-control", "c2": "command-and-control", "discovery": "discovery"}
+    assert {k: one(spark, S.canonical_tactic(c), a=k) for k in want} == want
+    actions = lambda line: F.array(F.struct(F.lit(line).alias("command"), F.lit(None).cast("string").alias("arguments")))
+    odd = {"powershell -e AA": True, "powershell Get-Date": False, "x -w  hidden": True, "IEX (y)": True, "MSHTA http://h": True, "C:\\ProgramData\\x.exe": True, "regsvr32 a": True, "rundll32 a": False}
+    assert {k: "TA0005" in one(spark, S.task_hints(actions(k), c), a="alice") for k in odd} == odd
+    assert "TA0004" in one(spark, S.task_hints(actions("x"), c), a="local system") and "TA0004" not in one(spark, S.task_hints(actions("x"), c), a="system32")

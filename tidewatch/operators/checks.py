@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import base_technique, canonical_tactic, event_data, evtx_time, is_web_root, json_field, time_change_benign
-from ..model import micros, seconds
+from ..functions.scalars import base_technique, canonical_tactic, event_data, evtx_time, is_web_root, json_field, phase_rank, time_change_benign
+from ..model import seconds
 from .aggregates import iocs_of
-from .sessions import temporal_outliers
+from .sessions import intrusion_path, temporal_outliers
 
 # Words of noise narratives, and named claims with their aliases and grounding techniques.
 NOISE_WORDS = ("誤検知", "false positive", "false-positive", "正規のインストール", "正規のバックグラウンド", "正規のソフトウェア", "legitimate install", "legitimate software", "benign system", "sysprep", "first boot", "初回ブート", "vm 作成", "vm作成", "os セットアップ")
@@ -260,10 +260,28 @@ def recommendations(f: DataFrame) -> DataFrame:
     return tactics.join(F.broadcast(table), "tactic").select("case_id", "kind", "action", "tactic")
 
 
-def timeline_view(f: DataFrame, clustered: DataFrame) -> DataFrame:
-    """Flat timeline of evidence with the cluster of its finding, counted within the cluster."""
+def timeline_view(f: DataFrame, clustered: DataFrame, noise: DataFrame | None = None) -> DataFrame:
+    """Flat timeline of evidence with the cluster of its finding (0: none), and whether that cluster is noise.
+
+    noise: case_id, cluster_id, noise.
+    """
     rows = f.select("case_id", "finding_id", "title", "severity", F.explode("evidence").alias("e")).select("case_id", "finding_id", "title", "severity", "e.audit_id", "e.ts_utc", "e.artifact_id")
-    return rows.join(clustered.select("case_id", "finding_id", "cluster_id"), ["case_id", "finding_id"], "left").withColumn("us", micros(F.col("ts_utc"))).drop("us").orderBy("case_id", F.col("ts_utc").asc_nulls_last(), "audit_id")
+    out = rows.join(clustered.select("case_id", "finding_id", "cluster_id"), ["case_id", "finding_id"], "left").fillna(0, ["cluster_id"])
+    marks = clustered.select("case_id", "cluster_id").distinct().withColumn("noise", F.lit(False)) if noise is None else noise.select("case_id", "cluster_id", "noise")
+    return out.join(marks, ["case_id", "cluster_id"], "left").fillna(False, ["noise"]).orderBy("case_id", F.col("ts_utc").asc_nulls_last(), "audit_id")
+
+
+def timeline_clusters(timeline: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Cluster rows of the view: phase and its rank, times, techniques, noise, how many timeline rows each has, and its step.
+
+    clusters: case_id, cluster_id, attack_phase, start_ts, end_ts, narrative, techniques. Steps number the clusters that are not
+    noise by phase and start (intrusion_path); noise has none.
+    """
+    counts = timeline.where("cluster_id != 0").groupBy("case_id", "cluster_id").agg(F.count("*").alias("event_count"))
+    marked = clusters.withColumn("noise", is_noise_cluster(F.col("attack_phase"), F.col("narrative"))).withColumn("phase_rank", phase_rank(F.col("attack_phase")))
+    steps = intrusion_path(marked).select("case_id", "cluster_id", "step")
+    out = marked.join(counts, ["case_id", "cluster_id"], "left").join(steps, ["case_id", "cluster_id"], "left")
+    return out.select("case_id", "cluster_id", "attack_phase", "phase_rank", "start_ts", "end_ts", "narrative", "techniques", "noise", F.coalesce("event_count", F.lit(0)).cast("long").alias("event_count"), "step")
 
 
 def promotable_queries(f: DataFrame, source: DataFrame) -> DataFrame:

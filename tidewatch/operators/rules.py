@@ -84,12 +84,28 @@ def _double(*cols: Column) -> Column:
     return marked & ends
 
 
-def _program_paths(*folders: str) -> Callable[[Column], Column]:
-    return lambda c: like_any(c, *[f"%\\{f}\\%.exe" for f in folders])
+# File names and paths of the rules' conditions.
+DOUBLE_LINKS = ("%.pdf.lnk", "%.doc.lnk", "%.docx.lnk", "%.xls.lnk", "%.xlsx.lnk", "%.ppt.lnk", "%.pptx.lnk", "%.rtf.lnk", "%.txt.lnk", "%.jpg.lnk", "%.jpeg.lnk", "%.png.lnk", "%.csv.lnk", "%.zip.lnk")
+PAYLOAD_URLS = ("%.exe", "%.scr", "%.dll", "%.zip", "%.7z", "%.rar", "%.iso", "%.img", "%.lnk", "%.hta", "%.ps1", "%.bat")
+WRITABLE_LIBRARIES = (
+    "%\\DOWNLOADS\\%.DLL",
+    "%\\APPDATA\\LOCAL\\TEMP\\%.DLL",
+    "%\\APPDATA\\ROAMING\\%.DLL",
+    "%\\PROGRAMDATA\\%.DLL",
+    "%\\USERS\\PUBLIC\\%.DLL",
+    "%\\WINDOWS\\TEMP\\%.DLL",
+)
+DOWNLOADED_PROGRAMS = ("%\\Users\\%\\Downloads\\%.exe", "%\\Users\\%\\Desktop\\%.exe", "%\\Users\\%\\AppData\\Local\\Temp\\%.exe")
+ODD_PROGRAMS = ("%\\ProgramData\\%.exe", "%\\PerfLogs\\%.exe", "%\\Users\\Public\\%.exe", "%\\$Recycle.Bin\\%.exe", "%\\Windows\\Temp\\%.exe")
+ODD_LOADED = ("%\\PROGRAMDATA\\%.EXE%", "%\\PERFLOGS\\%.EXE%", "%\\USERS\\PUBLIC\\%.EXE%", "%\\$RECYCLE.BIN\\%.EXE%", "%\\WINDOWS\\TEMP\\%.EXE%")
+
+
+def _downloads(c: Column) -> Column:
+    return like_any(c, *DOWNLOADED_PROGRAMS)
 
 
-_downloads = _program_paths("Users\\%\\Downloads", "Users\\%\\Desktop", "Users\\%\\AppData\\Local\\Temp")
-_odd_places = _program_paths("ProgramData", "PerfLogs", "Users\\Public", "$Recycle.Bin", "Windows\\Temp")
+def _odd_places(c: Column) -> Column:
+    return like_any(c, *ODD_PROGRAMS)
 
 
 def _odd_or_root(c: Column) -> Column:
@@ -105,34 +121,300 @@ REGISTRY = {"key_path": "KeyPath", "value_name": "ValueName", "value_data": "Val
 USN = {"file_name": "Name", "update_reasons": "UpdateReasons"}
 
 RULES = (
-    Rule("ntds-dit-writable-path", "Domain database copied to a user-writable path", "high", ("credential-access", "exfiltration"), ("T1003.003",), ("mft",), lambda: (low("FileName") == "ntds.dit") & like_any(p("ParentPath"), "%\\appdata\\%", "%\\users\\public\\%", "%\\temp\\%", "%\\programdata\\%", "%\\downloads\\%", "%\\desktop\\%", "c:\\temp\\%"), {"file_name": "FileName", "parent_path": "ParentPath"}),
-    Rule("task-hidden-powershell", "Scheduled task runs hidden or encoded PowerShell", "high", ("persistence", "execution", "defense-evasion"), ("T1053.005", "T1059.001"), ("scheduled_tasks",), lambda: like_ci(p(COMMAND), "%powershell%") & like_any(p(ARGUMENTS), "%-w hidden%", "%-windowstyle hidden%", "%-enc %", "%-encodedcommand%", "%frombase64string%", "%downloadstring%", "%iex(%", "%invoke-expression%"), {"task_name": "task_name", "task_arguments": ARGUMENTS}),
-    Rule("powershell-reserved-tld", "PowerShell network call to a reserved top-level domain", "high", ("command-and-control",), ("T1071.001", "T1071.004"), ("evtx",), lambda: like_ci(p("Channel"), "%powershell%") & _text("invoke-webrequest", "invoke-restmethod", "resolve-dnsname", "gethostaddresses", "net.webclient", "downloadstring", "downloaddata", "start-bitstransfer") & _text(".test/", ".test'", '.test\\"', ".invalid", ".example/"), {"channel": "Channel", "event_id": "EventId"}),
-    Rule("task-system-process-name", "Scheduled task runs a system-process name from a user-writable path", "high", ("persistence", "defense-evasion"), ("T1053.005", "T1036.005"), ("scheduled_tasks",), lambda: _names(p(COMMAND)) & like_any(p(COMMAND), "%\\appdata\\%", "%\\users\\public\\%", "%\\temp\\%", "%\\programdata\\%", "c:\\temp\\%", "%\\$recycle.bin\\%"), {"task_name": "task_name", "task_command": COMMAND}),
-    Rule("exec-world-writable-path", "Executable staged in a world-writable path", "medium", ("defense-evasion", "collection"), ("T1074.001",), ("amcache",), lambda: low("FileExtension").isin(".exe", ".dll", ".scr", ".com", ".ps1", ".bat") & like_any(p("FullPath"), "%\\users\\public\\%", "%\\windows\\temp\\%", "c:\\temp\\%", "%\\$recycle.bin\\%"), {"full_path": "FullPath", "file_name": "Name"}),
-    Rule("ransom-locked-rename", "Renames to .locked, or a ransom note", "high", ("impact",), ("T1486",), ("usn_journal",), lambda: ((p("Extension") == ".locked") & like_ci(p("UpdateReasons"), "%RenameNewName%")) | like_ci(p("Name"), "README_RESTORE%"), USN),
-    Rule("lnk-double-extension", "Link file with a double extension", "high", ("initial-access", "execution", "defense-evasion"), ("T1566.001", "T1204.002", "T1036.007"), ("usn_journal",), lambda: like_any(p("Name"), *[f"%.{x}.lnk" for x in ("pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "rtf", "txt", "jpg", "jpeg", "png", "csv", "zip")]), USN),
-    Rule("run-key-system-process-name", "Run key names a system process outside Windows", "high", ("persistence", "defense-evasion"), ("T1547.001", "T1036.005"), ("registry",), lambda: like_ci(p("KeyPath"), "%currentversion%run%") & ~like_ci(p("ValueData"), "%\\windows\\%") & _names(p("ValueData")), REGISTRY),
-    Rule("admin-share-shellbags", "Administrative share in shellbags", "medium", ("lateral-movement",), ("T1021.002",), ("shellbags",), lambda: like_any(p("Value"), "\\\\%c$", "\\\\%admin$", "\\\\%ipc$") | like_any(p("AbsolutePath"), "%\\c$", "%\\admin$"), {"shell_value": "Value", "absolute_path": "AbsolutePath"}),
-    Rule("hacktool-self-delete", "Offensive tool deleted", "high", ("defense-evasion",), ("T1070.004",), ("usn_journal",), lambda: like_ci(p("UpdateReasons"), "%filedelete%") & like_any(p("Name"), *HACKTOOLS), USN),
-    Rule("script-in-upload-dir", "Web script served from an upload folder", "high", ("persistence", "initial-access"), ("T1505.003", "T1190"), ("w3c_iis",), lambda: low("cs-uri-stem").rlike(SCRIPT_END) & low("cs-uri-stem").rlike(UPLOAD_DIR), {"client_ip": "c-ip", "http_method": "cs-method", "uri_stem": "cs-uri-stem", "http_status": "sc-status"}),
-    Rule("web-tool-exec", "Web request runs a program from a web root or names a privilege tool", "high", ("execution", "privilege-escalation"), ("T1505.003", "T1059", "T1068"), ("w3c_iis",), lambda: (_request().rlike("(inetpub|wwwroot)") & _request().rlike(r"\.(exe|ps1|bat|cmd|vbs|hta|dll|jar|sh|py)")) | _request().rlike(WEB_TOOLS), {"client_ip": "c-ip", "http_method": "cs-method", "uri_query": "cs-uri-query"}),
-    Rule("iis-module-odd-image", "Native web-server module outside the standard folders", "critical", ("persistence",), ("T1505.004",), ("iis_module",), lambda: (p("module_kind") == "native") & (F.coalesce(p("image"), F.lit("")) != "") & ~like_any(F.replace(p("image_expanded"), F.lit("\\"), F.lit("/")), "%/windows/system32/inetsrv/%", "%/windows/microsoft.net/%", "%/program files/%", "%/program files (x86)/%"), {"module_name": "module_name", "image": "image", "config_path": "config_path"}),
-    Rule("amcache-nonos-pe-profile", "Program outside the OS under a user profile", "medium", ("execution", "persistence"), ("T1204.002",), ("amcache",), lambda: (p("IsPeFile") == "true") & (p("IsOsComponent") == "false") & like_ci(p("FullPath"), "%\\Users\\%"), {"full_path": "FullPath", "sha1": "SHA1", "name": "Name", "file_key_last_write": "FileKeyLastWriteTimestamp"}, "forensic"),
-    Rule("browser-payload-provenance", "Browser fetched a payload", "medium", ("initial-access", "command-and-control"), ("T1566.002", "T1105"), ("browser_history",), lambda: like_ci(p("title"), "Directory listing for%") | (like_any(p("url"), *[f"%.{x}" for x in ("exe", "scr", "dll", "zip", "7z", "rar", "iso", "img", "lnk", "hta", "ps1", "bat")]) & ((p("transition") == "typed") | (p("typed_count").try_cast("int") > 0))), {"url": "url", "title": "title", "transition": "transition", "typed_count": "typed_count"}, "forensic"),
-    Rule("dll-from-writable-path", "Library loaded from a user-writable path", "high", ("defense-evasion", "persistence", "privilege-escalation"), ("T1574.002",), ("prefetch",), lambda: like_any(p("files_loaded"), *[f"%\\{x}\\%.DLL" for x in ("DOWNLOADS", "APPDATA\\LOCAL\\TEMP", "APPDATA\\ROAMING", "PROGRAMDATA", "USERS\\PUBLIC", "WINDOWS\\TEMP")]), {"executable": "executable", "files_loaded": "files_loaded"}, "forensic"),
-    Rule("double-extension-executable", "Executable with a document's extension before its own", "high", ("execution", "defense-evasion"), ("T1036.007",), ("mft", "amcache", "prefetch"), lambda: (_is("mft") & ~p("IsDirectory").eqNullSafe("true") & _double(p("FullPath"))) | (_is("amcache") & _double(p("FullPath"), p("Name"))) | (_is("prefetch") & _double(p("executable"))), {"full_path": "FullPath", "file_name": "Name", "prefetch_executable": "executable"}, "forensic"),
-    Rule("exec-from-download-or-temp", "Program ran from Downloads, Desktop or a temp folder", "high", ("execution", "initial-access"), ("T1204.002",), ("prefetch", "amcache", "registry", "shimcache"), lambda: (_is("prefetch") & like_any(p("files_loaded"), "%\\DOWNLOADS\\%.EXE%", "%\\DESKTOP\\%.EXE%", "%\\APPDATA\\LOCAL\\TEMP\\%.EXE%")) | (_is("amcache") & (p("IsOsComponent") == "false") & _downloads(p("FullPath"))) | (_is("registry") & (p("Category") == "Program Execution") & _downloads(p("ValueData"))) | (_is("shimcache") & _downloads(p("Path"))), {"files_loaded": "files_loaded", "full_path": "FullPath", "value_data": "ValueData", "path": "Path"}, "forensic"),
-    Rule("exec-from-odd-location", "Program ran from an unusual location", "high", ("execution", "defense-evasion"), ("T1036.005", "T1204.002"), ("prefetch", "amcache", "registry", "shimcache"), lambda: (_is("prefetch") & like_any(p("files_loaded"), *[f"%\\{x}\\%.EXE%" for x in ("PROGRAMDATA", "PERFLOGS", "USERS\\PUBLIC", "$RECYCLE.BIN", "WINDOWS\\TEMP")])) | (_is("amcache") & _odd_or_root(p("FullPath"))) | (_is("registry") & (p("Category") == "Program Execution") & _odd_or_root(p("ValueData"))) | (_is("shimcache") & _odd_or_root(p("Path"))), {"executable": "executable", "full_path": "FullPath", "value_data": "ValueData", "path": "Path"}, "forensic"),
-    Rule("registry-appinit", "AppInit libraries", "high", ("persistence", "privilege-escalation", "defense-evasion"), ("T1546.010",), ("registry",), lambda: like_ci(p("KeyPath"), "%\\Windows NT\\CurrentVersion\\Windows%") & (((low("ValueName") == "appinit_dlls") & _set(F.trim(p("ValueData")))) | ((low("ValueName") == "loadappinit_dlls") & p("ValueData").isin("1", "0x1"))), REGISTRY, "forensic"),
-    Rule("registry-com-hijack", "COM server points at a user-writable path", "medium", ("persistence", "privilege-escalation", "defense-evasion"), ("T1546.015",), ("registry",), lambda: like_any(p("KeyPath"), "%\\CLSID\\%\\InprocServer32%", "%\\CLSID\\%\\LocalServer32%") & like_ci(p("HiveType"), "%NTUSER%") & like_any(p("ValueData"), "%\\Users\\%", "%\\AppData\\%", "%\\ProgramData\\%", "%\\Temp\\%", "%\\Downloads\\%"), REGISTRY, "forensic"),
-    Rule("registry-defender-tamper", "Defender disabled", "high", ("defense-evasion",), ("T1562.001",), ("registry",), lambda: like_ci(p("KeyPath"), "%Windows Defender%") & p("ValueName").isin(*DEFENDER_VALUES) & F.when(p("ValueName") == "TamperProtection", p("ValueData").isin("0", "0x0")).otherwise(p("ValueData").isin("1", "0x1")), REGISTRY, "forensic"),
-    Rule("registry-ifeo-debugger", "Image-file debugger", "high", ("persistence", "privilege-escalation", "defense-evasion"), ("T1546.012", "T1546.008"), ("registry",), lambda: like_ci(p("KeyPath"), "%\\Image File Execution Options\\%") & (low("ValueName") == "debugger") & _set(p("ValueData")), REGISTRY, "forensic"),
-    Rule("registry-run-key", "Run key points at a suspicious payload", "high", ("persistence",), ("T1547.001",), ("registry",), lambda: (like_any(p("KeyPath"), "%\\CurrentVersion\\Run%", "%\\CurrentVersion\\Explorer\\Run%") | (p("Description") == "Run")) & (like_any(p("ValueData"), "%\\Users\\%\\Downloads\\%", "%\\Users\\%\\Desktop\\%", "%\\Users\\%\\AppData\\%", "%\\ProgramData\\%", "%\\Windows\\Temp\\%") | (like_any(p("ValueData"), "%powershell%", "%cmd.exe%", "%wscript%", "%cscript%", "%mshta%", "%rundll32%", "%regsvr32%") & like_any(p("ValueData"), "%-enc%", "%-e jab%", "%frombase64string%", "%downloadstring%", "%http://%", "%https://%", "%javascript:%"))), REGISTRY, "forensic"),
-    Rule("registry-service-image", "Service with a suspicious image path", "high", ("persistence", "privilege-escalation"), ("T1543.003",), ("registry",), lambda: like_ci(p("KeyPath"), "%\\Services\\%") & like_ci(p("ValueName"), "%ImagePath%") & like_any(p("ValueData"), "%\\Users\\%", "%\\ProgramData\\%", "%\\AppData\\%", "%\\Windows\\Temp\\%", "%\\PerfLogs\\%", "%powershell%", "%cmd.exe%", "%rundll32%", "%regsvr32%", "%mshta%", "%COMSPEC%", "%-enc%", "%DownloadString%"), REGISTRY, "forensic"),
-    Rule("registry-winlogon", "Winlogon shell or userinit changed", "high", ("persistence", "privilege-escalation"), ("T1547.004",), ("registry",), lambda: like_ci(p("KeyPath"), "%\\Windows NT\\CurrentVersion\\Winlogon%") & low("ValueName").isin("shell", "userinit") & p("ValueData").isNotNull() & (((low("ValueName") == "shell") & (low("ValueData") != "explorer.exe")) | ((low("ValueName") == "userinit") & (low("ValueData") != "c:\\windows\\system32\\userinit.exe,")) | like_any(p("ValueData"), "%\\Users\\%", "%\\AppData\\%", "%\\ProgramData\\%", "%\\Temp\\%", "%cmd.exe%", "%powershell%", "%wscript%", "%cscript%")), REGISTRY, "forensic"),
-    Rule("startup-folder-payload", "Payload in a startup folder", "high", ("persistence",), ("T1547.001",), ("mft",), lambda: like_any(p("FullPath"), "%\\Start Menu\\Programs\\Startup\\%", "%\\ProgramData\\Microsoft\\Windows\\Start Menu\\Programs\\StartUp\\%") & like_any(p("FullPath"), *STARTUP_ENDS) & ~like_ci(p("FullPath"), "%desktop.ini"), {"full_path": "FullPath"}, "forensic"),
-    Rule("script-in-webroot", "Script written into a web root", "high", ("persistence",), ("T1505.003",), ("mft",), lambda: like_any(p("FullPath"), "%\\inetpub\\wwwroot\\%", "%\\wwwroot\\%", "%\\htdocs\\%", "%\\www\\%", "%\\tomcat%\\webapps\\%", "%\\xampp\\htdocs\\%") & like_any(p("FullPath"), *WEBROOT_ENDS), {"full_path": "FullPath", "file_size": "FileSize"}, "forensic"),
+    Rule(
+        "ntds-dit-writable-path",
+        "Domain database copied to a user-writable path",
+        "high",
+        ("credential-access", "exfiltration"),
+        ("T1003.003",),
+        ("mft",),
+        lambda: (low("FileName") == "ntds.dit") & like_any(p("ParentPath"), "%\\appdata\\%", "%\\users\\public\\%", "%\\temp\\%", "%\\programdata\\%", "%\\downloads\\%", "%\\desktop\\%", "c:\\temp\\%"),
+        {"file_name": "FileName", "parent_path": "ParentPath"},
+    ),
+    Rule(
+        "task-hidden-powershell",
+        "Scheduled task runs hidden or encoded PowerShell",
+        "high",
+        ("persistence", "execution", "defense-evasion"),
+        ("T1053.005", "T1059.001"),
+        ("scheduled_tasks",),
+        lambda: like_ci(p(COMMAND), "%powershell%") & like_any(p(ARGUMENTS), "%-w hidden%", "%-windowstyle hidden%", "%-enc %", "%-encodedcommand%", "%frombase64string%", "%downloadstring%", "%iex(%", "%invoke-expression%"),
+        {"task_name": "task_name", "task_arguments": ARGUMENTS},
+    ),
+    Rule(
+        "powershell-reserved-tld",
+        "PowerShell network call to a reserved top-level domain",
+        "high",
+        ("command-and-control",),
+        ("T1071.001", "T1071.004"),
+        ("evtx",),
+        lambda: like_ci(p("Channel"), "%powershell%") & _text("invoke-webrequest", "invoke-restmethod", "resolve-dnsname", "gethostaddresses", "net.webclient", "downloadstring", "downloaddata", "start-bitstransfer") & _text(".test/", ".test'", '.test\\"', ".invalid", ".example/"), {"channel": "Channel", "event_id": "EventId"},
+    ),
+    Rule(
+        "task-system-process-name",
+        "Scheduled task runs a system-process name from a user-writable path",
+        "high",
+        ("persistence", "defense-evasion"),
+        ("T1053.005", "T1036.005"),
+        ("scheduled_tasks",),
+        lambda: _names(p(COMMAND)) & like_any(p(COMMAND), "%\\appdata\\%", "%\\users\\public\\%", "%\\temp\\%", "%\\programdata\\%", "c:\\temp\\%", "%\\$recycle.bin\\%"),
+        {"task_name": "task_name", "task_command": COMMAND},
+    ),
+    Rule(
+        "exec-world-writable-path",
+        "Executable staged in a world-writable path",
+        "medium",
+        ("defense-evasion", "collection"),
+        ("T1074.001",),
+        ("amcache",),
+        lambda: low("FileExtension").isin(".exe", ".dll", ".scr", ".com", ".ps1", ".bat") & like_any(p("FullPath"), "%\\users\\public\\%", "%\\windows\\temp\\%", "c:\\temp\\%", "%\\$recycle.bin\\%"),
+        {"full_path": "FullPath", "file_name": "Name"},
+    ),
+    Rule(
+        "ransom-locked-rename",
+        "Renames to .locked, or a ransom note",
+        "high",
+        ("impact",),
+        ("T1486",),
+        ("usn_journal",),
+        lambda: ((p("Extension") == ".locked") & like_ci(p("UpdateReasons"), "%RenameNewName%")) | like_ci(p("Name"), "README_RESTORE%"),
+        USN,
+    ),
+    Rule(
+        "lnk-double-extension",
+        "Link file with a double extension",
+        "high",
+        ("initial-access", "execution", "defense-evasion"),
+        ("T1566.001", "T1204.002", "T1036.007"),
+        ("usn_journal",),
+        lambda: like_any(p("Name"), *DOUBLE_LINKS),
+        USN,
+    ),
+    Rule(
+        "run-key-system-process-name",
+        "Run key names a system process outside Windows",
+        "high",
+        ("persistence", "defense-evasion"),
+        ("T1547.001", "T1036.005"),
+        ("registry",),
+        lambda: like_ci(p("KeyPath"), "%currentversion%run%") & ~like_ci(p("ValueData"), "%\\windows\\%") & _names(p("ValueData")),
+        REGISTRY,
+    ),
+    Rule(
+        "admin-share-shellbags",
+        "Administrative share in shellbags",
+        "medium",
+        ("lateral-movement",),
+        ("T1021.002",),
+        ("shellbags",),
+        lambda: like_any(p("Value"), "\\\\%c$", "\\\\%admin$", "\\\\%ipc$") | like_any(p("AbsolutePath"), "%\\c$", "%\\admin$"),
+        {"shell_value": "Value", "absolute_path": "AbsolutePath"},
+    ),
+    Rule(
+        "hacktool-self-delete",
+        "Offensive tool deleted",
+        "high",
+        ("defense-evasion",),
+        ("T1070.004",),
+        ("usn_journal",),
+        lambda: like_ci(p("UpdateReasons"), "%filedelete%") & like_any(p("Name"), *HACKTOOLS),
+        USN,
+    ),
+    Rule(
+        "script-in-upload-dir",
+        "Web script served from an upload folder",
+        "high",
+        ("persistence", "initial-access"),
+        ("T1505.003", "T1190"),
+        ("w3c_iis",),
+        lambda: low("cs-uri-stem").rlike(SCRIPT_END) & low("cs-uri-stem").rlike(UPLOAD_DIR),
+        {"client_ip": "c-ip", "http_method": "cs-method", "uri_stem": "cs-uri-stem", "http_status": "sc-status"},
+    ),
+    Rule(
+        "web-tool-exec",
+        "Web request runs a program from a web root or names a privilege tool",
+        "high",
+        ("execution", "privilege-escalation"),
+        ("T1505.003", "T1059", "T1068"),
+        ("w3c_iis",),
+        lambda: (_request().rlike("(inetpub|wwwroot)") & _request().rlike(r"\.(exe|ps1|bat|cmd|vbs|hta|dll|jar|sh|py)")) | _request().rlike(WEB_TOOLS),
+        {"client_ip": "c-ip", "http_method": "cs-method", "uri_query": "cs-uri-query"},
+    ),
+    Rule(
+        "iis-module-odd-image",
+        "Native web-server module outside the standard folders",
+        "critical",
+        ("persistence",),
+        ("T1505.004",),
+        ("iis_module",),
+        lambda: (p("module_kind") == "native") & (F.coalesce(p("image"), F.lit("")) != "") & ~like_any(F.replace(p("image_expanded"), F.lit("\\"), F.lit("/")), "%/windows/system32/inetsrv/%", "%/windows/microsoft.net/%", "%/program files/%", "%/program files (x86)/%"),
+        {"module_name": "module_name", "image": "image", "config_path": "config_path"},
+    ),
+    Rule(
+        "amcache-nonos-pe-profile",
+        "Program outside the OS under a user profile",
+        "medium",
+        ("execution", "persistence"),
+        ("T1204.002",),
+        ("amcache",),
+        lambda: (p("IsPeFile") == "true") & (p("IsOsComponent") == "false") & like_ci(p("FullPath"), "%\\Users\\%"),
+        {"full_path": "FullPath", "sha1": "SHA1", "name": "Name", "file_key_last_write": "FileKeyLastWriteTimestamp"},
+        "forensic",
+    ),
+    Rule(
+        "browser-payload-provenance",
+        "Browser fetched a payload",
+        "medium",
+        ("initial-access", "command-and-control"),
+        ("T1566.002", "T1105"),
+        ("browser_history",),
+        lambda: like_ci(p("title"), "Directory listing for%") | (like_any(p("url"), *PAYLOAD_URLS) & ((p("transition") == "typed") | (p("typed_count").try_cast("int") > 0))),
+        {"url": "url", "title": "title", "transition": "transition", "typed_count": "typed_count"},
+        "forensic",
+    ),
+    Rule(
+        "dll-from-writable-path",
+        "Library loaded from a user-writable path",
+        "high",
+        ("defense-evasion", "persistence", "privilege-escalation"),
+        ("T1574.002",),
+        ("prefetch",),
+        lambda: like_any(p("files_loaded"), *WRITABLE_LIBRARIES),
+        {"executable": "executable", "files_loaded": "files_loaded"},
+        "forensic",
+    ),
+    Rule(
+        "double-extension-executable",
+        "Executable with a document's extension before its own",
+        "high",
+        ("execution", "defense-evasion"),
+        ("T1036.007",),
+        ("mft", "amcache", "prefetch"),
+        lambda: (_is("mft") & ~p("IsDirectory").eqNullSafe("true") & _double(p("FullPath"))) | (_is("amcache") & _double(p("FullPath"), p("Name"))) | (_is("prefetch") & _double(p("executable"))),
+        {"full_path": "FullPath", "file_name": "Name", "prefetch_executable": "executable"},
+        "forensic",
+    ),
+    Rule(
+        "exec-from-download-or-temp",
+        "Program ran from Downloads, Desktop or a temp folder",
+        "high",
+        ("execution", "initial-access"),
+        ("T1204.002",),
+        ("prefetch", "amcache", "registry", "shimcache"),
+        lambda: (_is("prefetch") & like_any(p("files_loaded"), "%\\DOWNLOADS\\%.EXE%", "%\\DESKTOP\\%.EXE%", "%\\APPDATA\\LOCAL\\TEMP\\%.EXE%")) | (_is("amcache") & (p("IsOsComponent") == "false") & _downloads(p("FullPath"))) | (_is("registry") & (p("Category") == "Program Execution") & _downloads(p("ValueData"))) | (_is("shimcache") & _downloads(p("Path"))),
+        {"files_loaded": "files_loaded", "full_path": "FullPath", "value_data": "ValueData", "path": "Path"},
+        "forensic",
+    ),
+    Rule(
+        "exec-from-odd-location",
+        "Program ran from an unusual location",
+        "high",
+        ("execution", "defense-evasion"),
+        ("T1036.005", "T1204.002"),
+        ("prefetch", "amcache", "registry", "shimcache"),
+        lambda: (_is("prefetch") & like_any(p("files_loaded"), *ODD_LOADED)) | (_is("amcache") & _odd_or_root(p("FullPath"))) | (_is("registry") & (p("Category") == "Program Execution") & _odd_or_root(p("ValueData"))) | (_is("shimcache") & _odd_or_root(p("Path"))),
+        {"executable": "executable", "full_path": "FullPath", "value_data": "ValueData", "path": "Path"},
+        "forensic",
+    ),
+    Rule(
+        "registry-appinit",
+        "AppInit libraries",
+        "high",
+        ("persistence", "privilege-escalation", "defense-evasion"),
+        ("T1546.010",),
+        ("registry",),
+        lambda: like_ci(p("KeyPath"), "%\\Windows NT\\CurrentVersion\\Windows%") & (((low("ValueName") == "appinit_dlls") & _set(F.trim(p("ValueData")))) | ((low("ValueName") == "loadappinit_dlls") & p("ValueData").isin("1", "0x1"))),
+        REGISTRY,
+        "forensic",
+    ),
+    Rule(
+        "registry-com-hijack",
+        "COM server points at a user-writable path",
+        "medium",
+        ("persistence", "privilege-escalation", "defense-evasion"),
+        ("T1546.015",),
+        ("registry",),
+        lambda: like_any(p("KeyPath"), "%\\CLSID\\%\\InprocServer32%", "%\\CLSID\\%\\LocalServer32%") & like_ci(p("HiveType"), "%NTUSER%") & like_any(p("ValueData"), "%\\Users\\%", "%\\AppData\\%", "%\\ProgramData\\%", "%\\Temp\\%", "%\\Downloads\\%"),
+        REGISTRY,
+        "forensic",
+    ),
+    Rule(
+        "registry-defender-tamper",
+        "Defender disabled",
+        "high",
+        ("defense-evasion",),
+        ("T1562.001",),
+        ("registry",),
+        lambda: like_ci(p("KeyPath"), "%Windows Defender%") & p("ValueName").isin(*DEFENDER_VALUES) & F.when(p("ValueName") == "TamperProtection", p("ValueData").isin("0", "0x0")).otherwise(p("ValueData").isin("1", "0x1")),
+        REGISTRY,
+        "forensic",
+    ),
+    Rule(
+        "registry-ifeo-debugger",
+        "Image-file debugger",
+        "high",
+        ("persistence", "privilege-escalation", "defense-evasion"),
+        ("T1546.012", "T1546.008"),
+        ("registry",),
+        lambda: like_ci(p("KeyPath"), "%\\Image File Execution Options\\%") & (low("ValueName") == "debugger") & _set(p("ValueData")),
+        REGISTRY,
+        "forensic",
+    ),
+    Rule(
+        "registry-run-key",
+        "Run key points at a suspicious payload",
+        "high",
+        ("persistence",),
+        ("T1547.001",),
+        ("registry",),
+        lambda: (like_any(p("KeyPath"), "%\\CurrentVersion\\Run%", "%\\CurrentVersion\\Explorer\\Run%") | (p("Description") == "Run")) & (like_any(p("ValueData"), "%\\Users\\%\\Downloads\\%", "%\\Users\\%\\Desktop\\%", "%\\Users\\%\\AppData\\%", "%\\ProgramData\\%", "%\\Windows\\Temp\\%") | (like_any(p("ValueData"), "%powershell%", "%cmd.exe%", "%wscript%", "%cscript%", "%mshta%", "%rundll32%", "%regsvr32%") & like_any(p("ValueData"), "%-enc%", "%-e jab%", "%frombase64string%", "%downloadstring%", "%http://%", "%https://%", "%javascript:%"))),
+        REGISTRY,
+        "forensic",
+    ),
+    Rule(
+        "registry-service-image",
+        "Service with a suspicious image path",
+        "high",
+        ("persistence", "privilege-escalation"),
+        ("T1543.003",),
+        ("registry",),
+        lambda: like_ci(p("KeyPath"), "%\\Services\\%") & like_ci(p("ValueName"), "%ImagePath%") & like_any(p("ValueData"), "%\\Users\\%", "%\\ProgramData\\%", "%\\AppData\\%", "%\\Windows\\Temp\\%", "%\\PerfLogs\\%", "%powershell%", "%cmd.exe%", "%rundll32%", "%regsvr32%", "%mshta%", "%COMSPEC%", "%-enc%", "%DownloadString%"),
+        REGISTRY,
+        "forensic",
+    ),
+    Rule(
+        "registry-winlogon",
+        "Winlogon shell or userinit changed",
+        "high",
+        ("persistence", "privilege-escalation"),
+        ("T1547.004",),
+        ("registry",),
+        lambda: like_ci(p("KeyPath"), "%\\Windows NT\\CurrentVersion\\Winlogon%") & low("ValueName").isin("shell", "userinit") & p("ValueData").isNotNull() & (((low("ValueName") == "shell") & (low("ValueData") != "explorer.exe")) | ((low("ValueName") == "userinit") & (low("ValueData") != "c:\\windows\\system32\\userinit.exe,")) | like_any(p("ValueData"), "%\\Users\\%", "%\\AppData\\%", "%\\ProgramData\\%", "%\\Temp\\%", "%cmd.exe%", "%powershell%", "%wscript%", "%cscript%")),
+        REGISTRY,
+        "forensic",
+    ),
+    Rule(
+        "startup-folder-payload",
+        "Payload in a startup folder",
+        "high",
+        ("persistence",),
+        ("T1547.001",),
+        ("mft",),
+        lambda: like_any(p("FullPath"), "%\\Start Menu\\Programs\\Startup\\%", "%\\ProgramData\\Microsoft\\Windows\\Start Menu\\Programs\\StartUp\\%") & like_any(p("FullPath"), *STARTUP_ENDS) & ~like_ci(p("FullPath"), "%desktop.ini"),
+        {"full_path": "FullPath"},
+        "forensic",
+    ),
+    Rule(
+        "script-in-webroot",
+        "Script written into a web root",
+        "high",
+        ("persistence",),
+        ("T1505.003",),
+        ("mft",),
+        lambda: like_any(p("FullPath"), "%\\inetpub\\wwwroot\\%", "%\\wwwroot\\%", "%\\htdocs\\%", "%\\www\\%", "%\\tomcat%\\webapps\\%", "%\\xampp\\htdocs\\%") & like_any(p("FullPath"), *WEBROOT_ENDS),
+        {"full_path": "FullPath", "file_size": "FileSize"},
+        "forensic",
+    ),
 )
 
 HIT = "rule_id string, extra map<string,string>"

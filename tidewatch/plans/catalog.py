@@ -673,10 +673,21 @@ def entry_vector(spark, sf_dir):
     return C.entry_vector(e.select("case_id", t.alias("technique")).distinct())
 
 
-@query(f"WITH {CL}, r AS (SELECT fe.case_id, fe.finding_id, fe.audit_id, fe.ts_utc, cl.cluster_id FROM fe JOIN cl USING (case_id, finding_id)) SELECT * FROM r")
+@query(f"WITH {CL} SELECT fe.case_id, fe.finding_id, fe.audit_id, fe.ts_utc, CASE WHEN fe.k % 9 = 0 THEN 0 ELSE cl.cluster_id END AS cluster_id, fe.k % 9 <> 0 AND cl.cluster_id % 3 = 0 AS noise FROM fe JOIN cl USING (case_id, finding_id)")
 def timeline_view(spark, sf_dir):
     f = findings(spark, sf_dir)
-    return C.timeline_view(f, W.cluster_findings(W.first_evidence(f))).select("case_id", "finding_id", "audit_id", "ts_utc", "cluster_id")
+    c = W.cluster_findings(W.first_evidence(f))
+    seen = c.where(F.substring_index("finding_id", "-", -1).cast("int") % 9 != 0)
+    marks = c.select("case_id", "cluster_id", (F.col("cluster_id") % 3 == 0).alias("noise")).distinct()
+    return C.timeline_view(f, seen, marks).select("case_id", "finding_id", "audit_id", "ts_utc", "cluster_id", "noise")
+
+
+@query(f"WITH {CL}, p AS (SELECT case_id, cluster_id, min(tactic) AS phase, min(first_ts) AS s, sum(n_e) AS n, cluster_id % 3 = 0 AS noise FROM cl GROUP BY 1, 2), q AS (SELECT *, row_number() OVER (PARTITION BY case_id, noise ORDER BY {PHASE_SQL}, s, cluster_id) AS r FROM p) SELECT case_id, cluster_id, {PHASE_SQL} AS phase_rank, noise, CAST(n AS BIGINT) AS event_count, CASE WHEN NOT noise THEN r END AS step FROM q")
+def timeline_clusters(spark, sf_dir):
+    f = findings(spark, sf_dir)
+    c = full_clusters(spark, sf_dir).withColumn("narrative", F.when(F.col("cluster_id") % 3 == 0, "A false positive.").otherwise("x"))
+    view = C.timeline_view(f, W.cluster_findings(W.first_evidence(f)))
+    return C.timeline_clusters(view, c).select("case_id", "cluster_id", "phase_rank", "noise", "event_count", "step")
 
 
 @query(f"WITH {FE}, c AS (SELECT DISTINCT case_id FROM fe), m AS (SELECT DISTINCT case_id, technique FROM fe) SELECT case_id, 'intrusion-path-contradicts-entry-vector' AS code, 'blocker' AS severity, '' AS detail FROM c WHERE case_id <> 'C1' UNION ALL SELECT case_id, 'earliest-claim-on-unreliable-timeline', 'warning', '' FROM c WHERE case_id <> 'C0' UNION ALL SELECT case_id, 'technique-confirmed-and-unconfirmed', 'warning', 'T1190' FROM c UNION ALL SELECT case_id, 'demoted-technique-asserted-in-prose', 'warning', 'Web shell' FROM c WHERE case_id = 'C0' UNION ALL SELECT case_id, 'ungrounded-mention-in-exec-brief', 'warning', 'Rubeus' FROM c WHERE case_id = 'C2'")

@@ -294,10 +294,20 @@ def parse_iis_native(spark, sf_dir):
     return P.parse_iis_native(log_lines(spark, sf_dir, line), "Asia/Tokyo").select("line_no", "ts_utc", r["cs-uri-stem"].alias("stem"), r["cs-uri-query"].alias("query"))
 
 
-@query("SELECT event_id AS line_no, date_trunc('second', ts) AS ts_utc, 'collection_ok' AS event_type, 'C:\\' || event_type AS path FROM events")
+COLLECTION_LINES = ("[OK] [RAW] C:\\a% -> out/a% (% bytes, SHA256: ABCDEF%...)", "[SKIP] [API] C:\\b% — locked %", "[Fail] [API] C:\\c% - no rights", "[TOOL] [EXEC] Starting: t.exe -x % -> out/%", "[MATCH] [YARA] C:\\d% — rule_%", "[INFO] [-] done %", "[SCAN] [-] % files", "[OK] [RAW] C:\\e%", "no line %")
+
+
+@query(r"""WITH c AS (SELECT *, event_id % 9 AS i, CAST(event_id AS VARCHAR) AS n FROM events)
+SELECT event_id AS line_no, date_trunc('second', ts) - INTERVAL 9 HOUR AS ts_utc, ['evidence_collected','evidence_skipped','evidence_failed','tool_invoked','yara_match','collection_summary','scan_summary','evidence_collected'][i + 1] AS event_type,
+ ['RAW','API','API','EXEC','YARA','-','-','RAW'][i + 1] AS method,
+ CASE i WHEN 0 THEN 'C:\a' || n WHEN 1 THEN 'C:\b' || n WHEN 2 THEN 'C:\c' || n WHEN 4 THEN 'C:\d' || n END AS source_path,
+ CASE i WHEN 0 THEN 'out/a' || n WHEN 3 THEN 'out/' || n END AS dest_path, CASE i WHEN 0 THEN event_id END AS size_bytes, CASE i WHEN 0 THEN 'abcdef' || n END AS sha256,
+ CASE i WHEN 1 THEN 'locked ' || n WHEN 2 THEN 'no rights' END AS reason, CASE i WHEN 3 THEN 't.exe -x ' || n END AS command, CASE i WHEN 4 THEN 'rule_' || n END AS yara_rule,
+ CASE i WHEN 5 THEN 'done ' || n END AS summary, CASE i WHEN 6 THEN n || ' files' WHEN 7 THEN 'C:\e' || n END AS unparsed_body FROM c WHERE i < 8""")
 def parse_collection_log(spark, sf_dir):
-    line = F.concat(F.lit("["), F.date_format(stamp(), "yyyy-MM-dd HH:mm:ss"), F.lit("] [OK] [RAW] C:\\"), F.col("event_type"), F.lit(" -> out"))
-    return P.parse_collection_log(log_lines(spark, sf_dir, line)).select("line_no", "ts_utc", "event_type", "path")
+    body = F.element_at(F.array(*map(F.lit, COLLECTION_LINES)), (F.col("event_id") % len(COLLECTION_LINES)).cast("int") + 1)
+    line = F.concat(F.lit("["), F.date_format(stamp(), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+0900] "), F.replace(body, F.lit("%"), F.col("event_id").cast("string")))
+    return P.parse_collection_log(log_lines(spark, sf_dir, line)).drop("file", "status")
 
 
 @query("SELECT event_id AS line_no, CAST(event_id AS VARCHAR) AS offset, event_type AS value, props AS context FROM events")

@@ -6,18 +6,21 @@ from an earlier one (the W3C directive) is found by line number, not by reading
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import local_to_utc, split_uri
+from .tables import indexed
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_no, line of every text file: one row a file is split where it is read, so files should be of bounded size (rolled logs)."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line")).where("line != ''")
+    """file, line_no (from 0), line of every text file, blank lines left out. Files are read in blocks, and numbered by them."""
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    numbered = indexed(lines.withColumn("_row", F.monotonically_increasing_id()))
+    return numbered.where("line != ''").select(F.col("_file").alias("file"), F.col("_i").cast("long").alias("line_no"), "line")
 
 
+# Shapes of web and error log lines, and the columns of the web server's own format.
 NCSA = r'^(\S+)\s+\S+\s+(\S+)\s+\[([^\]]+)\]\s+"([^"]*)"\s+(\d{3}|-)\s+(\d+|-)(?:\s+"([^"]*)"\s+"([^"]*)")?'
 IIS_FIELDS = ("c-ip", "cs-username", "date", "time", "s-sitename", "s-computername", "s-ip", "time-taken", "cs-bytes", "sc-bytes", "sc-status", "sc-win32-status", "cs-method", "cs-uri-stem", "cs-uri-query")
 APACHE = r"^\[([A-Z][a-z]{2} [A-Z][a-z]{2} [ \d]\d [\d:.]+ \d{4})\]\s+\[([^\]]+)\]\s+(?:\[pid[^\]]*\]\s+)?(?:\[client ([^\]]+)\]\s+)?(.*)$"
@@ -44,9 +47,11 @@ def detect_error_format(lines: DataFrame) -> DataFrame:
 
 def parse_w3c_log(lines: DataFrame) -> DataFrame:
     """file, line_no, ts_utc, row (field -> value): fields by the last directive before the line; short rows are padded with '-', what is over joins the last field."""
-    order = Window.partitionBy("file").orderBy("line_no")
-    fields = F.when(F.col("line").startswith("#Fields:"), F.split(F.trim(F.substring("line", 9, 100000)), r"\s+"))
-    rows = lines.withColumn("f_", F.last(fields, ignorenulls=True).over(order)).where(~F.col("line").startswith("#") & F.col("f_").isNotNull())
+    fields = F.split(F.trim(F.substring("line", 9, 100000)), r"\s+").alias("names")
+    told = lines.where(F.col("line").startswith("#Fields:")).select("file", F.struct(F.col("line_no").alias("at"), fields).alias("d"))
+    directives = told.groupBy("file").agg(F.array_sort(F.collect_list("d")).alias("all_"))  # one for each start of the server
+    last = F.try_element_at(F.filter("all_", lambda d: d["at"] < F.col("line_no")), F.lit(-1))["names"]
+    rows = lines.where(~F.col("line").startswith("#")).join(directives, "file").withColumn("f_", last).where(F.col("f_").isNotNull())
     n, parts = F.size("f_"), F.split("line", " ")
     padded = F.concat(parts, F.array_repeat(F.lit("-"), F.greatest(F.lit(0), n - F.size(parts))))
     folded = F.when(F.size(parts) > n, F.concat(F.slice(parts, F.lit(1), n - 1), F.array(F.array_join(F.slice(parts, n, F.size(parts)), " ")))).otherwise(padded)
@@ -101,15 +106,65 @@ def parse_tomcat_log(lines: DataFrame, zone: str = "UTC") -> DataFrame:
     return _error(lines, TOMCAT, "tomcat", _time(g(1), "dd-MMM-yyyy HH:mm:ss.SSS"), F.lower(g(2)), F.lit("-"), g(4), zone)
 
 
-COLLECTED = r"^\[([^\]]+)\]\s+\[([^\]]+)\]\s+(?:\[([^\]]+)\]\s+)?(.*)$"
+# The line of a collection log, the bodies of its statuses, and their event types.
+COLLECTED = r"^\[([^\]]+)\]\s+\[([^\]]+)\]\s+\[([^\]]+)\]\s+(.*)$"
+BODY_OK = r"^(.+?)\s+->\s+(.+?)\s+\((\d+)\s+bytes,\s+SHA256:\s+([0-9a-fA-F]+)\.*\s*\)\s*$"
+BODY_SKIPPED = r"^(.+?)\s+(?:—|--|-)\s+(.+)$"
+BODY_TOOL = r"^Starting:\s+(.+?)\s+->\s+(.+)$"
+BODY_MATCH = r"^(.+?)\s+—\s+(.+)$"
+COLLECTION_TYPES = {
+    "OK": "evidence_collected",
+    "SKIP": "evidence_skipped",
+    "FAIL": "evidence_failed",
+    "TOOL": "tool_invoked",
+    "MATCH": "yara_match",
+    "INFO": "collection_summary",
+    "SCAN": "scan_summary",
+}
 
 
 def parse_collection_log(lines: DataFrame) -> DataFrame:
-    """[time] [STATUS] [METHOD] body; lines of another shape are dropped. The body's path is what stands before ' -> ', ' (' or ': '."""
-    g = lambda i: F.regexp_extract("line", COLLECTED, i)
-    status = F.lower(F.trim(g(2)))
-    path = F.trim(F.when(status.isin("error", "fail", "failed"), F.regexp_extract(g(4), r"^(.*?)(?:: .*)?$", 1)).otherwise(F.regexp_extract(g(4), r"^(.*?)(?: -> .*| \(.*)?$", 1)))
-    return lines.where(F.col("line").rlike(COLLECTED)).select("file", "line_no", F.try_to_timestamp(F.regexp_replace(g(1), "T", " ")).cast("timestamp_ntz").alias("ts_utc"), F.concat(F.lit("collection_"), status).alias("event_type"), g(3).alias("method"), path.alias("path"), g(4).alias("body"))
+    """[time] [STATUS] [METHOD] body; lines of another shape are dropped.
+
+    The body is read by status: OK source_path, dest_path, size_bytes and sha256; SKIP and FAIL source_path and reason; TOOL
+    command and dest_path; MATCH source_path and yara_rule; INFO summary. A body of another shape or status is unparsed_body.
+    Times with an offset become UTC; other statuses are collection_<status>.
+    """
+    rows = lines.where(F.col("line").rlike(COLLECTED))
+    part = lambda i: F.trim(F.regexp_extract("line", COLLECTED, i))
+    status, body = F.upper(part(2)), part(4)
+    kind = F.concat(F.lit("collection_"), F.lower(status))
+    for name, event_type in COLLECTION_TYPES.items():
+        kind = F.when(status == name, event_type).otherwise(kind)
+    shapes = [("OK", BODY_OK), ("SKIP", BODY_SKIPPED), ("FAIL", BODY_SKIPPED), ("TOOL", BODY_TOOL), ("MATCH", BODY_MATCH)]
+    met = status == "INFO"
+    for name, pattern in shapes:
+        met = met | ((status == name) & body.rlike(pattern))
+
+    def piece(*places: tuple[str, str, int]) -> Column:
+        out = F.lit(None).cast("string")
+        for name, pattern, i in places:
+            out = F.when((status == name) & body.rlike(pattern), F.regexp_extract(body, pattern, i)).otherwise(out)
+        return out
+
+    offset = F.regexp_replace(part(1), r"([+-]\d{2})(\d{2})$", "$1:$2")
+    return rows.select(
+        "file",
+        "line_no",
+        F.try_to_timestamp(offset).cast("timestamp_ntz").alias("ts_utc"),
+        kind.alias("event_type"),
+        part(2).alias("status"),
+        part(3).alias("method"),
+        piece(("OK", BODY_OK, 1), ("SKIP", BODY_SKIPPED, 1), ("FAIL", BODY_SKIPPED, 1), ("MATCH", BODY_MATCH, 1)).alias("source_path"),
+        piece(("OK", BODY_OK, 2), ("TOOL", BODY_TOOL, 2)).alias("dest_path"),
+        piece(("OK", BODY_OK, 3)).cast("long").alias("size_bytes"),
+        F.lower(piece(("OK", BODY_OK, 4))).alias("sha256"),
+        piece(("SKIP", BODY_SKIPPED, 2), ("FAIL", BODY_SKIPPED, 2)).alias("reason"),
+        piece(("TOOL", BODY_TOOL, 1)).alias("command"),
+        piece(("MATCH", BODY_MATCH, 2)).alias("yara_rule"),
+        F.when(status == "INFO", body).alias("summary"),
+        F.when(~met, body).alias("unparsed_body"),
+    )
 
 
 def parse_feature_files(lines: DataFrame) -> DataFrame:

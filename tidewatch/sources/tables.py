@@ -46,11 +46,17 @@ EVTX_COLUMNS = ("EventId", "Channel", "Provider", "Level", "UserId", "MapDescrip
 AMCACHE_TIMES = {"ProgramEntries": "KeyLastWriteTimestamp", "UnassociatedFileEntries": "FileKeyLastWriteTimestamp", "AssociatedFileEntries": "FileKeyLastWriteTimestamp", "DriverBinaries": "KeyLastWriteTimestamp", "DevicePnps": "KeyLastWriteTimestamp", "ShortCuts": "KeyLastWriteTimestamp"}
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSVs (a byte-order mark goes) as text columns, with file and a row index over the files in order."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    raw = raw.toDF(*[c.lstrip("﻿") for c in raw.columns])
-    return raw.withColumn("_file", F.input_file_name()).withColumn("_row", F.monotonically_increasing_id())
+#: Columns that place a row: its file, the offset of its block there, and an ascending number within the block.
+PLACE = ("_file", "_block", "_row")
+#: Tools whose cells hold line breaks. Their files cannot be split; all others are read in blocks.
+BROKEN_LINES = ("evtx", "hayabusa", "registry", "prefetch", "amcache")
+
+
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Header CSVs (a byte-order mark goes) as text columns, with each row's place."""
+    raw = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
+    placed = raw.select(*[F.col(f"`{c}`").alias(c.lstrip("﻿")) for c in raw.columns], F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    return placed.withColumn("_row", F.monotonically_increasing_id())
 
 
 def _first_time(df: DataFrame, names: tuple[str, ...]) -> Column:
@@ -58,25 +64,36 @@ def _first_time(df: DataFrame, names: tuple[str, ...]) -> Column:
     return F.coalesce(*have) if have else F.lit(None).cast("timestamp_ntz")
 
 
-def _indexed(df: DataFrame) -> DataFrame:
-    """A running index within each file: position in the file comes first by its partition offset."""
-    return df.withColumn("_i", F.row_number().over(Window.partitionBy("_file").orderBy("_row")) - 1)
+def indexed(df: DataFrame) -> DataFrame:
+    """_i: the row's number within its file: the rows of the blocks before it, and its number within its own block.
+
+    No task holds more than a block of a file. Tables without blocks count as one block a file.
+    """
+    rows = df if "_block" in df.columns else df.withColumn("_block", F.lit(0).cast("long"))
+    sizes = rows.groupBy("_file", "_block").agg(F.count("*").alias("n_"))
+    before = F.coalesce(F.sum("n_").over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_row"))
+    return rows.withColumn("own_", own).join(sizes.select("_file", "_block", before.alias("before_")), ["_file", "_block"]).withColumn("_i", F.col("before_") + F.col("own_") - 1).drop("own_", "before_")
+
+
+def _own(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c not in PLACE]
 
 
 def normalize_csv(df: DataFrame, spec: CsvSpec, case: str, evidence: str, payload: Column | None = None, event_type: Column | None = None, ts: Column | None = None) -> DataFrame:
     """Rows of read_csv, or any table of text columns with _file and _row, as events of the spec: the whole row is the payload."""
-    own = [c for c in df.columns if c not in ("_file", "_row")]
+    own = _own(df)
     computer = F.col(f"`{spec.computer}`") if spec.computer in own else F.lit("")
-    rows = _indexed(df)
+    rows = indexed(df)
     return make_event(rows, case=F.lit(case), evidence=F.lit(evidence), artifact=F.lit(spec.artifact), index=F.col("_i"), ts=_first_time(df, spec.times) if ts is None else ts, event_type=F.lit(spec.event_type) if event_type is None else event_type, computer=computer, payload=F.struct(*[F.col(f"`{c}`") for c in own]) if payload is None else payload)
 
 
 def read_tool_csv(spark: SparkSession, path: str, artifact: str, case: str, evidence: str) -> DataFrame:
-    return normalize_csv(read_csv(spark, path), SPECS[artifact], case, evidence)
+    return normalize_csv(read_csv(spark, path, artifact in BROKEN_LINES), SPECS[artifact], case, evidence)
 
 
 def normalize_evtx(df: DataFrame, case: str, evidence: str) -> DataFrame:
-    own = [c for c in df.columns if c not in ("_file", "_row")]
+    own = _own(df)
     raw = F.struct(*[F.col(f"`{c}`") for c in own]).alias("raw")
     return normalize_csv(df, SPECS["evtx"], case, evidence, F.struct(*[F.col(c) for c in EVTX_COLUMNS if c in own], raw))
 
@@ -86,7 +103,7 @@ def normalize_hayabusa(df: DataFrame, case: str, evidence: str) -> DataFrame:
 
 
 def normalize_registry(df: DataFrame, case: str, evidence: str) -> DataFrame:
-    own = [c for c in df.columns if c not in ("_file", "_row")]
+    own = _own(df)
     get = lambda c: F.col(c) if c in own else F.lit("")
     hints = registry_tactic_hints(get("Category"), get("KeyPath"), get("ValueName")).alias("tactic_hints")
     return normalize_csv(df, SPECS["registry"], case, evidence, F.struct(*[F.col(f"`{c}`") for c in own], hints))
@@ -102,7 +119,7 @@ def _table_of(file: Column) -> Column:
 
 def normalize_amcache(df: DataFrame, case: str, evidence: str) -> DataFrame:
     """The table in the file's name picks the time column; it is added to the payload."""
-    own = [c for c in df.columns if c not in ("_file", "_row")]
+    own = _own(df)
     ts = F.lit(None).cast("timestamp_ntz")
     for table, col in AMCACHE_TIMES.items():
         if col in own:
@@ -120,7 +137,7 @@ def explode_prefetch_runs(df: DataFrame, case: str, evidence: str) -> DataFrame:
     """One event for each execution: LastRun always, PreviousRun0 to 6 where they are times."""
     runs = [("LastRun", True)] + [(f"PreviousRun{i}", False) for i in range(7)]
     each = F.array(*[F.struct(F.lit(n).alias("kind"), any_time(F.col(n)).alias("ts"), F.lit(a).alias("always")) for n, a in runs if n in df.columns])
-    rows = _indexed(df).withColumn("r_", F.explode(F.filter(each, lambda x: x["always"] | x["ts"].isNotNull())))
+    rows = indexed(df).withColumn("r_", F.explode(F.filter(each, lambda x: x["always"] | x["ts"].isNotNull())))
     get = lambda c: (F.col(c) if c in df.columns else F.lit("")).alias
     payload = F.struct(get("ExecutableName")("executable"), get("Hash")("hash"), get("Size")("size_bytes"), get("RunCount")("run_count"), get("FilesLoaded")("files_loaded"), F.col("r_.kind").alias("run_kind"))
     return make_event(rows, case=F.lit(case), evidence=F.lit(evidence), artifact=F.lit("prefetch"), index=F.concat_ws(":", F.col("_i").cast("string"), F.col("r_.kind")), ts=F.col("r_.ts"), event_type=F.lit("prefetch_run"), computer=F.lit(""), payload=payload)
