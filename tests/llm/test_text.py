@@ -36,6 +36,15 @@ def test_bpe_matches_the_library(make, corpus):
     assert bpe.bpe_encode(make([]), PATH).count() == 0
 
 
+@pytest.mark.parametrize(("stretch", "new"), [(1, 10**6), (1 << 30, 40)])
+def test_short_stretches_change_nothing(make, corpus, stretch, new, monkeypatch):
+    want = sorted(map(str, bpe.bpe_digests(make(corpus), PATH).collect()))
+    monkeypatch.setattr(bpe, "STRETCH", stretch)
+    monkeypatch.setattr(bpe, "NEW_WORDS", new)
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 50)
+    assert sorted(map(str, bpe.bpe_digests(make(corpus), PATH).collect())) == want
+
+
 def test_full_word_tables_change_nothing(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
     v, lib = bpe.Vocabulary(open(PATH, "rb").read()), Tokenizer.from_file(PATH)

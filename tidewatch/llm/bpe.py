@@ -5,9 +5,9 @@ truncation or padding. Special strings inside a text become their special id, as
 Null and empty texts have no tokens. Rows are coded one by one: repeated rows and null ids pass, in the order of the input's
 partitions; columns but the id and the text, of any name, are ignored; empty tables give no rows.
 
-A partition is read in slices of at most 2 MB of text. The index covers all words of a slice that the task has not coded yet,
-once each: an index over a whole partition of 128 MB would need some twenty times that in one Python process, and since no
-pair crosses a word, the ids are the same.
+The index covers a stretch of a partition: texts are held, in Arrow, until they come to STRETCH bytes or NEW_WORDS words that
+the task has not coded yet. A partition of the usual size is one such stretch; a longer one is walked in several, so that
+memory stays bounded, and since no pair crosses a word the ids are the same.
 """
 
 from __future__ import annotations
@@ -18,16 +18,22 @@ import heapq
 import itertools
 import json
 import unicodedata
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import TASK_TABLES, map_columns
+from .common import TASK_TABLES, map_columns, pieces, task_memory
 
 #: Words whose codes, or counts, a task keeps at most, and characters of the longest.
 CACHE_WORDS, CACHE_LONGEST = 60_000, 40
+#: Bytes of text, and words not coded yet, that one index covers.
+STRETCH, NEW_WORDS = 16 << 20, 30_000
 
 
 def byte_symbols() -> list[str]:
@@ -74,7 +80,8 @@ class Vocabulary:
         self.coded: dict[str, tuple[bytes, str]] = {}
         self.chunks: dict[str, int] = {}
         self.words: dict[str, int] = {}
-        TASK_TABLES.extend((self.coded, self.chunks, self.words))
+        self.extra: dict[str, tuple[bytes, str]] = {}
+        TASK_TABLES.extend((self.coded, self.extra, self.chunks, self.words))
 
     def segments(self, text: str) -> list[tuple[str, bool]]:
         """Pieces of a text, and whether each is a special string."""
@@ -99,14 +106,14 @@ class Vocabulary:
         raw = [w.encode() for w in words]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         ends = np.cumsum(sizes + 1)  # a gap after each word
-        symbols = np.full(int(ends[-1]), -1, np.int64)
+        symbols = np.full(int(ends[-1]), -1, np.int32)
         flat = np.frombuffer(b"\0".join(raw) + b"\0", np.uint8)
         gap = np.zeros(len(symbols), bool)
         gap[ends - 1] = True
         symbols[~gap] = self.inner[flat[~gap]]
         symbols[ends - 2] = self.last[flat[ends - 2]]
-        after = np.arange(1, len(symbols) + 1)
-        before = np.arange(-1, len(symbols) - 1)
+        after = np.arange(1, len(symbols) + 1, dtype=np.int32)
+        before = np.arange(-1, len(symbols) - 1, dtype=np.int32)
         index: dict[int, list[np.ndarray]] = {}
         active: list[int] = []
         rank_of = self.ranks
@@ -115,7 +122,7 @@ class Vocabulary:
             """Enters the pairs that begin at these positions."""
             if not len(at):
                 return
-            keys = symbols[at] << 32 | symbols[after[at]]
+            keys = symbols[at].astype(np.int64) << 32 | symbols[after[at]]
             order = np.argsort(keys, kind="stable")
             keys, at = keys[order], at[order]
             cuts = np.flatnonzero(np.diff(keys)) + 1
@@ -155,35 +162,42 @@ class Vocabulary:
         live = symbols >= 0
         return symbols[live], [0, *np.cumsum(live)[ends - 1].tolist()]
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """(ids as little-endian unsigned 32-bit integers, decoded text) of each text."""
-        parts = [[([t], True) if special else (self.blanks(t), False) for t, special in self.segments(text)] for text in texts]
-        fresh = set()
-        for p in parts:
-            for chunks, special in p:
+    def unknown(self, texts: list[str]) -> set[str]:
+        """The pieces between white space that have no codes yet."""
+        out: set[str] = set()
+        for text in texts:
+            for segment, special in self.segments(text):
                 if not special:
-                    fresh.update(chunks)
-        fresh -= self.coded.keys()
-        split = {c: (c,) if c.isalpha() else self.word.findall(c) for c in fresh}
+                    out.update(self.blanks(segment))
+        return out - self.coded.keys()
+
+    def learn(self, pieces_: set[str]) -> None:
+        """Codes of all these pieces by one index. They stay for the task while its table has room, else until the next call."""
+        split = {c: (c,) if c.isalpha() else self.word.findall(c) for c in pieces_}
         words = list({w for ws in split.values() for w in ws} - self.coded.keys())
         new = dict(zip(words, self.coded_words(words), strict=True))
         of = {}
         for c, ws in split.items():
             got = [new.get(w) or self.coded[w] for w in ws]
             of[c] = got[0] if len(got) == 1 else (b"".join([g[0] for g in got]), " ".join([g[1] for g in got]))
-        known = self.coded
-        room = CACHE_WORDS - len(known)  # frequent words come early; what comes once the table is full is coded batch by batch
-        known.update(itertools.islice(((c, got) for c, got in of.items() if len(c) <= CACHE_LONGEST), max(0, room)))
-        out = []
-        for p in parts:
-            got = []
-            for chunks, special in p:
-                if special:
-                    got.append((self.special[chunks[0]].to_bytes(4, "little"), chunks[0]))
-                else:
-                    got += [of[c] if c in of else known[c] for c in chunks] if of else map(known.__getitem__, chunks)
-            out.append((b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])))
-        return out
+        room = CACHE_WORDS - len(self.coded)  # frequent words come early
+        self.coded.update(itertools.islice(((c, got) for c, got in of.items() if len(c) <= CACHE_LONGEST), max(0, room)))
+        self.extra.clear()
+        self.extra.update((c, got) for c, got in of.items() if c not in self.coded)
+
+    def put_together(self, text: str) -> tuple[bytes, str]:
+        """(ids as little-endian unsigned 32-bit integers, decoded text) of a text whose pieces all have codes."""
+        known, extra, got = self.coded, self.extra, []
+        for segment, special in self.segments(text):
+            if special:
+                got.append((self.special[segment].to_bytes(4, "little"), segment))
+            else:
+                got += [known.get(c) or extra[c] for c in self.blanks(segment)]
+        return b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        self.learn(self.unknown(texts))
+        return [self.put_together(t) for t in texts]
 
     def coded_words(self, words: list[str]) -> list[tuple[bytes, str]]:
         ids, cuts = self.encode_words(words)
@@ -263,24 +277,48 @@ def vocabulary_loader(df: DataFrame, path: str, use: str):
     return lambda: _vocabulary(content.value, use)
 
 
+def coded_rows(df: DataFrame, path: str, id_col: str, text_col: str, schema: str, finish: Callable[[list], list]) -> DataFrame:
+    """Rows of schema: the id, and what finish makes of the codes of all rows of a slice. Each stretch of a partition has one index."""
+    setup = vocabulary_loader(df, path, "encode")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with task_memory():
+            vocabulary = setup()
+            held: list[pa.RecordBatch] = []
+            fresh: set[str] = set()
+            size = 0
+            for batch in itertools.chain(batches, [None]):
+                for part in pieces(batch) if batch is not None else ():
+                    held.append(part)
+                    size += part.nbytes
+                    fresh |= vocabulary.unknown([t or "" for t in part.column(1).to_pylist()])
+                if held and (batch is None or size >= STRETCH or len(fresh) >= NEW_WORDS):
+                    vocabulary.learn(fresh)
+                    for part in held:
+                        columns = finish([vocabulary.put_together(t or "") for t in part.column(1).to_pylist()])
+                        yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, f.type) for c, f in zip(columns, arrow[1:], strict=True)]], schema=pa.schema(arrow))
+                    held, fresh, size = [], set(), 0
+
+    arrow = list(to_arrow_schema(StructType.fromDDL(schema), prefers_large_types=False))
+    return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, schema)
+
+
 def bpe_encode(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids (array of int), decoded text of every whole text, in the order of the input's partitions."""
 
-    def run(vocabulary: Vocabulary, ids: list, texts: list) -> list:
-        coded = vocabulary.encode([t or "" for t in texts])
-        return [ids, [len(b) // 4 for b, _ in coded], [np.frombuffer(b, "<u4").astype(np.int32) for b, _ in coded], [t for _, t in coded]]
+    def finish(coded: list) -> list:
+        return [[len(b) // 4 for b, _ in coded], [np.frombuffer(b, "<u4").astype(np.int32) for b, _ in coded], [t for _, t in coded]]
 
-    return map_columns(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n_tokens long, ids array<int>, decoded string", vocabulary_loader(df, path, "encode"))
+    return coded_rows(df, path, id_col, text_col, "doc_id long, n_tokens long, ids array<int>, decoded string", finish)
 
 
 def bpe_digests(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As bpe_encode, with SHA-256 digests of the ids and of the decoded text in place of both (made where they are)."""
 
-    def run(vocabulary: Vocabulary, ids: list, texts: list) -> list:
-        coded = vocabulary.encode([t or "" for t in texts])
-        return [ids, [len(b) // 4 for b, _ in coded], [hashlib.sha256(b).hexdigest() for b, _ in coded], [hashlib.sha256(t.encode()).hexdigest() for _, t in coded]]
+    def finish(coded: list) -> list:
+        return [[len(b) // 4 for b, _ in coded], [hashlib.sha256(b).hexdigest() for b, _ in coded], [hashlib.sha256(t.encode()).hexdigest() for _, t in coded]]
 
-    return map_columns(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", vocabulary_loader(df, path, "encode"))
+    return coded_rows(df, path, id_col, text_col, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", finish)
 
 
 def token_counts(df: DataFrame, path: str, *, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
