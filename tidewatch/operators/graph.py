@@ -31,10 +31,25 @@ def link_components(links: DataFrame, left: str, right: str, most_rounds: int =
     return labels.select(F.col("l").alias(left), F.col("c").alias("component"))
 
 
-def finding_components(findings: DataFrame) -> DataFrame:
-    """Groups of findings that share an audit id: component, members, representative (highest confidence x 100 + evidence), other tactics, audit ids."""
+def component_evidence(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(finding_id, component of every finding; component, audit_id of every cited event): findings that share an audit id are linked."""
     cited = findings.select("finding_id", F.explode("evidence").alias("e")).select("finding_id", F.col("e.audit_id").alias("audit_id"))
-    labels = findings.select("finding_id").join(link_components(cited, "finding_id", "audit_id"), "finding_id", "left").withColumn("component", F.coalesce("component", "finding_id"))
+    linked = link_components(cited, "finding_id", "audit_id")
+    labels = findings.select("finding_id").join(linked, "finding_id", "left").select("finding_id", F.coalesce("component", "finding_id").alias("component"))
+    return labels, cited.join(labels, "finding_id").select("component", "audit_id").distinct()
+
+
+def finding_components(findings: DataFrame) -> DataFrame:
+    """Groups of findings that share an audit id: component, members, representative, tactics and number of audit ids.
+
+    The representative has the highest confidence x 100 + evidence, ties to the smallest id. Members and audit ids stay rows
+    (component_evidence), since one group may hold most of a case; the tactics are a short list by nature.
+    """
+    labels, cited = component_evidence(findings)
     score = F.coalesce(F.col("confidence"), F.lit(0.0)) * 100 + F.size("evidence")
-    rows = findings.join(labels, "finding_id").withColumn("score", score)
-    return rows.groupBy("component").agg(F.count("*").alias("members"), F.min_by("finding_id", F.struct(-F.col("score"), F.col("finding_id"))).alias("representative"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("tactics")))).alias("tactics"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("evidence", lambda e: e["audit_id"]))))).alias("audit_ids"))
+    rows = findings.select("finding_id", "tactics", score.alias("score")).join(labels, "finding_id")
+    best = F.min_by("finding_id", F.struct(-F.col("score"), F.col("finding_id"))).alias("representative")
+    groups = rows.groupBy("component").agg(F.count("*").alias("members"), best)
+    tactics = rows.select("component", F.explode("tactics").alias("t")).distinct().groupBy("component").agg(F.array_sort(F.collect_list("t")).alias("tactics"))
+    ids = cited.groupBy("component").agg(F.count("*").alias("n_audit_ids"))
+    return groups.join(tactics, "component", "left").join(ids, "component", "left").fillna(0, ["n_audit_ids"])

@@ -15,6 +15,7 @@ from ..model import EVENTS_SQL, make_event, row_index, shared_folder, table, uni
 from ..operators import aggregates as A
 from ..operators import checks as C
 from ..operators import filters as L
+from ..operators import graph as G
 from ..operators import joins as J
 from ..operators import rules as R
 from ..operators import sessions as W
@@ -699,6 +700,16 @@ def check_report_consistency(spark, sf_dir):
     return C.check_report_consistency(cases, t, t, f)
 
 
+@query(f"""WITH RECURSIVE {FE}, q AS (SELECT finding_id, tactic, k, CASE WHEN k % 7 = 0 THEN audit_id ELSE 'k' || CAST(k % 10 AS VARCHAR) || '-' || computer END AS a FROM fe), e AS (SELECT DISTINCT finding_id AS o, a FROM q),
+c(o, m) USING KEY (o) AS (SELECT o, o FROM (SELECT DISTINCT o FROM e) UNION SELECT y.o, min(c.m) FROM c JOIN e x ON x.o = c.o JOIN e y ON y.a = x.a JOIN recurring.c AS r ON r.o = y.o WHERE c.m < r.m GROUP BY y.o)
+SELECT m AS component, count(DISTINCT o) AS members, string_agg(DISTINCT tactic, ',' ORDER BY tactic) AS tactics, count(DISTINCT a) AS n_audit_ids FROM c JOIN q ON q.finding_id = c.o GROUP BY 1""")
+def finding_components_shared(spark, sf_dir):
+    """Findings whose evidence is shared by host and k, but for every seventh k, whose findings stand alone."""
+    shared = lambda x: F.concat(F.lit("k"), (F.col("n") % 10).cast("string"), F.lit("-"), x["extra"]["Computer"])
+    f = reviewed(spark, sf_dir).withColumn("evidence", F.transform("evidence", lambda x: x.withField("audit_id", F.when(F.col("n") % 7 == 0, x["audit_id"]).otherwise(shared(x)))))
+    return G.finding_components(f).select("component", "members", F.array_join("tactics", ",").alias("tactics"), "n_audit_ids")
+
+
 # ---- sinks ---------------------------------------------------------------------------------------------------------
 
 
