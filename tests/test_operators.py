@@ -243,3 +243,18 @@ def test_values_of_tactics_and_tasks(spark):
     odd = {"powershell -e AA": True, "powershell Get-Date": False, "x -w  hidden": True, "IEX (y)": True, "MSHTA http://h": True, "C:\\ProgramData\\x.exe": True, "regsvr32 a": True, "rundll32 a": False}
     assert {k: "TA0005" in one(spark, S.task_hints(actions(k), c), a="alice") for k in odd} == odd
     assert "TA0004" in one(spark, S.task_hints(actions("x"), c), a="local system") and "TA0004" not in one(spark, S.task_hints(actions("x"), c), a="system32")
+
+
+def test_tasks_and_modules(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "Up.xml").write_text('<?xml version="1.0"?><Task xmlns="http://schemas.microsoft.com/windows/2004/02/mit/task"><RegistrationInfo><Date>2026-01-01T00:00:00</Date><Author>me</Author></RegistrationInfo><Triggers><LogonTrigger><Enabled>true</Enabled></LogonTrigger><TimeTrigger><StartBoundary>2026-01-02</StartBoundary></TimeTrigger></Triggers><Principals><Principal><UserId> </UserId></Principal><Principal><UserId>bob</UserId></Principal></Principals><Actions><Exec><Command>a.exe</Command><WorkingDirectory>C:\\w</WorkingDirectory></Exec><ComHandler><ClassId>{1}</ClassId></ComHandler></Actions></Task>')
+    r = T.normalize_tasks(spark, f"{tmp_path}/t").head()
+    assert (r.task_name, r.author, r.run_as, r.ts_utc) == ("Up", "me", "bob", datetime(2026, 1, 1))
+    assert sorted((t.type, t.start_boundary, t.enabled) for t in r.triggers) == [("LogonTrigger", "", "true"), ("TimeTrigger", "2026-01-02", "")]
+    assert [(a.type, a.command, a.working_directory, a.class_id) for a in r.actions] == [("Exec", "a.exe", "C:\\w", None), ("ComHandler", None, None, "{1}")]
+    (tmp_path / "m.config").write_text('<configuration><system.webServer><globalModules><add name="n" image="%windir%\\x.dll" preCondition="b64"/></globalModules><modules><add name="n"/><add name="m" type="T.M"/></modules></system.webServer><location path="site"><system.webServer><modules><add name="l" type="T.L"/></modules></system.webServer></location></configuration>')
+    got = sorted((m.module_name, m.module_kind, m.image_expanded, m.precondition, m.location_path) for m in T.normalize_iis_modules(spark, f"{tmp_path}/m.config").collect())
+    assert got == [("l", "managed", "T.L", "", ""), ("l", "managed", "T.L", "", "site"), ("m", "managed", "T.M", "", ""), ("n", "native", "C:\\Windows\\x.dll", "b64", "")]
+    df = spark.createDataFrame([(5, 1767225600, 0, "f", 0), (77, 0, 1767225601, "f", 1)], "ActivityType int, StartTime long, LastModifiedTime long, _file string, _row long")
+    events = T.activity_events(df, "c", "e").orderBy("ts_utc").collect()
+    assert [(e.artifact_id, e.ts_utc.second, '"activity_type":"' in e.payload_json, len(e.audit_id)) for e in events] == [("win10timeline", 0, True, 32), ("win10timeline", 1, True, 32)]

@@ -179,31 +179,92 @@ def browser_visits_firefox(history: DataFrame, places: DataFrame) -> DataFrame:
     return v.join(u, "place_id").join(came, "from_visit", "left").select("visit_id", prtime_ts(F.col("visit_date")).alias("ts_utc"), "url", "title", "visit_count", "typed_count", _decoded(F.col("visit_type"), FIREFOX).alias("transition"), "referrer_url")
 
 
-def normalize_activities(df: DataFrame) -> DataFrame:
-    """Activity rows (ActivityType, StartTime, LastModifiedTime, in seconds) with decoded type and time."""
-    when = F.coalesce(F.when(F.col("StartTime") > 0, F.col("StartTime")), F.when(F.col("LastModifiedTime") > 0, F.col("LastModifiedTime")))
-    return df.withColumn("activity", _decoded(F.col("ActivityType"), ACTIVITY)).withColumn("ts_utc", F.timestamp_seconds(when).cast("timestamp_ntz"))
+# The kinds of triggers and actions of a scheduled task, and the fields of each.
+TRIGGERS = ("BootTrigger", "RegistrationTrigger", "IdleTrigger", "TimeTrigger", "EventTrigger", "LogonTrigger", "SessionStateChangeTrigger", "CalendarTrigger", "WnfStateChangeTrigger")
+TRIGGER_FIELDS = {"start_boundary": "StartBoundary", "enabled": "Enabled", "execution_time_limit": "ExecutionTimeLimit"}
+TASK_ACTIONS = {
+    "Exec": {"command": "Command", "arguments": "Arguments", "working_directory": "WorkingDirectory"},
+    "ComHandler": {"class_id": "ClassId", "data": "Data"},
+    "SendEmail": {"to": "To", "subject": "Subject"},
+}
+
+
+def _kinds_schema(kinds: dict[str, tuple[str, ...]]) -> str:
+    return ",".join(f"{kind}:array<struct<{','.join(f'{f}:string' for f in fields)}>>" for kind, fields in kinds.items())
 
 
-TASK_XML = "RegistrationInfo struct<Author:string,Date:string>, Principals struct<Principal:struct<UserId:string,RunLevel:string>>, Actions struct<Exec:array<struct<Command:string,Arguments:string>>,ComHandler:array<struct<ClassId:string>>,SendEmail:array<struct<To:string>>>"
+TASK_XML = (
+    "RegistrationInfo struct<Author:string,Date:string,Description:string>, Principals struct<Principal:array<struct<UserId:string>>>, "
+    f"Triggers struct<{_kinds_schema({t: tuple(TRIGGER_FIELDS.values()) for t in TRIGGERS})}>, "
+    f"Actions struct<{_kinds_schema({t: tuple(f.values()) for t, f in TASK_ACTIONS.items()})}>"
+)
+
+
+def _entries(parent: str, kinds: dict[str, dict[str, str]]) -> Column:
+    """One array over all kinds of children: type and the fields of any kind, '' where the child lacks one, null where its kind does."""
+    names = list(dict.fromkeys(n for fields in kinds.values() for n in fields))
+    empty = F.array().cast(f"array<struct<type:string,{','.join(f'{n}:string' for n in names)}>>")
+
+    def made(kind: str, fields: dict[str, str]) -> Column:
+        field = lambda x, n: (F.coalesce(F.trim(x[fields[n]]), F.lit("")) if n in fields else F.lit(None).cast("string")).alias(n)
+        return F.coalesce(F.transform(F.col(f"{parent}.{kind}"), lambda x: F.struct(F.lit(kind).alias("type"), *[field(x, n) for n in names])), empty)
+
+    return F.concat(*[made(kind, fields) for kind, fields in kinds.items()])
 
 
 def normalize_tasks(spark: SparkSession, path: str) -> DataFrame:
-    """Scheduled-task XML: task_name, run_as, actions (type, command, arguments), hints, ts_utc (registration date)."""
+    """Scheduled-task XML: task_name, author, description, run_as (the first principal with one), triggers, actions, hints, ts_utc (registration date).
+
+    Triggers and actions come kind by kind, in their order within a kind.
+    """
     raw = spark.read.format("xml").option("rowTag", "Task").schema(TASK_XML).load(path).withColumn("file", F.input_file_name())
-    none = F.array().cast("array<struct<type:string,command:string,arguments:string>>")
-    made = lambda col, kind, c, a: F.coalesce(F.transform(F.col(col), lambda x: F.struct(F.lit(kind).alias("type"), x[c].alias("command"), (x[a] if a else F.lit(None).cast("string")).alias("arguments"))), none)
-    out = raw.select(F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.xml$", "").alias("task_name"), F.col("Principals.Principal.UserId").alias("run_as"), F.concat(made("Actions.Exec", "Exec", "Command", "Arguments"), made("Actions.ComHandler", "ComHandler", "ClassId", None), made("Actions.SendEmail", "SendEmail", "To", None)).alias("actions"), any_time(F.col("RegistrationInfo.Date")).alias("ts_utc"))
+    text = lambda c: F.coalesce(F.trim(F.col(c)), F.lit(""))
+    users = F.filter(F.transform("Principals.Principal", lambda p: F.trim(p["UserId"])), lambda u: u != "")
+    out = raw.select(
+        F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.xml$", "").alias("task_name"),
+        text("RegistrationInfo.Author").alias("author"),
+        text("RegistrationInfo.Description").alias("description"),
+        F.coalesce(F.get(users, F.lit(0)), F.lit("")).alias("run_as"),
+        _entries("Triggers", {t: TRIGGER_FIELDS for t in TRIGGERS}).alias("triggers"),
+        _entries("Actions", TASK_ACTIONS).alias("actions"),
+        any_time(F.col("RegistrationInfo.Date")).alias("ts_utc"),
+    )
     return out.withColumn("tactic_hints", task_hints(F.col("actions"), F.col("run_as")))
 
 
 def normalize_iis_modules(spark: SparkSession, path: str) -> DataFrame:
-    """Native and managed modules of web-server configuration, with expanded image paths."""
-    native = spark.read.format("xml").option("rowTag", "globalModules").schema("add array<struct<_name:string,_image:string>>").load(path).withColumn("config_path", F.input_file_name())
-    managed = spark.read.format("xml").option("rowTag", "modules").schema("add array<struct<_name:string,_type:string>>").load(path).withColumn("config_path", F.input_file_name())
-    n = native.select("config_path", F.explode("add").alias("a")).select("config_path", F.col("a._name").alias("module_name"), F.lit("native").alias("module_kind"), F.col("a._image").alias("image"))
-    m = managed.select("config_path", F.explode("add").alias("a")).where("a._type IS NOT NULL").select("config_path", F.col("a._name"), F.lit("managed"), F.col("a._type"))
-    return n.union(m).withColumn("image_expanded", expand_env(F.col("image")))
+    """Native and managed modules of web-server configuration: name, kind, image, expanded image, precondition, section and location.
+
+    Managed modules come once for each section that holds them, and once more with its path for one inside a location.
+    Entries without a type only switch a native module on and are left out.
+    """
+    add = "struct<add:array<struct<_name:string,_image:string,_type:string,_preCondition:string>>>"
+
+    def read(tag: str, schema: str) -> DataFrame:
+        return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path).withColumn("config_path", F.input_file_name())
+
+    none = F.lit("")
+    native = read("globalModules", add[len("struct<") : -1].replace("add:", "add ", 1)).select("config_path", none.alias("location_path"), F.explode("add").alias("a"))
+    server = read("system.webServer", f"modules {add}").select("config_path", none.alias("location_path"), F.explode("modules.add").alias("a"))
+    inside = read("location", f"_path string, `system.webServer` struct<modules:{add}>").select("config_path", F.coalesce("_path", none).alias("location_path"), F.explode("`system.webServer`.modules.add").alias("a"))
+    managed = server.union(inside).where("coalesce(a._type, '') != ''")
+    shown = lambda kind, section, image, expanded: [F.coalesce("a._name", none).alias("module_name"), F.lit(kind).alias("module_kind"), image.alias("image"), expanded.alias("image_expanded"), F.coalesce("a._preCondition", none).alias("precondition"), F.lit(section).alias("config_section"), "location_path", "config_path"]
+    image = F.coalesce("a._image", none)
+    return native.select(*shown("native", "globalModules", image, expand_env(image))).union(managed.select(*shown("managed", "modules", F.col("a._type"), F.col("a._type"))))
+
+
+def normalize_activities(df: DataFrame) -> DataFrame:
+    """Activity rows (ActivityType, StartTime, LastModifiedTime, in seconds) with decoded type and time."""
+    when = F.coalesce(F.when(F.col("StartTime") > 0, F.col("StartTime")), F.when(F.col("LastModifiedTime") > 0, F.col("LastModifiedTime")))
+    return df.withColumn("activity", _decoded(F.col("ActivityType"), ACTIVITY)).withColumn("ts_utc", F.timestamp_seconds(when).cast("timestamp_ntz"))
+
+
+def activity_events(df: DataFrame, case: str, evidence: str) -> DataFrame:
+    """normalize_activities as events: the row with its decoded type is the payload, numbered by _file and _row."""
+    own = [c for c in df.columns if c not in PLACE]
+    rows = normalize_activities(indexed(df))
+    payload = F.struct(*[F.col(f"`{c}`") for c in own], F.col("activity").alias("activity_type"))
+    return make_event(rows, case=F.lit(case), evidence=F.lit(evidence), artifact=F.lit("win10timeline"), index=F.col("_i"), ts=F.col("ts_utc"), event_type=F.lit("activity"), computer=F.lit(""), payload=payload)
 
 
 def normalize_tool_json(df: DataFrame, artifact: str, event_type: str, case: str, evidence: str) -> DataFrame:
