@@ -46,6 +46,12 @@ def folder(spark) -> str:
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
+def write_documents(rows: DataFrame, group: Column, start: str, between: str, end: str, at: str) -> None:
+    """A file for each group of rows (column value): its texts between start and end."""
+    texts = rows.select(group.alias("part"), "value").groupBy("part").agg(F.concat(F.lit(start), F.array_join(F.collect_list("value"), between), F.lit(end)).alias("value"))
+    texts.write.partitionBy("part").text(at)
+
+
 # ---- scalars -------------------------------------------------------------------------------------------------------
 
 TACTIC_FORMS = ("stealth", "Defense_Impairment", "credential access", " C2 ", "discovery", "Lateral-Movement")
@@ -314,6 +320,60 @@ def detect_error_format(spark, sf_dir):
     return P.detect_error_format(lines.withColumn("line_no", order - 1))
 
 
+@query(f"{EV} SELECT 'c' AS case_id, 'mft' AS artifact_id, {SECOND} AS ts_utc, event_type AS name, event_id AS n FROM ev")
+def read_tool_csv(spark, sf_dir):
+    at = folder(spark)
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("Row"), F.lit("").alias("Created0x10"), F.date_format(stamp(), "yyyy-MM-dd HH:mm:ss").alias("LastModified0x10"), F.concat(F.lit('a "quoted", '), F.col("event_type")).alias("FileName"))
+    e.repartition(3).write.option("header", True).option("escape", '"').csv(at)
+    get = lambda p: F.get_json_object("payload_json", p)
+    made = T.read_tool_csv(spark, at, "mft", "c", "e")
+    return made.select("case_id", "artifact_id", "ts_utc", F.replace(get("$.FileName"), F.lit('a "quoted", ')).alias("name"), get("$.Row").cast("long").alias("n"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS lines, CAST(count(DISTINCT event_id) AS BIGINT) AS distinct_lines, true AS numbered FROM events")
+def read_lines(spark, sf_dir):
+    """The events as lines of four files with blank lines between: every line once, numbered within its file."""
+    at = folder(spark)
+    table(spark, sf_dir, "events").select(F.concat(F.col("event_id").cast("string"), F.lit("\n")).alias("value")).repartition(4).write.text(at)
+    lines = P.read_lines(spark, at)
+    per_file = lines.groupBy("file").agg(F.count("*").alias("n"), F.count_distinct("line_no").alias("d"), F.max("line_no").alias("m"))
+    numbered = per_file.agg(F.every((F.col("n") == F.col("d")) & (F.col("m") == 2 * F.col("n") - 2)).alias("numbered"))
+    return lines.agg(F.count("*").alias("lines"), F.count_distinct("line").alias("distinct_lines")).join(numbered)
+
+
+@query(f"WITH {FE} SELECT finding_id, severity, technique, n_e AS n_evidence FROM f")
+def read_findings(spark, sf_dir):
+    at = folder(spark)
+    rows = findings(spark, sf_dir)
+    value = F.to_json(F.struct(*[F.col(c) for c in rows.columns]))
+    write_documents(rows.withColumn("value", value), F.col("rule_id"), "[", ", ", "]", at + "/one")
+    back = T.read_findings(spark, at + "/one", at + "/missing")
+    return back.select("finding_id", "severity", F.get("techniques", F.lit(0)).alias("technique"), F.size("evidence").cast("long").alias("n_evidence"))
+
+
+_TASK = '<Task><RegistrationInfo><Date>@t</Date><Author>@a</Author></RegistrationInfo><Triggers><LogonTrigger><Enabled>true</Enabled></LogonTrigger></Triggers><Principals><Principal><UserId>@u</UserId></Principal></Principals><Actions><Exec><Command>@c</Command></Exec></Actions></Task>'
+
+
+@query(f"{EV} SELECT event_id AS author, {SECOND} AS ts_utc, {chosen(TASK_USERS, 'k')} AS run_as, {chosen(TASK_COMMANDS, 'k')} AS command, 'LogonTrigger' AS \"trigger\", 'TA0002,TA0003' || CASE WHEN k % 6 IN (0, 1, 3, 4) THEN ',TA0005' ELSE '' END || CASE WHEN k % 4 IN (0, 2) THEN ',TA0004' ELSE '' END AS hints FROM ev")
+def normalize_tasks(spark, sf_dir):
+    at = folder(spark)
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    text = F.lit(_TASK)
+    for mark, value in (("@t", F.date_format(stamp(), "yyyy-MM-dd'T'HH:mm:ss")), ("@a", F.col("event_id").cast("string")), ("@u", choose(TASK_USERS, F.col("k"))), ("@c", choose(TASK_COMMANDS, F.col("k")))):
+        text = F.replace(text, F.lit(mark), value)
+    write_documents(e.withColumn("value", text), F.col("k"), "<Tasks>", "", "</Tasks>", at)
+    t = T.normalize_tasks(spark, at)
+    return t.select(F.col("author").cast("long").alias("author"), "ts_utc", "run_as", F.get("actions", F.lit(0))["command"].alias("command"), F.get("triggers", F.lit(0))["type"].alias("trigger"), F.array_join("tactic_hints", ",").alias("hints"))
+
+
+@query("SELECT 'n' || p_partkey AS module_name, 'native' AS module_kind, 'C:' || chr(92) || 'Windows' || chr(92) || p_partkey AS image_expanded, '' AS location_path FROM part UNION ALL SELECT 'm' || p_partkey, 'managed', 'T.M', '' FROM part UNION ALL SELECT 'm' || p_partkey, 'managed', 'T.M', 's' || p_partkey FROM part")
+def normalize_iis_modules(spark, sf_dir):
+    at, n = folder(spark), F.col("p_partkey").cast("string")
+    xml = F.concat(F.lit('<configuration><system.webServer><globalModules><add name="n'), n, F.lit('" image="%windir%\\'), n, F.lit('"/></globalModules></system.webServer><location path="s'), n, F.lit('"><system.webServer><modules><add name="m'), n, F.lit('" type="T.M"/></modules></system.webServer></location></configuration>'))
+    write_documents(table(spark, sf_dir, "part").withColumn("value", xml), F.col("p_partkey") % 20, "<all>", "", "</all>", at)
+    return T.normalize_iis_modules(spark, at).select("module_name", "module_kind", "image_expanded", "location_path")
+
+
 # ---- filters -------------------------------------------------------------------------------------------------------
 
 
