@@ -296,7 +296,10 @@ def coded_rows(df: DataFrame, path: str, id_col: str, text_col: str, schema: str
                     vocabulary.learn(fresh)
                     for part in held:
                         columns = finish([vocabulary.put_together(t or "") for t in part.column(1).to_pylist()])
-                        yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, f.type) for c, f in zip(columns, arrow[1:], strict=True)]], schema=pa.schema(arrow))
+                        yield pa.RecordBatch.from_arrays(
+                            [part.column(0), *[pa.array(c, f.type) for c, f in zip(columns, arrow[1:], strict=True)]],
+                            schema=pa.schema(arrow),
+                        )
                     held, fresh, size = [], set(), 0
 
     arrow = list(to_arrow_schema(StructType.fromDDL(schema), prefers_large_types=False))
@@ -316,7 +319,11 @@ def bpe_digests(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: s
     """As bpe_encode, with SHA-256 digests of the ids and of the decoded text in place of both (made where they are)."""
 
     def finish(coded: list) -> list:
-        return [[len(b) // 4 for b, _ in coded], [hashlib.sha256(b).hexdigest() for b, _ in coded], [hashlib.sha256(t.encode()).hexdigest() for _, t in coded]]
+        return [
+            [len(b) // 4 for b, _ in coded],
+            [hashlib.sha256(b).hexdigest() for b, _ in coded],
+            [hashlib.sha256(t.encode()).hexdigest() for _, t in coded],
+        ]
 
     return coded_rows(df, path, id_col, text_col, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", finish)
 
@@ -327,6 +334,11 @@ def token_counts(df: DataFrame, path: str, *, limit: int = 2048, id_col: str = "
     def run(vocabulary: Vocabulary, ids: list, texts: list) -> list:
         return [ids, [len((t or "").encode()) for t in texts], [vocabulary.count(t or "") for t in texts]]
 
-    counted = map_columns(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n_bytes long, n_tokens long", vocabulary_loader(df, path, "count"))
+    counted = map_columns(
+        df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")),
+        run,
+        "doc_id long, n_bytes long, n_tokens long",
+        vocabulary_loader(df, path, "count"),
+    )
     over: Column = F.col("n_tokens") > F.lit(limit)
     return counted.withColumn("over_limit", over)

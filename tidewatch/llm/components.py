@@ -36,4 +36,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         now = cut(_small_star(_large_star(now)))
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
+        now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct(),
+    )

@@ -109,7 +109,13 @@ def sparse_pairs(flagged: DataFrame) -> DataFrame:
     groups = rows.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("doc_id", "n", "f"))).alias("m"))  # at most RARE members
     one = groups.select("m", F.posexplode("m").alias("i", "x"))
     two = one.select("x", F.explode(F.slice("m", F.col("i") + 2, F.lit(RARE))).alias("y")).where(_fits(F.col("x.n"), F.col("y.n")))
-    shared = two.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.count("*").alias("k"), F.first("x.n").alias("n"), F.first("y.n").alias("m"), F.first("x.f").alias("f"), F.first("y.f").alias("g"))
+    shared = two.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(
+        F.count("*").alias("k"),
+        F.first("x.n").alias("n"),
+        F.first("y.n").alias("m"),
+        F.first("x.f").alias("f"),
+        F.first("y.f").alias("g"),
+    )
     small = F.least("n", "m")
     common = F.least(F.floor((small - F.ceil(small * 4 / 5)) / 4) + 9, F.ceil((F.col("n") + F.col("m")) * 4 / 9))
     return shared.where(F.col("k") >= common - F.least("f", "g")).select("a", "b")
@@ -201,7 +207,12 @@ def joined(docs: list[int], comps: list[int], sets: list[np.ndarray], left: np.n
 def block_edges(groups: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between members of a group in different components; labels: doc_id, comp of documents with links."""
     held = cut(groups.join(labels, "doc_id", "left").select("lead", "doc_id", F.coalesce("comp", "doc_id").alias("comp"), F.col("n").alias("size")))
-    sizes = held.groupBy("lead").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.sum("size").alias("tokens")).where("lo != hi")
+    sizes = held.groupBy("lead").agg(
+        F.min("comp").alias("lo"),
+        F.max("comp").alias("hi"),
+        F.count("*").alias("n"),
+        F.sum("size").alias("tokens"),
+    ).where("lo != hi")
     sizes = sizes.select("lead", "n", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int").alias("nb"))
     placed = join_facts(held, cut(sizes), ["lead"], F.col("doc_id")).withColumn("k", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("nb")).cast("int"))
     with_sets = placed.join(sets.select("doc_id", "tokens"), "doc_id")
@@ -234,7 +245,9 @@ def block_edges(groups: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFr
 def dense_edges(members: DataFrame, sets: DataFrame, edges: DataFrame) -> DataFrame:
     """Links that join all components of the dense index; members: sig, doc_id, n; edges: links known before."""
     groups = cut(leader_groups(cut(members)))
-    pairs = groups.where((F.col("doc_id") != F.col("lead")) & _fits(F.col("n"), F.col("lead_n"))).select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
+    pairs = groups.where(
+        (F.col("doc_id") != F.col("lead")) & _fits(F.col("n"), F.col("lead_n")),
+    ).select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
     edges = cut(edges.union(verified(pairs, sets, led=True)))
     labels = components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("comp"))
     return cut(edges.union(block_edges(groups, labels, sets)))
@@ -259,7 +272,9 @@ def jaccard_components(df: DataFrame) -> DataFrame:
     flagged = cut(with_counts(reps, cut(token_counts(reps))))
     pairs = cut(sparse_pairs(flagged))
     least = F.ceil(F.col("n") * 4 / 5)
-    dense = flagged.where(F.size(F.filter("c", lambda c: c > RARE)) >= F.least(F.floor((least - F.ceil(least * 4 / 5)) / 4) + 9, least)).select("doc_id")
+    dense = flagged.where(
+        F.size(F.filter("c", lambda c: c > RARE)) >= F.least(F.floor((least - F.ceil(least * 4 / 5)) / 4) + 9, least),
+    ).select("doc_id")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"), F.lit(False).alias("dense"))
     wanted = cut(ends.union(dense.select("doc_id", F.lit(True))).groupBy("doc_id").agg(F.max("dense").alias("dense")).join(chosen, "doc_id"))
     whole = sets_of(docs.join(wanted.select("doc_id"), "doc_id", "left_semi")).join(wanted, ["doc_id", "set_key"])

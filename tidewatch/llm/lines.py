@@ -13,7 +13,10 @@ WINDOW = 3
 def line_windows(docs: DataFrame) -> DataFrame:
     """h (128-bit hash), doc_id, pos of every run of three consecutive lines; texts of fewer lines have none."""
     lines = F.split(F.col("text"), "\n", -1)
-    runs = F.when(F.size("l") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("l") - (WINDOW - 1)), lambda i: F.unhex(F.md5(F.concat_ws("\n", F.slice("l", i, WINDOW))))))
+    runs = F.when(
+        F.size("l") >= WINDOW,
+        F.transform(F.sequence(F.lit(1), F.size("l") - (WINDOW - 1)), lambda i: F.unhex(F.md5(F.concat_ws("\n", F.slice("l", i, WINDOW))))),
+    )
     return docs.where(F.col("doc_id").isNotNull()).select("doc_id", lines.alias("l")).select("doc_id", F.posexplode(runs).alias("pos", "h"))
 
 
@@ -38,7 +41,9 @@ def dedup_lines(df: DataFrame) -> DataFrame:
     others = {c: f"c{i}" for i, c in enumerate(names) if c not in ("doc_id", "text")}  # under plain names until the end
     rows = df.select("doc_id", "text", *[F.col(f"`{c}`").alias(own) for c, own in others.items()])
     found = rows.where("doc_id IS NOT NULL").join(covered, "doc_id", "left")
-    split = found.unionByName(rows.where("doc_id IS NULL").withColumn("starts", F.lit(None).cast("array<int>"))).withColumn("l", F.split("text", "\n", -1))
+    split = found.unionByName(
+        rows.where("doc_id IS NULL").withColumn("starts", F.lit(None).cast("array<int>")),
+    ).withColumn("l", F.split("text", "\n", -1))
     gone = split.withColumn("gone", F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p + 1, p + WINDOW)))))
     kept = F.transform(F.array_except(F.sequence(F.lit(1), F.size("l")), "gone"), lambda i: F.element_at("l", i))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

@@ -94,7 +94,11 @@ def _bucket(value: Column, splits: list) -> Column:
         return F.lit(0)
     steps = [1 << k for k in range(len(splits).bit_length() - 1, -1, -1)]
     held = F.array(*map(F.lit, splits))
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.try_element_at(held, at + step) <= value, at + step).otherwise(at))
+    return F.aggregate(
+        F.array(*map(F.lit, steps)),
+        F.lit(0),
+        lambda at, step: F.when(F.try_element_at(held, at + step) <= value, at + step).otherwise(at),
+    )
 
 
 def in_order_with_next(df: DataFrame, key: str) -> DataFrame:
@@ -116,7 +120,10 @@ def in_order_with_next(df: DataFrame, key: str) -> DataFrame:
     led = F.col(key) == F.element_at(first_of, F.col("b_") + 1)
     prior = F.element_at(before, F.col("b_") + 1)
     first = F.lit(held[0] if held else 0)
-    places = F.when(led & (F.col("b_") == first), F.array(place(F.col("b_"), 0, False), place(prior, 1, True))).when(led, F.array(place(F.col("b_"), 0, False), place(prior, 0, True))).otherwise(own)
+    places = F.when(
+        led & (F.col("b_") == first),
+        F.array(place(F.col("b_"), 0, False), place(prior, 1, True)),
+    ).when(led, F.array(place(F.col("b_"), 0, False), place(prior, 0, True))).otherwise(own)
     spread = df.withColumn("b_", bucket).withColumn("at_", F.explode(places)).select("at_.*", *df.columns)
     return spread.repartitionById(len(splits) + 1, F.col("bucket_")).sortWithinPartitions("wrap_", key, "copy_", "text")
 
@@ -129,7 +136,17 @@ def document_fingerprints(df: DataFrame) -> DataFrame:
     follows itself. An empty table gives an empty result. Other columns are ignored.
     """
     rows = in_order_with_next(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")), "doc_id")
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+    schema = pa.schema(
+        [
+            ("doc_id", pa.int64()),
+            ("n_chars", pa.int64()),
+            ("edited_sha256", pa.string()),
+            ("fingerprint", pa.string()),
+            ("edited_fingerprint", pa.string()),
+            ("near_edited", pa.float64()),
+            ("near_next", pa.float64()),
+        ],
+    )
 
     def finished(row: tuple[int, str, Tree], following: str, tree: Tree) -> tuple:
         doc_id, text, own = row
@@ -150,9 +167,15 @@ def document_fingerprints(df: DataFrame) -> DataFrame:
                         out.append(finished(waiting, text, tree))
                     waiting = None if copy else (doc_id, text, tree)
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)],
+                        schema=schema,
+                    )
         if waiting is not None:  # only if no row has a doc_id: nothing follows
             out = [finished(waiting, "", Tree(""))]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.mapInArrow(
+        run,
+        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
+    )

@@ -44,12 +44,19 @@ def bucket(word: Column) -> Column:
 
 def fit_classifiers(docs: DataFrame, labels: DataFrame) -> dict[str, tuple[float, list[float]]]:
     """For quality and toxic: the prior log-odds of 1 and the log-odds of each word bucket (at most BUCKETS rows reach the driver)."""
-    marks = labels.where("doc_id IS NOT NULL AND quality IN (0, 1) AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    marks = labels.where("doc_id IS NOT NULL AND quality IN (0, 1) AND toxic IN (0, 1)").groupBy("doc_id").agg(
+        F.max("quality").alias("quality"),
+        F.max("toxic").alias("toxic"),
+    )
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
     held = docs.join(F.broadcast(marks), "doc_id")
     n = held.agg(F.count("*").alias("n"), F.sum("quality").alias("quality"), F.sum("toxic").alias("toxic")).head()
     seen = held.select("quality", "toxic", F.explode(words(F.col("text"))).alias("w"))
-    counts = seen.groupBy(bucket(F.col("w")).alias("b")).agg(F.count("*").alias("n"), F.sum("quality").alias("quality"), F.sum("toxic").alias("toxic")).collect()
+    counts = seen.groupBy(bucket(F.col("w")).alias("b")).agg(
+        F.count("*").alias("n"),
+        F.sum("quality").alias("quality"),
+        F.sum("toxic").alias("toxic"),
+    ).collect()
     out = {}
     for mark in ("quality", "toxic"):
         yes, total = sum(r[mark] for r in counts), sum(r.n for r in counts)
@@ -63,7 +70,11 @@ def fit_classifiers(docs: DataFrame, labels: DataFrame) -> dict[str, tuple[float
 
 def posteriors(docs: DataFrame, classifiers: dict[str, tuple[float, list[float]]]) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_words, p: array of the domains' posteriors."""
-    held = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("n_words"), F.transform("w", lambda x: bucket(x) + 1).alias("b"))
+    held = docs.select("doc_id", words(F.col("text")).alias("w")).select(
+        "doc_id",
+        F.size("w").alias("n_words"),
+        F.transform("w", lambda x: bucket(x) + 1).alias("b"),
+    )
     least = F.greatest(F.col("n_words"), F.lit(EVIDENCE_WORDS))
 
     def chance(mark: str) -> Column:
@@ -73,7 +84,11 @@ def posteriors(docs: DataFrame, classifiers: dict[str, tuple[float, list[float]]
         return F.lit(1.0) / (1 + F.exp(-(F.lit(prior) + total * EVIDENCE_WORDS / least)))
 
     scored = held.select("doc_id", F.col("n_words").cast("long").alias("n_words"), chance("quality").alias("q"), chance("toxic").alias("t"))
-    return scored.select("doc_id", "n_words", F.array((1 - F.col("q")) * (1 - F.col("t")), (1 - F.col("q")) * F.col("t"), F.col("q") * (1 - F.col("t")), F.col("q") * F.col("t")).alias("p"))
+    return scored.select(
+        "doc_id",
+        "n_words",
+        F.array((1 - F.col("q")) * (1 - F.col("t")), (1 - F.col("q")) * F.col("t"), F.col("q") * (1 - F.col("t")), F.col("q") * F.col("t")).alias("p"),
+    )
 
 
 def _solve(a: list[list[float]], b: list[float]) -> list[float]:
@@ -113,7 +128,9 @@ def fit_rates(held: DataFrame, targets: dict[str, float]) -> DataFrame:
     def look(y: list[float]) -> tuple[list[float], list[list[float]], float]:
         """Misses of the domains, metric, and half the square of the rates."""
         free = (F.col("rate") > 0).cast("double")
-        sums = [F.sum(a[i] * F.col("rate")).alias(f"e{i}") for i in places] + [F.sum(a[i] * a[j] * free).alias(f"g{i}_{j}") for i in places for j in places if i <= j]
+        sums = [F.sum(a[i] * F.col("rate")).alias(f"e{i}") for i in places] + [
+            F.sum(a[i] * a[j] * free).alias(f"g{i}_{j}") for i in places for j in places if i <= j
+        ]
         got = held.withColumn("rate", rate_of(y)).agg(F.sum(F.col("rate") * F.col("rate")).alias("r"), *sums).head()
         return [got[f"e{i}"] - 1 for i in places], [[got[f"g{min(i, j)}_{max(i, j)}"] for j in places] for i in places], got.r / 2
 

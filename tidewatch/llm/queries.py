@@ -61,7 +61,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fingerprints, op2_toxicity, op3_mixing, op4_secrets, op5_bpe, op6_jaccard_join, op7_substring_dedup, op8_near_vectors, op9_token_counts, op10_line_dedup)}
+    return {
+        f.__name__: f for f in (
+            op1_fingerprints,
+            op2_toxicity,
+            op3_mixing,
+            op4_secrets,
+            op5_bpe,
+            op6_jaccard_join,
+            op7_substring_dedup,
+            op8_near_vectors,
+            op9_token_counts,
+            op10_line_dedup,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:

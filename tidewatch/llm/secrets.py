@@ -103,7 +103,13 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 def made_strings() -> list[str]:
     """Labelled random strings, so that alphabets which the documents lack are known: hexadecimal, letters and digits, base 64."""
     rng = random.Random(7)
-    alphabets = (string.hexdigits[:16], string.ascii_uppercase + string.digits, string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_")
+    alphabets = (
+        string.hexdigits[:16],
+        string.ascii_uppercase + string.digits,
+        string.ascii_letters + string.digits,
+        string.ascii_letters + string.digits + "+/",
+        string.ascii_letters + string.digits + "-_",
+    )
     return ["".join(rng.choices(a, k=rng.randint(20, 44))) for a in alphabets for _ in range(MADE_EACH)]
 
 
@@ -148,7 +154,11 @@ def train(df: DataFrame) -> np.ndarray:
         rows = [(k, a, b, n) for k, runs in enumerate((plain + joined_words(plain), secret)) for (a, b), n in steps(runs).items()]
         return [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], [], []]
 
-    counted = map_columns(sample.select("text"), run, "secret int, a int, b int, n long").groupBy("secret", "a", "b").agg(F.sum("n").alias("n")).collect()
+    counted = map_columns(
+        sample.select("text"),
+        run,
+        "secret int, a int, b int, n long",
+    ).groupBy("secret", "a", "b").agg(F.sum("n").alias("n")).collect()
     counts = np.full((2, SIZE + 1, SIZE), 0.5)
     for r in counted:
         counts[r.secret, r.a, r.b] += r.n

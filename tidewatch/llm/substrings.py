@@ -98,7 +98,12 @@ def packed(docs: DataFrame) -> DataFrame:
                     sent.add(name)
         return [list(c) for c in zip(*out, strict=True)] if out else [[] for _ in range(7)]
 
-    return map_columns(docs.select("doc_id", "text", "key", "minis", "hot_minis"), run, "mini long, hot boolean, key binary, string binary, doc_id long, start int, n int", set)
+    return map_columns(
+        docs.select("doc_id", "text", "key", "minis", "hot_minis"),
+        run,
+        "mini long, hot boolean, key binary, string binary, doc_id long, start int, n int",
+        set,
+    )
 
 
 def windows_of(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,7 +157,16 @@ def bucket_spans(strings: DataFrame, leads: DataFrame) -> DataFrame:
     n = partitions(strings.sparkSession)
     none = F.lit(None)
     rows = leads.select("mini", "key", F.lit(True).alias("lead"), "doc_id", "start", none.cast("binary").alias("string"))
-    rows = rows.unionByName(strings.where("string IS NOT NULL").select("mini", "key", F.lit(False).alias("lead"), none.cast("long").alias("doc_id"), none.cast("int").alias("start"), "string"))
+    rows = rows.unionByName(
+        strings.where("string IS NOT NULL").select(
+            "mini",
+            "key",
+            F.lit(False).alias("lead"),
+            none.cast("long").alias("doc_id"),
+            none.cast("int").alias("start"),
+            "string",
+        ),
+    )
 
     def run(batches):
         minis: list[int] = []
@@ -169,7 +183,10 @@ def bucket_spans(strings: DataFrame, leads: DataFrame) -> DataFrame:
             columns = np.repeat(np.array(docs, np.int64)[row], n), at + np.repeat(s, n), at + np.repeat(e, n)
             for held in (minis, texts, docs, places):
                 held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "s", "e"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)],
+                names=["doc_id", "s", "e"],
+            )
 
         for batch in batches:  # few words, so their hashes are not kept
             for mini, key, lead, doc_id, start, string in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -199,7 +216,11 @@ def spread_spans(strings: DataFrame, leads: DataFrame) -> DataFrame:
     """As bucket_spans, for minimisers of very many documents: each window goes where its hash sends it."""
     words = strings.where("string IS NOT NULL").groupBy("mini", "key").agg(F.first("string").alias("string"))
     windows = unpacked(leads.join(words, ["mini", "key"]))
-    early = windows.groupBy("mini", "w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("mini", "w", "lo", "n")
+    early = windows.groupBy("mini", "w").agg(
+        F.min("doc_id").alias("lo"),
+        F.max("doc_id").alias("hi"),
+        F.count("*").alias("n"),
+    ).where("lo < hi").select("mini", "w", "lo", "n")
     later = join_facts(windows, cut(early), ["mini", "w"], F.col("doc_id")).where("doc_id > lo")
     return later.select("doc_id", F.col("at").alias("s"), (F.col("at") + WINDOW).alias("e"))
 
@@ -221,7 +242,11 @@ def without_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
             out.append((doc_id, key, int(gone.sum()), sha([w for w, g in zip(words, gone.tolist(), strict=True) if not g])))
         return [list(c) for c in zip(*out, strict=True)] if out else [[] for _ in range(4)]
 
-    return map_columns(docs.join(spans, "doc_id").select("doc_id", "text", "key", "spans"), run, "doc_id long, key binary, n_removed long, kept_sha256 string")
+    return map_columns(
+        docs.join(spans, "doc_id").select("doc_id", "text", "key", "spans"),
+        run,
+        "doc_id long, key binary, n_removed long, kept_sha256 string",
+    )
 
 
 def shared_minimisers(reps: DataFrame) -> DataFrame:
@@ -252,7 +277,9 @@ def dedup_substrings(df: DataFrame) -> DataFrame:
     chosen = cut(docs.join(shared_minimisers(reps), "doc_id"))
     strings = cut(packed(chosen))
     known = cut(strings.groupBy("mini", "key").agg(F.min("doc_id").alias("lo"), F.count("*").alias("n")))
-    places = cut(join_facts(strings.select("mini", "hot", "key", "doc_id", "start", F.col("n").alias("windows")), known, ["mini", "key"], F.col("doc_id")))
+    places = cut(
+        join_facts(strings.select("mini", "hot", "key", "doc_id", "start", F.col("n").alias("windows")), known, ["mini", "key"], F.col("doc_id")),
+    )
     spans = places.where("doc_id > lo").select("doc_id", F.col("start").alias("s"), (F.col("start") + F.col("windows") + WINDOW - 1).alias("e"))
     leads = places.where("doc_id = lo")
     spans = spans.union(bucket_spans(strings.where("NOT hot"), leads.where("NOT hot"))).union(spread_spans(strings.where("hot"), leads.where("hot")))

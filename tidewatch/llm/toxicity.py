@@ -417,7 +417,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer | float:
         marks = [r[2] for r in rows]
         rows.reverse()
         made = train((rows.pop()[1] for _ in marks), marks)  # a text is let go once it is read
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made if isinstance(made, float) else (made.p, made.tables, made.odds))], pa.binary())], names=["model"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([pickle.dumps(made if isinstance(made, float) else (made.p, made.tables, made.odds))], pa.binary())],
+            names=["model"],
+        )
 
     found = chosen_rows(docs, labels).repartition(1).mapInArrow(run, "model binary").collect()  # weights of a fixed size; an empty sample has no task
     made = pickle.loads(found[0].model) if found else 0.0
@@ -458,5 +461,10 @@ def toxicity_scores(df: DataFrame, labels: DataFrame) -> DataFrame:
         scored = docs.select("doc_id", F.lit(scorer).alias("score"))
     else:
         held = df.sparkSession.sparkContext.broadcast((scorer.p, scorer.tables, scorer.odds))
-        scored = map_columns(docs, lambda s, ids, texts: [ids, s.score([t or "" for t in texts])], "doc_id long, score double", lambda: Scorer(*held.value))
+        scored = map_columns(
+            docs,
+            lambda s, ids, texts: [ids, s.score([t or "" for t in texts])],
+            "doc_id long, score double",
+            lambda: Scorer(*held.value),
+        )
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

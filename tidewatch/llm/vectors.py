@@ -80,7 +80,17 @@ def _placed(batches, held):
         x = unit(np.stack(part["embedding"].to_numpy()))
         cos = x @ p.T if p is not None else np.ones((len(x), 1))
         home = cos.argmax(1)
-        yield pd.DataFrame({"rep": part["rep"], "mult": part["mult"], "label": label, "dim": dim, "cell": home, "cos": cos[np.arange(len(x)), home], "v": [r.tobytes() for r in x]})
+        yield pd.DataFrame(
+            {
+                "rep": part["rep"],
+                "mult": part["mult"],
+                "label": label,
+                "dim": dim,
+                "cell": home,
+                "cos": cos[np.arange(len(x)), home],
+                "v": [r.tobytes() for r in x],
+            },
+        )
 
 
 def meeting_cells(x: np.ndarray, home: np.ndarray, pivots: np.ndarray, reach: np.ndarray, r: float) -> np.ndarray:
@@ -103,7 +113,17 @@ def _seen(batches, held, radii, r):
         else:
             meets = meeting_cells(x, home, p, np.array([radii.value.get((label, dim, j), -np.inf) for j in range(len(p))]), r)
         row, cell = np.nonzero(meets)
-        yield pd.DataFrame({"rep": part["rep"].to_numpy()[row], "mult": part["mult"].to_numpy()[row], "label": label, "dim": dim, "cell": cell, "home": home[row] == cell, "v": part["v"].to_numpy()[row]})
+        yield pd.DataFrame(
+            {
+                "rep": part["rep"].to_numpy()[row],
+                "mult": part["mult"].to_numpy()[row],
+                "label": label,
+                "dim": dim,
+                "cell": cell,
+                "home": home[row] == cell,
+                "v": part["v"].to_numpy()[row],
+            },
+        )
 
 
 def _linked(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
@@ -132,7 +152,13 @@ def _linked(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
             for t in roots:
                 parent[t] = top
     edges = [(i, root(i)) for i in list(parent)]
-    return pd.DataFrame({"rep": np.r_[a, np.array([i for i, _ in edges], np.int64)], "links": np.r_[links, np.zeros(len(edges), np.int64)], "top": np.r_[a, np.array([t for _, t in edges], np.int64)]})
+    return pd.DataFrame(
+        {
+            "rep": np.r_[a, np.array([i for i, _ in edges], np.int64)],
+            "links": np.r_[links, np.zeros(len(edges), np.int64)],
+            "top": np.r_[a, np.array([t for _, t in edges], np.int64)],
+        },
+    )
 
 
 def near_vectors(df: DataFrame, least: float = 0.93) -> DataFrame:
@@ -150,22 +176,66 @@ def near_vectors(df: DataFrame, least: float = 0.93) -> DataFrame:
     label_type = classes.schema["label"].dataType.simpleString()
     at = f"label {label_type}, dim int, cell int"
     r = math.acos(least)
-    homes = cut(classes.select("rep", "mult", "label", "embedding").mapInPandas(lambda b: _placed(b, held), f"rep long, mult long, {at}, cos double, v binary"))
-    cells = homes.groupBy("label", "dim", "cell").agg(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.min("cos")))).alias("wide")).where("cell >= 0")
+    homes = cut(
+        classes.select("rep", "mult", "label", "embedding").mapInPandas(
+            lambda b: _placed(b, held),
+            f"rep long, mult long, {at}, cos double, v binary",
+        ),
+    )
+    cells = homes.groupBy("label", "dim", "cell").agg(
+        F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.min("cos")))).alias("wide"),
+    ).where("cell >= 0")
     piloted = spark.createDataFrame(list(held.value) or [(None, None)], f"label {label_type}, dim int")
     radii = spark.sparkContext.broadcast({(c.label, c.dim, c.cell): c.wide for c in cells.join(F.broadcast(piloted), ["label", "dim"], "left_semi").collect()})  # at most MOST_PIVOTS rows
     seen = cut(homes.mapInPandas(lambda b: _seen(b, held, radii, r), f"rep long, mult long, {at}, home boolean, v binary"))
-    sizes = seen.groupBy("label", "dim", "cell").agg(F.ceil(F.count_if("home") / HOME_BLOCK).cast("int").alias("n_home"), F.ceil(F.count("*") / OTHER_BLOCK).cast("int").alias("n_other"))
+    sizes = seen.groupBy("label", "dim", "cell").agg(
+        F.ceil(F.count_if("home") / HOME_BLOCK).cast("int").alias("n_home"),
+        F.ceil(F.count("*") / OTHER_BLOCK).cast("int").alias("n_other"),
+    )
     spread = seen.join(sizes, ["label", "dim", "cell"])
     block = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), n).cast("int")
-    own = spread.where("home").select("rep", "mult", "label", "dim", "cell", "v", F.lit(True).alias("as_home"), block(F.col("n_home"), 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_other") - 1)).alias("j"))
-    other = spread.where("n_home > 0").select("rep", "mult", "label", "dim", "cell", "v", F.lit(False).alias("as_home"), F.explode(F.sequence(F.lit(0), F.col("n_home") - 1)).alias("i"), block(F.col("n_other"), 2).alias("j"))
+    own = spread.where("home").select(
+        "rep",
+        "mult",
+        "label",
+        "dim",
+        "cell",
+        "v",
+        F.lit(True).alias("as_home"),
+        block(F.col("n_home"), 1).alias("i"),
+        F.explode(F.sequence(F.lit(0), F.col("n_other") - 1)).alias("j"),
+    )
+    other = spread.where("n_home > 0").select(
+        "rep",
+        "mult",
+        "label",
+        "dim",
+        "cell",
+        "v",
+        F.lit(False).alias("as_home"),
+        F.explode(F.sequence(F.lit(0), F.col("n_home") - 1)).alias("i"),
+        block(F.col("n_other"), 2).alias("j"),
+    )
     pairs = own.union(other).groupBy("label", "dim", "cell", "i", "j")
     found = cut(pairs.applyInPandas(lambda pdf: _linked(pdf, least), "rep long, links long, top long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    tops = components(found.where("rep != top").select(F.col("rep").alias("a"), F.col("top").alias("b"))).withColumnsRenamed({"node": "rep", "component": "top"})
+    tops = components(
+        found.where("rep != top").select(F.col("rep").alias("a"), F.col("top").alias("b")),
+    ).withColumnsRenamed({"node": "rep", "component": "top"})
     n_links = (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links")
-    placed = cut(classes.join(links, "rep", "left").join(tops, "rep", "left").select("label", "embedding", n_links, F.coalesce("top", "rep").alias("component_id"), F.col("mult").alias("n")))
-    found = join_facts(rows.where(usable), placed, ["label", "embedding"], F.col("vec_id")).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    placed = cut(
+        classes.join(links, "rep", "left").join(tops, "rep", "left").select(
+            "label",
+            "embedding",
+            n_links,
+            F.coalesce("top", "rep").alias("component_id"),
+            F.col("mult").alias("n"),
+        ),
+    )
+    found = join_facts(rows.where(usable), placed, ["label", "embedding"], F.col("vec_id")).select(
+        "vec_id",
+        F.col("n_links").cast("long").alias("n_links"),
+        "component_id",
+    )
     rest = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return found.union(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
