@@ -63,7 +63,16 @@ def row_index(df: DataFrame, source: list[str], order: list[str]) -> DataFrame:
 
 def make_event(df: DataFrame, *, case: Column, evidence: Column, artifact: Column, index: Column, ts: Column, event_type: Column, computer: Column, payload: Column) -> DataFrame:
     """The envelope: payload (a struct or map) as JSON text, a null computer as ''."""
-    rows = df.select(case.alias("case_id"), evidence.alias("evidence_id"), artifact.alias("artifact_id"), index.alias("i_"), ts.alias("ts_utc"), event_type.alias("event_type"), F.coalesce(computer, F.lit("")).alias("computer"), F.to_json(payload).alias("payload_json"))
+    rows = df.select(
+        case.alias("case_id"),
+        evidence.alias("evidence_id"),
+        artifact.alias("artifact_id"),
+        index.alias("i_"),
+        ts.alias("ts_utc"),
+        event_type.alias("event_type"),
+        F.coalesce(computer, F.lit("")).alias("computer"),
+        F.to_json(payload).alias("payload_json"),
+    )
     return rows.withColumn("audit_id", audit_id(F.col("case_id"), F.col("artifact_id"), F.col("i_"), F.col("payload_json"))).select(*EVENT_COLUMNS)
 
 

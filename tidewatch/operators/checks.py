@@ -11,7 +11,23 @@ from .aggregates import iocs_of
 from .sessions import intrusion_path, temporal_outliers
 
 # Words of noise narratives, and named claims with their aliases and grounding techniques.
-NOISE_WORDS = ("誤検知", "false positive", "false-positive", "正規のインストール", "正規のバックグラウンド", "正規のソフトウェア", "legitimate install", "legitimate software", "benign system", "sysprep", "first boot", "初回ブート", "vm 作成", "vm作成", "os セットアップ")
+NOISE_WORDS = (
+    "誤検知",
+    "false positive",
+    "false-positive",
+    "正規のインストール",
+    "正規のバックグラウンド",
+    "正規のソフトウェア",
+    "legitimate install",
+    "legitimate software",
+    "benign system",
+    "sysprep",
+    "first boot",
+    "初回ブート",
+    "vm 作成",
+    "vm作成",
+    "os セットアップ",
+)
 CLAIMS = (
     ("Mimikatz", ("mimikatz",), ()),
     ("Cobalt Strike", ("cobalt strike", "cobaltstrike", "beacon"), ()),
@@ -48,15 +64,40 @@ TACTIC_WORDS = {
     "exfiltration": ("持ち出し", "流出", "exfiltrat", "アップロード", "upload", "送信", "転送", "transfer"),
     "impact": ("impact", "破壊", "暗号化", "ransom", "ランサム", "wipe", "destruction", "改ざん", "サービス停止"),
 }
-CONTROL_MARKS = ("defender", "antivirus", "anti-virus", "amsi", "applocker", "quarantine", "hacktool", "threat detected", "blocked", "prevented", "edr")
+CONTROL_MARKS = (
+    "defender",
+    "antivirus",
+    "anti-virus",
+    "amsi",
+    "applocker",
+    "quarantine",
+    "hacktool",
+    "threat detected",
+    "blocked",
+    "prevented",
+    "edr",
+)
 CONTROL_PROSE = ("defender", "antivirus", "anti-virus", "amsi", "applocker", "quarantine", "blocked", "検知", "遮断", "ブロック", "検疫", "防御製品", "セキュリティ製品")
 SALIENT = ("critical", "high")
 # This library's own actions by tactic, and what a tactic puts at risk.
 ACTIONS = (
-    ("initial-access", "containment", "block the entry point"), ("execution", "containment", "stop the processes"), ("persistence", "eradication", "remove the autostart entries"), ("privilege-escalation", "eradication", "patch and reset privileges"), ("defense-evasion", "recovery", "restore logging and protection"),
-    ("credential-access", "containment", "reset the credentials"), ("lateral-movement", "containment", "isolate the hosts"), ("collection", "recovery", "review the data that was gathered"), ("command-and-control", "containment", "block the addresses"), ("exfiltration", "recovery", "assess the data that left"), ("impact", "recovery", "restore from backups"), ("*", "recovery", "keep the evidence and watch for a return"),
+    ("initial-access", "containment", "block the entry point"), ("execution", "containment", "stop the processes"), ("persistence", "eradication", "remove the autostart entries"), (
+        "privilege-escalation",
+        "eradication",
+        "patch and reset privileges",
+    ), ("defense-evasion", "recovery", "restore logging and protection"),
+    ("credential-access", "containment", "reset the credentials"), ("lateral-movement", "containment", "isolate the hosts"), (
+        "collection",
+        "recovery",
+        "review the data that was gathered",
+    ), ("command-and-control", "containment", "block the addresses"), ("exfiltration", "recovery", "assess the data that left"), ("impact", "recovery", "restore from backups"), ("*", "recovery", "keep the evidence and watch for a return"),
+)
+AT_RISK = (
+    ("credential-access", "account credentials"),
+    ("collection", "user data"),
+    ("exfiltration", "data that may have left"),
+    ("impact", "system availability"),
 )
-AT_RISK = (("credential-access", "account credentials"), ("collection", "user data"), ("exfiltration", "data that may have left"), ("impact", "system availability"))
 WEB_ARTIFACTS = ("w3c_iis", "web_error", "iis_module")
 
 
@@ -72,7 +113,9 @@ def clock_reversed(df: DataFrame, threshold_s: int = 3600) -> DataFrame:
 
 def web_server_present(df: DataFrame) -> DataFrame:
     pay = F.col("payload_json")
-    hit = F.col("artifact_id").isin(*WEB_ARTIFACTS) | ((F.col("artifact_id") == "mft") & is_web_root(json_field(pay, "ParentPath"), json_field(pay, "FileName")))
+    hit = F.col("artifact_id").isin(*WEB_ARTIFACTS) | (
+        (F.col("artifact_id") == "mft") & is_web_root(json_field(pay, "ParentPath"), json_field(pay, "FileName"))
+    )
     return df.groupBy("case_id").agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("web_server"))
 
 
@@ -89,8 +132,18 @@ def demote_techniques(mapping: DataFrame, context: DataFrame) -> DataFrame:
 def timeline_reliability(clusters: DataFrame, clock: DataFrame) -> DataFrame:
     o = temporal_outliers(clusters).groupBy("case_id").agg(F.bool_or("outlier").alias("o_"))
     out = o.join(clock, "case_id", "left").fillna(False, ["o_", "reversed"])
-    notes = F.array_compact(F.array(F.when(F.col("reversed"), F.lit("clock reversal")), F.when(F.col("o_"), F.lit("cluster far from the others")), F.when(F.col("reversed") | F.col("o_"), F.lit("provisioning or clock correction first"))))
-    return out.select("case_id", F.when(F.col("reversed") | F.col("o_"), "unreliable").otherwise("reliable").alias("reliability"), notes.alias("notes"))
+    notes = F.array_compact(
+        F.array(
+            F.when(F.col("reversed"), F.lit("clock reversal")),
+            F.when(F.col("o_"), F.lit("cluster far from the others")),
+            F.when(F.col("reversed") | F.col("o_"), F.lit("provisioning or clock correction first")),
+        ),
+    )
+    return out.select(
+        "case_id",
+        F.when(F.col("reversed") | F.col("o_"), "unreliable").otherwise("reliable").alias("reliability"),
+        notes.alias("notes"),
+    )
 
 
 def is_benign_cluster(phase: Column, findings: Column, outlier: Column) -> Column:
@@ -132,8 +185,24 @@ def uncorroborated_claims(mapping: DataFrame) -> DataFrame:
 def ungrounded_mentions(prose: DataFrame, findings: DataFrame, confirmed: DataFrame) -> DataFrame:
     """(doc_id, case_id, label) of claims a text makes without ground: tools need a finding of the case that names them, others a confirmed technique."""
     said = _mentions(prose.select("case_id", "doc_id", "text"), "text").drop("text")
-    named = _mentions(findings.select("case_id", F.concat_ws(" ", "title", "rule_id", "source", F.array_join(F.flatten(F.transform("evidence", lambda e: F.map_values(e["extra"]))), " ")).alias("g_")), "g_").where(F.size("techniques") == 0).select("case_id", "label").distinct()
-    gated = said.where(F.size("techniques") > 0).select("case_id", "doc_id", "label", F.explode("techniques").alias("technique")).join(confirmed.select("case_id", "technique").distinct(), ["case_id", "technique"], "left_semi").select("case_id", "doc_id", "label")
+    named = _mentions(
+        findings.select(
+            "case_id",
+            F.concat_ws(
+                " ",
+                "title",
+                "rule_id",
+                "source",
+                F.array_join(F.flatten(F.transform("evidence", lambda e: F.map_values(e["extra"]))), " "),
+            ).alias("g_"),
+        ),
+        "g_",
+    ).where(F.size("techniques") == 0).select("case_id", "label").distinct()
+    gated = said.where(F.size("techniques") > 0).select("case_id", "doc_id", "label", F.explode("techniques").alias("technique")).join(
+        confirmed.select("case_id", "technique").distinct(),
+        ["case_id", "technique"],
+        "left_semi",
+    ).select("case_id", "doc_id", "label")
     tools = said.where(F.size("techniques") == 0).join(named, ["case_id", "label"], "left_anti").select("case_id", "doc_id", "label")
     others = said.where(F.size("techniques") > 0).join(gated, ["case_id", "doc_id", "label"], "left_anti").select("case_id", "doc_id", "label")
     return tools.union(others).distinct()
@@ -183,15 +252,30 @@ def check_case_consistency(f: DataFrame, events: DataFrame) -> DataFrame:
     cleared = F.exists("techniques", lambda t: t.startswith("T1070.001")) & has("TA0005")
     first = F.array_min(F.transform("evidence", lambda e: e["ts_utc"]))
     runs = F.exists("evidence", lambda e: e["artifact_id"].isin("prefetch", "amcache"))
-    per = f.groupBy("case_id").agg(F.count_if(cleared).alias("cleared"), F.count_if(has("TA0008")).alias("lateral"), F.count_if(has("TA0006")).alias("credential"), F.count_if(has("TA0003")).alias("persistent"), F.count_if(has("TA0003") & runs).alias("backed"), F.min(F.when(has("TA0002"), first)).alias("t_exec"), F.min(F.when(has("TA0001"), first)).alias("t_entry"))
-    ev = events.groupBy("case_id").agg(F.count_if(F.col("artifact_id").isin("prefetch", "amcache")).alias("n_runs"), F.countDistinct(F.nullif(F.trim("computer"), F.lit(""))).alias("n_hosts"))
+    per = f.groupBy("case_id").agg(
+        F.count_if(cleared).alias("cleared"),
+        F.count_if(has("TA0008")).alias("lateral"),
+        F.count_if(has("TA0006")).alias("credential"),
+        F.count_if(has("TA0003")).alias("persistent"),
+        F.count_if(has("TA0003") & runs).alias("backed"),
+        F.min(F.when(has("TA0002"), first)).alias("t_exec"),
+        F.min(F.when(has("TA0001"), first)).alias("t_entry"),
+    )
+    ev = events.groupBy("case_id").agg(
+        F.count_if(F.col("artifact_id").isin("prefetch", "amcache")).alias("n_runs"),
+        F.countDistinct(F.nullif(F.trim("computer"), F.lit(""))).alias("n_hosts"),
+    )
     j = per.join(ev, "case_id", "left").fillna(0, ["n_runs", "n_hosts"])
     issue = lambda rule, cond, sev: F.when(cond, F.struct(F.lit(rule).alias("rule"), sev.alias("severity")))
     warn = F.lit("warning")
     issues = F.array_compact(
         F.array(
             issue("R1", (F.col("cleared") > 0) & ~((F.col("lateral") >= 2) & (F.col("credential") >= 2)), warn),
-            issue("R2", (F.col("persistent") > 0) & ((F.col("n_runs") == 0) | (F.col("backed") == 0)), F.when(F.col("n_runs") == 0, "info").otherwise("warning")),
+            issue(
+                "R2",
+                (F.col("persistent") > 0) & ((F.col("n_runs") == 0) | (F.col("backed") == 0)),
+                F.when(F.col("n_runs") == 0, "info").otherwise("warning"),
+            ),
             issue("R3", (F.col("lateral") > 0) & (F.col("n_hosts") < 2), warn),
             issue("R4", F.col("t_exec") < F.col("t_entry"), warn),
         )
@@ -214,16 +298,43 @@ def check_report_consistency(cases: DataFrame, confirmed: DataFrame, unconfirmed
     hedged = lambda c: F.exists(F.array(*map(F.lit, HEDGES)), lambda h: F.lower(c).contains(h))
     entry = entry_vector(confirmed).select("case_id").distinct().withColumn("has_entry", F.lit(True))
     c = cases.join(entry, "case_id", "left")
-    c1 = c.where(F.col("entry_unknown") & F.col("has_entry")).select("case_id", F.lit("intrusion-path-contradicts-entry-vector").alias("code"), F.lit("blocker").alias("severity"), F.lit("").alias("detail"))
-    c2 = c.where((F.lower("reliability") == "unreliable") & F.col("asserts_earliest")).select("case_id", F.lit("earliest-claim-on-unreliable-timeline").alias("code"), F.lit("warning").alias("severity"), F.lit("").alias("detail"))
+    c1 = c.where(F.col("entry_unknown") & F.col("has_entry")).select(
+        "case_id",
+        F.lit("intrusion-path-contradicts-entry-vector").alias("code"),
+        F.lit("blocker").alias("severity"),
+        F.lit("").alias("detail"),
+    )
+    c2 = c.where((F.lower("reliability") == "unreliable") & F.col("asserts_earliest")).select(
+        "case_id",
+        F.lit("earliest-claim-on-unreliable-timeline").alias("code"),
+        F.lit("warning").alias("severity"),
+        F.lit("").alias("detail"),
+    )
     c3 = technique_conflicts(confirmed, unconfirmed).select("case_id", F.lit("technique-confirmed-and-unconfirmed"), F.lit("warning"), "technique")
-    said = _mentions(cases.where(~hedged(F.coalesce("tech_summary", F.lit("")))).select("case_id", "tech_summary"), "tech_summary").select("case_id", "label", F.explode("techniques").alias("technique"))
-    c4 = said.join(unconfirmed.select("case_id", "technique"), ["case_id", "technique"], "left_semi").select("case_id", F.lit("demoted-technique-asserted-in-prose"), F.lit("warning"), "label").distinct()
+    said = _mentions(
+        cases.where(~hedged(F.coalesce("tech_summary", F.lit("")))).select("case_id", "tech_summary"),
+        "tech_summary",
+    ).select("case_id", "label", F.explode("techniques").alias("technique"))
+    c4 = said.join(unconfirmed.select("case_id", "technique"), ["case_id", "technique"], "left_semi").select(
+        "case_id",
+        F.lit("demoted-technique-asserted-in-prose"),
+        F.lit("warning"),
+        "label",
+    ).distinct()
     brief = _mentions(cases.where(~hedged(F.coalesce("exec_brief", F.lit("")))).select("case_id", "exec_brief", "ungrounded"), "exec_brief")
-    c5 = brief.where(F.array_contains("ungrounded", F.col("label"))).select("case_id", F.lit("ungrounded-mention-in-exec-brief"), F.lit("warning"), "label")
+    c5 = brief.where(F.array_contains("ungrounded", F.col("label"))).select(
+        "case_id",
+        F.lit("ungrounded-mention-in-exec-brief"),
+        F.lit("warning"),
+        "label",
+    )
     noise = iocs_of(f).where("confidence = 'noise' AND type IN ('host', 'account')").select("case_id", F.lower("value").alias("v_"))
     scope = affected_scope(f).select("case_id", F.explode(F.concat("hosts", "accounts")).alias("v"))
-    c6 = scope.join(noise, (scope["case_id"] == noise["case_id"]) & (F.lower(scope["v"]) == noise["v_"]), "left_semi").select("case_id", F.lit("noise-ioc-in-affected-scope"), F.lit("warning"), "v")
+    c6 = scope.join(
+        noise,
+        (scope["case_id"] == noise["case_id"]) & (F.lower(scope["v"]) == noise["v_"]),
+        "left_semi",
+    ).select("case_id", F.lit("noise-ioc-in-affected-scope"), F.lit("warning"), "v")
     return c1.union(c2).union(c3).union(c4).union(c5).union(c6)
 
 
@@ -265,7 +376,15 @@ def timeline_view(f: DataFrame, clustered: DataFrame, noise: DataFrame | None =
 
     noise: case_id, cluster_id, noise.
     """
-    rows = f.select("case_id", "finding_id", "title", "severity", F.explode("evidence").alias("e")).select("case_id", "finding_id", "title", "severity", "e.audit_id", "e.ts_utc", "e.artifact_id")
+    rows = f.select("case_id", "finding_id", "title", "severity", F.explode("evidence").alias("e")).select(
+        "case_id",
+        "finding_id",
+        "title",
+        "severity",
+        "e.audit_id",
+        "e.ts_utc",
+        "e.artifact_id",
+    )
     out = rows.join(clustered.select("case_id", "finding_id", "cluster_id"), ["case_id", "finding_id"], "left").fillna(0, ["cluster_id"])
     marks = clustered.select("case_id", "cluster_id").distinct().withColumn("noise", F.lit(False)) if noise is None else noise.select("case_id", "cluster_id", "noise")
     return out.join(marks, ["case_id", "cluster_id"], "left").fillna(False, ["noise"]).orderBy("case_id", F.col("ts_utc").asc_nulls_last(), "audit_id")
@@ -278,10 +397,25 @@ def timeline_clusters(timeline: DataFrame, clusters: DataFrame) -> DataFrame:
     noise by phase and start (intrusion_path); noise has none.
     """
     counts = timeline.where("cluster_id != 0").groupBy("case_id", "cluster_id").agg(F.count("*").alias("event_count"))
-    marked = clusters.withColumn("noise", is_noise_cluster(F.col("attack_phase"), F.col("narrative"))).withColumn("phase_rank", phase_rank(F.col("attack_phase")))
+    marked = clusters.withColumn(
+        "noise",
+        is_noise_cluster(F.col("attack_phase"), F.col("narrative")),
+    ).withColumn("phase_rank", phase_rank(F.col("attack_phase")))
     steps = intrusion_path(marked).select("case_id", "cluster_id", "step")
     out = marked.join(counts, ["case_id", "cluster_id"], "left").join(steps, ["case_id", "cluster_id"], "left")
-    return out.select("case_id", "cluster_id", "attack_phase", "phase_rank", "start_ts", "end_ts", "narrative", "techniques", "noise", F.coalesce("event_count", F.lit(0)).cast("long").alias("event_count"), "step")
+    return out.select(
+        "case_id",
+        "cluster_id",
+        "attack_phase",
+        "phase_rank",
+        "start_ts",
+        "end_ts",
+        "narrative",
+        "techniques",
+        "noise",
+        F.coalesce("event_count", F.lit(0)).cast("long").alias("event_count"),
+        "step",
+    )
 
 
 def promotable_queries(f: DataFrame, source: DataFrame) -> DataFrame:
@@ -293,7 +427,10 @@ def promotable_queries(f: DataFrame, source: DataFrame) -> DataFrame:
 def promote(skills: DataFrame, hashes: DataFrame, case: str) -> DataFrame:
     hit = hashes.select("sql_sha256", F.lit(True).alias("h_")).distinct()
     out = skills.join(hit, "sql_sha256", "left")
-    return out.withColumn("state", F.when(F.col("h_"), "canonical").otherwise(F.col("state"))).withColumn("hit_count", F.col("hit_count") + F.when(F.col("h_"), 1).otherwise(0)).withColumn("last_used_case", F.when(F.col("h_"), F.lit(case)).otherwise(F.col("last_used_case"))).select(*skills.columns)
+    return out.withColumn("state", F.when(F.col("h_"), "canonical").otherwise(F.col("state"))).withColumn("hit_count", F.col("hit_count") + F.when(F.col("h_"), 1).otherwise(0)).withColumn(
+        "last_used_case",
+        F.when(F.col("h_"), F.lit(case)).otherwise(F.col("last_used_case")),
+    ).select(*skills.columns)
 
 
 def prune(skills: DataFrame, older_than) -> DataFrame:

@@ -35,16 +35,103 @@ def _like(artifact: str, *patterns: str) -> list[tuple[str, str, str]]:
 
 
 TACTIC_CLAUSES: dict[str, list[tuple[str, str, str]]] = {
-    "initial_access": [_E("4624"), _E("4625"), _E("4648"), _S("1"), *_like("registry", "%Office%TrustRecords%", "%Office%Security%VBAWarnings%"), *_like("evtx", "%ParentImage%chrome%", "%ParentImage%msedge%", "%ParentImage%outlook%", "%ParentImage%winword%", "%ParentImage%excel%")],
-    "execution": [_E("4688"), _S("1"), _E("4697"), _E("7045"), _A("scheduled_tasks"), _A("prefetch"), _A("amcache"), *_like("evtx", "%Microsoft-Windows-PowerShell/Operational%")],
-    "persistence": [_H("TA0003"), _A("scheduled_tasks"), *[_E(i) for i in ("4697", "7045", "4698", "4699", "4700", "4701", "4702", "4720", "4732", "4738", "4724")], _S("12"), _S("13")],
+    "initial_access": [
+        _E("4624"),
+        _E("4625"),
+        _E("4648"),
+        _S("1"),
+        *_like("registry", "%Office%TrustRecords%", "%Office%Security%VBAWarnings%"),
+        *_like("evtx", "%ParentImage%chrome%", "%ParentImage%msedge%", "%ParentImage%outlook%", "%ParentImage%winword%", "%ParentImage%excel%"),
+    ],
+    "execution": [
+        _E("4688"),
+        _S("1"),
+        _E("4697"),
+        _E("7045"),
+        _A("scheduled_tasks"),
+        _A("prefetch"),
+        _A("amcache"),
+        *_like("evtx", "%Microsoft-Windows-PowerShell/Operational%"),
+    ],
+    "persistence": [
+        _H("TA0003"),
+        _A("scheduled_tasks"),
+        *[_E(i) for i in ("4697", "7045", "4698", "4699", "4700", "4701", "4702", "4720", "4732", "4738", "4724")],
+        _S("12"),
+        _S("13"),
+    ],
     "privilege_escalation": [_E("4672"), _E("4673"), _E("4674"), _H("TA0004"), _S("10"), *_like("evtx", "%LogonType%9%")],
-    "defense_evasion": [_E("1102"), _E("104"), *_like("evtx", "%Microsoft-Windows-Windows Defender%", "%5001%"), _H("TA0005"), *_like("evtx", "%-EncodedCommand%", "%-WindowStyle Hidden%", "%mshta%", "%rundll32%", "%regsvr32%"), _S("12"), _S("13")],
-    "credential_access": [_E("4768"), _E("4769"), _E("4776"), _E("4648"), _E("4740"), _S("10"), _H("TA0006"), *_like("registry", "%\\\\SAM\\\\Domains\\\\Account%", "%\\\\SECURITY\\\\Policy\\\\Secrets%")],
-    "discovery": [_E("4688"), _S("1"), *_like("evtx", "%whoami%", "%net.exe%user%", "%net.exe%group%", "%net.exe%localgroup%", "%ipconfig%", "%nltest%", "%tasklist%", "%systeminfo%", "%netstat%", "%arp -a%", "%route print%"), _H("TA0007")],
-    "lateral_movement": [*_like("evtx", '%"LogonType"%"3"%', '%"LogonType"%"10"%'), _E("4624"), _E("4625"), *_like("evtx", "%TerminalServices-RemoteConnectionManager%", "%TerminalServices-LocalSessionManager%", "%RdpCoreTS%"), _E("5140"), _E("5145"), *_like("evtx", "%Windows Remote Management%", "%WMI-Activity%"), _A("scheduled_tasks"), _H("TA0008")],
-    "collection": [_S("11"), _E("4663"), _E("4656"), *_like("evtx", "%TargetFilename%\\\\Temp\\\\%", "%TargetFilename%\\\\AppData\\\\%", "%7z.exe%", "%winrar%", "%makecab%", "%Compress-Archive%"), _S("24")],
-    "impact": [*_like("evtx", "%vssadmin%delete%", "%wbadmin%delete%", "%wmic%shadowcopy%delete%", "%bcdedit%recoveryenabled%no%", "%bcdedit%bootstatuspolicy%ignoreallfailures%"), _S("11"), _E("4660"), _E("7036"), *_like("evtx", "%stop-service%"), *_like("registry", "%\\\\BCD0%", "%VolumeSnapshots%")],
+    "defense_evasion": [
+        _E("1102"),
+        _E("104"),
+        *_like("evtx", "%Microsoft-Windows-Windows Defender%", "%5001%"),
+        _H("TA0005"),
+        *_like("evtx", "%-EncodedCommand%", "%-WindowStyle Hidden%", "%mshta%", "%rundll32%", "%regsvr32%"),
+        _S("12"),
+        _S("13"),
+    ],
+    "credential_access": [
+        _E("4768"),
+        _E("4769"),
+        _E("4776"),
+        _E("4648"),
+        _E("4740"),
+        _S("10"),
+        _H("TA0006"),
+        *_like("registry", "%\\\\SAM\\\\Domains\\\\Account%", "%\\\\SECURITY\\\\Policy\\\\Secrets%"),
+    ],
+    "discovery": [
+        _E("4688"),
+        _S("1"),
+        *_like(
+            "evtx",
+            "%whoami%",
+            "%net.exe%user%",
+            "%net.exe%group%",
+            "%net.exe%localgroup%",
+            "%ipconfig%",
+            "%nltest%",
+            "%tasklist%",
+            "%systeminfo%",
+            "%netstat%",
+            "%arp -a%",
+            "%route print%",
+        ),
+        _H("TA0007"),
+    ],
+    "lateral_movement": [
+        *_like("evtx", '%"LogonType"%"3"%', '%"LogonType"%"10"%'),
+        _E("4624"),
+        _E("4625"),
+        *_like("evtx", "%TerminalServices-RemoteConnectionManager%", "%TerminalServices-LocalSessionManager%", "%RdpCoreTS%"),
+        _E("5140"),
+        _E("5145"),
+        *_like("evtx", "%Windows Remote Management%", "%WMI-Activity%"),
+        _A("scheduled_tasks"),
+        _H("TA0008"),
+    ],
+    "collection": [
+        _S("11"),
+        _E("4663"),
+        _E("4656"),
+        *_like("evtx", "%TargetFilename%\\\\Temp\\\\%", "%TargetFilename%\\\\AppData\\\\%", "%7z.exe%", "%winrar%", "%makecab%", "%Compress-Archive%"),
+        _S("24"),
+    ],
+    "impact": [
+        *_like(
+            "evtx",
+            "%vssadmin%delete%",
+            "%wbadmin%delete%",
+            "%wmic%shadowcopy%delete%",
+            "%bcdedit%recoveryenabled%no%",
+            "%bcdedit%bootstatuspolicy%ignoreallfailures%",
+        ),
+        _S("11"),
+        _E("4660"),
+        _E("7036"),
+        *_like("evtx", "%stop-service%"),
+        *_like("registry", "%\\\\BCD0%", "%VolumeSnapshots%"),
+    ],
 }
 
 
@@ -74,7 +161,13 @@ def tactic_predicate(tactic: str, artifacts: tuple[str, ...] | None = None) -> C
     for kind, artifact, arg in TACTIC_CLAUSES[tactic]:
         if artifacts and artifact not in artifacts:
             continue
-        body = {"id": lambda a: pay.contains(f'"EventId": "{a}"'), "sysmon": lambda a: pay.contains("Microsoft-Windows-Sysmon") & pay.contains(f'"EventId": "{a}"'), "hint": pay.contains, "like": lambda a: _like_cs(pay, a), "all": lambda a: F.lit(True)}[kind](arg)
+        body = {
+            "id": lambda a: pay.contains(f'"EventId": "{a}"'),
+            "sysmon": lambda a: pay.contains("Microsoft-Windows-Sysmon") & pay.contains(f'"EventId": "{a}"'),
+            "hint": pay.contains,
+            "like": lambda a: _like_cs(pay, a),
+            "all": lambda a: F.lit(True),
+        }[kind](arg)
         out = out | ((F.col("artifact_id") == artifact) & body)
     return out
 
@@ -102,7 +195,9 @@ def drop_evtx_noise(df: DataFrame) -> DataFrame:
 
 
 def events_by_ttp(df: DataFrame, case: str, technique: str, limit: int = 50) -> DataFrame:
-    return df.where((F.col("case_id") == case) & F.col("payload_json").contains(technique)).orderBy(F.col("ts_utc").asc_nulls_last(), "audit_id").limit(max(1, min(500, limit)))
+    return df.where(
+        (F.col("case_id") == case) & F.col("payload_json").contains(technique),
+    ).orderBy(F.col("ts_utc").asc_nulls_last(), "audit_id").limit(max(1, min(500, limit)))
 
 
 def filter_findings(f: DataFrame, source: str | None = None, rule_source: str | None = None, severity: str | None = None, review_state: str | None = None) -> DataFrame:
@@ -149,17 +244,30 @@ def shrink_payload(df: DataFrame, most: int = 200) -> DataFrame:
 
 def digest_payload(df: DataFrame, most: int = 200) -> DataFrame:
     """As shrink_payload, but numbers keep their length."""
-    return shrink_payload(df, 1 << 20).withColumn("payload", F.transform_values("payload", lambda k, v: F.when(v.rlike(r"^-?\d+(\.\d+)?$"), v).otherwise(cut(v, most))))
+    return shrink_payload(df, 1 << 20).withColumn(
+        "payload",
+        F.transform_values("payload", lambda k, v: F.when(v.rlike(r"^-?\d+(\.\d+)?$"), v).otherwise(cut(v, most))),
+    )
 
 
 def sample_schema(df: DataFrame, event_ids: int = 6, artifacts: int = 8) -> DataFrame:
     """One real payload for each evtx event id (the most frequent ones) and for each other artifact, with its top-level keys."""
-    kind = F.when(F.col("artifact_id") == "evtx", F.concat(F.lit("evtx:"), F.coalesce(json_field(F.col("payload_json"), "EventId"), F.lit("")))).otherwise(F.col("artifact_id"))
+    kind = F.when(
+        F.col("artifact_id") == "evtx",
+        F.concat(F.lit("evtx:"), F.coalesce(json_field(F.col("payload_json"), "EventId"), F.lit(""))),
+    ).otherwise(F.col("artifact_id"))
     rows = df.withColumn("kind", kind)
     sizes = rows.groupBy("case_id", "kind").agg(F.count("*").alias("n"), F.min(F.struct("audit_id", "payload_json")).alias("s"))
     group = F.col("kind").startswith("evtx:")
     ranked = sizes.withColumn("r_", F.row_number().over(Window.partitionBy("case_id", group).orderBy(F.desc("n"), "kind")))
-    return ranked.where((group & (F.col("r_") <= event_ids)) | (~group & (F.col("r_") <= artifacts))).select("case_id", "kind", "n", "s.audit_id", F.array_sort(F.json_object_keys("s.payload_json")).alias("keys"), F.col("s.payload_json").alias("payload_json"))
+    return ranked.where((group & (F.col("r_") <= event_ids)) | (~group & (F.col("r_") <= artifacts))).select(
+        "case_id",
+        "kind",
+        "n",
+        "s.audit_id",
+        F.array_sort(F.json_object_keys("s.payload_json")).alias("keys"),
+        F.col("s.payload_json").alias("payload_json"),
+    )
 
 
 def all_null_projection(df: DataFrame, envelope: tuple[str, ...] = ("audit_id", "ts_utc", "artifact_id", "event_type")) -> DataFrame:

@@ -20,7 +20,11 @@ def link_components(links: DataFrame, left: str, right: str, most_rounds: int =
     for _ in range(most_rounds):
         to_right = links.join(labels, "l").groupBy("r").agg(F.min("c").alias("c"))
         to_left = links.join(to_right, "r").groupBy("l").agg(F.min("c").alias("m"))
-        jumped = to_left.join(labels.select(F.col("l").alias("m"), F.col("c").alias("c2")), "m", "left").select("l", F.least("m", F.coalesce("c2", "m")).alias("c"))
+        jumped = to_left.join(
+            labels.select(F.col("l").alias("m"), F.col("c").alias("c2")),
+            "m",
+            "left",
+        ).select("l", F.least("m", F.coalesce("c2", "m")).alias("c"))
         new = kept(jumped)
         changed = new.join(labels.withColumnRenamed("c", "old"), "l").where("c != old").limit(1).count()
         labels = new
@@ -35,7 +39,10 @@ def component_evidence(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(finding_id, component of every finding; component, audit_id of every cited event): findings that share an audit id are linked."""
     cited = findings.select("finding_id", F.explode("evidence").alias("e")).select("finding_id", F.col("e.audit_id").alias("audit_id"))
     linked = link_components(cited, "finding_id", "audit_id")
-    labels = findings.select("finding_id").join(linked, "finding_id", "left").select("finding_id", F.coalesce("component", "finding_id").alias("component"))
+    labels = findings.select("finding_id").join(linked, "finding_id", "left").select(
+        "finding_id",
+        F.coalesce("component", "finding_id").alias("component"),
+    )
     return labels, cited.join(labels, "finding_id").select("component", "audit_id").distinct()
 
 

@@ -12,9 +12,26 @@ from ..model import micros
 def hydrate_evidence(findings: DataFrame, events: DataFrame) -> DataFrame:
     """Fills a missing time, artifact or event type of evidence from the event it cites; values that are there stay."""
     rows = findings.select("case_id", "finding_id", F.posexplode("evidence").alias("i", "e"))
-    known = events.select("case_id", F.col("audit_id").alias("a_"), F.struct("ts_utc", "artifact_id", "event_type").alias("v_")).groupBy("case_id", "a_").agg(F.min("v_").alias("v_"))
-    full = rows.join(known, (rows["case_id"] == known["case_id"]) & (rows["e"]["audit_id"] == known["a_"]), "left").select(rows["case_id"], "finding_id", "i", F.struct(F.col("e.audit_id").alias("audit_id"), F.coalesce("e.ts_utc", "v_.ts_utc").alias("ts_utc"), F.coalesce(F.nullif("e.artifact_id", F.lit("")), F.col("v_.artifact_id")).alias("artifact_id"), F.coalesce(F.nullif("e.event_type", F.lit("")), F.col("v_.event_type")).alias("event_type"), F.col("e.extra").alias("extra")).alias("e"))
-    new = full.groupBy("case_id", "finding_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "e")), lambda a, b: a["i"] - b["i"]), lambda x: x["e"]).alias("new_"))
+    known = events.select(
+        "case_id",
+        F.col("audit_id").alias("a_"),
+        F.struct("ts_utc", "artifact_id", "event_type").alias("v_"),
+    ).groupBy("case_id", "a_").agg(F.min("v_").alias("v_"))
+    full = rows.join(known, (rows["case_id"] == known["case_id"]) & (rows["e"]["audit_id"] == known["a_"]), "left").select(
+        rows["case_id"],
+        "finding_id",
+        "i",
+        F.struct(
+            F.col("e.audit_id").alias("audit_id"),
+            F.coalesce("e.ts_utc", "v_.ts_utc").alias("ts_utc"),
+            F.coalesce(F.nullif("e.artifact_id", F.lit("")), F.col("v_.artifact_id")).alias("artifact_id"),
+            F.coalesce(F.nullif("e.event_type", F.lit("")), F.col("v_.event_type")).alias("event_type"),
+            F.col("e.extra").alias("extra"),
+        ).alias("e"),
+    )
+    new = full.groupBy("case_id", "finding_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "e")), lambda a, b: a["i"] - b["i"]), lambda x: x["e"]).alias("new_"),
+    )
     return findings.join(new, ["case_id", "finding_id"], "left").withColumn("evidence", F.coalesce("new_", "evidence")).drop("new_")
 
 
@@ -28,11 +45,19 @@ def unresolved_ids(ids: DataFrame, events: DataFrame) -> DataFrame:
 
 def validate_citations(findings: DataFrame, shown: DataFrame) -> DataFrame:
     """finding_id and error of findings without evidence, with a blank id, or with an id that was not shown."""
-    none = findings.where(F.coalesce(F.size("evidence"), F.lit(0)) <= 0).select("finding_id", F.lit(None).cast("string").alias("audit_id"), F.lit("no evidence").alias("error"))
+    none = findings.where(F.coalesce(F.size("evidence"), F.lit(0)) <= 0).select(
+        "finding_id",
+        F.lit(None).cast("string").alias("audit_id"),
+        F.lit("no evidence").alias("error"),
+    )
     cited = findings.select("finding_id", F.explode("evidence").alias("e")).select("finding_id", F.col("e.audit_id").alias("audit_id"))
     blank = F.trim(F.coalesce("audit_id", F.lit(""))) == ""
     empty = cited.where(blank).select("finding_id", "audit_id", F.lit("blank audit id").alias("error"))
-    odd = cited.where(~blank).join(shown.select("audit_id").distinct(), "audit_id", "left_anti").select("finding_id", "audit_id", F.lit("audit id was not shown").alias("error"))
+    odd = cited.where(~blank).join(shown.select("audit_id").distinct(), "audit_id", "left_anti").select(
+        "finding_id",
+        "audit_id",
+        F.lit("audit id was not shown").alias("error"),
+    )
     return none.union(empty).union(odd)
 
 
@@ -60,24 +85,47 @@ def near_findings(events: DataFrame, times: DataFrame, window_s: int = 1800) ->
 def window_events(events: DataFrame, windows: DataFrame) -> DataFrame:
     """Events of each window (case_id, cluster_id, win_start, win_end), both ends inclusive: windows are spread over hours, events probe their own."""
     hour = 3_600_000_000
-    spread = windows.select("case_id", "cluster_id", "win_start", "win_end", F.explode(F.sequence(F.floor(micros(F.col("win_start")) / hour), F.floor(micros(F.col("win_end")) / hour))).alias("h_"))
+    spread = windows.select(
+        "case_id",
+        "cluster_id",
+        "win_start",
+        "win_end",
+        F.explode(F.sequence(F.floor(micros(F.col("win_start")) / hour), F.floor(micros(F.col("win_end")) / hour))).alias("h_"),
+    )
     probe = events.withColumn("h_", F.floor(micros(F.col("ts_utc")) / hour))
     return probe.join(spread, ["case_id", "h_"]).where("ts_utc >= win_start AND ts_utc <= win_end").drop("h_")
 
 
 def mark_detected(rows: DataFrame, findings: DataFrame) -> DataFrame:
-    cited = findings.select("case_id", F.explode("evidence").alias("e")).select("case_id", F.col("e.audit_id").alias("audit_id"), F.lit(True).alias("d_")).distinct()
+    cited = findings.select("case_id", F.explode("evidence").alias("e")).select(
+        "case_id",
+        F.col("e.audit_id").alias("audit_id"),
+        F.lit(True).alias("d_"),
+    ).distinct()
     return rows.join(cited, ["case_id", "audit_id"], "left").withColumn("detected", F.coalesce("d_", F.lit(False))).drop("d_")
 
 
 def burst_success(bursts: DataFrame, successes: DataFrame, gap_s: int) -> DataFrame:
     """The first success of the account from the end of each burst to gap_s seconds after it, inclusive."""
     w = gap_s * 1_000_000
-    spread = bursts.select("case_id", "account", "burst_id", micros(F.col("run_end")).alias("e_")).withColumn("b_", F.explode(F.array(F.floor(F.col("e_") / w), F.floor(F.col("e_") / w) + 1)))
-    probe = successes.select("case_id", "account", "audit_id", F.col("ts_utc").alias("success_ts"), micros(F.col("ts_utc")).alias("t_")).withColumn("b_", F.floor(F.col("t_") / w))
+    spread = bursts.select("case_id", "account", "burst_id", micros(F.col("run_end")).alias("e_")).withColumn(
+        "b_",
+        F.explode(F.array(F.floor(F.col("e_") / w), F.floor(F.col("e_") / w) + 1)),
+    )
+    probe = successes.select(
+        "case_id",
+        "account",
+        "audit_id",
+        F.col("ts_utc").alias("success_ts"),
+        micros(F.col("ts_utc")).alias("t_"),
+    ).withColumn("b_", F.floor(F.col("t_") / w))
     met = spread.join(probe, ["case_id", "account", "b_"]).where((F.col("t_") >= F.col("e_")) & (F.col("t_") - F.col("e_") <= w))
     first = met.groupBy("case_id", "account", "burst_id").agg(F.min(F.struct("success_ts", "audit_id")).alias("s_"))
-    return bursts.join(first, ["case_id", "account", "burst_id"], "left").select(*bursts.columns, F.col("s_.success_ts").alias("success_ts"), F.col("s_.audit_id").alias("success_id"))
+    return bursts.join(first, ["case_id", "account", "burst_id"], "left").select(
+        *bursts.columns,
+        F.col("s_.success_ts").alias("success_ts"),
+        F.col("s_.audit_id").alias("success_id"),
+    )
 
 
 def fold_twin_findings(f: DataFrame) -> DataFrame:
@@ -91,7 +139,10 @@ def fold_twin_refs(refs: DataFrame) -> DataFrame:
     """As fold_twin_findings within each cluster (case_id, cluster_id, source, title, ...); adds how many each cluster lost."""
     key = merge_title(F.col("title"))
     twins = refs.where("source = 'sigma'").select("case_id", "cluster_id", key.alias("t_")).where("t_ != ''").distinct().withColumn("twin_", F.lit(True))
-    marked = refs.withColumn("t_", key).join(twins, ["case_id", "cluster_id", "t_"], "left").withColumn("out_", (F.col("source") == "hayabusa") & F.col("twin_").isNotNull())
+    marked = refs.withColumn("t_", key).join(twins, ["case_id", "cluster_id", "t_"], "left").withColumn(
+        "out_",
+        (F.col("source") == "hayabusa") & F.col("twin_").isNotNull(),
+    )
     lost = marked.groupBy("case_id", "cluster_id").agg(F.count_if("out_").alias("dropped"))
     return marked.where(~F.col("out_")).join(lost, ["case_id", "cluster_id"]).select(*refs.columns, "dropped")
 
@@ -112,8 +163,14 @@ def apply_review(f: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFra
     """(findings with approve, reject or reset applied; ids of decisions that name no finding)."""
     d = decisions.select("finding_id", F.lower("decision").alias("d_")).dropDuplicates(["finding_id"])
     out = f.join(d, "finding_id", "left")
-    out = out.withColumn("approved", F.when(F.col("d_") == "approve", True).when(F.col("d_").isin("reject", "reset"), False).otherwise(F.col("approved")))
-    out = out.withColumn("rejected", F.when(F.col("d_") == "reject", True).when(F.col("d_").isin("approve", "reset"), False).otherwise(F.col("rejected"))).select(*f.columns)
+    out = out.withColumn(
+        "approved",
+        F.when(F.col("d_") == "approve", True).when(F.col("d_").isin("reject", "reset"), False).otherwise(F.col("approved")),
+    )
+    out = out.withColumn(
+        "rejected",
+        F.when(F.col("d_") == "reject", True).when(F.col("d_").isin("approve", "reset"), False).otherwise(F.col("rejected")),
+    ).select(*f.columns)
     return out, d.select("finding_id").join(f, "finding_id", "left_anti")
 
 
@@ -129,7 +186,10 @@ def resolve_follow_ups(ids: DataFrame, excerpt: DataFrame) -> DataFrame:
     dated = excerpt.where("ts_utc IS NOT NULL").select("case_id", "audit_id", "ts_utc").dropDuplicates(["case_id", "audit_id"])
     met = ids.select("case_id", "cluster_id", "audit_id").distinct().join(dated, ["case_id", "audit_id"], "left")
     ref = F.when(F.col("ts_utc").isNotNull(), F.struct("ts_utc", "audit_id"))
-    return met.groupBy("case_id", "cluster_id").agg(F.array_sort(F.collect_list(ref)).alias("events"), F.count_if(F.col("ts_utc").isNull()).alias("unresolved"))
+    return met.groupBy("case_id", "cluster_id").agg(
+        F.array_sort(F.collect_list(ref)).alias("events"),
+        F.count_if(F.col("ts_utc").isNull()).alias("unresolved"),
+    )
 
 
 def input_presence(catalog: DataFrame, artifacts: DataFrame, channels: DataFrame) -> DataFrame:
@@ -150,7 +210,23 @@ def missing_inputs(results: DataFrame) -> DataFrame:
 
 
 # Artifacts that can show a technique.
-ARTIFACTS_OF_TECHNIQUE = {"T1003": ("evtx", "mft"), "T1021": ("evtx", "shellbags"), "T1053": ("scheduled_tasks", "evtx"), "T1059": ("evtx", "prefetch"), "T1070": ("evtx", "usn_journal"), "T1078": ("evtx",), "T1110": ("evtx",), "T1190": ("w3c_iis", "web_error"), "T1204": ("prefetch", "amcache"), "T1486": ("usn_journal", "mft"), "T1505": ("w3c_iis", "iis_module", "mft"), "T1543": ("registry", "evtx"), "T1547": ("registry",), "T1562": ("registry", "evtx"), "T1566": ("browser_history", "evtx")}
+ARTIFACTS_OF_TECHNIQUE = {
+    "T1003": ("evtx", "mft"),
+    "T1021": ("evtx", "shellbags"),
+    "T1053": ("scheduled_tasks", "evtx"),
+    "T1059": ("evtx", "prefetch"),
+    "T1070": ("evtx", "usn_journal"),
+    "T1078": ("evtx",),
+    "T1110": ("evtx",),
+    "T1190": ("w3c_iis", "web_error"),
+    "T1204": ("prefetch", "amcache"),
+    "T1486": ("usn_journal", "mft"),
+    "T1505": ("w3c_iis", "iis_module", "mft"),
+    "T1543": ("registry", "evtx"),
+    "T1547": ("registry",),
+    "T1562": ("registry", "evtx"),
+    "T1566": ("browser_history", "evtx"),
+}
 
 
 def required_artifacts(techniques: DataFrame, artifacts: DataFrame) -> DataFrame:
@@ -158,20 +234,32 @@ def required_artifacts(techniques: DataFrame, artifacts: DataFrame) -> DataFrame
     spark = techniques.sparkSession
     table = spark.createDataFrame([(k, list(v)) for k, v in ARTIFACTS_OF_TECHNIQUE.items()], "base string, artifacts array<string>")
     met = techniques.select("technique").distinct().withColumn("base", F.substring_index("technique", ".", 1)).join(F.broadcast(table), "base", "left")
-    held = met.select("technique", F.explode("artifacts").alias("artifact_id")).join(artifacts.select("artifact_id").distinct(), "artifact_id", "left_semi").select("technique").distinct().withColumn("covered", F.lit(True))
+    held = met.select("technique", F.explode("artifacts").alias("artifact_id")).join(
+        artifacts.select("artifact_id").distinct(),
+        "artifact_id",
+        "left_semi",
+    ).select("technique").distinct().withColumn("covered", F.lit(True))
     return met.join(held, "technique", "left").select("technique", "artifacts", F.coalesce("covered", F.lit(False)).alias("covered"))
 
 
 def evidence_with_tz(summary: DataFrame, evidence: DataFrame, cases: DataFrame) -> DataFrame:
     """Adds the zone of each evidence (its own, else the case's, else UTC) and whether it is its own."""
     own, case = F.nullif(F.trim("e_tz"), F.lit("")), F.nullif(F.trim("c_tz"), F.lit(""))
-    out = summary.join(evidence.select("case_id", "evidence_id", F.col("timezone").alias("e_tz")), ["case_id", "evidence_id"], "left").join(cases.select("case_id", F.col("timezone").alias("c_tz")), "case_id", "left")
+    out = summary.join(
+        evidence.select("case_id", "evidence_id", F.col("timezone").alias("e_tz")),
+        ["case_id", "evidence_id"],
+        "left",
+    ).join(cases.select("case_id", F.col("timezone").alias("c_tz")), "case_id", "left")
     return out.withColumn("timezone", F.coalesce(own, case, F.lit("UTC"))).withColumn("overridden", own.isNotNull()).drop("e_tz", "c_tz")
 
 
 def explain_actions(actions: DataFrame, findings: DataFrame, clusters: DataFrame) -> DataFrame:
     """Log rows with the finding of their (rule_source, rule_id) and the phase of their cluster."""
-    f = findings.select(F.col("source").alias("rule_source"), "rule_id", F.col("title").alias("finding_title")).dropDuplicates(["rule_source", "rule_id"])
+    f = findings.select(
+        F.col("source").alias("rule_source"),
+        "rule_id",
+        F.col("title").alias("finding_title"),
+    ).dropDuplicates(["rule_source", "rule_id"])
     c = clusters.select("cluster_id", F.col("attack_phase").alias("cluster_phase")).dropDuplicates(["cluster_id"])
     return actions.join(f, ["rule_source", "rule_id"], "left").join(c, "cluster_id", "left")
 

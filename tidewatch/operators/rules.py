@@ -49,16 +49,75 @@ def low(key: str) -> Column:
 
 
 # Strings of the rules' conditions.
-SYSTEM_PROCESSES = ("svchost.exe", "services.exe", "lsass.exe", "winlogon.exe", "csrss.exe", "smss.exe", "taskhostw.exe", "taskhost.exe", "dllhost.exe", "conhost.exe", "rundll32.exe", "spoolsv.exe", "wininit.exe")
+SYSTEM_PROCESSES = (
+    "svchost.exe",
+    "services.exe",
+    "lsass.exe",
+    "winlogon.exe",
+    "csrss.exe",
+    "smss.exe",
+    "taskhostw.exe",
+    "taskhost.exe",
+    "dllhost.exe",
+    "conhost.exe",
+    "rundll32.exe",
+    "spoolsv.exe",
+    "wininit.exe",
+)
 DOCUMENT_MARKS = ("%.pdf.%", "%.doc.%", "%.docx.%", "%.xls.%", "%.xlsx.%", "%.jpg.%", "%.jpeg.%", "%.png.%", "%.txt.%", "%.zip.%")
 PROGRAM_ENDS = ("%.exe", "%.scr", "%.com", "%.bat", "%.cmd", "%.pif", "%.vbs", "%.js")
-HACKTOOLS = ("procdump%.exe", "mimikatz%.exe", "mimi.exe", "stager.ps1", "%_payload.exe", "%_payload.go", "%_payload.ps1", "%_payload.dll", "lazagne.exe", "psexec.exe", "rubeus.exe", "seatbelt.exe", "sharphound.exe", "winpeas%.exe", "cobaltstrike%", "meterpreter%", "pwdump%.exe", "wce.exe", "nc.exe", "ncat.exe")
+HACKTOOLS = (
+    "procdump%.exe",
+    "mimikatz%.exe",
+    "mimi.exe",
+    "stager.ps1",
+    "%_payload.exe",
+    "%_payload.go",
+    "%_payload.ps1",
+    "%_payload.dll",
+    "lazagne.exe",
+    "psexec.exe",
+    "rubeus.exe",
+    "seatbelt.exe",
+    "sharphound.exe",
+    "winpeas%.exe",
+    "cobaltstrike%",
+    "meterpreter%",
+    "pwdump%.exe",
+    "wce.exe",
+    "nc.exe",
+    "ncat.exe",
+)
 SCRIPT_END = r"\.(aspx|ashx|asmx|ascx|asp|php|php5|phtml|jsp|jspx|cshtml|vbhtml|cfm|cgi|pl|py)$"
 UPLOAD_DIR = "/(uploads|upload|fileupload|files|userfiles|images|img|media|avatars|photos|documents|temp|tmp|data|assets|static|public|downloads)/"
 WEB_TOOLS = "(printspoofer|godpotato|juicypotato|roguepotato|sweetpotato|efspotato|rottenpotato|rubeus|mimikatz)"
-DEFENDER_VALUES = ("DisableAntiSpyware", "DisableAntiVirus", "DisableRealtimeMonitoring", "DisableBehaviorMonitoring", "DisableOnAccessProtection", "DisableScanOnRealtimeEnable", "DisableIOAVProtection", "TamperProtection")
+DEFENDER_VALUES = (
+    "DisableAntiSpyware",
+    "DisableAntiVirus",
+    "DisableRealtimeMonitoring",
+    "DisableBehaviorMonitoring",
+    "DisableOnAccessProtection",
+    "DisableScanOnRealtimeEnable",
+    "DisableIOAVProtection",
+    "TamperProtection",
+)
 STARTUP_ENDS = ("%.lnk", "%.exe", "%.bat", "%.cmd", "%.vbs", "%.vbe", "%.js", "%.jse", "%.ps1", "%.hta", "%.scr", "%.wsf", "%.pif")
-WEBROOT_ENDS = ("%.aspx", "%.asp", "%.ashx", "%.asmx", "%.asax", "%.php", "%.php3", "%.php4", "%.php5", "%.phtml", "%.jsp", "%.jspx", "%.jspf", "%.cfm")
+WEBROOT_ENDS = (
+    "%.aspx",
+    "%.asp",
+    "%.ashx",
+    "%.asmx",
+    "%.asax",
+    "%.php",
+    "%.php3",
+    "%.php4",
+    "%.php5",
+    "%.phtml",
+    "%.jsp",
+    "%.jspx",
+    "%.jspf",
+    "%.cfm",
+)
 
 
 def _text(*marks: str) -> Column:
@@ -85,7 +144,22 @@ def _double(*cols: Column) -> Column:
 
 
 # File names and paths of the rules' conditions.
-DOUBLE_LINKS = ("%.pdf.lnk", "%.doc.lnk", "%.docx.lnk", "%.xls.lnk", "%.xlsx.lnk", "%.ppt.lnk", "%.pptx.lnk", "%.rtf.lnk", "%.txt.lnk", "%.jpg.lnk", "%.jpeg.lnk", "%.png.lnk", "%.csv.lnk", "%.zip.lnk")
+DOUBLE_LINKS = (
+    "%.pdf.lnk",
+    "%.doc.lnk",
+    "%.docx.lnk",
+    "%.xls.lnk",
+    "%.xlsx.lnk",
+    "%.ppt.lnk",
+    "%.pptx.lnk",
+    "%.rtf.lnk",
+    "%.txt.lnk",
+    "%.jpg.lnk",
+    "%.jpeg.lnk",
+    "%.png.lnk",
+    "%.csv.lnk",
+    "%.zip.lnk",
+)
 PAYLOAD_URLS = ("%.exe", "%.scr", "%.dll", "%.zip", "%.7z", "%.rar", "%.iso", "%.img", "%.lnk", "%.hta", "%.ps1", "%.bat")
 WRITABLE_LIBRARIES = (
     "%\\DOWNLOADS\\%.DLL",
@@ -128,7 +202,16 @@ RULES = (
         ("credential-access", "exfiltration"),
         ("T1003.003",),
         ("mft",),
-        lambda: (low("FileName") == "ntds.dit") & like_any(p("ParentPath"), "%\\appdata\\%", "%\\users\\public\\%", "%\\temp\\%", "%\\programdata\\%", "%\\downloads\\%", "%\\desktop\\%", "c:\\temp\\%"),
+        lambda: (low("FileName") == "ntds.dit") & like_any(
+            p("ParentPath"),
+            "%\\appdata\\%",
+            "%\\users\\public\\%",
+            "%\\temp\\%",
+            "%\\programdata\\%",
+            "%\\downloads\\%",
+            "%\\desktop\\%",
+            "c:\\temp\\%",
+        ),
         {"file_name": "FileName", "parent_path": "ParentPath"},
     ),
     Rule(
@@ -138,7 +221,17 @@ RULES = (
         ("persistence", "execution", "defense-evasion"),
         ("T1053.005", "T1059.001"),
         ("scheduled_tasks",),
-        lambda: like_ci(p(COMMAND), "%powershell%") & like_any(p(ARGUMENTS), "%-w hidden%", "%-windowstyle hidden%", "%-enc %", "%-encodedcommand%", "%frombase64string%", "%downloadstring%", "%iex(%", "%invoke-expression%"),
+        lambda: like_ci(p(COMMAND), "%powershell%") & like_any(
+            p(ARGUMENTS),
+            "%-w hidden%",
+            "%-windowstyle hidden%",
+            "%-enc %",
+            "%-encodedcommand%",
+            "%frombase64string%",
+            "%downloadstring%",
+            "%iex(%",
+            "%invoke-expression%",
+        ),
         {"task_name": "task_name", "task_arguments": ARGUMENTS},
     ),
     Rule(
@@ -148,7 +241,16 @@ RULES = (
         ("command-and-control",),
         ("T1071.001", "T1071.004"),
         ("evtx",),
-        lambda: like_ci(p("Channel"), "%powershell%") & _text("invoke-webrequest", "invoke-restmethod", "resolve-dnsname", "gethostaddresses", "net.webclient", "downloadstring", "downloaddata", "start-bitstransfer") & _text(".test/", ".test'", '.test\\"', ".invalid", ".example/"), {"channel": "Channel", "event_id": "EventId"},
+        lambda: like_ci(p("Channel"), "%powershell%") & _text(
+            "invoke-webrequest",
+            "invoke-restmethod",
+            "resolve-dnsname",
+            "gethostaddresses",
+            "net.webclient",
+            "downloadstring",
+            "downloaddata",
+            "start-bitstransfer",
+        ) & _text(".test/", ".test'", '.test\\"', ".invalid", ".example/"), {"channel": "Channel", "event_id": "EventId"},
     ),
     Rule(
         "task-system-process-name",
@@ -157,7 +259,15 @@ RULES = (
         ("persistence", "defense-evasion"),
         ("T1053.005", "T1036.005"),
         ("scheduled_tasks",),
-        lambda: _names(p(COMMAND)) & like_any(p(COMMAND), "%\\appdata\\%", "%\\users\\public\\%", "%\\temp\\%", "%\\programdata\\%", "c:\\temp\\%", "%\\$recycle.bin\\%"),
+        lambda: _names(p(COMMAND)) & like_any(
+            p(COMMAND),
+            "%\\appdata\\%",
+            "%\\users\\public\\%",
+            "%\\temp\\%",
+            "%\\programdata\\%",
+            "c:\\temp\\%",
+            "%\\$recycle.bin\\%",
+        ),
         {"task_name": "task_name", "task_command": COMMAND},
     ),
     Rule(
@@ -167,7 +277,13 @@ RULES = (
         ("defense-evasion", "collection"),
         ("T1074.001",),
         ("amcache",),
-        lambda: low("FileExtension").isin(".exe", ".dll", ".scr", ".com", ".ps1", ".bat") & like_any(p("FullPath"), "%\\users\\public\\%", "%\\windows\\temp\\%", "c:\\temp\\%", "%\\$recycle.bin\\%"),
+        lambda: low("FileExtension").isin(".exe", ".dll", ".scr", ".com", ".ps1", ".bat") & like_any(
+            p("FullPath"),
+            "%\\users\\public\\%",
+            "%\\windows\\temp\\%",
+            "c:\\temp\\%",
+            "%\\$recycle.bin\\%",
+        ),
         {"full_path": "FullPath", "file_name": "Name"},
     ),
     Rule(
@@ -237,7 +353,10 @@ RULES = (
         ("execution", "privilege-escalation"),
         ("T1505.003", "T1059", "T1068"),
         ("w3c_iis",),
-        lambda: (_request().rlike("(inetpub|wwwroot)") & _request().rlike(r"\.(exe|ps1|bat|cmd|vbs|hta|dll|jar|sh|py)")) | _request().rlike(WEB_TOOLS),
+        lambda: (
+            (_request().rlike("(inetpub|wwwroot)") & _request().rlike(r"\.(exe|ps1|bat|cmd|vbs|hta|dll|jar|sh|py)"))
+            | _request().rlike(WEB_TOOLS)
+        ),
         {"client_ip": "c-ip", "http_method": "cs-method", "uri_query": "cs-uri-query"},
     ),
     Rule(
@@ -247,7 +366,13 @@ RULES = (
         ("persistence",),
         ("T1505.004",),
         ("iis_module",),
-        lambda: (p("module_kind") == "native") & (F.coalesce(p("image"), F.lit("")) != "") & ~like_any(F.replace(p("image_expanded"), F.lit("\\"), F.lit("/")), "%/windows/system32/inetsrv/%", "%/windows/microsoft.net/%", "%/program files/%", "%/program files (x86)/%"),
+        lambda: (p("module_kind") == "native") & (F.coalesce(p("image"), F.lit("")) != "") & ~like_any(
+            F.replace(p("image_expanded"), F.lit("\\"), F.lit("/")),
+            "%/windows/system32/inetsrv/%",
+            "%/windows/microsoft.net/%",
+            "%/program files/%",
+            "%/program files (x86)/%",
+        ),
         {"module_name": "module_name", "image": "image", "config_path": "config_path"},
     ),
     Rule(
@@ -268,7 +393,9 @@ RULES = (
         ("initial-access", "command-and-control"),
         ("T1566.002", "T1105"),
         ("browser_history",),
-        lambda: like_ci(p("title"), "Directory listing for%") | (like_any(p("url"), *PAYLOAD_URLS) & ((p("transition") == "typed") | (p("typed_count").try_cast("int") > 0))),
+        lambda: like_ci(p("title"), "Directory listing for%") | (
+            like_any(p("url"), *PAYLOAD_URLS) & ((p("transition") == "typed") | (p("typed_count").try_cast("int") > 0))
+        ),
         {"url": "url", "title": "title", "transition": "transition", "typed_count": "typed_count"},
         "forensic",
     ),
@@ -290,7 +417,9 @@ RULES = (
         ("execution", "defense-evasion"),
         ("T1036.007",),
         ("mft", "amcache", "prefetch"),
-        lambda: (_is("mft") & ~p("IsDirectory").eqNullSafe("true") & _double(p("FullPath"))) | (_is("amcache") & _double(p("FullPath"), p("Name"))) | (_is("prefetch") & _double(p("executable"))),
+        lambda: (
+            _is("mft") & ~p("IsDirectory").eqNullSafe("true") & _double(p("FullPath"))
+        ) | (_is("amcache") & _double(p("FullPath"), p("Name"))) | (_is("prefetch") & _double(p("executable"))),
         {"full_path": "FullPath", "file_name": "Name", "prefetch_executable": "executable"},
         "forensic",
     ),
@@ -301,7 +430,9 @@ RULES = (
         ("execution", "initial-access"),
         ("T1204.002",),
         ("prefetch", "amcache", "registry", "shimcache"),
-        lambda: (_is("prefetch") & like_any(p("files_loaded"), "%\\DOWNLOADS\\%.EXE%", "%\\DESKTOP\\%.EXE%", "%\\APPDATA\\LOCAL\\TEMP\\%.EXE%")) | (_is("amcache") & (p("IsOsComponent") == "false") & _downloads(p("FullPath"))) | (_is("registry") & (p("Category") == "Program Execution") & _downloads(p("ValueData"))) | (_is("shimcache") & _downloads(p("Path"))),
+        lambda: (
+            _is("prefetch") & like_any(p("files_loaded"), "%\\DOWNLOADS\\%.EXE%", "%\\DESKTOP\\%.EXE%", "%\\APPDATA\\LOCAL\\TEMP\\%.EXE%")
+        ) | (_is("amcache") & (p("IsOsComponent") == "false") & _downloads(p("FullPath"))) | (_is("registry") & (p("Category") == "Program Execution") & _downloads(p("ValueData"))) | (_is("shimcache") & _downloads(p("Path"))),
         {"files_loaded": "files_loaded", "full_path": "FullPath", "value_data": "ValueData", "path": "Path"},
         "forensic",
     ),
@@ -312,7 +443,9 @@ RULES = (
         ("execution", "defense-evasion"),
         ("T1036.005", "T1204.002"),
         ("prefetch", "amcache", "registry", "shimcache"),
-        lambda: (_is("prefetch") & like_any(p("files_loaded"), *ODD_LOADED)) | (_is("amcache") & _odd_or_root(p("FullPath"))) | (_is("registry") & (p("Category") == "Program Execution") & _odd_or_root(p("ValueData"))) | (_is("shimcache") & _odd_or_root(p("Path"))),
+        lambda: (_is("prefetch") & like_any(p("files_loaded"), *ODD_LOADED)) | (_is("amcache") & _odd_or_root(p("FullPath"))) | (
+            _is("registry") & (p("Category") == "Program Execution") & _odd_or_root(p("ValueData"))
+        ) | (_is("shimcache") & _odd_or_root(p("Path"))),
         {"executable": "executable", "full_path": "FullPath", "value_data": "ValueData", "path": "Path"},
         "forensic",
     ),
@@ -323,7 +456,11 @@ RULES = (
         ("persistence", "privilege-escalation", "defense-evasion"),
         ("T1546.010",),
         ("registry",),
-        lambda: like_ci(p("KeyPath"), "%\\Windows NT\\CurrentVersion\\Windows%") & (((low("ValueName") == "appinit_dlls") & _set(F.trim(p("ValueData")))) | ((low("ValueName") == "loadappinit_dlls") & p("ValueData").isin("1", "0x1"))),
+        lambda: like_ci(p("KeyPath"), "%\\Windows NT\\CurrentVersion\\Windows%") & (
+            ((low("ValueName") == "appinit_dlls") & _set(F.trim(p("ValueData")))) | (
+                (low("ValueName") == "loadappinit_dlls") & p("ValueData").isin("1", "0x1")
+            )
+        ),
         REGISTRY,
         "forensic",
     ),
@@ -334,7 +471,14 @@ RULES = (
         ("persistence", "privilege-escalation", "defense-evasion"),
         ("T1546.015",),
         ("registry",),
-        lambda: like_any(p("KeyPath"), "%\\CLSID\\%\\InprocServer32%", "%\\CLSID\\%\\LocalServer32%") & like_ci(p("HiveType"), "%NTUSER%") & like_any(p("ValueData"), "%\\Users\\%", "%\\AppData\\%", "%\\ProgramData\\%", "%\\Temp\\%", "%\\Downloads\\%"),
+        lambda: like_any(p("KeyPath"), "%\\CLSID\\%\\InprocServer32%", "%\\CLSID\\%\\LocalServer32%") & like_ci(p("HiveType"), "%NTUSER%") & like_any(
+            p("ValueData"),
+            "%\\Users\\%",
+            "%\\AppData\\%",
+            "%\\ProgramData\\%",
+            "%\\Temp\\%",
+            "%\\Downloads\\%",
+        ),
         REGISTRY,
         "forensic",
     ),
@@ -345,7 +489,10 @@ RULES = (
         ("defense-evasion",),
         ("T1562.001",),
         ("registry",),
-        lambda: like_ci(p("KeyPath"), "%Windows Defender%") & p("ValueName").isin(*DEFENDER_VALUES) & F.when(p("ValueName") == "TamperProtection", p("ValueData").isin("0", "0x0")).otherwise(p("ValueData").isin("1", "0x1")),
+        lambda: like_ci(p("KeyPath"), "%Windows Defender%") & p("ValueName").isin(*DEFENDER_VALUES) & F.when(
+            p("ValueName") == "TamperProtection",
+            p("ValueData").isin("0", "0x0"),
+        ).otherwise(p("ValueData").isin("1", "0x1")),
         REGISTRY,
         "forensic",
     ),
@@ -367,7 +514,20 @@ RULES = (
         ("persistence",),
         ("T1547.001",),
         ("registry",),
-        lambda: (like_any(p("KeyPath"), "%\\CurrentVersion\\Run%", "%\\CurrentVersion\\Explorer\\Run%") | (p("Description") == "Run")) & (like_any(p("ValueData"), "%\\Users\\%\\Downloads\\%", "%\\Users\\%\\Desktop\\%", "%\\Users\\%\\AppData\\%", "%\\ProgramData\\%", "%\\Windows\\Temp\\%") | (like_any(p("ValueData"), "%powershell%", "%cmd.exe%", "%wscript%", "%cscript%", "%mshta%", "%rundll32%", "%regsvr32%") & like_any(p("ValueData"), "%-enc%", "%-e jab%", "%frombase64string%", "%downloadstring%", "%http://%", "%https://%", "%javascript:%"))),
+        lambda: (like_any(p("KeyPath"), "%\\CurrentVersion\\Run%", "%\\CurrentVersion\\Explorer\\Run%") | (p("Description") == "Run")) & (
+            like_any(p("ValueData"), "%\\Users\\%\\Downloads\\%", "%\\Users\\%\\Desktop\\%", "%\\Users\\%\\AppData\\%", "%\\ProgramData\\%", "%\\Windows\\Temp\\%") | (
+                like_any(p("ValueData"), "%powershell%", "%cmd.exe%", "%wscript%", "%cscript%", "%mshta%", "%rundll32%", "%regsvr32%") & like_any(
+                    p("ValueData"),
+                    "%-enc%",
+                    "%-e jab%",
+                    "%frombase64string%",
+                    "%downloadstring%",
+                    "%http://%",
+                    "%https://%",
+                    "%javascript:%",
+                )
+            )
+        ),
         REGISTRY,
         "forensic",
     ),
@@ -378,7 +538,22 @@ RULES = (
         ("persistence", "privilege-escalation"),
         ("T1543.003",),
         ("registry",),
-        lambda: like_ci(p("KeyPath"), "%\\Services\\%") & like_ci(p("ValueName"), "%ImagePath%") & like_any(p("ValueData"), "%\\Users\\%", "%\\ProgramData\\%", "%\\AppData\\%", "%\\Windows\\Temp\\%", "%\\PerfLogs\\%", "%powershell%", "%cmd.exe%", "%rundll32%", "%regsvr32%", "%mshta%", "%COMSPEC%", "%-enc%", "%DownloadString%"),
+        lambda: like_ci(p("KeyPath"), "%\\Services\\%") & like_ci(p("ValueName"), "%ImagePath%") & like_any(
+            p("ValueData"),
+            "%\\Users\\%",
+            "%\\ProgramData\\%",
+            "%\\AppData\\%",
+            "%\\Windows\\Temp\\%",
+            "%\\PerfLogs\\%",
+            "%powershell%",
+            "%cmd.exe%",
+            "%rundll32%",
+            "%regsvr32%",
+            "%mshta%",
+            "%COMSPEC%",
+            "%-enc%",
+            "%DownloadString%",
+        ),
         REGISTRY,
         "forensic",
     ),
@@ -389,7 +564,19 @@ RULES = (
         ("persistence", "privilege-escalation"),
         ("T1547.004",),
         ("registry",),
-        lambda: like_ci(p("KeyPath"), "%\\Windows NT\\CurrentVersion\\Winlogon%") & low("ValueName").isin("shell", "userinit") & p("ValueData").isNotNull() & (((low("ValueName") == "shell") & (low("ValueData") != "explorer.exe")) | ((low("ValueName") == "userinit") & (low("ValueData") != "c:\\windows\\system32\\userinit.exe,")) | like_any(p("ValueData"), "%\\Users\\%", "%\\AppData\\%", "%\\ProgramData\\%", "%\\Temp\\%", "%cmd.exe%", "%powershell%", "%wscript%", "%cscript%")),
+        lambda: like_ci(p("KeyPath"), "%\\Windows NT\\CurrentVersion\\Winlogon%") & low("ValueName").isin("shell", "userinit") & p("ValueData").isNotNull() & (
+            ((low("ValueName") == "shell") & (low("ValueData") != "explorer.exe")) | ((low("ValueName") == "userinit") & (low("ValueData") != "c:\\windows\\system32\\userinit.exe,")) | like_any(
+                p("ValueData"),
+                "%\\Users\\%",
+                "%\\AppData\\%",
+                "%\\ProgramData\\%",
+                "%\\Temp\\%",
+                "%cmd.exe%",
+                "%powershell%",
+                "%wscript%",
+                "%cscript%",
+            )
+        ),
         REGISTRY,
         "forensic",
     ),
@@ -400,7 +587,11 @@ RULES = (
         ("persistence",),
         ("T1547.001",),
         ("mft",),
-        lambda: like_any(p("FullPath"), "%\\Start Menu\\Programs\\Startup\\%", "%\\ProgramData\\Microsoft\\Windows\\Start Menu\\Programs\\StartUp\\%") & like_any(p("FullPath"), *STARTUP_ENDS) & ~like_ci(p("FullPath"), "%desktop.ini"),
+        lambda: like_any(
+            p("FullPath"),
+            "%\\Start Menu\\Programs\\Startup\\%",
+            "%\\ProgramData\\Microsoft\\Windows\\Start Menu\\Programs\\StartUp\\%",
+        ) & like_any(p("FullPath"), *STARTUP_ENDS) & ~like_ci(p("FullPath"), "%desktop.ini"),
         {"full_path": "FullPath"},
         "forensic",
     ),
@@ -411,7 +602,15 @@ RULES = (
         ("persistence",),
         ("T1505.003",),
         ("mft",),
-        lambda: like_any(p("FullPath"), "%\\inetpub\\wwwroot\\%", "%\\wwwroot\\%", "%\\htdocs\\%", "%\\www\\%", "%\\tomcat%\\webapps\\%", "%\\xampp\\htdocs\\%") & like_any(p("FullPath"), *WEBROOT_ENDS),
+        lambda: like_any(
+            p("FullPath"),
+            "%\\inetpub\\wwwroot\\%",
+            "%\\wwwroot\\%",
+            "%\\htdocs\\%",
+            "%\\www\\%",
+            "%\\tomcat%\\webapps\\%",
+            "%\\xampp\\htdocs\\%",
+        ) & like_any(p("FullPath"), *WEBROOT_ENDS),
         {"full_path": "FullPath", "file_size": "FileSize"},
         "forensic",
     ),
@@ -446,24 +645,54 @@ def rule_hits(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     def hit(r: Rule) -> Column:
         extra = F.create_map(*[x for k, v in r.extras.items() for x in (F.lit(k), p(v))]) if r.extras else F.create_map().cast("map<string,string>")
-        return F.when((F.col("artifact_id").isin(*r.artifacts) if r.artifacts else F.lit(True)) & r.predicate(), F.struct(F.lit(r.rule_id).alias("rule_id"), extra.alias("extra")))
+        return F.when(
+            (F.col("artifact_id").isin(*r.artifacts) if r.artifacts else F.lit(True)) & r.predicate(),
+            F.struct(F.lit(r.rule_id).alias("rule_id"), extra.alias("extra")),
+        )
 
     hits = F.filter(F.array(*[hit(r) for r in rules]), lambda x: x.isNotNull())
-    return with_fields(df).withColumn("hit_", F.explode(hits)).select("case_id", "evidence_id", "artifact_id", "audit_id", "ts_utc", "event_type", "computer", "hit_.rule_id", "hit_.extra")
+    return with_fields(df).withColumn("hit_", F.explode(hits)).select(
+        "case_id",
+        "evidence_id",
+        "artifact_id",
+        "audit_id",
+        "ts_utc",
+        "event_type",
+        "computer",
+        "hit_.rule_id",
+        "hit_.extra",
+    )
 
 
 def capped_evidence(hits: DataFrame, keys: list[str], cap: int) -> DataFrame:
     """For each key: match_count, truncated, and the first cap rows by time and audit_id. Rows are ranked before they are collected."""
-    ranked = hits.withColumn("rank_", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("ts_utc").asc_nulls_last(), "audit_id"))).where(F.col("rank_") <= cap)
+    ranked = hits.withColumn(
+        "rank_",
+        F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("ts_utc").asc_nulls_last(), "audit_id")),
+    ).where(F.col("rank_") <= cap)
     ref = F.struct("rank_", "audit_id", "ts_utc", "artifact_id", "event_type", "extra")
-    evidence = ranked.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(ref), lambda a, b: a["rank_"] - b["rank_"]), lambda x: F.struct(x["audit_id"].alias("audit_id"), x["ts_utc"].alias("ts_utc"), x["artifact_id"].alias("artifact_id"), x["event_type"].alias("event_type"), x["extra"].alias("extra"))).alias("evidence"))
+    evidence = ranked.groupBy(*keys).agg(
+        F.transform(
+            F.array_sort(F.collect_list(ref), lambda a, b: a["rank_"] - b["rank_"]),
+            lambda x: F.struct(
+                x["audit_id"].alias("audit_id"),
+                x["ts_utc"].alias("ts_utc"),
+                x["artifact_id"].alias("artifact_id"),
+                x["event_type"].alias("event_type"),
+                x["extra"].alias("extra"),
+            ),
+        ).alias("evidence"),
+    )
     counts = hits.groupBy(*keys).agg(F.count("*").alias("match_count"))
     return counts.join(evidence, keys).withColumn("truncated", F.col("match_count") > cap)
 
 
 def rule_table(spark, rules: tuple[Rule, ...]) -> DataFrame:
     rows = [(r.rule_id, r.source, r.title, r.level, list(r.tactics), list(r.techniques), list(r.artifacts)) for r in rules]
-    return spark.createDataFrame(rows, "rule_id string, source string, title string, severity string, tactics array<string>, techniques array<string>, artifacts array<string>")
+    return spark.createDataFrame(
+        rows,
+        "rule_id string, source string, title string, severity string, tactics array<string>, techniques array<string>, artifacts array<string>",
+    )
 
 
 def run_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, max_evidence: int = 100) -> DataFrame:
@@ -477,19 +706,39 @@ def run_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, max_evidence: int
         warnings.warn(f"rule {rule_id} is left out: {error}", stacklevel=2)
     found = capped_evidence(kept(rule_hits(df, rules)), ["case_id", "rule_id"], max_evidence)
     meta = rule_table(df.sparkSession, rules).drop("artifacts")
-    return found.join(F.broadcast(meta), "rule_id").withColumn("finding_id", F.concat_ws("-", "case_id", "rule_id")).withColumn("approved", norm_level(F.col("severity")).isin("critical", "high")).withColumn("rejected", F.lit(False))
+    return found.join(F.broadcast(meta), "rule_id").withColumn("finding_id", F.concat_ws("-", "case_id", "rule_id")).withColumn(
+        "approved",
+        norm_level(F.col("severity")).isin("critical", "high"),
+    ).withColumn("rejected", F.lit(False))
 
 
 def rule_run_report(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """For each case: rules in all, matched, without match, skipped (no such artifact) and in error."""
     good, bad = valid_rules(df, rules)
     cases = df.groupBy("case_id").agg(F.collect_set("artifact_id").alias("held"))
-    per_rule = cases.withColumn("r_", F.explode(F.array(*[F.struct(F.lit(r.rule_id).alias("rule_id"), F.array(*map(F.lit, r.artifacts)).cast("array<string>").alias("artifacts")) for r in good]))).select("case_id", "held", "r_.*")
+    per_rule = cases.withColumn(
+        "r_",
+        F.explode(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(r.rule_id).alias("rule_id"),
+                        F.array(*map(F.lit, r.artifacts)).cast("array<string>").alias("artifacts"),
+                    ) for r in good
+                ],
+            ),
+        ),
+    ).select("case_id", "held", "r_.*")
     hits = rule_hits(df, good).select("case_id", "rule_id").distinct().withColumn("hit", F.lit(True))
     state = F.when((F.size("artifacts") > 0) & ~F.arrays_overlap("artifacts", "held"), "skipped").when(F.col("hit"), "matched").otherwise("no_match")
     rows = per_rule.join(hits, ["case_id", "rule_id"], "left").withColumn("state", state)
     n = lambda s: F.count_if(F.col("state") == s).alias(s)
-    return rows.groupBy("case_id").agg((F.count("*") + len(bad)).alias("total"), n("matched"), n("no_match"), n("skipped")).withColumn("errors", F.lit(len(bad)).cast("long"))
+    return rows.groupBy("case_id").agg(
+        (F.count("*") + len(bad)).alias("total"),
+        n("matched"),
+        n("no_match"),
+        n("skipped"),
+    ).withColumn("errors", F.lit(len(bad)).cast("long"))
 
 
 def passthrough_findings(df: DataFrame, include_info: bool = False, cap: int = 100) -> DataFrame:
@@ -497,13 +746,28 @@ def passthrough_findings(df: DataFrame, include_info: bool = False, cap: int = 1
 
     Tactics and techniques are those of the first row, by time, that has any.
     """
-    rows = with_fields(df.where(F.col("artifact_id") == "hayabusa")).select("*", p("RuleID").alias("rule_id"), p("RuleTitle").alias("title"), norm_level(p("Level")).alias("severity"), tactic_slugs(F.coalesce(p("MitreTactics"), F.lit(""))).alias("t_"), technique_ids(F.coalesce(p("MitreTags"), F.lit(""))).alias("q_"))
+    rows = with_fields(df.where(F.col("artifact_id") == "hayabusa")).select(
+        "*",
+        p("RuleID").alias("rule_id"),
+        p("RuleTitle").alias("title"),
+        norm_level(p("Level")).alias("severity"),
+        tactic_slugs(F.coalesce(p("MitreTactics"), F.lit(""))).alias("t_"),
+        technique_ids(F.coalesce(p("MitreTags"), F.lit(""))).alias("q_"),
+    )
     rows = rows.where(F.coalesce(F.col("rule_id"), F.lit("")) != "")
     if not include_info:
         rows = rows.where(~F.coalesce(F.col("severity"), F.lit("")).isin("info", "informational", "low", ""))
-    rows = rows.withColumn("extra", F.create_map(*[x for k in ("Channel", "EventID", "Computer", "Details", "ExtraFieldInfo") for x in (F.lit(k), p(k))]))
+    rows = rows.withColumn(
+        "extra",
+        F.create_map(*[x for k in ("Channel", "EventID", "Computer", "Details", "ExtraFieldInfo") for x in (F.lit(k), p(k))]),
+    )
     order = F.struct(F.coalesce(F.col("ts_utc"), F.lit("9999-12-31 00:00:00").cast("timestamp_ntz")), "audit_id")
-    meta = rows.groupBy("case_id", "rule_id").agg(F.min_by("title", order).alias("title"), F.min_by("severity", order).alias("severity"), F.min_by("t_", F.when(F.size("t_") > 0, order)).alias("tactics"), F.min_by("q_", F.when(F.size("q_") > 0, order)).alias("techniques"))
+    meta = rows.groupBy("case_id", "rule_id").agg(
+        F.min_by("title", order).alias("title"),
+        F.min_by("severity", order).alias("severity"),
+        F.min_by("t_", F.when(F.size("t_") > 0, order)).alias("tactics"),
+        F.min_by("q_", F.when(F.size("q_") > 0, order)).alias("techniques"),
+    )
     none = F.array().cast("array<string>")
     return capped_evidence(rows, ["case_id", "rule_id"], cap).join(meta, ["case_id", "rule_id"]).withColumn("tactics", F.coalesce("tactics", none)).withColumn("techniques", F.coalesce("techniques", none)).withColumn("source", F.lit("hayabusa"))
 
@@ -518,9 +782,30 @@ def run_learned_queries(df: DataFrame, queries: tuple[Rule, ...], cap: int = 100
     """(candidates with lens S0 and score 10, queries of each event; hit totals of each query) of learned queries, in one scan."""
     hits = rule_hits(df, queries)
     totals = hits.groupBy("rule_id").agg(F.count("*").alias("hits"))
-    ranked = hits.withColumn("r_", F.row_number().over(Window.partitionBy("case_id", "rule_id").orderBy(F.col("ts_utc").asc_nulls_last(), "audit_id"))).where(F.col("r_") <= cap)
-    found = ranked.groupBy("case_id", "audit_id").agg(F.array_sort(F.collect_set("rule_id")).alias("queries"), F.min("ts_utc").alias("ts_utc"), F.min("artifact_id").alias("artifact_id"))
+    ranked = hits.withColumn(
+        "r_",
+        F.row_number().over(Window.partitionBy("case_id", "rule_id").orderBy(F.col("ts_utc").asc_nulls_last(), "audit_id")),
+    ).where(F.col("r_") <= cap)
+    found = ranked.groupBy("case_id", "audit_id").agg(
+        F.array_sort(F.collect_set("rule_id")).alias("queries"),
+        F.min("ts_utc").alias("ts_utc"),
+        F.min("artifact_id").alias("artifact_id"),
+    )
     return found.withColumn("lenses", F.array(F.lit("S0"))).withColumn("score", F.lit(10)), totals
 
 
-__all__ = ["BAR", "RULES", "Rule", "available_artifacts", "capped_evidence", "passthrough_findings", "prefilter_rules", "prior_context", "rule_hits", "rule_run_report", "run_learned_queries", "run_rules", "valid_rules"]
+__all__ = [
+    "BAR",
+    "RULES",
+    "Rule",
+    "available_artifacts",
+    "capped_evidence",
+    "passthrough_findings",
+    "prefilter_rules",
+    "prior_context",
+    "rule_hits",
+    "rule_run_report",
+    "run_learned_queries",
+    "run_rules",
+    "valid_rules",
+]

@@ -37,15 +37,31 @@ def cluster_findings(findings: DataFrame, gap_s: int = 1800) -> DataFrame:
 
 
 def cluster_table(clustered: DataFrame) -> DataFrame:
-    return clustered.groupBy("case_id", "cluster_id").agg(F.min("first_ts").alias("start_ts"), F.max("first_ts").alias("end_ts"), F.count("*").alias("n_findings"))
+    return clustered.groupBy("case_id", "cluster_id").agg(
+        F.min("first_ts").alias("start_ts"),
+        F.max("first_ts").alias("end_ts"),
+        F.count("*").alias("n_findings"),
+    )
 
 
 def logon_events(df: DataFrame) -> DataFrame:
     """Logons (4624) and failures (4625) of evtx with user, sub status, logon type, workstation and address."""
     pay = F.col("payload_json")
     eid = F.get_json_object(pay, "$.EventId")
-    named = {"target_user": "TargetUserName", "sub_status": "SubStatus", "logon_type": "LogonType", "workstation": "WorkstationName", "ip": "IpAddress"}
-    return df.where((F.col("artifact_id") == "evtx") & eid.isin("4624", "4625")).select("case_id", "audit_id", "ts_utc", eid.try_cast("int").alias("event_id"), *[event_data(pay, v).alias(k) for k, v in named.items()])
+    named = {
+        "target_user": "TargetUserName",
+        "sub_status": "SubStatus",
+        "logon_type": "LogonType",
+        "workstation": "WorkstationName",
+        "ip": "IpAddress",
+    }
+    return df.where((F.col("artifact_id") == "evtx") & eid.isin("4624", "4625")).select(
+        "case_id",
+        "audit_id",
+        "ts_utc",
+        eid.try_cast("int").alias("event_id"),
+        *[event_data(pay, v).alias(k) for k, v in named.items()],
+    )
 
 
 def split_bursts(logons: DataFrame, gap_s: int = 600) -> DataFrame:
@@ -64,11 +80,26 @@ def detect_bruteforce(logons: DataFrame, least: int = 5, fail_gap_s: int = 600,
     """Bursts of at least `least` failures whose dominant sub status reaches it too (or that have none); high where a success follows."""
     keys = ["case_id", "account", "burst_id"]
     rows = split_bursts(logons, fail_gap_s)
-    runs = rows.groupBy(*keys).agg(F.count("*").alias("failures"), F.min("ts_utc").alias("run_start"), F.max("ts_utc").alias("run_end"), F.array_sort(F.array_except(F.array_distinct(F.concat(F.collect_set(F.trim("workstation")), F.collect_set(F.trim("ip")))), F.array(F.lit(""), F.lit("-")))).alias("sources"))
-    runs = runs.join(modal_value(rows, keys, "sub_status"), keys, "left").where((F.col("failures") >= least) & (F.col("mode").isNull() | (F.col("n_mode") >= least)))
+    runs = rows.groupBy(*keys).agg(
+        F.count("*").alias("failures"),
+        F.min("ts_utc").alias("run_start"),
+        F.max("ts_utc").alias("run_end"),
+        F.array_sort(
+            F.array_except(
+                F.array_distinct(F.concat(F.collect_set(F.trim("workstation")), F.collect_set(F.trim("ip")))),
+                F.array(F.lit(""), F.lit("-")),
+            ),
+        ).alias("sources"),
+    )
+    runs = runs.join(modal_value(rows, keys, "sub_status"), keys, "left").where(
+        (F.col("failures") >= least) & (F.col("mode").isNull() | (F.col("n_mode") >= least)),
+    )
     won = logons.where("event_id = 4624").withColumn("account", norm_user(F.col("target_user")))
     out = burst_success(runs, won, success_gap_s)
-    return out.withColumn("severity", F.when(F.col("success_ts").isNotNull(), "high").otherwise("medium")).withColumn("technique", F.lit("T1110.001")).withColumn("finding_id", F.concat(F.lit("bruteforce-"), F.col("account"), F.lit("-"), seconds(F.col("run_start")).cast("string")))
+    return out.withColumn("severity", F.when(F.col("success_ts").isNotNull(), "high").otherwise("medium")).withColumn("technique", F.lit("T1110.001")).withColumn(
+        "finding_id",
+        F.concat(F.lit("bruteforce-"), F.col("account"), F.lit("-"), seconds(F.col("run_start")).cast("string")),
+    )
 
 
 def bruteforced_accounts(bursts: DataFrame) -> DataFrame:
@@ -89,7 +120,18 @@ def stratified_sample(df: DataFrame, max_rows: int) -> DataFrame:
 
 
 # Points that scarce artifacts add (lens A0).
-DIVERSITY_BOOST = {"usn_journal": 1, "shellbags": 1, "browser_history": 1, "amcache": 1, "prefetch": 1, "registry": 1, "mft": 1, "lnk": 1, "jumplists": 1, "shimcache": 1}
+DIVERSITY_BOOST = {
+    "usn_journal": 1,
+    "shellbags": 1,
+    "browser_history": 1,
+    "amcache": 1,
+    "prefetch": 1,
+    "registry": 1,
+    "mft": 1,
+    "lnk": 1,
+    "jumplists": 1,
+    "shimcache": 1,
+}
 
 
 def anomaly_candidates(df: DataFrame, cited: DataFrame, times: DataFrame, max_rows: int, boost: dict[str, int] | None = None, single_backslash: bool = False) -> DataFrame:
@@ -101,15 +143,28 @@ def anomaly_candidates(df: DataFrame, cited: DataFrame, times: DataFrame, max_ro
     sample = kept(stratified_sample(df, max_rows).withColumn("image_", F.lower(image_of(F.col("payload_json")))))  # each lens reads it
     images = sample.where("image_ != ''").groupBy("case_id", "image_").agg(F.count("*").alias("n_img"))
     near = near_findings(sample.select("case_id", "audit_id", "ts_utc"), times).select("case_id", "audit_id", F.lit(True).alias("near_")).distinct()
-    rows = sample.join(cited.select("case_id", "audit_id").distinct(), ["case_id", "audit_id"], "left_anti").join(images, ["case_id", "image_"], "left").join(near, ["case_id", "audit_id"], "left")
+    rows = sample.join(
+        cited.select("case_id", "audit_id").distinct(),
+        ["case_id", "audit_id"],
+        "left_anti",
+    ).join(images, ["case_id", "image_"], "left").join(near, ["case_id", "audit_id"], "left")
     hour = F.hour("ts_utc")
     points = F.lit(0)
     for artifact, value in (DIVERSITY_BOOST if boost is None else boost).items():
         points = F.when(F.col("artifact_id") == artifact, F.lit(value)).otherwise(points)
-    lenses = [("A1", (hour < 6) | (hour >= 22), F.lit(2)), ("A2", suspicious_path(F.col("payload_json"), single_backslash), F.lit(3)), ("A4", F.col("n_img") < 3, F.lit(2)), ("A5", F.coalesce("near_", F.lit(False)), F.lit(1)), ("A0", points > 0, points)]
+    lenses = [
+        ("A1", (hour < 6) | (hour >= 22), F.lit(2)),
+        ("A2", suspicious_path(F.col("payload_json"), single_backslash), F.lit(3)),
+        ("A4", F.col("n_img") < 3, F.lit(2)),
+        ("A5", F.coalesce("near_", F.lit(False)), F.lit(1)),
+        ("A0", points > 0, points),
+    ]
     on = lambda c: F.coalesce(c, F.lit(False))
     score = sum((F.when(on(c), w).otherwise(0) for _, c, w in lenses), F.lit(0))
-    rows = rows.withColumn("lenses", F.array_compact(F.array(*[F.when(on(c), F.lit(n)) for n, c, _ in lenses]))).withColumn("score", score.cast("int")).where("score > 0")
+    rows = rows.withColumn(
+        "lenses",
+        F.array_compact(F.array(*[F.when(on(c), F.lit(n)) for n, c, _ in lenses])),
+    ).withColumn("score", score.cast("int")).where("score > 0")
     totals = rows.groupBy("case_id").agg(F.count("*").alias("total"))
     order = Window.partitionBy("case_id").orderBy(F.desc("score"), F.col("ts_utc").asc_nulls_first(), "audit_id")
     top = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_rows)
@@ -122,8 +177,15 @@ def anomaly_candidates_legacy(df: DataFrame, cited: DataFrame, times: DataFrame,
 
 def merge_candidates(cached: DataFrame, scored: DataFrame, cap: int) -> DataFrame:
     """Learned candidates first, then scored ones; an event once, with the lenses of both; at most cap a case."""
-    both = cached.select("case_id", "audit_id", "ts_utc", "lenses", "score", F.lit(0).alias("p_")).union(scored.select("case_id", "audit_id", "ts_utc", "lenses", "score", F.lit(1).alias("p_")))
-    one = both.groupBy("case_id", "audit_id").agg(F.min("p_").alias("p_"), F.max("score").alias("score"), F.min("ts_utc").alias("ts_utc"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("lenses")))).alias("lenses"))
+    both = cached.select("case_id", "audit_id", "ts_utc", "lenses", "score", F.lit(0).alias("p_")).union(
+        scored.select("case_id", "audit_id", "ts_utc", "lenses", "score", F.lit(1).alias("p_")),
+    )
+    one = both.groupBy("case_id", "audit_id").agg(
+        F.min("p_").alias("p_"),
+        F.max("score").alias("score"),
+        F.min("ts_utc").alias("ts_utc"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("lenses")))).alias("lenses"),
+    )
     order = Window.partitionBy("case_id").orderBy("p_", F.desc("score"), "ts_utc", "audit_id")
     return one.withColumn("place", F.row_number().over(order)).where(F.col("place") <= cap).drop("p_")
 
@@ -151,7 +213,10 @@ def cluster_boundaries(clusters: DataFrame) -> DataFrame:
     """prev_bound and next_bound (microseconds): the middles of the gaps to the nearest dated clusters of the case, the next one less 1 us."""
     order = Window.partitionBy("case_id").orderBy("start_ts", "cluster_id")
     s, e = micros(F.col("start_ts")), micros(F.col("end_ts"))
-    dated = clusters.where("start_ts IS NOT NULL").withColumn("p_", F.max(e).over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("n_", F.lead(s).over(order))
+    dated = clusters.where("start_ts IS NOT NULL").withColumn(
+        "p_",
+        F.max(e).over(order.rowsBetween(Window.unboundedPreceding, -1)),
+    ).withColumn("n_", F.lead(s).over(order))
     dated = dated.withColumn("prev_bound", F.col("p_") + F.floor((s - F.col("p_")) / 2)).withColumn("next_bound", e + F.floor((F.col("n_") - e) / 2) - 1)
     return dated.drop("p_", "n_")
 
@@ -169,8 +234,14 @@ def cluster_window(bounded: DataFrame, window_s: int = 1800, lo: str = "start_ts
 def grow_hull(clusters: DataFrame, flagged: DataFrame) -> DataFrame:
     """The hull widened to the flagged times of the cluster; grew tells whether it changed."""
     t = flagged.groupBy("case_id", "cluster_id").agg(F.min("ts_utc").alias("lo_"), F.max("ts_utc").alias("hi_"))
-    out = clusters.join(t, ["case_id", "cluster_id"], "left").withColumn("grew", F.coalesce((F.col("lo_") < F.col("start_ts")) | (F.col("hi_") > F.col("end_ts")), F.lit(False)))
-    return out.withColumn("start_ts", F.least("start_ts", F.coalesce("lo_", "start_ts"))).withColumn("end_ts", F.greatest("end_ts", F.coalesce("hi_", "end_ts"))).drop("lo_", "hi_")
+    out = clusters.join(t, ["case_id", "cluster_id"], "left").withColumn(
+        "grew",
+        F.coalesce((F.col("lo_") < F.col("start_ts")) | (F.col("hi_") > F.col("end_ts")), F.lit(False)),
+    )
+    return out.withColumn(
+        "start_ts",
+        F.least("start_ts", F.coalesce("lo_", "start_ts")),
+    ).withColumn("end_ts", F.greatest("end_ts", F.coalesce("hi_", "end_ts"))).drop("lo_", "hi_")
 
 
 def chase(clusters: DataFrame, flagged: DataFrame, window_s: int = 1800, rounds: int = 2) -> DataFrame:
@@ -181,17 +252,28 @@ def chase(clusters: DataFrame, flagged: DataFrame, window_s: int = 1800, rounds:
     stamp = lambda c: F.timestamp_micros(c.cast("long")).cast("timestamp_ntz")
     now = cluster_window(cluster_boundaries(clusters), window_s).withColumn("from_prev", F.lit(False)).withColumn("into_next", F.lit(False)).withColumn("chase_rounds", F.lit(0)).withColumn("open_", F.lit(True))
     for k in range(1, rounds + 2):
-        shown = flagged.select("case_id", "cluster_id", "ts_utc").join(now.select("case_id", "cluster_id", "win_start", "win_end"), ["case_id", "cluster_id"]).where("ts_utc >= win_start AND ts_utc <= win_end")
+        shown = flagged.select("case_id", "cluster_id", "ts_utc").join(
+            now.select("case_id", "cluster_id", "win_start", "win_end"),
+            ["case_id", "cluster_id"],
+        ).where("ts_utc >= win_start AND ts_utc <= win_end")
         t = shown.groupBy("case_id", "cluster_id").agg(F.min("ts_utc").alias("lo_"), F.max("ts_utc").alias("hi_"))
         now = now.join(t, ["case_id", "cluster_id"], "left")
         lo, hi = F.least("start_ts", F.coalesce("lo_", "start_ts")), F.greatest("end_ts", F.coalesce("hi_", "end_ts"))
         cut_lo, cut_hi = F.coalesce(micros(lo) < F.col("prev_bound"), F.lit(False)), F.coalesce(micros(hi) > F.col("next_bound"), F.lit(False))
         new_lo, new_hi = F.when(cut_lo, stamp(F.col("prev_bound"))).otherwise(lo), F.when(cut_hi, stamp(F.col("next_bound"))).otherwise(hi)
-        now = now.withColumn("cl_", cut_lo & F.col("open_")).withColumn("ch_", cut_hi & F.col("open_")).withColumn("nl_", new_lo).withColumn("nh_", new_hi).withColumn("grows_", F.col("open_") & ((F.col("nl_") < F.col("start_ts")) | (F.col("nh_") > F.col("end_ts"))))
+        now = now.withColumn("cl_", cut_lo & F.col("open_")).withColumn("ch_", cut_hi & F.col("open_")).withColumn("nl_", new_lo).withColumn("nh_", new_hi).withColumn(
+            "grows_",
+            F.col("open_") & ((F.col("nl_") < F.col("start_ts")) | (F.col("nh_") > F.col("end_ts"))),
+        )
         if k > rounds:
-            return now.withColumn("capped", F.col("grows_")).drop("cl_", "ch_", "nl_", "nh_", "lo_", "hi_", "grows_", "open_").withColumnsRenamed({"from_prev": "continues_from_prev", "into_next": "continues_into_next"})
+            return now.withColumn("capped", F.col("grows_")).drop("cl_", "ch_", "nl_", "nh_", "lo_", "hi_", "grows_", "open_").withColumnsRenamed(
+                {"from_prev": "continues_from_prev", "into_next": "continues_into_next"},
+            )
         now = now.withColumn("from_prev", F.col("from_prev") | F.col("cl_")).withColumn("into_next", F.col("into_next") | F.col("ch_"))
-        now = now.withColumn("start_ts", F.when(F.col("grows_"), F.col("nl_")).otherwise(F.col("start_ts"))).withColumn("end_ts", F.when(F.col("grows_"), F.col("nh_")).otherwise(F.col("end_ts"))).withColumn("chase_rounds", F.when(F.col("grows_"), F.lit(k)).otherwise(F.col("chase_rounds"))).withColumn("open_", F.col("grows_")).drop("cl_", "ch_", "nl_", "nh_", "lo_", "hi_", "grows_")
+        now = now.withColumn("start_ts", F.when(F.col("grows_"), F.col("nl_")).otherwise(F.col("start_ts"))).withColumn("end_ts", F.when(F.col("grows_"), F.col("nh_")).otherwise(F.col("end_ts"))).withColumn(
+            "chase_rounds",
+            F.when(F.col("grows_"), F.lit(k)).otherwise(F.col("chase_rounds")),
+        ).withColumn("open_", F.col("grows_")).drop("cl_", "ch_", "nl_", "nh_", "lo_", "hi_", "grows_")
         now = cluster_window(now, window_s)
     return now
 
@@ -205,9 +287,17 @@ def temporal_outliers(clusters: DataFrame, far_s: int = 365 * 86400) -> DataFram
     mid = F.floor((seconds(F.col("start_ts")) + seconds(F.col("end_ts"))) / 2)
     dated = clusters.where("start_ts IS NOT NULL").withColumn("mid_", mid)
     order = Window.partitionBy("case_id").orderBy("mid_", "cluster_id")
-    ranked = dated.select("case_id", "cluster_id", "mid_", F.row_number().over(order).alias("r_")).join(dated.groupBy("case_id").agg(F.count("*").alias("n_")), "case_id")
+    ranked = dated.select(
+        "case_id",
+        "cluster_id",
+        "mid_",
+        F.row_number().over(order).alias("r_"),
+    ).join(dated.groupBy("case_id").agg(F.count("*").alias("n_")), "case_id")
     median = ranked.where("n_ >= 3 AND r_ = floor(n_ / 2) + 1").select("case_id", F.col("mid_").alias("med_"))
-    return clusters.withColumn("mid_", mid).join(median, "case_id", "left").withColumn("outlier", F.coalesce(F.abs(F.col("mid_") - F.col("med_")) > far_s, F.lit(False))).drop("mid_", "med_")
+    return clusters.withColumn("mid_", mid).join(median, "case_id", "left").withColumn(
+        "outlier",
+        F.coalesce(F.abs(F.col("mid_") - F.col("med_")) > far_s, F.lit(False)),
+    ).drop("mid_", "med_")
 
 
 def numbered_rows(df: DataFrame, key: str, order: list[Column], name: str) -> DataFrame:
@@ -232,25 +322,45 @@ def sliding_windows(df: DataFrame, size: int, overlap: float = 0.2) -> DataFrame
     last = F.greatest(F.lit(0), F.ceil((F.col("n_") - size) / stride))
     lo = F.greatest(F.lit(0), F.floor((F.col("i_") - size) / stride) + 1)
     hi = F.least(last, F.floor(F.col("i_") / stride))
-    return rows.withColumn("window_id", F.explode(F.sequence(lo.cast("long"), hi.cast("long")))).withColumn("pos", F.col("i_") - F.col("window_id") * stride).drop("i_", "n_")
+    return rows.withColumn(
+        "window_id",
+        F.explode(F.sequence(lo.cast("long"), hi.cast("long"))),
+    ).withColumn("pos", F.col("i_") - F.col("window_id") * stride).drop("i_", "n_")
 
 
 def attack_steps(tl: DataFrame) -> DataFrame:
     """The earliest event of each tactic with all of the tactic's ids, in kill-chain order, numbered."""
-    steps = tl.where("tactic != ''").groupBy("case_id", "tactic").agg(F.min(F.struct("ts_utc", "audit_id")).alias("s_"), F.countDistinct("audit_id").alias("n_events")).withColumn("rank_", phase_rank(F.col("tactic")))
-    return steps.withColumn("step", F.row_number().over(Window.partitionBy("case_id").orderBy("rank_", "s_.ts_utc", "tactic"))).select("case_id", "step", "tactic", F.col("s_.ts_utc").alias("ts_utc"), F.col("s_.audit_id").alias("audit_id"), "n_events")
+    steps = tl.where("tactic != ''").groupBy("case_id", "tactic").agg(
+        F.min(F.struct("ts_utc", "audit_id")).alias("s_"),
+        F.countDistinct("audit_id").alias("n_events"),
+    ).withColumn("rank_", phase_rank(F.col("tactic")))
+    return steps.withColumn("step", F.row_number().over(Window.partitionBy("case_id").orderBy("rank_", "s_.ts_utc", "tactic"))).select(
+        "case_id",
+        "step",
+        "tactic",
+        F.col("s_.ts_utc").alias("ts_utc"),
+        F.col("s_.audit_id").alias("audit_id"),
+        "n_events",
+    )
 
 
 def intrusion_path(clusters: DataFrame) -> DataFrame:
     """Clusters that are not noise, by phase and start, numbered."""
     live = clusters.where(~F.coalesce("noise", F.lit(False))).withColumn("rank_", phase_rank(F.col("attack_phase")))
-    return live.withColumn("step", F.row_number().over(Window.partitionBy("case_id").orderBy("rank_", F.col("start_ts").asc_nulls_last(), "cluster_id"))).drop("rank_")
+    return live.withColumn(
+        "step",
+        F.row_number().over(Window.partitionBy("case_id").orderBy("rank_", F.col("start_ts").asc_nulls_last(), "cluster_id")),
+    ).drop("rank_")
 
 
 def order_attack_clusters(clusters: DataFrame, entry_ids: DataFrame, reliable: bool) -> DataFrame:
     """By start; on an unreliable timeline entry clusters come first, then phase, then start."""
     out = clusters.join(entry_ids.select("case_id", "cluster_id", F.lit(True).alias("in_")).distinct(), ["case_id", "cluster_id"], "left")
-    key = [F.col("start_ts").asc_nulls_last()] if reliable else [F.coalesce("in_", F.lit(False)).desc(), phase_rank(F.col("attack_phase")), F.col("start_ts").asc_nulls_last()]
+    key = [F.col("start_ts").asc_nulls_last()] if reliable else [
+        F.coalesce("in_", F.lit(False)).desc(),
+        phase_rank(F.col("attack_phase")),
+        F.col("start_ts").asc_nulls_last(),
+    ]
     return out.withColumn("place", F.row_number().over(Window.partitionBy("case_id").orderBy(*key, "cluster_id"))).drop("in_")
 
 
@@ -263,7 +373,9 @@ def story_gaps(clusters: DataFrame, gap_s: int = 1800) -> DataFrame:
 
 def best_attribution(tl: DataFrame, refs: DataFrame) -> DataFrame:
     """Each event with the tactic of its best finding: confidence x 100 + evidence, ties to the smallest id."""
-    best = refs.groupBy("case_id", "audit_id").agg(F.min_by(F.struct("finding_id", "tactic"), F.struct(-(F.col("confidence") * 100 + F.col("n_evidence")), F.col("finding_id"))).alias("b_"))
+    best = refs.groupBy("case_id", "audit_id").agg(
+        F.min_by(F.struct("finding_id", "tactic"), F.struct(-(F.col("confidence") * 100 + F.col("n_evidence")), F.col("finding_id"))).alias("b_"),
+    )
     return tl.dropDuplicates(["case_id", "audit_id"]).join(best, ["case_id", "audit_id"], "left").withColumn("finding_id", F.col("b_.finding_id")).withColumn("tactic", F.col("b_.tactic")).drop("b_")
 
 
@@ -284,8 +396,15 @@ def findings_by_tactic(f: DataFrame) -> DataFrame:
 
 
 def evidence_appendix(f: DataFrame) -> DataFrame:
-    return f.select("case_id", "finding_id", "title", F.explode("evidence").alias("e")).select("case_id", "finding_id", "title", "e.*").orderBy("finding_id", "audit_id")
+    return f.select(
+        "case_id",
+        "finding_id",
+        "title",
+        F.explode("evidence").alias("e"),
+    ).select("case_id", "finding_id", "title", "e.*").orderBy("finding_id", "audit_id")
 
 
 def skill_queries(skills: DataFrame, skill: str, schema: str, model: str) -> DataFrame:
-    return skills.where((F.col("skill") == skill) & (F.col("schema_version") == schema) & (F.col("model_id") == model) & (F.col("state") != "invalid")).orderBy((F.col("state") == "canonical").desc(), F.desc("hit_count"), "sql_sha256")
+    return skills.where(
+        (F.col("skill") == skill) & (F.col("schema_version") == schema) & (F.col("model_id") == model) & (F.col("state") != "invalid"),
+    ).orderBy((F.col("state") == "canonical").desc(), F.desc("hit_count"), "sql_sha256")

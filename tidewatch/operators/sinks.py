@@ -54,7 +54,10 @@ def export_case(tables: dict[str, DataFrame], case: str, path: str) -> DataFrame
 
 def verify_manifest(spark, path: str, manifest: DataFrame) -> DataFrame:
     """file, state of each file: verified, mismatched, missing or unlisted. manifest: file (name), sha256."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("found"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(
+        F.element_at(F.split("path", "/"), -1).alias("file"),
+        F.sha2("content", 256).alias("found"),
+    )
     state = F.when(F.col("found").isNull(), "missing").when(F.col("sha256").isNull(), "unlisted").when(F.col("found") == F.lower("sha256"), "verified").otherwise("mismatched")
     return files.join(manifest.select("file", "sha256"), "file", "full").select("file", state.alias("state"))
 
@@ -94,17 +97,25 @@ def upsert_parse_results(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def insert_evidence_ignore(old: DataFrame, new: DataFrame) -> DataFrame:
-    return old.unionByName(new.dropDuplicates(["case_id", "evidence_id"]).join(old.select("case_id", "evidence_id"), ["case_id", "evidence_id"], "left_anti"))
+    return old.unionByName(
+        new.dropDuplicates(["case_id", "evidence_id"]).join(old.select("case_id", "evidence_id"), ["case_id", "evidence_id"], "left_anti"),
+    )
 
 
 def upsert_case(old: DataFrame, new: DataFrame) -> DataFrame:
     """Cases with the new values; created_at stays that of the first registration."""
     o = old.select("case_id", *[F.col(c).alias(f"o_{c}") for c in old.columns if c != "case_id"])
     j = o.join(new, "case_id", "full")
-    return j.select("case_id", *[F.coalesce(f"o_{c}", c).alias(c) if c == "created_at" else F.coalesce(c, f"o_{c}").alias(c) for c in old.columns if c != "case_id"])
+    return j.select(
+        "case_id",
+        *[F.coalesce(f"o_{c}", c).alias(c) if c == "created_at" else F.coalesce(c, f"o_{c}").alias(c) for c in old.columns if c != "case_id"],
+    )
 
 
 def backfill_evidence_id(parse_results: DataFrame, evidence: DataFrame) -> DataFrame:
     """An evidence id of '' takes the case's only one; with none or several it stays."""
     only = evidence.groupBy("case_id").agg(F.count("*").alias("n_"), F.min("evidence_id").alias("e_"))
-    return parse_results.join(only, "case_id", "left").withColumn("evidence_id", F.when((F.col("evidence_id") == "") & (F.col("n_") == 1), F.col("e_")).otherwise(F.col("evidence_id"))).select(*parse_results.columns)
+    return parse_results.join(only, "case_id", "left").withColumn(
+        "evidence_id",
+        F.when((F.col("evidence_id") == "") & (F.col("n_") == 1), F.col("e_")).otherwise(F.col("evidence_id")),
+    ).select(*parse_results.columns)

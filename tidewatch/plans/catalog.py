@@ -48,7 +48,9 @@ def folder(spark) -> str:
 
 def write_documents(rows: DataFrame, group: Column, start: str, between: str, end: str, at: str) -> None:
     """A file for each group of rows (column value): its texts between start and end."""
-    texts = rows.select(group.alias("part"), "value").groupBy("part").agg(F.concat(F.lit(start), F.array_join(F.collect_list("value"), between), F.lit(end)).alias("value"))
+    texts = rows.select(group.alias("part"), "value").groupBy("part").agg(
+        F.concat(F.lit(start), F.array_join(F.collect_list("value"), between), F.lit(end)).alias("value"),
+    )
     texts.write.partitionBy("part").text(at)
 
 
@@ -75,17 +77,33 @@ def technique_forms(spark, sf_dir):
 def finding_labels(spark, sf_dir):
     k = F.col("k")
     auto = S.auto_approve(choose(("High", "critical", "med", "low"), k))
-    return events(spark, sf_dir).select("audit_id", S.provenance(choose(("Sigma", "custom", "tier1b", "heuristic", "manual"), k)).alias("provenance"), auto.alias("auto_approve"), S.review_state(k % 2 == 0, k % 3 == 0, auto).alias("state"))
+    return events(spark, sf_dir).select(
+        "audit_id",
+        S.provenance(choose(("Sigma", "custom", "tier1b", "heuristic", "manual"), k)).alias("provenance"),
+        auto.alias("auto_approve"),
+        S.review_state(k % 2 == 0, k % 3 == 0, auto).alias("state"),
+    )
 
 
 @query(f"{EV} SELECT audit_id, 'v' || CAST(k AS VARCHAR) AS pair, CAST(k AS VARCHAR) AS plain, '' AS absent FROM ev")
 def event_data(spark, sf_dir):
     k = F.col("k").cast("string")
     pay = F.concat(F.lit('{"Data":"[{\\"@Name\\":\\"TargetUserName\\",\\"#text\\":\\"v'), k, F.lit('\\"}]","Level":'), k, F.lit("}"))
-    return events(spark, sf_dir).select("audit_id", S.event_data(pay, "TargetUserName").alias("pair"), S.event_data(pay, "Level").alias("plain"), S.event_data(pay, "Nothing").alias("absent"))
-
-
-IMAGE_PAYLOADS = ('{"ExecutableInfo":"C:/t/a%.exe -x 1"}', '{"Image":"C:/w/b%.exe","FullPath":"C:/no"}', '{"FullPath":"c:/f/%"}', '{"executable":"E%.EXE"}', '{"Other":"x%"}')
+    return events(spark, sf_dir).select(
+        "audit_id",
+        S.event_data(pay, "TargetUserName").alias("pair"),
+        S.event_data(pay, "Level").alias("plain"),
+        S.event_data(pay, "Nothing").alias("absent"),
+    )
+
+
+IMAGE_PAYLOADS = (
+    '{"ExecutableInfo":"C:/t/a%.exe -x 1"}',
+    '{"Image":"C:/w/b%.exe","FullPath":"C:/no"}',
+    '{"FullPath":"c:/f/%"}',
+    '{"executable":"E%.EXE"}',
+    '{"Other":"x%"}',
+)
 
 
 def image_payload() -> Column:
@@ -107,57 +125,103 @@ def rare_images(spark, sf_dir):
 
 @query(f"{EV} SELECT audit_id, k % 4 IN (0, 1) AS doubled, k % 4 = 2 AS single FROM ev")
 def suspicious_path(spark, sf_dir):
-    pay = choose(('{"p":"C:\\\\Users\\\\Public\\\\a"}', '{"p":"c:\\\\windows\\\\temp\\\\b"}', '{"p":"c:\\perflogs\\b"}', '{"p":"c:\\\\windows\\\\b"}'), F.col("k"))
+    pay = choose(
+        ('{"p":"C:\\\\Users\\\\Public\\\\a"}', '{"p":"c:\\\\windows\\\\temp\\\\b"}', '{"p":"c:\\perflogs\\b"}', '{"p":"c:\\\\windows\\\\b"}'),
+        F.col("k"),
+    )
     return events(spark, sf_dir).select("audit_id", S.suspicious_path(pay).alias("doubled"), S.suspicious_path(pay, True).alias("single"))
 
 
 @query(f"{EV} SELECT audit_id, CASE WHEN k % 3 = 0 THEN 'WS' || CAST(k AS VARCHAR) WHEN k % 3 = 1 THEN computer ELSE '' END AS host FROM ev")
 def evidence_host(spark, sf_dir):
     k = F.col("k")
-    extra = F.create_map(F.lit("Computer"), F.when(k % 3 == 1, F.col("computer")).otherwise(F.lit("-")), F.lit("WorkstationName"), F.when(k % 3 == 0, F.concat(F.lit(" WS"), k.cast("string"))).otherwise(F.lit(" ")), F.lit("Channel"), F.lit("Security"))
+    extra = F.create_map(
+        F.lit("Computer"),
+        F.when(k % 3 == 1, F.col("computer")).otherwise(F.lit("-")),
+        F.lit("WorkstationName"),
+        F.when(k % 3 == 0, F.concat(F.lit(" WS"), k.cast("string"))).otherwise(F.lit(" ")),
+        F.lit("Channel"),
+        F.lit("Security"),
+    )
     return events(spark, sf_dir).select("audit_id", S.evidence_host(extra).alias("host"))
 
 
-REGISTRY_KEYS = ("HKLM\\Software\\Microsoft\\Windows\\CurrentVersion\\RunOnce", "x\\Services\\svc\\ImagePath", "x\\Microsoft\\Windows Defender\\Exclusions\\y", "x\\SAM\\Domains\\Account\\Users", "x\\Other", "x\\Microsoft\\Windows NT\\CurrentVersion\\Schedule\\TaskCache\\Tree")
+REGISTRY_KEYS = (
+    "HKLM\\Software\\Microsoft\\Windows\\CurrentVersion\\RunOnce",
+    "x\\Services\\svc\\ImagePath",
+    "x\\Microsoft\\Windows Defender\\Exclusions\\y",
+    "x\\SAM\\Domains\\Account\\Users",
+    "x\\Other",
+    "x\\Microsoft\\Windows NT\\CurrentVersion\\Schedule\\TaskCache\\Tree",
+)
 REGISTRY_IDS = ("TA0003", "TA0003,TA0004", "TA0005", "TA0006", "", "TA0002,TA0003")
 
 
 @query(f"{EV} SELECT audit_id, {chosen(REGISTRY_IDS, 'k')} AS hints FROM ev")
 def registry_tactic_hints(spark, sf_dir):
-    return events(spark, sf_dir).select("audit_id", F.array_join(S.registry_tactic_hints(F.lit(None).cast("string"), choose(REGISTRY_KEYS, F.col("k")), F.col("event_type")), ",").alias("hints"))
-
-
-TASK_COMMANDS = ("powershell -nop -enc AAAA", "C:\\Users\\u\\AppData\\Roaming\\a.exe", "powershell Get-Date", "rundll32 a.dll, Run", "cmd /c iex", "notepad.exe")
+    return events(spark, sf_dir).select(
+        "audit_id",
+        F.array_join(S.registry_tactic_hints(F.lit(None).cast("string"), choose(REGISTRY_KEYS, F.col("k")), F.col("event_type")), ",").alias("hints"),
+    )
+
+
+TASK_COMMANDS = (
+    "powershell -nop -enc AAAA",
+    "C:\\Users\\u\\AppData\\Roaming\\a.exe",
+    "powershell Get-Date",
+    "rundll32 a.dll, Run",
+    "cmd /c iex",
+    "notepad.exe",
+)
 TASK_USERS = ("SYSTEM", "alice", "nt authority\\system", "SYSTEM2")
 
 
 @query(f"{EV} SELECT audit_id, 'TA0002,TA0003' || CASE WHEN k % 6 IN (0, 1, 3, 4) THEN ',TA0005' ELSE '' END || CASE WHEN k % 4 IN (0, 2) THEN ',TA0004' ELSE '' END AS hints FROM ev")
 def task_hints(spark, sf_dir):
-    actions = F.array(F.struct(F.lit("Exec").alias("type"), F.lit("first.exe").alias("command"), F.lit(None).cast("string").alias("arguments")), F.struct(F.lit("Exec").alias("type"), choose(TASK_COMMANDS, F.col("k")).alias("command"), F.lit("x").alias("arguments")))
+    actions = F.array(
+        F.struct(F.lit("Exec").alias("type"), F.lit("first.exe").alias("command"), F.lit(None).cast("string").alias("arguments")),
+        F.struct(F.lit("Exec").alias("type"), choose(TASK_COMMANDS, F.col("k")).alias("command"), F.lit("x").alias("arguments")),
+    )
     return events(spark, sf_dir).select("audit_id", F.array_join(S.task_hints(actions, choose(TASK_USERS, F.col("k"))), ",").alias("hints"))
 
 
 @query(f"{EV} SELECT audit_id, k % 5 < 3 AS benign FROM ev")
 def time_change_benign(spark, sf_dir):
     k = F.col("k")
-    return events(spark, sf_dir).select("audit_id", S.time_change_benign(choose(("s-1-5-19", "x", "x", "x", "S-1-5-21-7"), k), choose(("", "NT\\LOCAL SERVICE", "システム", "alice", None), k)).alias("benign"))
+    return events(spark, sf_dir).select(
+        "audit_id",
+        S.time_change_benign(
+            choose(("s-1-5-19", "x", "x", "x", "S-1-5-21-7"), k),
+            choose(("", "NT\\LOCAL SERVICE", "システム", "alice", None), k),
+        ).alias("benign"),
+    )
 
 
 @query(f"{EV} SELECT audit_id, {chosen(('C:' + chr(92) + 'Windows' + chr(92) + 'a.dll', 'C:' + chr(92) + 'Program Files (x86)' + chr(92) + 'b', 'C:' + chr(92) + 'c', '%other%'), 'k')} AS path FROM ev")
 def expand_env(spark, sf_dir):
-    return events(spark, sf_dir).select("audit_id", S.expand_env(choose(("%WinDir%\\a.dll", "%ProgramFiles(x86)%\\b", "%systemdrive%\\c", "%other%"), F.col("k"))).alias("path"))
+    return events(spark, sf_dir).select(
+        "audit_id",
+        S.expand_env(choose(("%WinDir%\\a.dll", "%ProgramFiles(x86)%\\b", "%systemdrive%\\c", "%other%"), F.col("k"))).alias("path"),
+    )
 
 
 @query(f"{EV} SELECT audit_id, CASE WHEN k % 4 < 3 THEN date_trunc('second', ts_utc) END AS t FROM ev")
 def evtx_time(spark, sf_dir):
     day, time = F.date_format(F.col("ts_utc").cast("timestamp"), "yyyy-MM-dd"), F.date_format(F.col("ts_utc").cast("timestamp"), "HH:mm:ss")
-    text = F.when(F.col("k") % 4 == 0, F.concat_ws(" ", day, time)).when(F.col("k") % 4 == 1, F.concat(day, F.lit("T"), time, F.lit("Z"))).when(F.col("k") % 4 == 2, F.concat(F.lit(" "), day, F.lit(" "), time, F.lit(".4546349"))).otherwise(F.lit("never"))
+    text = F.when(F.col("k") % 4 == 0, F.concat_ws(" ", day, time)).when(F.col("k") % 4 == 1, F.concat(day, F.lit("T"), time, F.lit("Z"))).when(
+        F.col("k") % 4 == 2,
+        F.concat(F.lit(" "), day, F.lit(" "), time, F.lit(".4546349")),
+    ).otherwise(F.lit("never"))
     return events(spark, sf_dir).select("audit_id", S.evtx_time(text).alias("t"))
 
 
 @query(f"{EV} SELECT audit_id, strftime(date_trunc('second', ts_utc) + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') || ' +09:00' AS tokyo, strftime(date_trunc('second', ts_utc), '%Y-%m-%d %H:%M:%S') || ' +00:00' AS other FROM ev")
 def display_tz(spark, sf_dir):
-    return events(spark, sf_dir).select("audit_id", S.display_tz(F.col("ts_utc"), "Asia/Tokyo").alias("tokyo"), S.display_tz(F.col("ts_utc"), "no such zone").alias("other"))
+    return events(spark, sf_dir).select(
+        "audit_id",
+        S.display_tz(F.col("ts_utc"), "Asia/Tokyo").alias("tokyo"),
+        S.display_tz(F.col("ts_utc"), "no such zone").alias("other"),
+    )
 
 
 @query(f"{EV} SELECT audit_id, CASE WHEN s >= 172800 THEN CAST(CAST(floor(s / 86400.0 + 0.5) AS BIGINT) AS VARCHAR) || ' days' WHEN s >= 5400 THEN CAST(CAST(floor(s / 3600.0 + 0.5) AS BIGINT) AS VARCHAR) || ' hours' ELSE CAST(CAST(floor(s / 60.0 + 0.5) AS BIGINT) AS VARCHAR) || ' minutes' END AS text FROM (SELECT audit_id, k * k * 30 AS s FROM ev)")
@@ -179,10 +243,22 @@ def first_line(spark, sf_dir):
 @query("SELECT p_partkey, p_name LIKE '%a%e%' AS both, contains(p_type, 'PLATED') AS inside, p_brand = 'Brand_12' AS whole, starts_with(p_brand, 'Brand#1') AS start FROM part")
 def literal_like(spark, sf_dir):
     like = lambda c, p: S.literal_like(F.col(c), p)
-    return table(spark, sf_dir, "part").select("p_partkey", like("p_name", "%a%e%").alias("both"), like("p_type", "%PLATED%").alias("inside"), like("p_brand", "Brand_12").alias("whole"), like("p_brand", "Brand#1%").alias("start"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
+        like("p_name", "%a%e%").alias("both"),
+        like("p_type", "%PLATED%").alias("inside"),
+        like("p_brand", "Brand_12").alias("whole"),
+        like("p_brand", "Brand#1%").alias("start"),
+    )
 
 
-SUMMARY_PAYLOADS = {"evtx": '{"EventId":"%","Channel":"Security"}', "registry": '{"KeyPath":"k%","ValueName":"n","ValueData":"d"}', "prefetch": '{"executable":"E%.EXE"}', "mft": '{"ParentPath":".","FileName":"f%"}', "browser_history": '{"url":"http://h/%"}'}
+SUMMARY_PAYLOADS = {
+    "evtx": '{"EventId":"%","Channel":"Security"}',
+    "registry": '{"KeyPath":"k%","ValueName":"n","ValueData":"d"}',
+    "prefetch": '{"executable":"E%.EXE"}',
+    "mft": '{"ParentPath":".","FileName":"f%"}',
+    "browser_history": '{"url":"http://h/%"}',
+}
 
 
 @query(f"{EV} SELECT audit_id, CASE artifact_id WHEN 'evtx' THEN 'EventId ' || k || ' Security' WHEN 'registry' THEN 'k' || k || ' n = d' WHEN 'prefetch' THEN 'executed E' || k || '.EXE' WHEN 'mft' THEN 'file . f' || k WHEN 'browser_history' THEN 'visited http://h/' || k END AS line FROM ev")
@@ -198,8 +274,24 @@ def summarise_event(spark, sf_dir):
 
 @query(f"{EV}, i AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY event_id) - 1 AS i FROM ev) SELECT case_id, substr(sha256(case_id || chr(31) || 'made' || chr(31) || i || chr(31) || '{{\"k\":' || k || ',\"kind\":\"' || event_type || '\"}}'), 1, 32) AS audit_id, '{{\"k\":' || k || ',\"kind\":\"' || event_type || '\"}}' AS payload_json, ts_utc FROM i")
 def make_event_rows(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.concat(F.lit("C"), (F.col("user_id") % 3).cast("string")).alias("case_id"), "event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.col("event_type").alias("kind"), F.col("ts").cast("timestamp_ntz").alias("t"))
-    made = make_event(row_index(e, ["case_id"], ["event_id"]), case=F.col("case_id"), evidence=F.lit("e"), artifact=F.lit("made"), index=F.col("row_index"), ts=F.col("t"), event_type=F.col("kind"), computer=F.lit(None).cast("string"), payload=F.struct("k", "kind"))
+    e = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("C"), (F.col("user_id") % 3).cast("string")).alias("case_id"),
+        "event_id",
+        F.get_json_object("props", "$.k").cast("int").alias("k"),
+        F.col("event_type").alias("kind"),
+        F.col("ts").cast("timestamp_ntz").alias("t"),
+    )
+    made = make_event(
+        row_index(e, ["case_id"], ["event_id"]),
+        case=F.col("case_id"),
+        evidence=F.lit("e"),
+        artifact=F.lit("made"),
+        index=F.col("row_index"),
+        ts=F.col("t"),
+        event_type=F.col("kind"),
+        computer=F.lit(None).cast("string"),
+        payload=F.struct("k", "kind"),
+    )
     return made.where("computer = ''").select("case_id", "audit_id", "payload_json", "ts_utc")
 
 
@@ -208,12 +300,25 @@ def tool_rows(spark, sf_dir, *columns: Column, file: Column | None = None) -> Da
     e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     stamp_ = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
     name = F.concat(F.lit("f"), (F.col("user_id") % 9).cast("string"), F.lit(".csv")) if file is None else file
-    return e.withColumn("stamp", stamp_).withColumn("Row", F.col("event_id").cast("string")).select("Row", *columns, name.alias("_file"), F.col("event_id").alias("_row"))
+    return e.withColumn("stamp", stamp_).withColumn("Row", F.col("event_id").cast("string")).select(
+        "Row",
+        *columns,
+        name.alias("_file"),
+        F.col("event_id").alias("_row"),
+    )
 
 
 def told(df: DataFrame, **paths: str) -> DataFrame:
     """The envelope without its id, and values of the payload."""
-    return df.select("case_id", "artifact_id", "ts_utc", "event_type", "computer", F.get_json_object("payload_json", "$.Row").cast("long").alias("row"), *[F.get_json_object("payload_json", p).alias(n) for n, p in paths.items()])
+    return df.select(
+        "case_id",
+        "artifact_id",
+        "ts_utc",
+        "event_type",
+        "computer",
+        F.get_json_object("payload_json", "$.Row").cast("long").alias("row"),
+        *[F.get_json_object("payload_json", p).alias(n) for n, p in paths.items()],
+    )
 
 
 SECOND = "date_trunc('second', ts_utc)"
@@ -225,33 +330,74 @@ def told_sql(artifact: str, event_type: str, computer: str = "''", ts: str = SEC
 
 @query(told_sql("evtx", "'evtx'", "computer", more=", CAST(k AS VARCHAR) AS event_id, event_type AS raw_channel"))
 def normalize_evtx(spark, sf_dir):
-    rows = tool_rows(spark, sf_dir, F.col("stamp").alias("TimeCreated"), F.concat(F.lit("HOST"), (F.col("user_id") % 7).cast("string")).alias("Computer"), F.col("k").cast("string").alias("EventId"), F.col("event_type").alias("Channel"))
+    rows = tool_rows(
+        spark,
+        sf_dir,
+        F.col("stamp").alias("TimeCreated"),
+        F.concat(F.lit("HOST"), (F.col("user_id") % 7).cast("string")).alias("Computer"),
+        F.col("k").cast("string").alias("EventId"),
+        F.col("event_type").alias("Channel"),
+    )
     made = T.normalize_evtx(rows, "c", "e")
-    return made.select("case_id", "artifact_id", "ts_utc", "event_type", "computer", F.get_json_object("payload_json", "$.raw.Row").cast("long").alias("row"), F.get_json_object("payload_json", "$.EventId").alias("event_id"), F.get_json_object("payload_json", "$.raw.Channel").alias("raw_channel"))
+    return made.select(
+        "case_id",
+        "artifact_id",
+        "ts_utc",
+        "event_type",
+        "computer",
+        F.get_json_object("payload_json", "$.raw.Row").cast("long").alias("row"),
+        F.get_json_object("payload_json", "$.EventId").alias("event_id"),
+        F.get_json_object("payload_json", "$.raw.Channel").alias("raw_channel"),
+    )
 
 
 @query(told_sql("hayabusa", "'hayabusa_alert'", "computer", ts=f"{SECOND} - INTERVAL 9 HOUR", more=", 'R' || k AS rule"))
 def normalize_hayabusa(spark, sf_dir):
-    rows = tool_rows(spark, sf_dir, F.concat("stamp", F.lit(" +09:00")).alias("Timestamp"), F.concat(F.lit("HOST"), (F.col("user_id") % 7).cast("string")).alias("Computer"), F.concat(F.lit("R"), F.col("k").cast("string")).alias("RuleID"))
+    rows = tool_rows(
+        spark,
+        sf_dir,
+        F.concat("stamp", F.lit(" +09:00")).alias("Timestamp"),
+        F.concat(F.lit("HOST"), (F.col("user_id") % 7).cast("string")).alias("Computer"),
+        F.concat(F.lit("R"), F.col("k").cast("string")).alias("RuleID"),
+    )
     return told(T.normalize_hayabusa(rows, "c", "e"), rule="$.RuleID")
 
 
 @query(told_sql("registry", "'registry_entry'", more=f", '[' || array_to_string(list_transform(list_filter(string_split({chosen(REGISTRY_IDS, 'k')}, ','), lambda x: x <> ''), lambda x: '\"' || x || '\"'), ',') || ']' AS hints"))
 def normalize_registry(spark, sf_dir):
-    rows = tool_rows(spark, sf_dir, F.col("stamp").alias("LastWriteTimestamp"), choose(REGISTRY_KEYS, F.col("k")).alias("KeyPath"), F.lit("").alias("Category"), F.lit("v").alias("ValueName"))
+    rows = tool_rows(
+        spark,
+        sf_dir,
+        F.col("stamp").alias("LastWriteTimestamp"),
+        choose(REGISTRY_KEYS, F.col("k")).alias("KeyPath"),
+        F.lit("").alias("Category"),
+        F.lit("v").alias("ValueName"),
+    )
     return told(T.normalize_registry(rows, "c", "e"), hints="$.tactic_hints")
 
 
 @query(told_sql("usn_journal", "'usn_record'", more=", 'f' || k AS name"))
 def normalize_usn(spark, sf_dir):
-    rows = tool_rows(spark, sf_dir, F.lit(" ").alias("UpdateTimestamp"), F.col("stamp").alias("Timestamp"), F.concat(F.lit("f"), F.col("k").cast("string")).alias("Name"))
+    rows = tool_rows(
+        spark,
+        sf_dir,
+        F.lit(" ").alias("UpdateTimestamp"),
+        F.col("stamp").alias("Timestamp"),
+        F.concat(F.lit("f"), F.col("k").cast("string")).alias("Name"),
+    )
     return told(T.normalize_usn(rows, "c", "e"), name="$.Name")
 
 
 @query(told_sql("amcache", "'amcache_entry'", ts=f"CASE WHEN user_id % 2 = 0 THEN {SECOND} ELSE {SECOND} - INTERVAL 1 HOUR END", more=", CASE WHEN user_id % 2 = 0 THEN 'ProgramEntries' ELSE 'UnassociatedFileEntries' END AS \"table\""))
 def normalize_amcache(spark, sf_dir):
     file = F.when(F.col("user_id") % 2 == 0, "x_ProgramEntries.csv").otherwise("x_UnassociatedFileEntries.csv")
-    rows = tool_rows(spark, sf_dir, F.col("stamp").alias("KeyLastWriteTimestamp"), F.date_format(F.col("ts").cast("timestamp") - F.expr("INTERVAL 1 HOUR"), "yyyy-MM-dd HH:mm:ss").alias("FileKeyLastWriteTimestamp"), file=file)
+    rows = tool_rows(
+        spark,
+        sf_dir,
+        F.col("stamp").alias("KeyLastWriteTimestamp"),
+        F.date_format(F.col("ts").cast("timestamp") - F.expr("INTERVAL 1 HOUR"), "yyyy-MM-dd HH:mm:ss").alias("FileKeyLastWriteTimestamp"),
+        file=file,
+    )
     return told(T.normalize_amcache(rows, "c", "e"), table="$.amcache_table")
 
 
@@ -263,13 +409,26 @@ def normalize_srum(spark, sf_dir):
 
 @query(told_sql("srum", "'srum_plaso'", ts=f"CASE WHEN k % 5 > 0 THEN {SECOND} - INTERVAL 330 MINUTE END"))
 def normalize_plaso(spark, sf_dir):
-    rows = tool_rows(spark, sf_dir, F.when(F.col("k") % 5 > 0, F.concat(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".25+05:30"))).otherwise(F.lit("Not a time")).alias("datetime"))
+    rows = tool_rows(
+        spark,
+        sf_dir,
+        F.when(
+            F.col("k") % 5 > 0,
+            F.concat(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".25+05:30")),
+        ).otherwise(F.lit("Not a time")).alias("datetime"),
+    )
     return told(T.normalize_plaso(rows, "srum", "c", "e"))
 
 
 @query(told_sql("mft", "'mft_entry'", more=", 'f' || k AS name"))
 def normalize_mft(spark, sf_dir):
-    rows = tool_rows(spark, sf_dir, F.lit("").alias("Created0x10"), F.col("stamp").alias("LastModified0x10"), F.concat(F.lit("f"), F.col("k").cast("string")).alias("FileName"))
+    rows = tool_rows(
+        spark,
+        sf_dir,
+        F.lit("").alias("Created0x10"),
+        F.col("stamp").alias("LastModified0x10"),
+        F.concat(F.lit("f"), F.col("k").cast("string")).alias("FileName"),
+    )
     return told(T.normalize_csv(rows, T.SPECS["mft"], "c", "e"), name="$.FileName")
 
 
@@ -282,25 +441,57 @@ def normalize_tool_json(spark, sf_dir):
 def explode_prefetch_runs(spark, sf_dir):
     ago = lambda d: F.date_format(F.col("ts").cast("timestamp") - F.expr(f"INTERVAL {d} DAY"), "yyyy-MM-dd HH:mm:ss")
     k = F.col("k")
-    rows = tool_rows(spark, sf_dir, F.concat(F.lit("E"), k.cast("string"), F.lit(".EXE")).alias("ExecutableName"), F.col("stamp").alias("LastRun"), F.when(k % 2 == 0, ago(1)).otherwise(F.lit("")).alias("PreviousRun0"), F.when(k % 3 == 0, ago(2)).otherwise(F.lit("none")).alias("PreviousRun1"))
+    rows = tool_rows(
+        spark,
+        sf_dir,
+        F.concat(F.lit("E"), k.cast("string"), F.lit(".EXE")).alias("ExecutableName"),
+        F.col("stamp").alias("LastRun"),
+        F.when(k % 2 == 0, ago(1)).otherwise(F.lit("")).alias("PreviousRun0"),
+        F.when(k % 3 == 0, ago(2)).otherwise(F.lit("none")).alias("PreviousRun1"),
+    )
     get = lambda p: F.get_json_object("payload_json", p)
-    return T.explode_prefetch_runs(rows, "c", "e").groupBy(get("$.run_kind").alias("kind"), "ts_utc", get("$.executable").alias("executable")).agg(F.count("*").alias("n"))
+    return T.explode_prefetch_runs(rows, "c", "e").groupBy(
+        get("$.run_kind").alias("kind"),
+        "ts_utc",
+        get("$.executable").alias("executable"),
+    ).agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT event_id, CASE WHEN user_id % 4 = 0 THEN 'open_app' WHEN user_id % 4 = 1 THEN 'in_use' WHEN user_id % 4 = 2 THEN 'clipboard' ELSE 'unknown(99)' END AS activity, date_trunc('second', ts) AS ts_utc FROM events")
 def normalize_activities(spark, sf_dir):
     secs = F.unix_seconds(F.col("ts").cast("timestamp"))
-    e = table(spark, sf_dir, "events").select("event_id", choose((5, 6, 10, 99), F.col("user_id")).alias("ActivityType"), F.when(F.col("user_id") % 2 == 0, secs).otherwise(F.lit(0).cast("long")).alias("StartTime"), secs.alias("LastModifiedTime"))
+    e = table(spark, sf_dir, "events").select(
+        "event_id",
+        choose((5, 6, 10, 99), F.col("user_id")).alias("ActivityType"),
+        F.when(F.col("user_id") % 2 == 0, secs).otherwise(F.lit(0).cast("long")).alias("StartTime"),
+        secs.alias("LastModifiedTime"),
+    )
     return T.normalize_activities(e).select("event_id", "activity", "ts_utc")
 
 
 @query(f"{EV} SELECT 'C' AS case_id, 'E' AS evidence_id, artifact_id, audit_id, CASE WHEN k % 4 < 2 THEN {SECOND} END AS ts_utc, event_type, CASE WHEN k % 3 = 0 THEN '' ELSE computer END AS computer, CASE WHEN k % 5 = 0 THEN '{{}}' ELSE '{{\"k\":' || k || '}}' END AS payload_json FROM ev")
 def read_unified_jsonl(spark, sf_dir):
     k, at = F.col("k"), folder(spark)
-    time = F.when(k % 4 == 0, F.date_format(F.col("ts_utc").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k % 4 == 1, F.date_format(F.col("ts_utc").cast("timestamp"), "yyyy-MM-dd HH:mm:ss")).when(k % 4 == 2, F.lit("")).otherwise(F.lit("no time"))
+    time = F.when(
+        k % 4 == 0,
+        F.date_format(F.col("ts_utc").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+    ).when(k % 4 == 1, F.date_format(F.col("ts_utc").cast("timestamp"), "yyyy-MM-dd HH:mm:ss")).when(k % 4 == 2, F.lit("")).otherwise(F.lit("no time"))
     body = F.when(k % 5 > 0, F.concat(F.lit('{"k":'), k.cast("string"), F.lit("}"))).otherwise(F.lit("null"))
     q = lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
-    line = F.concat(F.lit('{"artifact_id":'), q(F.col("artifact_id")), F.lit(',"audit_id":'), q(F.col("audit_id")), F.lit(',"timestamp":'), q(time), F.lit(',"event_type":'), q(F.col("event_type")), F.when(k % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(',"computer":'), q(F.col("computer")))), F.lit(',"payload":'), body, F.lit("}"))
+    line = F.concat(
+        F.lit('{"artifact_id":'),
+        q(F.col("artifact_id")),
+        F.lit(',"audit_id":'),
+        q(F.col("audit_id")),
+        F.lit(',"timestamp":'),
+        q(time),
+        F.lit(',"event_type":'),
+        q(F.col("event_type")),
+        F.when(k % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(',"computer":'), q(F.col("computer")))),
+        F.lit(',"payload":'),
+        body,
+        F.lit("}"),
+    )
     e = events(spark, sf_dir)
     e.select(line.alias("value")).union(e.where("k = 1").select(F.lit("{bad"))).write.text(at)
     return T.read_unified_jsonl(spark, at, "C", "E")
@@ -309,8 +500,17 @@ def read_unified_jsonl(spark, sf_dir):
 @query("SELECT event_type AS kind, CAST(count(*) AS BIGINT) AS n, CAST(sum(user_id) AS BIGINT) AS tokens, CAST(count(DISTINCT date_trunc('second', ts)) AS BIGINT) AS times FROM events GROUP BY 1")
 def read_actions(spark, sf_dir):
     at = folder(spark)
-    table(spark, sf_dir, "events").select(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), F.col("event_type").alias("kind"), F.col("user_id").alias("tokens"), F.lit(True).alias("success")).write.json(at)
-    return T.read_actions(spark, at).groupBy("kind").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"), F.count_distinct("ts").alias("times"))
+    table(spark, sf_dir, "events").select(
+        F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"),
+        F.col("event_type").alias("kind"),
+        F.col("user_id").alias("tokens"),
+        F.lit(True).alias("success"),
+    ).write.json(at)
+    return T.read_actions(spark, at).groupBy("kind").agg(
+        F.count("*").alias("n"),
+        F.sum("tokens").alias("tokens"),
+        F.count_distinct("ts").alias("times"),
+    )
 
 
 @query("SELECT 'log' || CAST(user_id % 9 AS VARCHAR) AS file, 'nginx' AS format FROM events GROUP BY 1")
@@ -323,11 +523,22 @@ def detect_error_format(spark, sf_dir):
 @query(f"{EV} SELECT 'c' AS case_id, 'mft' AS artifact_id, {SECOND} AS ts_utc, event_type AS name, event_id AS n FROM ev")
 def read_tool_csv(spark, sf_dir):
     at = folder(spark)
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("Row"), F.lit("").alias("Created0x10"), F.date_format(stamp(), "yyyy-MM-dd HH:mm:ss").alias("LastModified0x10"), F.concat(F.lit('a "quoted", '), F.col("event_type")).alias("FileName"))
+    e = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("Row"),
+        F.lit("").alias("Created0x10"),
+        F.date_format(stamp(), "yyyy-MM-dd HH:mm:ss").alias("LastModified0x10"),
+        F.concat(F.lit('a "quoted", '), F.col("event_type")).alias("FileName"),
+    )
     e.repartition(3).write.option("header", True).option("escape", '"').csv(at)
     get = lambda p: F.get_json_object("payload_json", p)
     made = T.read_tool_csv(spark, at, "mft", "c", "e")
-    return made.select("case_id", "artifact_id", "ts_utc", F.replace(get("$.FileName"), F.lit('a "quoted", ')).alias("name"), get("$.Row").cast("long").alias("n"))
+    return made.select(
+        "case_id",
+        "artifact_id",
+        "ts_utc",
+        F.replace(get("$.FileName"), F.lit('a "quoted", ')).alias("name"),
+        get("$.Row").cast("long").alias("n"),
+    )
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS lines, CAST(count(DISTINCT event_id) AS BIGINT) AS distinct_lines, true AS numbered FROM events")
@@ -348,7 +559,12 @@ def read_findings(spark, sf_dir):
     value = F.to_json(F.struct(*[F.col(c) for c in rows.columns]))
     write_documents(rows.withColumn("value", value), F.col("rule_id"), "[", ", ", "]", at + "/one")
     back = T.read_findings(spark, at + "/one", at + "/missing")
-    return back.select("finding_id", "severity", F.get("techniques", F.lit(0)).alias("technique"), F.size("evidence").cast("long").alias("n_evidence"))
+    return back.select(
+        "finding_id",
+        "severity",
+        F.get("techniques", F.lit(0)).alias("technique"),
+        F.size("evidence").cast("long").alias("n_evidence"),
+    )
 
 
 _TASK = '<Task><RegistrationInfo><Date>@t</Date><Author>@a</Author></RegistrationInfo><Triggers><LogonTrigger><Enabled>true</Enabled></LogonTrigger></Triggers><Principals><Principal><UserId>@u</UserId></Principal></Principals><Actions><Exec><Command>@c</Command></Exec></Actions></Task>'
@@ -363,13 +579,30 @@ def normalize_tasks(spark, sf_dir):
         text = F.replace(text, F.lit(mark), value)
     write_documents(e.withColumn("value", text), F.col("k"), "<Tasks>", "", "</Tasks>", at)
     t = T.normalize_tasks(spark, at)
-    return t.select(F.col("author").cast("long").alias("author"), "ts_utc", "run_as", F.get("actions", F.lit(0))["command"].alias("command"), F.get("triggers", F.lit(0))["type"].alias("trigger"), F.array_join("tactic_hints", ",").alias("hints"))
+    return t.select(
+        F.col("author").cast("long").alias("author"),
+        "ts_utc",
+        "run_as",
+        F.get("actions", F.lit(0))["command"].alias("command"),
+        F.get("triggers", F.lit(0))["type"].alias("trigger"),
+        F.array_join("tactic_hints", ",").alias("hints"),
+    )
 
 
 @query("SELECT 'n' || p_partkey AS module_name, 'native' AS module_kind, 'C:' || chr(92) || 'Windows' || chr(92) || p_partkey AS image_expanded, '' AS location_path FROM part UNION ALL SELECT 'm' || p_partkey, 'managed', 'T.M', '' FROM part UNION ALL SELECT 'm' || p_partkey, 'managed', 'T.M', 's' || p_partkey FROM part")
 def normalize_iis_modules(spark, sf_dir):
     at, n = folder(spark), F.col("p_partkey").cast("string")
-    xml = F.concat(F.lit('<configuration><system.webServer><globalModules><add name="n'), n, F.lit('" image="%windir%\\'), n, F.lit('"/></globalModules></system.webServer><location path="s'), n, F.lit('"><system.webServer><modules><add name="m'), n, F.lit('" type="T.M"/></modules></system.webServer></location></configuration>'))
+    xml = F.concat(
+        F.lit('<configuration><system.webServer><globalModules><add name="n'),
+        n,
+        F.lit('" image="%windir%\\'),
+        n,
+        F.lit('"/></globalModules></system.webServer><location path="s'),
+        n,
+        F.lit('"><system.webServer><modules><add name="m'),
+        n,
+        F.lit('" type="T.M"/></modules></system.webServer></location></configuration>'),
+    )
     write_documents(table(spark, sf_dir, "part").withColumn("value", xml), F.col("p_partkey") % 20, "<all>", "", "</all>", at)
     return T.normalize_iis_modules(spark, at).select("module_name", "module_kind", "image_expanded", "location_path")
 
@@ -390,7 +623,12 @@ def filter_findings(spark, sf_dir):
 
 @query("WITH r AS (SELECT p_brand AS source, 'P' || p_partkey AS rule_id FROM part WHERE contains(lower('P' || p_partkey || ' ' || p_name), 'a')) SELECT source, rule_id, (SELECT count(*) FROM r) AS total FROM r ORDER BY source, rule_id LIMIT 50 OFFSET 10")
 def search_rules(spark, sf_dir):
-    rules = table(spark, sf_dir, "part").select(F.col("p_brand").alias("source"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("rule_id"), F.col("p_name").alias("title"), F.lit("built").alias("state"))
+    rules = table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("source"),
+        F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("rule_id"),
+        F.col("p_name").alias("title"),
+        F.lit("built").alias("state"),
+    )
     return L.search_rules(rules, state="built", q=" A ", limit=50, offset=10).select("source", "rule_id", "total")
 
 
@@ -411,7 +649,16 @@ def only_approved(spark, sf_dir):
 
 @query(f"{EV} SELECT audit_id, CAST(k * 1000000 AS VARCHAR) AS number, 'value' || '...' AS text FROM ev WHERE artifact_id = 'evtx'")
 def digest_payload(spark, sf_dir):
-    e = events(spark, sf_dir).where("artifact_id = 'evtx'").withColumn("payload_json", F.concat(F.lit('{"EventId":'), (F.col("k") * 1000000).cast("string"), F.lit(',"Channel":"values of '), F.col("event_type"), F.lit('","Dropped":1}')))
+    e = events(spark, sf_dir).where("artifact_id = 'evtx'").withColumn(
+        "payload_json",
+        F.concat(
+            F.lit('{"EventId":'),
+            (F.col("k") * 1000000).cast("string"),
+            F.lit(',"Channel":"values of '),
+            F.col("event_type"),
+            F.lit('","Dropped":1}'),
+        ),
+    )
     return L.digest_payload(e, 5).select("audit_id", F.col("payload")["EventId"].alias("number"), F.col("payload")["Channel"].alias("text"))
 
 
@@ -431,7 +678,9 @@ def shrink_payload_keys(spark, sf_dir):
 @query("SELECT false AS all_null UNION ALL SELECT true")
 def all_null_projection(spark, sf_dir):
     e = unified_events(spark, sf_dir)
-    return L.all_null_projection(e).union(L.all_null_projection(e.select("audit_id", "ts_utc", F.lit(None).cast("string").alias("a"), F.lit("  ").alias("b"))))
+    return L.all_null_projection(e).union(
+        L.all_null_projection(e.select("audit_id", "ts_utc", F.lit(None).cast("string").alias("a"), F.lit("  ").alias("b"))),
+    )
 
 
 # ---- rules ---------------------------------------------------------------------------------------------------------
@@ -459,10 +708,22 @@ RULE_CASES = (
     ("mft", f'{{"FullPath":".{_B}a.pdf.exe"}}', ("double-extension-executable",)),
     ("shimcache", f'{{"Path":"C:{_B}Users{_B}u{_B}Downloads{_B}a.exe"}}', ("exec-from-download-or-temp",)),
     ("shimcache", f'{{"Path":"D:{_B}run.exe"}}', ("exec-from-odd-location",)),
-    ("registry", f'{{"KeyPath":"x{_B}Windows NT{_B}CurrentVersion{_B}Windows","ValueName":"AppInit_DLLs","ValueData":"a.dll"}}', ("registry-appinit",)),
-    ("registry", f'{{"KeyPath":"x{_B}CLSID{_B}y{_B}InprocServer32","HiveType":"NTUSER","ValueData":"C:{_B}Users{_B}u{_B}a.dll"}}', ("registry-com-hijack",)),
+    (
+        "registry",
+        f'{{"KeyPath":"x{_B}Windows NT{_B}CurrentVersion{_B}Windows","ValueName":"AppInit_DLLs","ValueData":"a.dll"}}',
+        ("registry-appinit",),
+    ),
+    (
+        "registry",
+        f'{{"KeyPath":"x{_B}CLSID{_B}y{_B}InprocServer32","HiveType":"NTUSER","ValueData":"C:{_B}Users{_B}u{_B}a.dll"}}',
+        ("registry-com-hijack",),
+    ),
     ("registry", '{"KeyPath":"Windows Defender","ValueName":"DisableAntiSpyware","ValueData":"0x1"}', ("registry-defender-tamper",)),
-    ("registry", f'{{"KeyPath":"x{_B}Image File Execution Options{_B}sethc.exe","ValueName":"DEBUGGER","ValueData":"cmd"}}', ("registry-ifeo-debugger",)),
+    (
+        "registry",
+        f'{{"KeyPath":"x{_B}Image File Execution Options{_B}sethc.exe","ValueName":"DEBUGGER","ValueData":"cmd"}}',
+        ("registry-ifeo-debugger",),
+    ),
     ("registry", '{"Description":"Run","ValueData":"powershell -enc AAAA"}', ("registry-run-key",)),
     ("registry", f'{{"KeyPath":"x{_B}Services{_B}y","ValueName":"ImagePath","ValueData":"%COMSPEC% /c x"}}', ("registry-service-image",)),
     ("registry", f'{{"KeyPath":"x{_B}Windows NT{_B}CurrentVersion{_B}Winlogon","ValueName":"Shell","ValueData":"evil.exe"}}', ("registry-winlogon",)),
@@ -477,13 +738,28 @@ def rule_events(spark, sf_dir) -> DataFrame:
     e = events(spark, sf_dir)
     artifact, body = (choose(tuple(c[i] for c in RULE_CASES), F.col("k")) for i in (0, 1))
     payload = F.concat(F.lit('{"k":'), F.col("k").cast("string"), F.lit(","), body.substr(F.lit(2), F.length(body)))
-    return e.select("case_id", "evidence_id", artifact.alias("artifact_id"), "audit_id", "ts_utc", "event_type", "computer", payload.alias("payload_json"))
+    return e.select(
+        "case_id",
+        "evidence_id",
+        artifact.alias("artifact_id"),
+        "audit_id",
+        "ts_utc",
+        "event_type",
+        "computer",
+        payload.alias("payload_json"),
+    )
 
 
 @query(f"{EV}, r AS (SELECT * FROM (VALUES {_RULE_VALUES}) t(i, rule_id)) SELECT case_id, rule_id, count(*) AS match_count, min(ts_utc) AS first_ts, least(count(*), 100) AS n_evidence FROM ev JOIN r ON k % {len(RULE_CASES)} = i GROUP BY ALL")
 def run_all_rules(spark, sf_dir):
     found = R.run_rules(rule_events(spark, sf_dir))
-    return found.select("case_id", "rule_id", "match_count", F.get("evidence", F.lit(0))["ts_utc"].alias("first_ts"), F.size("evidence").cast("long").alias("n_evidence"))
+    return found.select(
+        "case_id",
+        "rule_id",
+        "match_count",
+        F.get("evidence", F.lit(0))["ts_utc"].alias("first_ts"),
+        F.size("evidence").cast("long").alias("n_evidence"),
+    )
 
 
 @query(f"{EV} SELECT case_id, 'ransom-locked-rename' AS rule_id, count(*) AS n FROM ev WHERE k % {len(RULE_CASES)} = 5 GROUP BY 1 UNION ALL SELECT case_id, 'lnk-double-extension', count(*) FROM ev WHERE k % {len(RULE_CASES)} = 6 GROUP BY 1 UNION ALL SELECT case_id, 'hacktool-self-delete', count(*) FROM ev WHERE k % {len(RULE_CASES)} = 9 GROUP BY 1")
@@ -505,21 +781,36 @@ def lookup_events(spark, sf_dir):
 
 @query("SELECT p_partkey AS pos, n_missing, n_critical FROM part, (SELECT count(*) AS n_missing, count(*) FILTER (p_size > 25) AS n_critical FROM part WHERE p_size % 2 = 1) WHERE p_size % 2 = 1")
 def missing_inputs(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), (F.col("p_size") % 2 == 0).alias("present"), (F.col("p_size") > 25).alias("critical"))
+    rows = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("pos"),
+        (F.col("p_size") % 2 == 0).alias("present"),
+        (F.col("p_size") > 25).alias("critical"),
+    )
     return J.missing_inputs(rows).select("pos", "n_missing", "n_critical")
 
 
 @query(f"WITH {CL}, a AS (SELECT event_id, k % 40 AS cluster_id, ['sigma','hayabusa','custom','tier1b'][k % 4 + 1] AS source, 'R' || CAST(k % 20 AS VARCHAR) AS rule_id FROM ev), r AS (SELECT DISTINCT source, rule_id FROM f) SELECT a.event_id, r.source IS NOT NULL AS explained, CASE WHEN a.cluster_id % 2 = 0 THEN 'phase' END AS cluster_phase FROM a LEFT JOIN r USING (source, rule_id)")
 def explain_actions(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-    a = e.select("event_id", (F.col("k") % 40).alias("cluster_id"), choose(("sigma", "hayabusa", "custom", "tier1b"), F.col("k")).alias("rule_source"), F.concat(F.lit("R"), (F.col("k") % 20).cast("string")).alias("rule_id"))
+    a = e.select(
+        "event_id",
+        (F.col("k") % 40).alias("cluster_id"),
+        choose(("sigma", "hayabusa", "custom", "tier1b"), F.col("k")).alias("rule_source"),
+        F.concat(F.lit("R"), (F.col("k") % 20).cast("string")).alias("rule_id"),
+    )
     phases = a.select("cluster_id").distinct().where("cluster_id % 2 = 0").withColumn("attack_phase", F.lit("phase"))
-    return J.explain_actions(a, findings(spark, sf_dir), phases).select("event_id", F.col("finding_title").isNotNull().alias("explained"), "cluster_phase")
+    return J.explain_actions(a, findings(spark, sf_dir), phases).select(
+        "event_id",
+        F.col("finding_title").isNotNull().alias("explained"),
+        "cluster_phase",
+    )
 
 
 @query("SELECT o_custkey AS case_id, count(*) AS n_evidence FROM orders GROUP BY 1")
 def evidence_count_by_case(spark, sf_dir):
-    return A.evidence_count_by_case(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("evidence_id")))
+    return A.evidence_count_by_case(
+        table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("evidence_id")),
+    )
 
 
 @query(f"{EV} SELECT DISTINCT case_id, 'Ch' || k % 6 AS channel FROM ev WHERE artifact_id = 'evtx'")
@@ -540,7 +831,16 @@ def web_iocs(spark, sf_dir):
 
 def skills(spark, sf_dir) -> DataFrame:
     n = F.col("p_size")
-    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("skill"), F.sha2(F.col("p_partkey").cast("string"), 256).alias("sql_sha256"), F.lit("1").alias("schema_version"), F.lit("m").alias("model_id"), choose(("candidate", "canonical", "invalid"), n).alias("state"), (n % 5).alias("hit_count"), F.lit("old").alias("last_used_case"), F.to_timestamp(F.concat(F.lit("2024-01-"), F.lpad((n % 28 + 1).cast("string"), 2, "0"))).cast("timestamp_ntz").alias("created_at"))
+    return table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("skill"),
+        F.sha2(F.col("p_partkey").cast("string"), 256).alias("sql_sha256"),
+        F.lit("1").alias("schema_version"),
+        F.lit("m").alias("model_id"),
+        choose(("candidate", "canonical", "invalid"), n).alias("state"),
+        (n % 5).alias("hit_count"),
+        F.lit("old").alias("last_used_case"),
+        F.to_timestamp(F.concat(F.lit("2024-01-"), F.lpad((n % 28 + 1).cast("string"), 2, "0"))).cast("timestamp_ntz").alias("created_at"),
+    )
 
 
 SKILLS = "WITH sk AS (SELECT p_brand AS skill, sha256(CAST(p_partkey AS VARCHAR)) AS sql_sha256, ['candidate','canonical','invalid'][p_size % 3 + 1] AS state, p_size % 5 AS hit_count, p_size % 28 + 1 AS day, p_partkey FROM part)"
@@ -572,13 +872,19 @@ def prune(spark, sf_dir):
 @query(f"{SKILLS} SELECT skill, count(*) AS n FROM sk GROUP BY 1 UNION ALL SELECT 'fresh', count(*) FROM sk WHERE p_partkey % 2 = 0")
 def insert_candidates(spark, sf_dir):
     old = skills(spark, sf_dir)
-    fresh = table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.lit("fresh").alias("skill"), F.sha2(F.col("p_partkey").cast("string"), 256).alias("sql_sha256"))
+    fresh = table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(
+        F.lit("fresh").alias("skill"),
+        F.sha2(F.col("p_partkey").cast("string"), 256).alias("sql_sha256"),
+    )
     return C.insert_candidates(old, fresh.union(fresh).union(old.select("skill", "sql_sha256"))).groupBy("skill").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {FE} SELECT DISTINCT 'Q' || CAST(k % 9 AS VARCHAR) AS sql_sha256 FROM fe")
 def promotable_queries(spark, sf_dir):
-    source = events(spark, sf_dir).select("audit_id", F.concat(F.lit("Q"), (F.col("k") % 9).cast("string")).alias("sql_sha256")).union(spark.createDataFrame([("none", "Q99")], "audit_id string, sql_sha256 string"))
+    source = events(spark, sf_dir).select(
+        "audit_id",
+        F.concat(F.lit("Q"), (F.col("k") % 9).cast("string")).alias("sql_sha256"),
+    ).union(spark.createDataFrame([("none", "Q99")], "audit_id string, sql_sha256 string"))
     return C.promotable_queries(findings(spark, sf_dir), source)
 
 
@@ -589,7 +895,17 @@ def promotable_queries(spark, sf_dir):
 def logons(spark, sf_dir) -> DataFrame:
     """evtx events as logons and failures with the values of the table."""
     k = F.col("k")
-    pay = F.concat(F.lit('{"EventId":"'), choose(("4624", "4625", "4688"), k), F.lit('","TargetUserName":"DOM/u'), (k % 10).cast("string"), F.lit('","LogonType":"'), (k % 4).cast("string"), F.lit('","WorkstationName":"'), F.col("computer"), F.lit('"}'))
+    pay = F.concat(
+        F.lit('{"EventId":"'),
+        choose(("4624", "4625", "4688"), k),
+        F.lit('","TargetUserName":"DOM/u'),
+        (k % 10).cast("string"),
+        F.lit('","LogonType":"'),
+        (k % 4).cast("string"),
+        F.lit('","WorkstationName":"'),
+        F.col("computer"),
+        F.lit('"}'),
+    )
     return events(spark, sf_dir).withColumn("payload_json", pay)
 
 
@@ -611,9 +927,17 @@ def bruteforced_accounts(spark, sf_dir):
 
 @query(f"{EV}, s AS (SELECT *, CASE WHEN hour(ts_utc) < 6 OR hour(ts_utc) >= 22 THEN 2 ELSE 0 END + CASE WHEN k % 4 = 0 THEN 3 ELSE 0 END AS score FROM ev), p AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, ts_utc, audit_id) AS place, count(*) OVER (PARTITION BY case_id) AS total FROM s WHERE score > 0) SELECT case_id, audit_id, score, place, total FROM p WHERE place <= 2000")
 def anomaly_candidates_legacy(spark, sf_dir):
-    e = events(spark, sf_dir).withColumn("payload_json", F.when(F.col("k") % 4 == 0, F.lit('{"p":"c:\\windows\\temp\\b"}')).otherwise(F.lit('{"p":"c:\\\\windows\\\\temp\\\\b"}')))
+    e = events(spark, sf_dir).withColumn(
+        "payload_json",
+        F.when(F.col("k") % 4 == 0, F.lit('{"p":"c:\\windows\\temp\\b"}')).otherwise(F.lit('{"p":"c:\\\\windows\\\\temp\\\\b"}')),
+    )
     none = e.limit(0)
-    return W.anomaly_candidates_legacy(e, none.select("case_id", "audit_id"), none.select("case_id", F.col("ts_utc").alias("ts")), 2000).select("case_id", "audit_id", "score", "place", F.col("total"))
+    return W.anomaly_candidates_legacy(
+        e,
+        none.select("case_id", "audit_id"),
+        none.select("case_id", F.col("ts_utc").alias("ts")),
+        2000,
+    ).select("case_id", "audit_id", "score", "place", F.col("total"))
 
 
 @query(f"{EV}, b AS (SELECT case_id, audit_id, ts_utc, 0 AS p, 10 AS score FROM ev WHERE k < 10 UNION ALL SELECT case_id, audit_id, ts_utc, 1, k FROM ev WHERE k >= 5), o AS (SELECT case_id, audit_id, min(ts_utc) AS ts_utc, min(p) AS p, max(score) AS score, count(*) AS n_lenses FROM b GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY p, score DESC, ts_utc, audit_id) AS place FROM o) SELECT case_id, audit_id, score, n_lenses, place FROM r WHERE place <= 900")
@@ -627,13 +951,22 @@ def merge_candidates(spark, sf_dir):
 @query(f"WITH {CL}, t AS (SELECT case_id, cluster_id, start_ts + INTERVAL (cluster_id % 5 - 2) HOUR AS ts FROM ct WHERE cluster_id % 3 > 0) SELECT case_id, cluster_id, least(start_ts, coalesce(ts, start_ts)) AS start_ts, greatest(end_ts, coalesce(ts, end_ts)) AS end_ts, coalesce(ts < start_ts OR ts > end_ts, false) AS grew FROM ct LEFT JOIN t USING (case_id, cluster_id)")
 def grow_hull(spark, sf_dir):
     c = clusters(spark, sf_dir)
-    flagged = c.where("cluster_id % 3 > 0").select("case_id", "cluster_id", F.expr("start_ts + make_dt_interval(0, cluster_id % 5 - 2)").alias("ts_utc"))
+    flagged = c.where("cluster_id % 3 > 0").select(
+        "case_id",
+        "cluster_id",
+        F.expr("start_ts + make_dt_interval(0, cluster_id % 5 - 2)").alias("ts_utc"),
+    )
     return W.grow_hull(c, flagged).select("case_id", "cluster_id", "start_ts", "end_ts", "grew")
 
 
 @query(f"WITH {CL} SELECT case_id, cluster_id, 'a' || CAST(cluster_id % 4 AS VARCHAR) AS audit_id, start_ts AS ts_utc FROM ct")
 def merge_follow_ups(spark, sf_dir):
-    c = clusters(spark, sf_dir).select("case_id", "cluster_id", F.concat(F.lit("a"), (F.col("cluster_id") % 4).cast("string")).alias("audit_id"), F.col("start_ts").alias("ts_utc"))
+    c = clusters(spark, sf_dir).select(
+        "case_id",
+        "cluster_id",
+        F.concat(F.lit("a"), (F.col("cluster_id") % 4).cast("string")).alias("audit_id"),
+        F.col("start_ts").alias("ts_utc"),
+    )
     later = c.withColumn("ts_utc", F.expr("ts_utc + INTERVAL 1 HOUR"))
     return W.merge_follow_ups(later.where("cluster_id % 2 = 0"), c)
 
@@ -665,12 +998,19 @@ def findings_by_tactic(spark, sf_dir):
 @query(f"WITH {FE} SELECT source, count(*) AS n FROM f GROUP BY 1")
 def union_findings(spark, sf_dir):
     f = findings(spark, sf_dir)
-    return C.union_findings(f.where("source = 'sigma'"), f.where("source = 'custom'").drop("approved"), f.where("source NOT IN ('sigma', 'custom')")).groupBy("source").agg(F.count("*").alias("n"))
+    return C.union_findings(
+        f.where("source = 'sigma'"),
+        f.where("source = 'custom'").drop("approved"),
+        f.where("source NOT IN ('sigma', 'custom')"),
+    ).groupBy("source").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {CL} SELECT DISTINCT case_id, 'q' || CAST(cluster_id % 11 AS VARCHAR) AS question FROM ct UNION SELECT DISTINCT case_id, 'who' FROM ct")
 def merge_open_questions(spark, sf_dir):
-    c = clusters(spark, sf_dir).withColumn("open_questions", F.array(F.concat(F.lit(" q"), (F.col("cluster_id") % 11).cast("string")), F.lit(" "), F.lit("who ")))
+    c = clusters(spark, sf_dir).withColumn(
+        "open_questions",
+        F.array(F.concat(F.lit(" q"), (F.col("cluster_id") % 11).cast("string")), F.lit(" "), F.lit("who ")),
+    )
     return C.merge_open_questions(c).select("case_id", "question")
 
 
@@ -679,13 +1019,27 @@ def clock_reversed(spark, sf_dir):
     k = F.col("k")
     data = lambda n, v: F.concat(F.lit('{"@Name":"'), F.lit(n), F.lit('","#text":"'), v, F.lit('"}'))
     back = F.when(k > 50, F.lit("2024-01-02 01:00:00.5")).otherwise(F.lit("2024-01-02 02:59:30"))
-    pay = F.concat(F.lit('{"EventId":"4616","Data":['), F.concat_ws(",", data("PreviousTime", F.lit("2024-01-02 03:00:00.123")), data("NewTime", F.when(k % 50 == 7, back).otherwise(F.lit("2024-01-02 03:00:01"))), data("SubjectUserName", F.lit("alice"))), F.lit("]}"))
+    pay = F.concat(
+        F.lit('{"EventId":"4616","Data":['),
+        F.concat_ws(
+            ",",
+            data("PreviousTime", F.lit("2024-01-02 03:00:00.123")),
+            data("NewTime", F.when(k % 50 == 7, back).otherwise(F.lit("2024-01-02 03:00:01"))),
+            data("SubjectUserName", F.lit("alice")),
+        ),
+        F.lit("]}"),
+    )
     return C.clock_reversed(events(spark, sf_dir).withColumn("payload_json", pay))
 
 
 def case_context(spark, sf_dir) -> DataFrame:
     c = events(spark, sf_dir).select("case_id").distinct()
-    return c.select("case_id", (F.col("case_id") == "C0").alias("web_server"), F.when(F.col("case_id") == "C1", 2).otherwise(0).alias("n_burst_accounts"), (F.col("case_id") == "C2").alias("reversed"))
+    return c.select(
+        "case_id",
+        (F.col("case_id") == "C0").alias("web_server"),
+        F.when(F.col("case_id") == "C1", 2).otherwise(0).alias("n_burst_accounts"),
+        (F.col("case_id") == "C2").alias("reversed"),
+    )
 
 
 CONTEXT_TECHNIQUES = ("T1190", "T1550.002", "T1070.006", "T1059")
@@ -714,7 +1068,12 @@ def cluster_marks(spark, sf_dir):
     n = F.col("cluster_id")
     phase, narrative = F.when(n % 2 == 0, " Noise ").otherwise("execution"), F.when(n % 3 == 0, "A False Positive.").otherwise("real")
     c = full_clusters(spark, sf_dir)
-    return c.select("case_id", "cluster_id", C.is_benign_cluster(phase, F.col("findings"), n % 7 == 0).alias("benign"), C.is_noise_cluster(phase, narrative).alias("noise"))
+    return c.select(
+        "case_id",
+        "cluster_id",
+        C.is_benign_cluster(phase, F.col("findings"), n % 7 == 0).alias("benign"),
+        C.is_noise_cluster(phase, narrative).alias("noise"),
+    )
 
 
 PROSE = ("Mimikatz was run.", "It is not confirmed that mimikatz ran. No web shell.", "Mimikatz was run; it is not clear.", "Nothing. A beacon is possible", "ウェブシェルの可能性。")
@@ -755,7 +1114,15 @@ def timeline_clusters(spark, sf_dir):
 def check_report_consistency(spark, sf_dir):
     f = findings(spark, sf_dir)
     case = F.col("case_id")
-    cases = f.select("case_id").distinct().select("case_id", (case != "C1").alias("entry_unknown"), F.lit(True).alias("asserts_earliest"), F.when(case == "C0", "reliable").otherwise("Unreliable").alias("reliability"), F.when(case == "C0", "A web shell was used.").otherwise("A web shell is unconfirmed.").alias("tech_summary"), F.when(case == "C2", "Rubeus was run.").otherwise("Rubeus is not in use.").alias("exec_brief"), F.array(F.lit("Rubeus")).alias("ungrounded"))
+    cases = f.select("case_id").distinct().select(
+        "case_id",
+        (case != "C1").alias("entry_unknown"),
+        F.lit(True).alias("asserts_earliest"),
+        F.when(case == "C0", "reliable").otherwise("Unreliable").alias("reliability"),
+        F.when(case == "C0", "A web shell was used.").otherwise("A web shell is unconfirmed.").alias("tech_summary"),
+        F.when(case == "C2", "Rubeus was run.").otherwise("Rubeus is not in use.").alias("exec_brief"),
+        F.array(F.lit("Rubeus")).alias("ungrounded"),
+    )
     t = cases.select("case_id", F.lit("T1190").alias("technique"))
     return C.check_report_consistency(cases, t, t, f)
 
@@ -766,7 +1133,10 @@ SELECT m AS component, count(DISTINCT o) AS members, string_agg(DISTINCT tactic,
 def finding_components_shared(spark, sf_dir):
     """Findings whose evidence is shared by host and k, but for every seventh k, whose findings stand alone."""
     shared = lambda x: F.concat(F.lit("k"), (F.col("n") % 10).cast("string"), F.lit("-"), x["extra"]["Computer"])
-    f = reviewed(spark, sf_dir).withColumn("evidence", F.transform("evidence", lambda x: x.withField("audit_id", F.when(F.col("n") % 7 == 0, x["audit_id"]).otherwise(shared(x)))))
+    f = reviewed(spark, sf_dir).withColumn(
+        "evidence",
+        F.transform("evidence", lambda x: x.withField("audit_id", F.when(F.col("n") % 7 == 0, x["audit_id"]).otherwise(shared(x)))),
+    )
     return G.finding_components(f).select("component", "members", F.array_join("tactics", ",").alias("tactics"), "n_audit_ids")
 
 
@@ -791,7 +1161,13 @@ def write_report_csv(spark, sf_dir):
 @query(f"WITH {FE} SELECT 'failed_artifacts' AS \"table\", count(*) AS n FROM ev WHERE k = 3 UNION ALL SELECT 'findings', count(*) FROM f UNION ALL SELECT 'timeline', count(*) FROM fe UNION ALL SELECT 'iocs', count(DISTINCT (case_id, k % 10)) + count(DISTINCT (case_id, computer)) FROM fe")
 def write_legacy_csv(spark, sf_dir):
     at, e, f = folder(spark), events(spark, sf_dir), findings(spark, sf_dir)
-    K.write_legacy_csv(e.where("k = 3").select("audit_id"), f.select("finding_id"), W.evidence_appendix(f).select("audit_id"), A.ioc_table(f, 100000).select("case_id", "type", "value"), at)
+    K.write_legacy_csv(
+        e.where("k = 3").select("audit_id"),
+        f.select("finding_id"),
+        W.evidence_appendix(f).select("audit_id"),
+        A.ioc_table(f, 100000).select("case_id", "type", "value"),
+        at,
+    )
     out = None
     for name in ("failed_artifacts", "findings", "timeline", "iocs"):
         n = spark.read.option("header", True).csv(f"{at}/{name}").agg(F.lit(name).alias("table"), F.count("*").alias("n"))
@@ -820,7 +1196,10 @@ def verify_manifest(spark, sf_dir):
     """The events in six files, of which the manifest knows four, has one wrong and one not, and names one that is gone."""
     at = folder(spark)
     table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("value")).repartition(6).write.text(at)
-    files = spark.read.format("binaryFile").load(at).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
+    files = spark.read.format("binaryFile").load(at).select(
+        F.element_at(F.split("path", "/"), -1).alias("file"),
+        F.sha2("content", 256).alias("sha256"),
+    )
     nth = F.row_number().over(W.Window.orderBy("file"))
     listed = files.withColumn("i", nth).where("i < 6").select("file", F.when(F.col("i") < 5, F.upper("sha256")).otherwise(F.lit("0")).alias("sha256"))
     manifest = listed.union(spark.createDataFrame([("gone.txt", "0")], "file string, sha256 string"))
@@ -829,6 +1208,11 @@ def verify_manifest(spark, sf_dir):
 
 @query("WITH o AS (SELECT o_custkey AS case_id, 'e' || o_orderkey % 2 AS evidence_id, o_orderpriority AS artifact_id, o_orderkey AS finished_at FROM orders) SELECT case_id, evidence_id, artifact_id, max(finished_at) AS finished_at FROM o WHERE NOT (evidence_id = 'e0' AND FALSE) GROUP BY ALL")
 def upsert_parse_results(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), F.concat(F.lit("e"), (F.col("o_orderkey") % 2).cast("string")).alias("evidence_id"), F.col("o_orderpriority").alias("artifact_id"), F.col("o_orderkey").alias("finished_at"))
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("case_id"),
+        F.concat(F.lit("e"), (F.col("o_orderkey") % 2).cast("string")).alias("evidence_id"),
+        F.col("o_orderpriority").alias("artifact_id"),
+        F.col("o_orderkey").alias("finished_at"),
+    )
     unnamed = o.withColumn("evidence_id", F.lit("")).withColumn("finished_at", F.lit(0).cast("long"))
     return K.upsert_parse_results(unnamed.union(o.withColumn("finished_at", F.lit(-1).cast("long"))), o)

@@ -60,7 +60,11 @@ def exclude_prior(spark, sf_dir):
 
 @query(f"WITH {EVENTS_SQL} SELECT event_type || '-' || CAST(k AS VARCHAR) AS obs_id, count(*) FILTER (user_id % 2 = 0) AS kept, count(*) FILTER (user_id % 2 = 1) AS dropped FROM ev GROUP BY 1 HAVING count(*) FILTER (user_id % 2 = 0) > 0")
 def filter_phantom(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.concat_ws("-", "event_type", F.get_json_object("props", "$.k")).alias("obs_id"), F.col("event_id").cast("string").alias("audit_id"), "user_id")
+    e = table(spark, sf_dir, "events").select(
+        F.concat_ws("-", "event_type", F.get_json_object("props", "$.k")).alias("obs_id"),
+        F.col("event_id").cast("string").alias("audit_id"),
+        "user_id",
+    )
     obs = e.groupBy("obs_id").agg(F.collect_list("audit_id").alias("audit_ids"))
     return J.filter_phantom(obs, e.where("user_id % 2 = 0")).select("obs_id", F.size("audit_ids").cast("long").alias("kept"), "dropped")
 
@@ -85,7 +89,10 @@ def append_new_findings(spark, sf_dir):
 @query(f"WITH {FE} SELECT finding_id, severity IN ('critical', 'high') AS approved, severity = 'low' AS rejected FROM f")
 def apply_review(spark, sf_dir):
     f = findings(spark, sf_dir)
-    d = f.select("finding_id", F.when(F.col("severity").isin("critical", "high"), "approve").when(F.col("severity") == "low", "reject").otherwise("reset").alias("decision"))
+    d = f.select(
+        "finding_id",
+        F.when(F.col("severity").isin("critical", "high"), "approve").when(F.col("severity") == "low", "reject").otherwise("reset").alias("decision"),
+    )
     return J.apply_review(f, d)[0].select("finding_id", "approved", "rejected")
 
 
@@ -107,21 +114,34 @@ def input_presence(spark, sf_dir):
 @query(f"WITH {EVENTS_SQL} SELECT DISTINCT 'T' || CAST(1000 + k AS VARCHAR) AS technique, 1000 + k IN (1003, 1021, 1053, 1059, 1070, 1078) AS covered FROM ev")
 def required_artifacts(spark, sf_dir):
     e = with_k(unified_events(spark, sf_dir))
-    return J.required_artifacts(e.select(F.concat(F.lit("T"), (F.col("k") + 1000).cast("string")).alias("technique")), e).select("technique", "covered")
+    return J.required_artifacts(
+        e.select(F.concat(F.lit("T"), (F.col("k") + 1000).cast("string")).alias("technique")),
+        e,
+    ).select("technique", "covered")
 
 
 @query("SELECT n_nationkey AS case_id, c_custkey AS evidence_id, CASE WHEN c_custkey % 3 = 0 THEN 'Asia/Tokyo' WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'UTC' END AS timezone, c_custkey % 3 = 0 AS overridden FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def evidence_with_tz(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("case_id"), F.col("c_custkey").alias("evidence_id"))
     ev = c.withColumn("timezone", F.when(F.col("evidence_id") % 3 == 0, "Asia/Tokyo").otherwise(" "))
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("case_id"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).alias("timezone"))
+    n = table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("case_id"),
+        F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).alias("timezone"),
+    )
     return J.evidence_with_tz(c, ev, n).select("case_id", "evidence_id", "timezone", "overridden")
 
 
 def full_clusters(spark, sf_dir) -> DataFrame:
     """Clusters with phase, techniques and findings, as the mapping operators take them."""
     c = W.cluster_findings(W.first_evidence(findings(spark, sf_dir)))
-    return c.groupBy("case_id", "cluster_id").agg(F.min("first_ts").alias("start_ts"), F.max("first_ts").alias("end_ts"), F.min(F.col("tactics")[0]).alias("attack_phase"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("techniques")))).alias("techniques"), F.array_sort(F.collect_list(F.struct("finding_id", "severity", "techniques", "tactics", "title", "source", "rule_id"))).alias("findings"), F.concat_ws(" ", F.array_sort(F.collect_set("title"))).alias("narrative"))
+    return c.groupBy("case_id", "cluster_id").agg(
+        F.min("first_ts").alias("start_ts"),
+        F.max("first_ts").alias("end_ts"),
+        F.min(F.col("tactics")[0]).alias("attack_phase"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("techniques")))).alias("techniques"),
+        F.array_sort(F.collect_list(F.struct("finding_id", "severity", "techniques", "tactics", "title", "source", "rule_id"))).alias("findings"),
+        F.concat_ws(" ", F.array_sort(F.collect_set("title"))).alias("narrative"),
+    )
 
 
 @query(f"WITH {CL} SELECT case_id, technique, count(DISTINCT cluster_id) AS n_clusters, min(tactic) AS tactic FROM cl GROUP BY 1, 2")
@@ -137,7 +157,11 @@ def mitre_unconfirmed(spark, sf_dir):
 
 @query(f"WITH {CL} SELECT case_id, cluster_id, string_agg(DISTINCT technique, ',' ORDER BY technique) AS techniques FROM cl GROUP BY 1, 2")
 def technique_union(spark, sf_dir):
-    return C.technique_union(full_clusters(spark, sf_dir).drop("techniques")).select("case_id", "cluster_id", F.array_join("techniques", ",").alias("techniques"))
+    return C.technique_union(full_clusters(spark, sf_dir).drop("techniques")).select(
+        "case_id",
+        "cluster_id",
+        F.array_join("techniques", ",").alias("techniques"),
+    )
 
 
 @query(f"WITH {FE} SELECT DISTINCT case_id, technique FROM fe WHERE k < 40 INTERSECT SELECT DISTINCT case_id, technique FROM fe WHERE k > 55")
@@ -183,19 +207,32 @@ def evidence_preview(spark, sf_dir):
 
 @query(f"WITH {EVENTS_SQL}, t AS (SELECT case_id, ts_utc, computer, ['TA0001','TA0002','TA0008','TA0009','TA0040'][k % 5 + 1] AS tactic FROM ev) SELECT case_id, count(DISTINCT computer) AS n_hosts, count(DISTINCT tactic) AS n_tactics, round(greatest(0, epoch_us(max(ts_utc) FILTER (tactic IN ('TA0040', 'TA0009', 'TA0008'))) - epoch_us(min(ts_utc) FILTER (tactic = 'TA0001'))) / 3600000000.0, 4) AS dwell_hours FROM t GROUP BY 1")
 def timeline_stats(spark, sf_dir):
-    tl = with_k(unified_events(spark, sf_dir)).withColumn("tactic", F.element_at(F.array(*map(F.lit, ("TA0001", "TA0002", "TA0008", "TA0009", "TA0040"))), F.col("k") % 5 + 1))
+    tl = with_k(unified_events(spark, sf_dir)).withColumn(
+        "tactic",
+        F.element_at(F.array(*map(F.lit, ("TA0001", "TA0002", "TA0008", "TA0009", "TA0040"))), F.col("k") % 5 + 1),
+    )
     return A.timeline_stats(tl).withColumn("dwell_hours", F.round("dwell_hours", 4))
 
 
 @query("SELECT o_custkey AS case_id, count(*) FILTER (s = 'F') AS approved, count(*) FILTER (s = 'O') AS rejected, bool_and(s = 'F') AS satisfied FROM (SELECT o_custkey, o_orderkey, any_value(o_orderstatus) AS s FROM orders GROUP BY 1, 2) GROUP BY 1")
 def gate_summary(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("artifact_id"), F.when(F.col("o_orderstatus") == "F", "approved").when(F.col("o_orderstatus") == "O", "rejected").otherwise("pending").alias("state"))
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("case_id"),
+        F.col("o_orderkey").alias("artifact_id"),
+        F.when(F.col("o_orderstatus") == "F", "approved").when(F.col("o_orderstatus") == "O", "rejected").otherwise("pending").alias("state"),
+    )
     return A.gate_summary(o, o).select("case_id", "approved", "rejected", "satisfied")
 
 
 @query("SELECT o_orderkey AS artifact_id, o_orderpriority AS reason FROM orders WHERE o_orderkey % 3 <> 0")
 def failed_artifacts(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), F.lit("").alias("evidence_id"), F.col("o_orderkey").alias("artifact_id"), (F.col("o_orderkey") % 3).alias("exit_code"), F.concat(F.lit("\n \n"), "o_orderpriority", F.lit("\nmore")).alias("stderr_tail"))
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("case_id"),
+        F.lit("").alias("evidence_id"),
+        F.col("o_orderkey").alias("artifact_id"),
+        (F.col("o_orderkey") % 3).alias("exit_code"),
+        F.concat(F.lit("\n \n"), "o_orderpriority", F.lit("\nmore")).alias("stderr_tail"),
+    )
     return A.failed_artifacts(o).select("artifact_id", "reason")
 
 
@@ -212,7 +249,13 @@ def event_counts_by_case(spark, sf_dir):
 
 @query("SELECT c_custkey AS case_id, coalesce(n, 0) AS n_evidence, coalesce(e, 0) AS events FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS e FROM orders GROUP BY 1) ON o_custkey = c_custkey")
 def case_status(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("evidence_id"), F.lit("a").alias("artifact_id"), F.lit(0).alias("exit_code"), F.col("o_orderkey").alias("row_count"))
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("case_id"),
+        F.col("o_orderkey").alias("evidence_id"),
+        F.lit("a").alias("artifact_id"),
+        F.lit(0).alias("exit_code"),
+        F.col("o_orderkey").alias("row_count"),
+    )
     cases = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("case_id"))
     return A.case_status(cases, o, o).select("case_id", "n_evidence", "events")
 
@@ -252,7 +295,11 @@ def finding_components(spark, sf_dir):
 
 
 def log_lines(spark, sf_dir, line) -> DataFrame:
-    return table(spark, sf_dir, "events").select(F.concat(F.lit("log"), (F.col("user_id") % 9).cast("string")).alias("file"), F.col("event_id").alias("line_no"), line.alias("line"))
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.lit("log"), (F.col("user_id") % 9).cast("string")).alias("file"),
+        F.col("event_id").alias("line_no"),
+        line.alias("line"),
+    )
 
 
 def stamp():
@@ -261,13 +308,25 @@ def stamp():
 
 @query("SELECT event_id AS line_no, date_trunc('second', ts) - INTERVAL 9 HOUR AS ts_utc, 'error' AS severity, '10.0.0.' || CAST(user_id % 250 AS VARCHAR) AS client_ip, 'failed ' || event_type AS message FROM events")
 def parse_apache_error(spark, sf_dir):
-    line = F.concat(F.lit("["), F.date_format(stamp(), "EEE MMM dd HH:mm:ss yyyy"), F.lit("] [core:error] [pid 7] [client 10.0.0."), (F.col("user_id") % 250).cast("string"), F.lit(":80] failed "), F.col("event_type"))
+    line = F.concat(
+        F.lit("["),
+        F.date_format(stamp(), "EEE MMM dd HH:mm:ss yyyy"),
+        F.lit("] [core:error] [pid 7] [client 10.0.0."),
+        (F.col("user_id") % 250).cast("string"),
+        F.lit(":80] failed "),
+        F.col("event_type"),
+    )
     return P.parse_apache_error(log_lines(spark, sf_dir, line), "Asia/Tokyo").select("line_no", "ts_utc", "severity", "client_ip", "message")
 
 
 @query("SELECT event_id AS line_no, date_trunc('second', ts) AS ts_utc, 'warn' AS severity, '10.0.0.' || CAST(user_id % 250 AS VARCHAR) AS client_ip FROM events")
 def parse_nginx_error(spark, sf_dir):
-    line = F.concat(F.date_format(stamp(), "yyyy/MM/dd HH:mm:ss"), F.lit(" [warn] 12#0: *1 slow, client: 10.0.0."), (F.col("user_id") % 250).cast("string"), F.lit(", server: a"))
+    line = F.concat(
+        F.date_format(stamp(), "yyyy/MM/dd HH:mm:ss"),
+        F.lit(" [warn] 12#0: *1 slow, client: 10.0.0."),
+        (F.col("user_id") % 250).cast("string"),
+        F.lit(", server: a"),
+    )
     return P.parse_nginx_error(log_lines(spark, sf_dir, line)).select("line_no", "ts_utc", "severity", "client_ip")
 
 
@@ -281,20 +340,55 @@ def parse_tomcat_log(spark, sf_dir):
 def parse_w3c_log(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     file = F.concat(F.lit("log"), (F.col("user_id") % 9).cast("string"))
-    body = F.concat(F.date_format(stamp(), "yyyy-MM-dd HH:mm:ss"), F.lit(" /"), F.col("event_type"), F.when(F.col("event_id") % 3 == 0, "").otherwise(F.concat(F.lit(" "), F.col("user_id").cast("string"), F.lit(" x"))))
-    heads = e.select(file.alias("file")).distinct().select("file", F.lit(-1).cast("long").alias("line_no"), F.lit("#Fields: date time cs-uri-stem cs(User-Agent)").alias("line"))
+    body = F.concat(
+        F.date_format(stamp(), "yyyy-MM-dd HH:mm:ss"),
+        F.lit(" /"),
+        F.col("event_type"),
+        F.when(F.col("event_id") % 3 == 0, "").otherwise(F.concat(F.lit(" "), F.col("user_id").cast("string"), F.lit(" x"))),
+    )
+    heads = e.select(file.alias("file")).distinct().select(
+        "file",
+        F.lit(-1).cast("long").alias("line_no"),
+        F.lit("#Fields: date time cs-uri-stem cs(User-Agent)").alias("line"),
+    )
     r = F.col("row")
-    return P.parse_w3c_log(heads.union(e.select(file, "event_id", body))).select("line_no", "ts_utc", r["cs-uri-stem"].alias("stem"), r["cs(User-Agent)"].alias("agent"))
+    return P.parse_w3c_log(heads.union(e.select(file, "event_id", body))).select(
+        "line_no",
+        "ts_utc",
+        r["cs-uri-stem"].alias("stem"),
+        r["cs(User-Agent)"].alias("agent"),
+    )
 
 
 @query("SELECT event_id AS line_no, date_trunc('second', ts) - INTERVAL 9 HOUR AS ts_utc, '/' || event_type AS stem, '-' AS query FROM events")
 def parse_iis_native(spark, sf_dir):
-    line = F.concat(F.lit("1.1.1.1, u, "), F.date_format(stamp(), "MM/dd/yy, HH:mm:ss"), F.lit(", W3, H, 2.2.2.2, 1, 2, 3, 200, 0, GET, /"), F.col("event_type"), F.lit(","))
+    line = F.concat(
+        F.lit("1.1.1.1, u, "),
+        F.date_format(stamp(), "MM/dd/yy, HH:mm:ss"),
+        F.lit(", W3, H, 2.2.2.2, 1, 2, 3, 200, 0, GET, /"),
+        F.col("event_type"),
+        F.lit(","),
+    )
     r = F.col("row")
-    return P.parse_iis_native(log_lines(spark, sf_dir, line), "Asia/Tokyo").select("line_no", "ts_utc", r["cs-uri-stem"].alias("stem"), r["cs-uri-query"].alias("query"))
-
-
-COLLECTION_LINES = ("[OK] [RAW] C:\\a% -> out/a% (% bytes, SHA256: ABCDEF%...)", "[SKIP] [API] C:\\b% — locked %", "[Fail] [API] C:\\c% - no rights", "[TOOL] [EXEC] Starting: t.exe -x % -> out/%", "[MATCH] [YARA] C:\\d% — rule_%", "[INFO] [-] done %", "[SCAN] [-] % files", "[OK] [RAW] C:\\e%", "no line %")
+    return P.parse_iis_native(log_lines(spark, sf_dir, line), "Asia/Tokyo").select(
+        "line_no",
+        "ts_utc",
+        r["cs-uri-stem"].alias("stem"),
+        r["cs-uri-query"].alias("query"),
+    )
+
+
+COLLECTION_LINES = (
+    "[OK] [RAW] C:\\a% -> out/a% (% bytes, SHA256: ABCDEF%...)",
+    "[SKIP] [API] C:\\b% — locked %",
+    "[Fail] [API] C:\\c% - no rights",
+    "[TOOL] [EXEC] Starting: t.exe -x % -> out/%",
+    "[MATCH] [YARA] C:\\d% — rule_%",
+    "[INFO] [-] done %",
+    "[SCAN] [-] % files",
+    "[OK] [RAW] C:\\e%",
+    "no line %",
+)
 
 
 @query(r"""WITH c AS (SELECT *, event_id % 9 AS i, CAST(event_id AS VARCHAR) AS n FROM events)
@@ -306,7 +400,12 @@ SELECT event_id AS line_no, date_trunc('second', ts) - INTERVAL 9 HOUR AS ts_utc
  CASE i WHEN 5 THEN 'done ' || n END AS summary, CASE i WHEN 6 THEN n || ' files' WHEN 7 THEN 'C:\e' || n END AS unparsed_body FROM c WHERE i < 8""")
 def parse_collection_log(spark, sf_dir):
     body = F.element_at(F.array(*map(F.lit, COLLECTION_LINES)), (F.col("event_id") % len(COLLECTION_LINES)).cast("int") + 1)
-    line = F.concat(F.lit("["), F.date_format(stamp(), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+0900] "), F.replace(body, F.lit("%"), F.col("event_id").cast("string")))
+    line = F.concat(
+        F.lit("["),
+        F.date_format(stamp(), "yyyy-MM-dd'T'HH:mm:ss"),
+        F.lit("+0900] "),
+        F.replace(body, F.lit("%"), F.col("event_id").cast("string")),
+    )
     return P.parse_collection_log(log_lines(spark, sf_dir, line)).drop("file", "status")
 
 
@@ -319,20 +418,46 @@ def parse_feature_files(spark, sf_dir):
 @query("SELECT event_id AS visit_id, ts AS ts_utc, ['link','typed','bookmark'][user_id % 3 + 1] AS transition FROM events")
 def browser_visits_firefox(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    h = e.select(F.col("event_id").alias("id"), F.col("event_type").alias("place_id"), F.unix_micros(stamp()).alias("visit_date"), F.lit(None).cast("long").alias("from_visit"), (F.col("user_id") % 3 + 1).alias("visit_type"))
-    places = e.select(F.col("event_type").alias("id")).distinct().select("id", F.col("id").alias("url"), F.lit("").alias("title"), F.lit(1).alias("visit_count"), F.lit(0).alias("typed"))
+    h = e.select(
+        F.col("event_id").alias("id"),
+        F.col("event_type").alias("place_id"),
+        F.unix_micros(stamp()).alias("visit_date"),
+        F.lit(None).cast("long").alias("from_visit"),
+        (F.col("user_id") % 3 + 1).alias("visit_type"),
+    )
+    places = e.select(F.col("event_type").alias("id")).distinct().select(
+        "id",
+        F.col("id").alias("url"),
+        F.lit("").alias("title"),
+        F.lit(1).alias("visit_count"),
+        F.lit(0).alias("typed"),
+    )
     return T.browser_visits_firefox(h, places).select("visit_id", "ts_utc", "transition")
 
 
 @query("SELECT event_id, 'T' || CAST(1000 + user_id % 90 AS VARCHAR) AS techniques, 'impact' AS tactics FROM events")
 def sigma_tags(spark, sf_dir):
-    tags = F.array(F.concat(F.lit("attack.t"), (F.col("user_id") % 90 + 1000).cast("string")), F.lit("attack.impact"), F.lit("attack.g0007"), F.lit("car.1"))
+    tags = F.array(
+        F.concat(F.lit("attack.t"), (F.col("user_id") % 90 + 1000).cast("string")),
+        F.lit("attack.impact"),
+        F.lit("attack.g0007"),
+        F.lit("car.1"),
+    )
     technique, tactic = S.sigma_tags(tags)
-    return table(spark, sf_dir, "events").select("event_id", F.array_join(technique, ",").alias("techniques"), F.array_join(tactic, ",").alias("tactics"))
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        F.array_join(technique, ",").alias("techniques"),
+        F.array_join(tactic, ",").alias("tactics"),
+    )
 
 
 @query(f"WITH {CL} SELECT ct.case_id, ct.cluster_id, CAST(count(*) FILTER (ev.artifact_id <> 'mft') AS INTEGER) AS n, count(*) FILTER (ev.artifact_id = 'mft') AS unresolved FROM ct JOIN ev ON ev.case_id = ct.case_id AND ev.ts_utc BETWEEN ct.start_ts AND ct.end_ts GROUP BY ALL")
 def resolve_follow_ups(spark, sf_dir):
     w = clusters(spark, sf_dir).selectExpr("case_id", "cluster_id", "start_ts AS win_start", "end_ts AS win_end")
     rows = J.window_events(unified_events(spark, sf_dir), w)
-    return J.resolve_follow_ups(rows, unified_events(spark, sf_dir).where("artifact_id != 'mft'")).select("case_id", "cluster_id", F.size("events").alias("n"), "unresolved")
+    return J.resolve_follow_ups(rows, unified_events(spark, sf_dir).where("artifact_id != 'mft'")).select(
+        "case_id",
+        "cluster_id",
+        F.size("events").alias("n"),
+        "unresolved",
+    )

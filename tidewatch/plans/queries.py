@@ -52,14 +52,49 @@ def finding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each evidence of the stand-in findings."""
     e = with_k(unified_events(spark, sf_dir))
     k = F.col("k")
-    return e.select("case_id", "evidence_id", F.concat_ws("-", "case_id", "event_type", k.cast("string")).alias("finding_id"), pick(SOURCES, k).alias("source"), F.concat(F.lit("R"), (k % 20).cast("string")).alias("rule_id"), F.concat(F.lit(" Event "), (k % 25).cast("string")).alias("title"), pick(SEVERITIES, k).alias("severity"), F.concat(F.lit("T1"), (F.lit(100) + k % 30).cast("string")).alias("technique"), pick(TACTICS, k).alias("tactic"), "audit_id", "ts_utc", "artifact_id", "event_type", "computer", k)
+    return e.select(
+        "case_id",
+        "evidence_id",
+        F.concat_ws("-", "case_id", "event_type", k.cast("string")).alias("finding_id"),
+        pick(SOURCES, k).alias("source"),
+        F.concat(F.lit("R"), (k % 20).cast("string")).alias("rule_id"),
+        F.concat(F.lit(" Event "), (k % 25).cast("string")).alias("title"),
+        pick(SEVERITIES, k).alias("severity"),
+        F.concat(F.lit("T1"), (F.lit(100) + k % 30).cast("string")).alias("technique"),
+        pick(TACTICS, k).alias("tactic"),
+        "audit_id",
+        "ts_utc",
+        "artifact_id",
+        "event_type",
+        "computer",
+        k,
+    )
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = finding_rows(spark, sf_dir)
-    extra = F.create_map(F.lit("TargetUserName"), F.concat(F.lit("User: u"), (F.col("k") % 10).cast("string")), F.lit("Computer"), F.col("computer"), F.lit("Note"), F.lit("x"))
+    extra = F.create_map(
+        F.lit("TargetUserName"),
+        F.concat(F.lit("User: u"), (F.col("k") % 10).cast("string")),
+        F.lit("Computer"),
+        F.col("computer"),
+        F.lit("Note"),
+        F.lit("x"),
+    )
     keys = ["case_id", "finding_id", "source", "rule_id", "title", "severity", "technique", "tactic"]
-    out = rows.withColumn("e_", F.struct("audit_id", "ts_utc", "artifact_id", "event_type", F.to_json(extra).alias("x_"))).groupBy(*keys).agg(F.array_sort(F.collect_list("e_")).alias("l_")).withColumn("evidence", F.transform("l_", lambda x: F.struct(x["audit_id"].alias("audit_id"), x["ts_utc"].alias("ts_utc"), x["artifact_id"].alias("artifact_id"), x["event_type"].alias("event_type"), F.from_json(x["x_"], "map<string,string>").alias("extra")))).drop("l_")
+    out = rows.withColumn("e_", F.struct("audit_id", "ts_utc", "artifact_id", "event_type", F.to_json(extra).alias("x_"))).groupBy(*keys).agg(F.array_sort(F.collect_list("e_")).alias("l_")).withColumn(
+        "evidence",
+        F.transform(
+            "l_",
+            lambda x: F.struct(
+                x["audit_id"].alias("audit_id"),
+                x["ts_utc"].alias("ts_utc"),
+                x["artifact_id"].alias("artifact_id"),
+                x["event_type"].alias("event_type"),
+                F.from_json(x["x_"], "map<string,string>").alias("extra"),
+            ),
+        ),
+    ).drop("l_")
     return out.withColumn("techniques", F.array("technique")).withColumn("tactics", F.array("tactic")).withColumn("approved", F.lit(False)).withColumn("rejected", F.lit(False)).drop("technique", "tactic")
 
 
@@ -84,7 +119,12 @@ def clusters(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {EVENTS_SQL} SELECT audit_id, ts_utc, artifact_id, event_type, computer FROM ev WHERE case_id = 'C1' AND artifact_id = 'evtx' AND contains(payload_json, '\"k\": 4') ORDER BY ts_utc, audit_id LIMIT 100")
 def query_events(spark, sf_dir):
-    return L.query_events(unified_events(spark, sf_dir), case="C1", artifact="evtx", contains='"k": 4').select("audit_id", "ts_utc", "artifact_id", "event_type", "computer")
+    return L.query_events(
+        unified_events(spark, sf_dir),
+        case="C1",
+        artifact="evtx",
+        contains='"k": 4',
+    ).select("audit_id", "ts_utc", "artifact_id", "event_type", "computer")
 
 
 @query(f"WITH {EVENTS_SQL} SELECT * EXCLUDE (event_id, user_id, k) FROM ev")
@@ -104,7 +144,10 @@ def parse_summary(spark, sf_dir):
 
 @query(f"WITH {EVENTS_SQL}, p AS (SELECT case_id, evidence_id, artifact_id, count(*) AS n, max(ts_utc) AS m FROM ev GROUP BY ALL) SELECT case_id, evidence_id, CAST(sum(n) AS BIGINT) AS n, max(m) AS last_ts, string_agg(artifact_id || ':' || CAST(n AS VARCHAR), ',' ORDER BY artifact_id) AS artifacts FROM p GROUP BY 1, 2")
 def evidence_artifact_breakdown(spark, sf_dir):
-    return A.evidence_artifact_breakdown(unified_events(spark, sf_dir)).withColumn("artifacts", F.array_join(F.transform("artifacts", lambda x: F.concat_ws(":", x["artifact_id"], x["n"].cast("string"))), ","))
+    return A.evidence_artifact_breakdown(unified_events(spark, sf_dir)).withColumn(
+        "artifacts",
+        F.array_join(F.transform("artifacts", lambda x: F.concat_ws(":", x["artifact_id"], x["n"].cast("string"))), ","),
+    )
 
 
 @query(f"WITH {EVENTS_SQL} SELECT DISTINCT case_id, computer FROM ev WHERE trim(computer) <> ''")
@@ -147,7 +190,11 @@ SIGNALS = (
     (2, "mft", '{"FullPath":"C:\\\\inetpub\\\\wwwroot\\\\a.aspx","FileName":"a.aspx","ParentPath":".\\\\inetpub\\\\wwwroot"}'),
     (3, "registry", '{"KeyPath":"x\\\\Windows Defender","ValueName":"TamperProtection","ValueData":"0"}'),
     (4, "w3c_iis", '{"cs-uri-stem":"/images/t.php","cs-uri-query":"-","c-ip":"10.0.0.5"}'),
-    (5, "amcache", '{"FullPath":"c:\\\\users\\\\public\\\\p.pdf.exe","Name":"p.pdf.exe","FileExtension":".exe","IsOsComponent":"false","IsPeFile":"true"}'),
+    (
+        5,
+        "amcache",
+        '{"FullPath":"c:\\\\users\\\\public\\\\p.pdf.exe","Name":"p.pdf.exe","FileExtension":".exe","IsOsComponent":"false","IsPeFile":"true"}',
+    ),
     (6, "prefetch", '{"executable":"A.EXE","files_loaded":"\\\\VOL\\\\USERS\\\\U\\\\DOWNLOADS\\\\A.EXE"}'),
     (7, "hayabusa", '{"RuleID":"h7","RuleTitle":"Seven","Level":"med","MitreTactics":"Persis \u00a6 C2","MitreTags":"T1547.001 \u00a6 x"}'),
 )
@@ -160,16 +207,45 @@ def signals(spark, sf_dir) -> DataFrame:
     for i, artifact, body in SIGNALS:
         on = F.col("k") % 12 == i
         kind, payload = F.when(on, F.lit(artifact)).otherwise(kind), F.when(on, F.lit(body)).otherwise(payload)
-    return e.select("case_id", "evidence_id", kind.alias("artifact_id"), "audit_id", "ts_utc", "event_type", "computer", payload.alias("payload_json"))
-
-
-RULE_OF_SIGNAL = {"ransom-locked-rename": 0, "hacktool-self-delete": 1, "script-in-webroot": 2, "registry-defender-tamper": 3, "script-in-upload-dir": 4, "exec-world-writable-path": 5, "amcache-nonos-pe-profile": 5, "double-extension-executable": 5, "exec-from-odd-location": 5, "exec-from-download-or-temp": 6}
-_RULES_SQL = " UNION ALL ".join(f"SELECT case_id, '{r}' AS rule_id, count(*) AS match_count, least(count(*), 100) AS n_evidence, count(*) > 100 AS truncated, min(ts_utc) AS first_ts FROM ev WHERE k % 12 = {i} GROUP BY case_id" for r, i in RULE_OF_SIGNAL.items())
+    return e.select(
+        "case_id",
+        "evidence_id",
+        kind.alias("artifact_id"),
+        "audit_id",
+        "ts_utc",
+        "event_type",
+        "computer",
+        payload.alias("payload_json"),
+    )
+
+
+RULE_OF_SIGNAL = {
+    "ransom-locked-rename": 0,
+    "hacktool-self-delete": 1,
+    "script-in-webroot": 2,
+    "registry-defender-tamper": 3,
+    "script-in-upload-dir": 4,
+    "exec-world-writable-path": 5,
+    "amcache-nonos-pe-profile": 5,
+    "double-extension-executable": 5,
+    "exec-from-odd-location": 5,
+    "exec-from-download-or-temp": 6,
+}
+_RULES_SQL = " UNION ALL ".join(
+    f"SELECT case_id, '{r}' AS rule_id, count(*) AS match_count, least(count(*), 100) AS n_evidence, count(*) > 100 AS truncated, min(ts_utc) AS first_ts FROM ev WHERE k % 12 = {i} GROUP BY case_id" for r, i in RULE_OF_SIGNAL.items()
+)
 
 
 @query(f"WITH {EVENTS_SQL} {_RULES_SQL}")
 def run_rules(spark, sf_dir):
-    return R.run_rules(signals(spark, sf_dir)).select("case_id", "rule_id", "match_count", F.size("evidence").cast("long").alias("n_evidence"), "truncated", F.get("evidence", F.lit(0))["ts_utc"].alias("first_ts"))
+    return R.run_rules(signals(spark, sf_dir)).select(
+        "case_id",
+        "rule_id",
+        "match_count",
+        F.size("evidence").cast("long").alias("n_evidence"),
+        "truncated",
+        F.get("evidence", F.lit(0))["ts_utc"].alias("first_ts"),
+    )
 
 
 @query(f"WITH {EVENTS_SQL} SELECT case_id, CAST({len(R.RULES)} AS BIGINT) AS total, CAST({len(RULE_OF_SIGNAL)} AS BIGINT) AS matched FROM ev GROUP BY case_id")
@@ -180,14 +256,31 @@ def rule_run_report(spark, sf_dir):
 @query(f"WITH {EVENTS_SQL} SELECT case_id, 'h7' AS rule_id, 'Seven' AS title, 'medium' AS severity, 'persistence,command-and-control' AS tactics, 'T1547.001' AS techniques, count(*) AS match_count FROM ev WHERE k % 12 = 7 GROUP BY case_id")
 def passthrough_findings(spark, sf_dir):
     f = R.passthrough_findings(signals(spark, sf_dir))
-    return f.select("case_id", "rule_id", "title", "severity", F.array_join("tactics", ",").alias("tactics"), F.array_join("techniques", ",").alias("techniques"), "match_count")
+    return f.select(
+        "case_id",
+        "rule_id",
+        "title",
+        "severity",
+        F.array_join("tactics", ",").alias("tactics"),
+        F.array_join("techniques", ",").alias("techniques"),
+        "match_count",
+    )
 
 
 @query(f"WITH {EVENTS_SQL} SELECT case_id, audit_id, CASE k % 12 WHEN 0 THEN 'locked' ELSE 'defender' END AS queries FROM ev WHERE k % 12 IN (0, 3)")
 def run_learned_queries(spark, sf_dir):
     by_id = {r.rule_id: r for r in R.RULES}
-    own = tuple(R.Rule(n, n, "high", (), (), by_id[r].artifacts, by_id[r].predicate) for n, r in (("locked", "ransom-locked-rename"), ("defender", "registry-defender-tamper")))
-    return R.run_learned_queries(signals(spark, sf_dir), own, 1_000_000)[0].select("case_id", "audit_id", F.array_join("queries", ",").alias("queries"))
+    own = tuple(
+        R.Rule(n, n, "high", (), (), by_id[r].artifacts, by_id[r].predicate) for n, r in (
+            ("locked", "ransom-locked-rename"),
+            ("defender", "registry-defender-tamper"),
+        )
+    )
+    return R.run_learned_queries(signals(spark, sf_dir), own, 1_000_000)[0].select(
+        "case_id",
+        "audit_id",
+        F.array_join("queries", ",").alias("queries"),
+    )
 
 
 @query(f"WITH {EVENTS_SQL} SELECT case_id, count(*) AS n FROM ev WHERE k % 12 IN (5, 6) OR (artifact_id = 'prefetch' AND k % 12 > 7) GROUP BY case_id")
@@ -215,19 +308,36 @@ def cluster_table(spark, sf_dir):
 
 @query(f"WITH {CL}, b AS (SELECT *, max(end_ts) OVER (PARTITION BY case_id ORDER BY start_ts, cluster_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, lead(start_ts) OVER (PARTITION BY case_id ORDER BY start_ts, cluster_id) AS n FROM ct), c AS (SELECT *, epoch_us(p) + (epoch_us(start_ts) - epoch_us(p)) // 2 AS prev_bound, epoch_us(end_ts) + (epoch_us(n) - epoch_us(end_ts)) // 2 - 1 AS next_bound FROM b) SELECT case_id, cluster_id, prev_bound, next_bound, make_timestamp(least(greatest(epoch_us(start_ts) - 1800000000, coalesce(prev_bound, epoch_us(start_ts) - 1800000000)), epoch_us(start_ts))) AS win_start, make_timestamp(greatest(least(epoch_us(end_ts) + 1800000000, coalesce(next_bound, epoch_us(end_ts) + 1800000000)), epoch_us(end_ts))) AS win_end FROM c")
 def cluster_windows(spark, sf_dir):
-    return W.cluster_window(W.cluster_boundaries(clusters(spark, sf_dir))).select("case_id", "cluster_id", "prev_bound", "next_bound", "win_start", "win_end")
+    return W.cluster_window(W.cluster_boundaries(clusters(spark, sf_dir))).select(
+        "case_id",
+        "cluster_id",
+        "prev_bound",
+        "next_bound",
+        "win_start",
+        "win_end",
+    )
 
 
 @query(f"WITH {CL} SELECT ct.case_id, cluster_id, count(*) AS n FROM ct JOIN ev ON ev.case_id = ct.case_id AND ts_utc BETWEEN start_ts - INTERVAL 30 MINUTE AND end_ts + INTERVAL 30 MINUTE GROUP BY ALL")
 def window_events(spark, sf_dir):
-    w = clusters(spark, sf_dir).selectExpr("case_id", "cluster_id", "start_ts - INTERVAL 30 MINUTES AS win_start", "end_ts + INTERVAL 30 MINUTES AS win_end")
+    w = clusters(spark, sf_dir).selectExpr(
+        "case_id",
+        "cluster_id",
+        "start_ts - INTERVAL 30 MINUTES AS win_start",
+        "end_ts + INTERVAL 30 MINUTES AS win_end",
+    )
     return J.window_events(unified_events(spark, sf_dir), w).groupBy("case_id", "cluster_id").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {CL}, w AS (SELECT ct.case_id, cluster_id, artifact_id, audit_id, ev.ts_utc, start_ts, end_ts FROM ct JOIN ev ON ev.case_id = ct.case_id AND ts_utc BETWEEN start_ts - INTERVAL 30 MINUTE AND end_ts + INTERVAL 30 MINUTE), a AS (SELECT DISTINCT case_id, cluster_id, epoch_us(first_ts) // 1000000 AS s FROM cl), d AS (SELECT w.case_id, w.cluster_id, w.artifact_id, w.audit_id, any_value(w.ts_utc) AS ts, min(abs(epoch_us(w.ts_utc) // 1000000 - a.s)) AS away FROM w JOIN a USING (case_id, cluster_id) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY case_id, cluster_id, artifact_id ORDER BY away, ts, audit_id) AS r FROM d), n AS (SELECT case_id, cluster_id, count(DISTINCT artifact_id) AS n FROM w GROUP BY ALL) SELECT r.case_id, r.cluster_id, artifact_id, count(*) AS n, CAST(sum(away) AS BIGINT) AS away FROM r JOIN n USING (case_id, cluster_id) WHERE r <= greatest(30, floor(60 / n.n)) GROUP BY ALL")
 def proximity_sample(spark, sf_dir):
     f = W.cluster_findings(W.first_evidence(findings(spark, sf_dir)))
-    w = W.cluster_table(f).selectExpr("case_id", "cluster_id", "start_ts - INTERVAL 30 MINUTES AS win_start", "end_ts + INTERVAL 30 MINUTES AS win_end")
+    w = W.cluster_table(f).selectExpr(
+        "case_id",
+        "cluster_id",
+        "start_ts - INTERVAL 30 MINUTES AS win_start",
+        "end_ts + INTERVAL 30 MINUTES AS win_end",
+    )
     rows = J.window_events(unified_events(spark, sf_dir), w)
     anchors = W.cluster_anchors(f.select("case_id", "cluster_id", F.col("first_ts").alias("ts_utc")), most=100_000)
     return W.proximity_sample(rows, anchors, 60).groupBy("case_id", "cluster_id", "artifact_id").agg(F.count("*").alias("n"), F.sum("away").alias("away"))
@@ -272,7 +382,16 @@ def chase(spark, sf_dir):
     c = clusters(spark, sf_dir)
     w = W.cluster_window(W.cluster_boundaries(c), 4 * 3600).select("case_id", "cluster_id", "win_start", "win_end")
     flagged = J.window_events(unified_events(spark, sf_dir).select("case_id", "ts_utc"), w).select("case_id", "cluster_id", "ts_utc")
-    return W.chase(c, flagged).select("case_id", "cluster_id", "start_ts", "end_ts", "continues_from_prev", "continues_into_next", "chase_rounds", "capped")
+    return W.chase(c, flagged).select(
+        "case_id",
+        "cluster_id",
+        "start_ts",
+        "end_ts",
+        "continues_from_prev",
+        "continues_into_next",
+        "chase_rounds",
+        "capped",
+    )
 
 
 @query(f"WITH {FE} SELECT {NORM} AS severity, count(*) AS n FROM f GROUP BY 1")
@@ -308,7 +427,13 @@ def ioc_table(spark, sf_dir):
 @query(f"WITH {FE} SELECT case_id, technique, string_agg(DISTINCT evidence_id, ',' ORDER BY evidence_id) AS evidence_ids, count(DISTINCT finding_id) AS n_findings, count(DISTINCT audit_id) AS n_audit_ids FROM fe GROUP BY 1, 2 HAVING count(DISTINCT evidence_id) >= 2")
 def cross_evidence(spark, sf_dir):
     out = A.cross_evidence(findings(spark, sf_dir), unified_events(spark, sf_dir))
-    return out.select("case_id", "technique", F.array_join("evidence_ids", ",").alias("evidence_ids"), F.size("finding_ids").cast("long").alias("n_findings"), "n_audit_ids")
+    return out.select(
+        "case_id",
+        "technique",
+        F.array_join("evidence_ids", ",").alias("evidence_ids"),
+        F.size("finding_ids").cast("long").alias("n_findings"),
+        "n_audit_ids",
+    )
 
 
 @query(f"WITH {FE} SELECT f.* EXCLUDE (technique, tactic, n_e, first_ts) FROM f WHERE NOT (source = 'hayabusa' AND EXISTS (SELECT 1 FROM f g WHERE g.case_id = f.case_id AND g.source = 'sigma' AND lower(trim(g.title)) = lower(trim(f.title))))")
@@ -326,7 +451,12 @@ def near_findings(spark, sf_dir):
 def anomaly_candidates(spark, sf_dir):
     e = with_k(unified_events(spark, sf_dir))
     prior = e.where("k = 7")
-    return W.anomaly_candidates(e.drop("k"), prior, prior.select("case_id", F.date_trunc("second", "ts_utc").alias("ts")), 300).select("case_id", "audit_id", "score", "place", "total")
+    return W.anomaly_candidates(
+        e.drop("k"),
+        prior,
+        prior.select("case_id", F.date_trunc("second", "ts_utc").alias("ts")),
+        300,
+    ).select("case_id", "audit_id", "score", "place", "total")
 
 
 LOGONS = "lg AS (SELECT *, user_id AS u FROM ev WHERE event_type IN ('error', 'signup'))"
@@ -336,7 +466,17 @@ LOGONS = "lg AS (SELECT *, user_id AS u FROM ev WHERE event_type IN ('error', 's
 def detect_bruteforce(spark, sf_dir):
     raw = table(spark, sf_dir, "events").where("event_type IN ('error', 'signup')")
     case = F.concat(F.lit("C"), (F.col("user_id") % 3).cast("string"))
-    logons = raw.select(case.alias("case_id"), F.col("event_id").cast("string").alias("audit_id"), F.col("ts").cast("timestamp_ntz").alias("ts_utc"), F.when(F.col("event_type") == "error", 4625).otherwise(4624).alias("event_id"), F.concat(F.lit("DOM\\U"), F.col("user_id").cast("string")).alias("target_user"), F.lit("").alias("sub_status"), F.lit("3").alias("logon_type"), F.lit("-").alias("workstation"), F.lit("").alias("ip"))
+    logons = raw.select(
+        case.alias("case_id"),
+        F.col("event_id").cast("string").alias("audit_id"),
+        F.col("ts").cast("timestamp_ntz").alias("ts_utc"),
+        F.when(F.col("event_type") == "error", 4625).otherwise(4624).alias("event_id"),
+        F.concat(F.lit("DOM\\U"), F.col("user_id").cast("string")).alias("target_user"),
+        F.lit("").alias("sub_status"),
+        F.lit("3").alias("logon_type"),
+        F.lit("-").alias("workstation"),
+        F.lit("").alias("ip"),
+    )
     return W.detect_bruteforce(logons, 3, 86400, 86400).select("case_id", "account", "burst_id", "failures", "run_start", "run_end", "success_ts")
 
 
@@ -347,7 +487,19 @@ def attack_steps(spark, sf_dir):
 
 @query(f"WITH {FE} SELECT case_id, finding_id, count(*) AS n, min(ts_utc) AS first_ts, count(ts_utc) AS dated FROM fe GROUP BY 1, 2")
 def hydrate_evidence(spark, sf_dir):
-    f = findings(spark, sf_dir).withColumn("evidence", F.transform("evidence", lambda e: F.struct(e["audit_id"].alias("audit_id"), F.lit(None).cast("timestamp_ntz").alias("ts_utc"), F.lit("").alias("artifact_id"), F.lit("").alias("event_type"), e["extra"].alias("extra"))))
+    f = findings(spark, sf_dir).withColumn(
+        "evidence",
+        F.transform(
+            "evidence",
+            lambda e: F.struct(
+                e["audit_id"].alias("audit_id"),
+                F.lit(None).cast("timestamp_ntz").alias("ts_utc"),
+                F.lit("").alias("artifact_id"),
+                F.lit("").alias("event_type"),
+                e["extra"].alias("extra"),
+            ),
+        ),
+    )
     out = J.hydrate_evidence(f, unified_events(spark, sf_dir)).select("case_id", "finding_id", F.explode("evidence").alias("e"))
     return out.groupBy("case_id", "finding_id").agg(F.count("*").alias("n"), F.min("e.ts_utc").alias("first_ts"), F.count("e.ts_utc").alias("dated"))
 
@@ -393,8 +545,17 @@ def best_attribution(spark, sf_dir):
     return W.best_attribution(unified_events(spark, sf_dir), refs).select("case_id", "audit_id", "finding_id", "tactic")
 
 
-TACTIC_IDS = {"initial-access": "TA0001", "execution": "TA0002", "persistence": "TA0003", "credential-access": "TA0006", "lateral-movement": "TA0008", "impact": "TA0040"}
-_CODE = "CASE WHEN case_id = 'C0' AND tactic = 'lateral-movement' THEN 'TA0005' " + " ".join(f"WHEN tactic = '{t}' THEN '{i}'" for t, i in TACTIC_IDS.items()) + " END"
+TACTIC_IDS = {
+    "initial-access": "TA0001",
+    "execution": "TA0002",
+    "persistence": "TA0003",
+    "credential-access": "TA0006",
+    "lateral-movement": "TA0008",
+    "impact": "TA0040",
+}
+_CODE = "CASE WHEN case_id = 'C0' AND tactic = 'lateral-movement' THEN 'TA0005' " + " ".join(
+    f"WHEN tactic = '{t}' THEN '{i}'" for t, i in TACTIC_IDS.items()
+) + " END"
 
 
 @query(f"""WITH {FE},
@@ -425,7 +586,11 @@ def recommendations(spark, sf_dir):
 
 @query(f"WITH {FE} SELECT case_id, string_agg(DISTINCT computer, ',' ORDER BY computer) AS hosts, string_agg(DISTINCT 'u' || CAST(k % 10 AS VARCHAR), ',' ORDER BY 'u' || CAST(k % 10 AS VARCHAR)) AS accounts FROM fe GROUP BY 1")
 def affected_scope(spark, sf_dir):
-    return C.affected_scope(findings(spark, sf_dir)).select("case_id", F.array_join("hosts", ",").alias("hosts"), F.array_join("accounts", ",").alias("accounts"))
+    return C.affected_scope(findings(spark, sf_dir)).select(
+        "case_id",
+        F.array_join("hosts", ",").alias("hosts"),
+        F.array_join("accounts", ",").alias("accounts"),
+    )
 
 
 # ---- other tables --------------------------------------------------------------------------------------------------
@@ -449,25 +614,49 @@ def link_components_sparse(spark, sf_dir):
 
 @query("SELECT l_returnflag AS tactic, count(*) AS n, min(CAST(l_quantity AS DOUBLE)) AS min_events, max(CAST(l_quantity AS DOUBLE)) AS max_events, round(regr_slope(CAST(l_extendedprice AS DOUBLE), CAST(l_quantity AS DOUBLE)), 4) AS slope, round(regr_intercept(CAST(l_extendedprice AS DOUBLE), CAST(l_quantity AS DOUBLE)), 2) AS intercept, round(regr_r2(CAST(l_extendedprice AS DOUBLE), CAST(l_quantity AS DOUBLE)), 6) AS r2 FROM lineitem GROUP BY 1")
 def calibrate(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("tactic"), F.col("l_quantity").alias("events"), F.col("l_extendedprice").alias("duration_s"))
-    return A.calibrate(rows).select("tactic", "n", "min_events", "max_events", F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"), F.round("r2", 6).alias("r2"))
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("tactic"),
+        F.col("l_quantity").alias("events"),
+        F.col("l_extendedprice").alias("duration_s"),
+    )
+    return A.calibrate(rows).select(
+        "tactic",
+        "n",
+        "min_events",
+        "max_events",
+        F.round("slope", 4).alias("slope"),
+        F.round("intercept", 2).alias("intercept"),
+        F.round("r2", 6).alias("r2"),
+    )
 
 
 @query("SELECT o_orderstatus AS tier, CAST(sum(length(o_orderpriority)) AS BIGINT) AS tokens, round(sum(length(o_orderpriority) * CAST(CASE WHEN o_orderpriority = '1-URGENT' THEN 3 ELSE 1.5 END AS DOUBLE)) / 1000000, 4) AS cost, count(*) AS calls FROM orders GROUP BY ROLLUP (o_orderstatus)")
 def usage_cost(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("tier"), F.col("o_orderpriority").alias("model"), F.length("o_orderpriority").cast("long").alias("tokens"))
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_orderstatus").alias("tier"),
+        F.col("o_orderpriority").alias("model"),
+        F.length("o_orderpriority").cast("long").alias("tokens"),
+    )
     return A.usage_cost(rows, spark.createDataFrame([("1-URGENT", 3.0)], "model string, price double"), 1.5).withColumn("cost", F.round("cost", 4))
 
 
 @query("SELECT conv_id AS id, arg_max(text, turn) AS text, CAST(sum(length(text)) AS BIGINT) AS n, CASE WHEN count(*) > 2 THEN 'partial' ELSE 'ok' END AS status FROM conversations GROUP BY 1")
 def merge_reports(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("pos"), "text", F.length("text").cast("long").alias("n"), F.when(F.col("turn") >= 2, "partial").otherwise("ok").alias("status"))
+    rows = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("id"),
+        F.col("turn").alias("pos"),
+        "text",
+        F.length("text").cast("long").alias("n"),
+        F.when(F.col("turn") >= 2, "partial").otherwise("ok").alias("status"),
+    )
     return A.merge_reports(rows)
 
 
 @query("SELECT arg_min(trim(text), conv_id * 1000 + turn) AS question, min(conv_id * 1000 + turn) AS pos FROM conversations WHERE trim(text) <> '' GROUP BY lower(trim(text))")
 def merged_questions(spark, sf_dir):
-    return A.merged_questions(table(spark, sf_dir, "conversations").select(F.col("text").alias("question"), (F.col("conv_id") * 1000 + F.col("turn")).alias("pos")))
+    return A.merged_questions(
+        table(spark, sf_dir, "conversations").select(F.col("text").alias("question"), (F.col("conv_id") * 1000 + F.col("turn")).alias("pos")),
+    )
 
 
 @query("SELECT page_id, CASE WHEN instr(url, '?') > 0 THEN substr(url, 1, instr(url, '?') - 1) ELSE url END AS stem, CASE WHEN instr(url, '?') > 0 THEN substr(url, instr(url, '?') + 1) ELSE '-' END AS query FROM pages")
@@ -489,14 +678,39 @@ def page_iocs(spark, sf_dir):
 def access_lines(spark, sf_dir) -> DataFrame:
     """NCSA lines written from the events."""
     e = table(spark, sf_dir, "events")
-    line = F.concat(F.lit("10.0.0."), (F.col("user_id") % 250).cast("string"), F.lit(" - u"), F.col("user_id").cast("string"), F.lit(" ["), F.date_format(F.col("ts").cast("timestamp"), "dd/MMM/yyyy:HH:mm:ss"), F.lit(' +0000] "GET /'), F.col("event_type"), F.lit("?id="), F.col("event_id").cast("string"), F.lit(' HTTP/1.1" 200 '), F.length("props").cast("string"))
-    return e.select(F.concat(F.lit("log"), (F.col("user_id") % 9).cast("string")).alias("file"), F.col("event_id").alias("line_no"), line.alias("line"))
+    line = F.concat(
+        F.lit("10.0.0."),
+        (F.col("user_id") % 250).cast("string"),
+        F.lit(" - u"),
+        F.col("user_id").cast("string"),
+        F.lit(" ["),
+        F.date_format(F.col("ts").cast("timestamp"), "dd/MMM/yyyy:HH:mm:ss"),
+        F.lit(' +0000] "GET /'),
+        F.col("event_type"),
+        F.lit("?id="),
+        F.col("event_id").cast("string"),
+        F.lit(' HTTP/1.1" 200 '),
+        F.length("props").cast("string"),
+    )
+    return e.select(
+        F.concat(F.lit("log"), (F.col("user_id") % 9).cast("string")).alias("file"),
+        F.col("event_id").alias("line_no"),
+        line.alias("line"),
+    )
 
 
 @query("SELECT 'log' || CAST(user_id % 9 AS VARCHAR) AS file, event_id AS line_no, date_trunc('second', ts) AS ts_utc, '10.0.0.' || CAST(user_id % 250 AS VARCHAR) AS client_ip, '/' || event_type AS stem, 'id=' || CAST(event_id AS VARCHAR) AS query, '200' AS status FROM events")
 def parse_access_log(spark, sf_dir):
     r = F.col("row")
-    return P.parse_ncsa(access_lines(spark, sf_dir)).select("file", "line_no", "ts_utc", r["c-ip"].alias("client_ip"), r["cs-uri-stem"].alias("stem"), r["cs-uri-query"].alias("query"), r["sc-status"].alias("status"))
+    return P.parse_ncsa(access_lines(spark, sf_dir)).select(
+        "file",
+        "line_no",
+        "ts_utc",
+        r["c-ip"].alias("client_ip"),
+        r["cs-uri-stem"].alias("stem"),
+        r["cs-uri-query"].alias("query"),
+        r["sc-status"].alias("status"),
+    )
 
 
 @query("SELECT DISTINCT 'log' || CAST(user_id % 9 AS VARCHAR) AS file, 'ncsa' AS format FROM events WHERE event_id < 50")
@@ -507,15 +721,43 @@ def detect_log_format(spark, sf_dir):
 @query("SELECT event_id AS visit_id, make_timestamp(epoch_us(ts)) AS ts_utc, event_type AS url, CAST(NULL AS VARCHAR) AS referrer_url, ['link','typed','auto_bookmark'][user_id % 3 + 1] AS transition FROM events")
 def browser_visits(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    visits = e.select(F.col("event_id").alias("id"), F.col("event_type").alias("url"), (F.unix_micros(F.col("ts").cast("timestamp")) + 11644473600000000).alias("visit_time"), F.lit(None).cast("long").alias("from_visit"), (F.col("user_id") % 3 + 512).cast("int").alias("transition"))
-    urls = e.select(F.col("event_type").alias("id")).distinct().select("id", F.col("id").alias("url"), F.lit("").alias("title"), F.lit(1).alias("visit_count"), F.lit(0).alias("typed_count"))
+    visits = e.select(
+        F.col("event_id").alias("id"),
+        F.col("event_type").alias("url"),
+        (F.unix_micros(F.col("ts").cast("timestamp")) + 11644473600000000).alias("visit_time"),
+        F.lit(None).cast("long").alias("from_visit"),
+        (F.col("user_id") % 3 + 512).cast("int").alias("transition"),
+    )
+    urls = e.select(F.col("event_type").alias("id")).distinct().select(
+        "id",
+        F.col("id").alias("url"),
+        F.lit("").alias("title"),
+        F.lit(1).alias("visit_count"),
+        F.lit(0).alias("typed_count"),
+    )
     return T.browser_visits_chromium(visits, urls).select("visit_id", "ts_utc", "url", "referrer_url", "transition")
 
 
 @query("WITH o AS (SELECT o_custkey AS case_id, o_orderstatus AS evidence_id, o_orderpriority AS artifact_id, o_orderkey % 5 - 2 AS exit_code, o_orderkey % 7 AS row_count FROM orders) SELECT case_id, evidence_id, artifact_id, CAST(CASE WHEN bool_or(exit_code = 0) THEN 0 ELSE arg_max(exit_code, (abs(exit_code), exit_code)) END AS BIGINT) AS exit_code, CAST(sum(row_count) AS BIGINT) AS row_count FROM o GROUP BY ALL")
 def merge_parse_results(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderstatus").alias("evidence_id"), F.col("o_orderpriority").alias("artifact_id"), (F.col("o_orderkey") % 5 - 2).alias("exit_code"), (F.col("o_orderkey") % 7).alias("row_count"), F.lit(1.0).alias("duration_s"), F.col("o_orderdate").alias("started_at"), F.col("o_orderdate").alias("finished_at"), F.lit("x").alias("command"))
-    return A.merge_parse_results(o).select("case_id", "evidence_id", "artifact_id", F.col("exit_code").cast("long").alias("exit_code"), F.col("row_count").cast("long").alias("row_count"))
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("case_id"),
+        F.col("o_orderstatus").alias("evidence_id"),
+        F.col("o_orderpriority").alias("artifact_id"),
+        (F.col("o_orderkey") % 5 - 2).alias("exit_code"),
+        (F.col("o_orderkey") % 7).alias("row_count"),
+        F.lit(1.0).alias("duration_s"),
+        F.col("o_orderdate").alias("started_at"),
+        F.col("o_orderdate").alias("finished_at"),
+        F.lit("x").alias("command"),
+    )
+    return A.merge_parse_results(o).select(
+        "case_id",
+        "evidence_id",
+        "artifact_id",
+        F.col("exit_code").cast("long").alias("exit_code"),
+        F.col("row_count").cast("long").alias("row_count"),
+    )
 
 
 @query("SELECT o_custkey AS case_id, coalesce(max(o_orderkey) FILTER (o_orderkey % 3 = 0), max(o_orderkey)) AS finished_at FROM orders GROUP BY 1")
@@ -539,7 +781,11 @@ _CLAIMS_SQL = ", ".join(f"('{label}', '{alias}', {bool(techniques)})" for label,
 def ungrounded_mentions(spark, sf_dir):
     """Documents with a sentence on tools and techniques; C0 confirms one technique of web shells, a finding of C1 names a tool."""
     said = F.element_at(F.array(*map(F.lit, PROSE)), (F.col("doc_id") % 5).cast("int") + 1)
-    prose = table(spark, sf_dir, "documents").select(F.concat(F.lit("C"), (F.col("doc_id") % 3).cast("string")).alias("case_id"), "doc_id", F.concat_ws(" ", "text", said).alias("text"))
+    prose = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("C"), (F.col("doc_id") % 3).cast("string")).alias("case_id"),
+        "doc_id",
+        F.concat_ws(" ", "text", said).alias("text"),
+    )
     f = findings(spark, sf_dir)
     f = f.withColumn("title", F.when(F.col("case_id") == "C1", "Mimikatz seen").otherwise(F.col("title")))
     confirmed = f.where("case_id = 'C0'").select("case_id", F.lit("T1190").alias("technique"))

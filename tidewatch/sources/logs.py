@@ -15,14 +15,34 @@ from .tables import indexed
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line_no (from 0), line of every text file, blank lines left out. Files are read in blocks, and numbered by them."""
-    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    lines = spark.read.text(path).select(
+        F.col("value").alias("line"),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+    )
     numbered = indexed(lines.withColumn("_row", F.monotonically_increasing_id()))
     return numbered.where("line != ''").select(F.col("_file").alias("file"), F.col("_i").cast("long").alias("line_no"), "line")
 
 
 # Shapes of web and error log lines, and the columns of the web server's own format.
 NCSA = r'^(\S+)\s+\S+\s+(\S+)\s+\[([^\]]+)\]\s+"([^"]*)"\s+(\d{3}|-)\s+(\d+|-)(?:\s+"([^"]*)"\s+"([^"]*)")?'
-IIS_FIELDS = ("c-ip", "cs-username", "date", "time", "s-sitename", "s-computername", "s-ip", "time-taken", "cs-bytes", "sc-bytes", "sc-status", "sc-win32-status", "cs-method", "cs-uri-stem", "cs-uri-query")
+IIS_FIELDS = (
+    "c-ip",
+    "cs-username",
+    "date",
+    "time",
+    "s-sitename",
+    "s-computername",
+    "s-ip",
+    "time-taken",
+    "cs-bytes",
+    "sc-bytes",
+    "sc-status",
+    "sc-win32-status",
+    "cs-method",
+    "cs-uri-stem",
+    "cs-uri-query",
+)
 APACHE = r"^\[([A-Z][a-z]{2} [A-Z][a-z]{2} [ \d]\d [\d:.]+ \d{4})\]\s+\[([^\]]+)\]\s+(?:\[pid[^\]]*\]\s+)?(?:\[client ([^\]]+)\]\s+)?(.*)$"
 NGINX = r"^(\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2})\s+\[(\w+)\]\s+\d+#\d+:\s+(.*)$"
 TOMCAT = r"^(\d{2}-[A-Z][a-z]{2}-\d{4} \d{2}:\d{2}:\d{2}\.\d+)\s+(SEVERE|WARNING|INFO|CONFIG|FINE|FINER|FINEST|ERROR|WARN|DEBUG|TRACE)\s+(?:\[([^\]]*)\]\s+)?(.*)$"
@@ -35,8 +55,13 @@ def _time(col: Column, *formats: str) -> Column:
 def detect_log_format(lines: DataFrame) -> DataFrame:
     """file, format (w3c, ncsa, iis or null) by the first telling line among the first 50 of each file."""
     line = F.col("line")
-    kind = F.when(line.startswith("#Fields:") | line.startswith("#Software:"), "w3c").when(line.startswith("#"), None).when(line.rlike(NCSA), "ncsa").when(F.size(F.split(line, ", ")) >= 11, "iis")
-    return lines.where("line_no < 50").withColumn("k_", kind).groupBy("file").agg(F.min_by("k_", F.when(F.col("k_").isNotNull(), F.col("line_no"))).alias("format"))
+    kind = F.when(
+        line.startswith("#Fields:") | line.startswith("#Software:"),
+        "w3c",
+    ).when(line.startswith("#"), None).when(line.rlike(NCSA), "ncsa").when(F.size(F.split(line, ", ")) >= 11, "iis")
+    return lines.where("line_no < 50").withColumn("k_", kind).groupBy("file").agg(
+        F.min_by("k_", F.when(F.col("k_").isNotNull(), F.col("line_no"))).alias("format"),
+    )
 
 
 def detect_error_format(lines: DataFrame) -> DataFrame:
@@ -54,10 +79,18 @@ def parse_w3c_log(lines: DataFrame) -> DataFrame:
     rows = lines.where(~F.col("line").startswith("#")).join(directives, "file").withColumn("f_", last).where(F.col("f_").isNotNull())
     n, parts = F.size("f_"), F.split("line", " ")
     padded = F.concat(parts, F.array_repeat(F.lit("-"), F.greatest(F.lit(0), n - F.size(parts))))
-    folded = F.when(F.size(parts) > n, F.concat(F.slice(parts, F.lit(1), n - 1), F.array(F.array_join(F.slice(parts, n, F.size(parts)), " ")))).otherwise(padded)
+    folded = F.when(
+        F.size(parts) > n,
+        F.concat(F.slice(parts, F.lit(1), n - 1), F.array(F.array_join(F.slice(parts, n, F.size(parts)), " "))),
+    ).otherwise(padded)
     row = F.map_from_arrays("f_", folded)
     out = rows.select("file", "line_no", row.alias("row"))
-    return out.select("file", "line_no", _time(F.concat_ws(" ", F.col("row")["date"], F.col("row")["time"]), "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSS").alias("ts_utc"), "row")
+    return out.select(
+        "file",
+        "line_no",
+        _time(F.concat_ws(" ", F.col("row")["date"], F.col("row")["time"]), "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSS").alias("ts_utc"),
+        "row",
+    )
 
 
 def parse_iis_native(lines: DataFrame, zone: str = "UTC") -> DataFrame:
@@ -66,7 +99,11 @@ def parse_iis_native(lines: DataFrame, zone: str = "UTC") -> DataFrame:
     parts = F.transform(F.split(text, ", "), lambda x: F.trim(x))
     n = len(IIS_FIELDS)
     padded = F.slice(F.concat(parts, F.array_repeat(F.lit("-"), n)), 1, n)
-    rows = lines.where(~F.col("line").startswith("#")).select("file", "line_no", F.map_from_arrays(F.array(*map(F.lit, IIS_FIELDS)), padded).alias("row"))
+    rows = lines.where(~F.col("line").startswith("#")).select(
+        "file",
+        "line_no",
+        F.map_from_arrays(F.array(*map(F.lit, IIS_FIELDS)), padded).alias("row"),
+    )
     ts = _time(F.concat_ws(" ", F.col("row")["date"], F.col("row")["time"]), "MM/dd/yy HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "M/d/yy HH:mm:ss")
     return rows.select("file", "line_no", local_to_utc(ts, zone).alias("ts_utc"), "row")
 
@@ -78,21 +115,49 @@ def parse_ncsa(lines: DataFrame) -> DataFrame:
     at = lambda i: F.coalesce(F.get(req, F.lit(i)), F.lit("-"))
     stem, query = split_uri(at(1))
     blank = lambda c: F.when(c == "", "-").otherwise(c)
-    cols = {"c-ip": g(1), "cs-username": g(2), "cs-method": at(0), "cs-uri-stem": stem, "cs-uri-query": query, "cs-version": at(2), "sc-status": g(5), "sc-bytes": g(6), "cs(Referer)": blank(g(7)), "cs-User-Agent": blank(g(8))}
+    cols = {
+        "c-ip": g(1),
+        "cs-username": g(2),
+        "cs-method": at(0),
+        "cs-uri-stem": stem,
+        "cs-uri-query": query,
+        "cs-version": at(2),
+        "sc-status": g(5),
+        "sc-bytes": g(6),
+        "cs(Referer)": blank(g(7)),
+        "cs-User-Agent": blank(g(8)),
+    }
     rows = lines.where(~F.col("line").startswith("#") & F.col("line").rlike(NCSA))
     ts = F.try_to_timestamp(g(3), F.lit("dd/MMM/yyyy:HH:mm:ss Z")).cast("timestamp_ntz")
     return rows.select("file", "line_no", ts.alias("ts_utc"), F.create_map(*[x for k, v in cols.items() for x in (F.lit(k), v)]).alias("row"))
 
 
 def _error(lines: DataFrame, pattern: str, server: str, ts: Column, severity: Column, client: Column, message: Column, zone: str) -> DataFrame:
-    return lines.where(F.col("line").rlike(pattern)).select("file", "line_no", local_to_utc(ts, zone).alias("ts_utc"), F.lit(server).alias("server_type"), severity.alias("severity"), client.alias("client_ip"), message.alias("message"))
+    return lines.where(F.col("line").rlike(pattern)).select(
+        "file",
+        "line_no",
+        local_to_utc(ts, zone).alias("ts_utc"),
+        F.lit(server).alias("server_type"),
+        severity.alias("severity"),
+        client.alias("client_ip"),
+        message.alias("message"),
+    )
 
 
 def parse_apache_error(lines: DataFrame, zone: str = "UTC") -> DataFrame:
     g = lambda i: F.regexp_extract("line", APACHE, i)
     when = F.regexp_replace(F.regexp_replace(g(1), r"^\w{3} ", ""), " +", " ")
     client = F.when(g(3) == "", "-").otherwise(F.regexp_replace(g(3), r":[^:]*$", ""))
-    return _error(lines, APACHE, "apache", _time(when, "MMM d HH:mm:ss.SSSSSS yyyy", "MMM d HH:mm:ss yyyy"), F.lower(F.trim(F.element_at(F.split(g(2), ":"), -1))), client, g(4), zone)
+    return _error(
+        lines,
+        APACHE,
+        "apache",
+        _time(when, "MMM d HH:mm:ss.SSSSSS yyyy", "MMM d HH:mm:ss yyyy"),
+        F.lower(F.trim(F.element_at(F.split(g(2), ":"), -1))),
+        client,
+        g(4),
+        zone,
+    )
 
 
 def parse_nginx_error(lines: DataFrame, zone: str = "UTC") -> DataFrame:
@@ -171,4 +236,11 @@ def parse_feature_files(lines: DataFrame) -> DataFrame:
     """offset, value and context of feature files; event_type is ioc_ and the file's name; comments are skipped and there is no time."""
     parts = F.split("line", "\t", 3)
     name = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.[^.]*$", "")
-    return lines.where(~F.col("line").startswith("#") & (F.size(parts) >= 2)).select("file", "line_no", F.concat(F.lit("ioc_"), name).alias("event_type"), F.get(parts, F.lit(0)).alias("offset"), F.get(parts, F.lit(1)).alias("value"), F.coalesce(F.get(parts, F.lit(2)), F.lit("")).alias("context"))
+    return lines.where(~F.col("line").startswith("#") & (F.size(parts) >= 2)).select(
+        "file",
+        "line_no",
+        F.concat(F.lit("ioc_"), name).alias("event_type"),
+        F.get(parts, F.lit(0)).alias("offset"),
+        F.get(parts, F.lit(1)).alias("value"),
+        F.coalesce(F.get(parts, F.lit(2)), F.lit("")).alias("context"),
+    )

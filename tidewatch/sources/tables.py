@@ -16,7 +16,16 @@ def read_unified_jsonl(spark: SparkSession, path: str, case: str, evidence: str)
     schema = "artifact_id string, audit_id string, timestamp string, event_type string, computer string, payload string"
     rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    return rows.select(F.lit(case).alias("case_id"), F.lit(evidence).alias("evidence_id"), text("artifact_id").alias("artifact_id"), text("audit_id").alias("audit_id"), any_time(F.col("timestamp")).alias("ts_utc"), text("event_type").alias("event_type"), text("computer").alias("computer"), F.coalesce("payload", F.lit("{}")).alias("payload_json"))
+    return rows.select(
+        F.lit(case).alias("case_id"),
+        F.lit(evidence).alias("evidence_id"),
+        text("artifact_id").alias("artifact_id"),
+        text("audit_id").alias("audit_id"),
+        any_time(F.col("timestamp")).alias("ts_utc"),
+        text("event_type").alias("event_type"),
+        text("computer").alias("computer"),
+        F.coalesce("payload", F.lit("{}")).alias("payload_json"),
+    )
 
 
 @dataclass(frozen=True)
@@ -43,7 +52,14 @@ SPECS = {
     "registry": CsvSpec("registry", "registry_entry", ("LastWriteTimestamp",)),
 }
 EVTX_COLUMNS = ("EventId", "Channel", "Provider", "Level", "UserId", "MapDescription", "PayloadData1", "PayloadData2", "ExecutableInfo")
-AMCACHE_TIMES = {"ProgramEntries": "KeyLastWriteTimestamp", "UnassociatedFileEntries": "FileKeyLastWriteTimestamp", "AssociatedFileEntries": "FileKeyLastWriteTimestamp", "DriverBinaries": "KeyLastWriteTimestamp", "DevicePnps": "KeyLastWriteTimestamp", "ShortCuts": "KeyLastWriteTimestamp"}
+AMCACHE_TIMES = {
+    "ProgramEntries": "KeyLastWriteTimestamp",
+    "UnassociatedFileEntries": "FileKeyLastWriteTimestamp",
+    "AssociatedFileEntries": "FileKeyLastWriteTimestamp",
+    "DriverBinaries": "KeyLastWriteTimestamp",
+    "DevicePnps": "KeyLastWriteTimestamp",
+    "ShortCuts": "KeyLastWriteTimestamp",
+}
 
 
 #: Columns that place a row: its file, the offset of its block there, and an ascending number within the block.
@@ -55,7 +71,11 @@ BROKEN_LINES = ("evtx", "hayabusa", "registry", "prefetch", "amcache")
 def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Header CSVs (a byte-order mark goes) as text columns, with each row's place."""
     raw = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
-    placed = raw.select(*[F.col(f"`{c}`").alias(c.lstrip("﻿")) for c in raw.columns], F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    placed = raw.select(
+        *[F.col(f"`{c}`").alias(c.lstrip("﻿")) for c in raw.columns],
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+    )
     return placed.withColumn("_row", F.monotonically_increasing_id())
 
 
@@ -73,7 +93,10 @@ def indexed(df: DataFrame) -> DataFrame:
     sizes = rows.groupBy("_file", "_block").agg(F.count("*").alias("n_"))
     before = F.coalesce(F.sum("n_").over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     own = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_row"))
-    return rows.withColumn("own_", own).join(sizes.select("_file", "_block", before.alias("before_")), ["_file", "_block"]).withColumn("_i", F.col("before_") + F.col("own_") - 1).drop("own_", "before_")
+    return rows.withColumn("own_", own).join(
+        sizes.select("_file", "_block", before.alias("before_")),
+        ["_file", "_block"],
+    ).withColumn("_i", F.col("before_") + F.col("own_") - 1).drop("own_", "before_")
 
 
 def _own(df: DataFrame) -> list[str]:
@@ -85,7 +108,17 @@ def normalize_csv(df: DataFrame, spec: CsvSpec, case: str, evidence: str, payloa
     own = _own(df)
     computer = F.col(f"`{spec.computer}`") if spec.computer in own else F.lit("")
     rows = indexed(df)
-    return make_event(rows, case=F.lit(case), evidence=F.lit(evidence), artifact=F.lit(spec.artifact), index=F.col("_i"), ts=_first_time(df, spec.times) if ts is None else ts, event_type=F.lit(spec.event_type) if event_type is None else event_type, computer=computer, payload=F.struct(*[F.col(f"`{c}`") for c in own]) if payload is None else payload)
+    return make_event(
+        rows,
+        case=F.lit(case),
+        evidence=F.lit(evidence),
+        artifact=F.lit(spec.artifact),
+        index=F.col("_i"),
+        ts=_first_time(df, spec.times) if ts is None else ts,
+        event_type=F.lit(spec.event_type) if event_type is None else event_type,
+        computer=computer,
+        payload=F.struct(*[F.col(f"`{c}`") for c in own]) if payload is None else payload,
+    )
 
 
 def read_tool_csv(spark: SparkSession, path: str, artifact: str, case: str, evidence: str) -> DataFrame:
@@ -139,8 +172,25 @@ def explode_prefetch_runs(df: DataFrame, case: str, evidence: str) -> DataFrame:
     each = F.array(*[F.struct(F.lit(n).alias("kind"), any_time(F.col(n)).alias("ts"), F.lit(a).alias("always")) for n, a in runs if n in df.columns])
     rows = indexed(df).withColumn("r_", F.explode(F.filter(each, lambda x: x["always"] | x["ts"].isNotNull())))
     get = lambda c: (F.col(c) if c in df.columns else F.lit("")).alias
-    payload = F.struct(get("ExecutableName")("executable"), get("Hash")("hash"), get("Size")("size_bytes"), get("RunCount")("run_count"), get("FilesLoaded")("files_loaded"), F.col("r_.kind").alias("run_kind"))
-    return make_event(rows, case=F.lit(case), evidence=F.lit(evidence), artifact=F.lit("prefetch"), index=F.concat_ws(":", F.col("_i").cast("string"), F.col("r_.kind")), ts=F.col("r_.ts"), event_type=F.lit("prefetch_run"), computer=F.lit(""), payload=payload)
+    payload = F.struct(
+        get("ExecutableName")("executable"),
+        get("Hash")("hash"),
+        get("Size")("size_bytes"),
+        get("RunCount")("run_count"),
+        get("FilesLoaded")("files_loaded"),
+        F.col("r_.kind").alias("run_kind"),
+    )
+    return make_event(
+        rows,
+        case=F.lit(case),
+        evidence=F.lit(evidence),
+        artifact=F.lit("prefetch"),
+        index=F.concat_ws(":", F.col("_i").cast("string"), F.col("r_.kind")),
+        ts=F.col("r_.ts"),
+        event_type=F.lit("prefetch_run"),
+        computer=F.lit(""),
+        payload=payload,
+    )
 
 
 def normalize_plaso(df: DataFrame, artifact: str, case: str, evidence: str) -> DataFrame:
@@ -150,8 +200,30 @@ def normalize_plaso(df: DataFrame, artifact: str, case: str, evidence: str) -> D
 
 
 # Codes of browser visits and activities.
-CHROMIUM = {0: "link", 1: "typed", 2: "auto_bookmark", 3: "auto_subframe", 4: "manual_subframe", 5: "generated", 6: "start_page", 7: "form_submit", 8: "reload", 9: "keyword", 10: "keyword_generated"}
-FIREFOX = {1: "link", 2: "typed", 3: "bookmark", 4: "embed", 5: "redirect_permanent", 6: "redirect_temporary", 7: "download", 8: "framed_link", 9: "reload"}
+CHROMIUM = {
+    0: "link",
+    1: "typed",
+    2: "auto_bookmark",
+    3: "auto_subframe",
+    4: "manual_subframe",
+    5: "generated",
+    6: "start_page",
+    7: "form_submit",
+    8: "reload",
+    9: "keyword",
+    10: "keyword_generated",
+}
+FIREFOX = {
+    1: "link",
+    2: "typed",
+    3: "bookmark",
+    4: "embed",
+    5: "redirect_permanent",
+    6: "redirect_temporary",
+    7: "download",
+    8: "framed_link",
+    9: "reload",
+}
 ACTIVITY = {2: "notification", 3: "mobile_backup", 5: "open_app", 6: "in_use", 10: "clipboard", 16: "copy_paste"}
 
 
@@ -164,23 +236,65 @@ def _decoded(col: Column, table: dict[int, str]) -> Column:
 
 def browser_visits_chromium(visits: DataFrame, urls: DataFrame) -> DataFrame:
     """Visits with their page, decoded transition and the page they came from. visits: id, url, visit_time, from_visit, transition; urls: id, url, title, visit_count, typed_count."""
-    v = visits.select(F.col("id").alias("visit_id"), F.col("url").alias("u_"), "visit_time", "from_visit", F.coalesce("transition", F.lit(0)).alias("transition_raw"))
+    v = visits.select(
+        F.col("id").alias("visit_id"),
+        F.col("url").alias("u_"),
+        "visit_time",
+        "from_visit",
+        F.coalesce("transition", F.lit(0)).alias("transition_raw"),
+    )
     u = urls.select(F.col("id").alias("u_"), "url", "title", "visit_count", "typed_count")
-    came = visits.select(F.col("id").alias("from_visit"), F.col("url").alias("ru_")).join(urls.select(F.col("id").alias("ru_"), F.col("url").alias("referrer_url")), "ru_", "left").select("from_visit", "referrer_url")
+    came = visits.select(F.col("id").alias("from_visit"), F.col("url").alias("ru_")).join(
+        urls.select(F.col("id").alias("ru_"), F.col("url").alias("referrer_url")),
+        "ru_",
+        "left",
+    ).select("from_visit", "referrer_url")
     code = F.col("transition_raw").bitwiseAND(255)
-    return v.join(u, "u_").join(came, "from_visit", "left").select("visit_id", webkit_ts(F.col("visit_time")).alias("ts_utc"), "url", "title", "visit_count", "typed_count", _decoded(code, CHROMIUM).alias("transition"), "referrer_url")
+    return v.join(u, "u_").join(came, "from_visit", "left").select(
+        "visit_id",
+        webkit_ts(F.col("visit_time")).alias("ts_utc"),
+        "url",
+        "title",
+        "visit_count",
+        "typed_count",
+        _decoded(code, CHROMIUM).alias("transition"),
+        "referrer_url",
+    )
 
 
 def browser_visits_firefox(history: DataFrame, places: DataFrame) -> DataFrame:
     """As browser_visits_chromium for history (id, place_id, visit_date, from_visit, visit_type) and places (id, url, title, visit_count, typed)."""
     v = history.select(F.col("id").alias("visit_id"), "place_id", "visit_date", "from_visit", "visit_type")
     u = places.select(F.col("id").alias("place_id"), "url", "title", "visit_count", F.col("typed").alias("typed_count"))
-    came = history.select(F.col("id").alias("from_visit"), F.col("place_id").alias("rp_")).join(places.select(F.col("id").alias("rp_"), F.col("url").alias("referrer_url")), "rp_", "left").select("from_visit", "referrer_url")
-    return v.join(u, "place_id").join(came, "from_visit", "left").select("visit_id", prtime_ts(F.col("visit_date")).alias("ts_utc"), "url", "title", "visit_count", "typed_count", _decoded(F.col("visit_type"), FIREFOX).alias("transition"), "referrer_url")
+    came = history.select(F.col("id").alias("from_visit"), F.col("place_id").alias("rp_")).join(
+        places.select(F.col("id").alias("rp_"), F.col("url").alias("referrer_url")),
+        "rp_",
+        "left",
+    ).select("from_visit", "referrer_url")
+    return v.join(u, "place_id").join(came, "from_visit", "left").select(
+        "visit_id",
+        prtime_ts(F.col("visit_date")).alias("ts_utc"),
+        "url",
+        "title",
+        "visit_count",
+        "typed_count",
+        _decoded(F.col("visit_type"), FIREFOX).alias("transition"),
+        "referrer_url",
+    )
 
 
 # The kinds of triggers and actions of a scheduled task, and the fields of each.
-TRIGGERS = ("BootTrigger", "RegistrationTrigger", "IdleTrigger", "TimeTrigger", "EventTrigger", "LogonTrigger", "SessionStateChangeTrigger", "CalendarTrigger", "WnfStateChangeTrigger")
+TRIGGERS = (
+    "BootTrigger",
+    "RegistrationTrigger",
+    "IdleTrigger",
+    "TimeTrigger",
+    "EventTrigger",
+    "LogonTrigger",
+    "SessionStateChangeTrigger",
+    "CalendarTrigger",
+    "WnfStateChangeTrigger",
+)
 TRIGGER_FIELDS = {"start_boundary": "StartBoundary", "enabled": "Enabled", "execution_time_limit": "ExecutionTimeLimit"}
 TASK_ACTIONS = {
     "Exec": {"command": "Command", "arguments": "Arguments", "working_directory": "WorkingDirectory"},
@@ -244,13 +358,23 @@ def normalize_iis_modules(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path).withColumn("config_path", F.input_file_name())
 
     none = F.lit("")
-    native = read("globalModules", add[len("struct<") : -1].replace("add:", "add ", 1)).select("config_path", none.alias("location_path"), F.explode("add").alias("a"))
+    native = read("globalModules", add[len("struct<") : -1].replace("add:", "add ", 1)).select(
+        "config_path",
+        none.alias("location_path"),
+        F.explode("add").alias("a"),
+    )
     server = read("system.webServer", f"modules {add}").select("config_path", none.alias("location_path"), F.explode("modules.add").alias("a"))
-    inside = read("location", f"_path string, `system.webServer` struct<modules:{add}>").select("config_path", F.coalesce("_path", none).alias("location_path"), F.explode("`system.webServer`.modules.add").alias("a"))
+    inside = read("location", f"_path string, `system.webServer` struct<modules:{add}>").select(
+        "config_path",
+        F.coalesce("_path", none).alias("location_path"),
+        F.explode("`system.webServer`.modules.add").alias("a"),
+    )
     managed = server.union(inside).where("coalesce(a._type, '') != ''")
     shown = lambda kind, section, image, expanded: [F.coalesce("a._name", none).alias("module_name"), F.lit(kind).alias("module_kind"), image.alias("image"), expanded.alias("image_expanded"), F.coalesce("a._preCondition", none).alias("precondition"), F.lit(section).alias("config_section"), "location_path", "config_path"]
     image = F.coalesce("a._image", none)
-    return native.select(*shown("native", "globalModules", image, expand_env(image))).union(managed.select(*shown("managed", "modules", F.col("a._type"), F.col("a._type"))))
+    return native.select(*shown("native", "globalModules", image, expand_env(image))).union(
+        managed.select(*shown("managed", "modules", F.col("a._type"), F.col("a._type"))),
+    )
 
 
 def normalize_activities(df: DataFrame) -> DataFrame:
@@ -264,7 +388,17 @@ def activity_events(df: DataFrame, case: str, evidence: str) -> DataFrame:
     own = [c for c in df.columns if c not in PLACE]
     rows = normalize_activities(indexed(df))
     payload = F.struct(*[F.col(f"`{c}`") for c in own], F.col("activity").alias("activity_type"))
-    return make_event(rows, case=F.lit(case), evidence=F.lit(evidence), artifact=F.lit("win10timeline"), index=F.col("_i"), ts=F.col("ts_utc"), event_type=F.lit("activity"), computer=F.lit(""), payload=payload)
+    return make_event(
+        rows,
+        case=F.lit(case),
+        evidence=F.lit(evidence),
+        artifact=F.lit("win10timeline"),
+        index=F.col("_i"),
+        ts=F.col("ts_utc"),
+        event_type=F.lit("activity"),
+        computer=F.lit(""),
+        payload=payload,
+    )
 
 
 def normalize_tool_json(df: DataFrame, artifact: str, event_type: str, case: str, evidence: str) -> DataFrame:
@@ -274,7 +408,12 @@ def normalize_tool_json(df: DataFrame, artifact: str, event_type: str, case: str
 
 def not_present(catalog: DataFrame, detected: DataFrame) -> DataFrame:
     """A result row for each catalogued artifact that was not detected."""
-    return catalog.select("artifact_id").distinct().join(detected.select("artifact_id").distinct(), "artifact_id", "left_anti").select("artifact_id", F.lit(0).cast("long").alias("row_count"), F.lit("(not present)").alias("command"), F.lit(0).alias("exit_code"))
+    return catalog.select("artifact_id").distinct().join(detected.select("artifact_id").distinct(), "artifact_id", "left_anti").select(
+        "artifact_id",
+        F.lit(0).cast("long").alias("row_count"),
+        F.lit("(not present)").alias("command"),
+        F.lit(0).alias("exit_code"),
+    )
 
 
 ACTIONS = "ts string, actor string, kind string, success boolean, duration_seconds double, row_count long, model string, tokens long, cost_usd double, rule_id string, rule_source string, cluster_id int, attempt int, outcome string"

@@ -21,4 +21,9 @@ def stream_hits(events: DataFrame, rules: tuple[Rule, ...] = RULES, late: str =
 
 def hit_counts(hits: DataFrame, every: str = "10 minutes") -> DataFrame:
     """Hits for each case, rule and tumbling window of time; a window is final once the watermark passes it."""
-    return hits.groupBy("case_id", "rule_id", F.window("ts", every)).agg(F.count("*").alias("n")).select("case_id", "rule_id", F.col("window.start").alias("start"), "n")
+    return hits.groupBy("case_id", "rule_id", F.window("ts", every)).agg(F.count("*").alias("n")).select(
+        "case_id",
+        "rule_id",
+        F.col("window.start").alias("start"),
+        "n",
+    )
