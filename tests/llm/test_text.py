@@ -78,17 +78,17 @@ def plain_tree(text):
     h = lambda b: hashlib.blake2b(b, digest_size=16).digest()
     leaves, sections, open_ = [], [], []
     for line in text.split("\n"):
-        cut, rest = [], line
-        while rest:
-            n = 0
-            while n < len(rest) and n < 400 and rest[n] not in ".!?":
+        cut, at = [], 0
+        while at < len(line):
+            n = at
+            while n < len(line) and n < at + 400 and line[n] not in ".!?":
                 n += 1
-            while n < len(rest) and rest[n] in ".!?":
+            while n < len(line) and line[n] in ".!?":
                 n += 1
-            while n < len(rest) and rest[n].isspace():
+            while n < len(line) and line[n].isspace():
                 n += 1
-            cut.append(rest[:n])
-            rest = rest[n:]
+            cut.append(line[at:n])
+            at = n
         leaves += cut
         p = h(b"p" + b"".join(h(x.encode()) for x in cut))
         open_.append(p)
