@@ -761,6 +761,7 @@ def passthrough_findings(df: DataFrame, include_info: bool = False, cap: int = 1
         "extra",
         F.create_map(*[x for k in ("Channel", "EventID", "Computer", "Details", "ExtraFieldInfo") for x in (F.lit(k), p(k))]),
     )
+    rows = kept(rows.select("case_id", "audit_id", "ts_utc", "artifact_id", "event_type", "rule_id", "title", "severity", "t_", "q_", "extra"))
     order = F.struct(F.coalesce(F.col("ts_utc"), F.lit("9999-12-31 00:00:00").cast("timestamp_ntz")), "audit_id")
     meta = rows.groupBy("case_id", "rule_id").agg(
         F.min_by("title", order).alias("title"),
