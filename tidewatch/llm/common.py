@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..model import kept, shared_folder, table
 
-__all__ = ["TASK_TABLES", "cut", "join_facts", "map_columns", "partitions", "pieces", "shared_folder", "table", "task_memory"]
+__all__ = ["TASK_TABLES", "arrow_schema", "batch_of", "cut", "join_facts", "map_columns", "partitions", "pieces", "shared_folder", "table", "task_memory"]
 
 
 #: Writes df to the folder in spark.checkpoint.dir and reads it back, so that a lost executor costs no recomputation.
@@ -76,6 +76,19 @@ def map_columns(df: DataFrame, fn: Callable[..., list], schema: str, setup: Call
     return df.mapInArrow(run, schema)
 
 
+def arrow_schema(ddl: str) -> pa.Schema:
+    """The Arrow schema of a DDL string; made on the driver, as parsing asks Spark."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl), prefers_large_types=False)
+
+
+def batch_of(rows: list, schema: pa.Schema) -> pa.RecordBatch:
+    """One Arrow batch of rows given as sequences."""
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
 def pieces(batch: pa.RecordBatch, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about most_bytes, so that very long texts do not pile up in a Python worker."""
     n = max(1, -(-batch.nbytes // most_bytes))

@@ -35,4 +35,17 @@ c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
 SELECT c.doc_id, CAST(coalesce(z.n, 0) AS BIGINT) AS n_shingles, component_id FROM c LEFT JOIN z USING (doc_id)
 """
 
-ORACLES = {"op6_jaccard_join": JACCARD_SQL, "op7_substring_dedup": SUBSTRING_SQL, "op8_near_vectors": VECTOR_SQL, "op10_line_dedup": LINES_SQL}
+TRIE_SQL = r"""
+WITH t AS (SELECT conv_id AS c, list({'r': coalesce(role, ''), 'x': coalesce(text, '')} ORDER BY turn NULLS FIRST, role, text) AS own FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+s AS (SELECT c, own, flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda k: [CAST(ascii(k) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])) AS steps FROM t),
+k AS (SELECT c, own, xor(list_reduce(steps, lambda v, x: CASE WHEN x >= 0 THEN xor(v, x) ELSE xor(v >> 1, 3988292384 * (v & 1)) END, CAST(4294967295 AS BIGINT)), 4294967295) % 4 AS h FROM s),
+v AS (SELECT k.c, list_concat(coalesce(b.own[1:h], []), k.own[h + 1:]) AS v FROM k LEFT JOIN t b ON b.c = k.c - k.c % 20),
+p AS (SELECT c, len(v) AS n, d, CASE WHEN d > 0 THEN v[d].x ELSE '' END AS x, md5(CAST(to_json(v[1:d]) AS VARCHAR)) AS k, CASE WHEN d > 0 THEN md5(CAST(to_json(v[1:d - 1]) AS VARCHAR)) END AS up FROM v, LATERAL (SELECT unnest(range(0, len(v) + 1)) AS d)),
+g AS (SELECT k, min(up) AS up, min(d) AS d, min(c) AS c, count(*) AS n, len(list_filter(regexp_split_to_array(min(x), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS words, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '')) AS ends FROM p GROUP BY 1),
+m AS (SELECT g.k, count(b.k) AS kids FROM g LEFT JOIN g b ON b.up = g.k GROUP BY 1),
+a AS (SELECT p.k, count(*) FILTER (m.kids = 0) AS leaves, sum((g.n - 1) * g.words) AS saved FROM g JOIN m ON m.k = g.k JOIN p ON p.c = g.c AND p.d <= g.d GROUP BY 1)
+SELECT g.c AS conv_id, CAST(g.d AS BIGINT) AS depth, u.c AS parent_conv_id, CAST(g.n AS BIGINT) AS n_convs, CAST(m.kids AS BIGINT) AS n_children, CAST(a.leaves AS BIGINT) AS n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens, g.ends AS ends_sha256
+FROM g JOIN m ON m.k = g.k JOIN a ON a.k = g.k LEFT JOIN g u ON u.k = g.up
+"""
+
+ORACLES = {"op6_jaccard_join": JACCARD_SQL, "op7_substring_dedup": SUBSTRING_SQL, "op8_near_vectors": VECTOR_SQL, "op10_line_dedup": LINES_SQL, "op12_conversation_trie": TRIE_SQL}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import align_tokenizers
 from .bpe import bpe_digests, token_counts
 from .common import table
 from .jaccard import jaccard_components
@@ -15,9 +16,10 @@ from .oracles import ORACLES
 from .secrets import scan_secrets
 from .substrings import dedup_substrings
 from .toxicity import toxicity_scores
+from .trie import conversation_trie
 from .vectors import near_vectors
 
-WORD_BPE = "word_bpe_49k.json"
+WORD_BPE, BYTE_BPE, PIECE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +62,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
+
+
 def queries() -> dict:
     return {
         f.__name__: f for f in (
@@ -73,6 +83,8 @@ def queries() -> dict:
             op8_near_vectors,
             op9_token_counts,
             op10_line_dedup,
+            op12_conversation_trie,
+            op13_tokenizer_alignment,
         )
     }
 
