@@ -42,12 +42,34 @@ def shared_folder(spark: SparkSession) -> str:
     return shared_folder.own
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: lineage ends there, so a lost executor costs no recomputation."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    """df written to the shared folder and read back: lineage ends there, so a lost executor costs no recomputation.
+
+    The shuffle files of the write go as soon as it is done. release() deletes the table once nothing reads it any more.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(schema).parquet(path)
+    out._kept = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that kept() wrote; frames derived from them can not be computed afterwards."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._kept)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def audit_id(case: Column, artifact: Column, index: Column, raw: Column) -> Column:
