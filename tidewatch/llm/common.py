@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import kept, shared_folder, table
+from ..model import kept, release, shared_folder, table
 
-__all__ = ["TASK_TABLES", "arrow_schema", "batch_of", "cut", "join_facts", "map_columns", "partitions", "pieces", "shared_folder", "table", "task_memory"]
+__all__ = ["TASK_TABLES", "arrow_schema", "batch_of", "cut", "join_facts", "map_columns", "partitions", "pieces", "release", "shared_folder", "table", "task_memory"]
 
 
 #: Writes df to the folder in spark.checkpoint.dir and reads it back, so that a lost executor costs no recomputation.

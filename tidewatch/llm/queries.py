@@ -15,6 +15,7 @@ from .mixing import mix_rates
 from .oracles import ORACLES
 from .secrets import scan_secrets
 from .substrings import dedup_substrings
+from .suffixes import dedup_bytes
 from .toxicity import toxicity_scores
 from .trie import conversation_trie
 from .vectors import near_vectors
@@ -62,6 +63,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_bytes(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -83,6 +88,7 @@ def queries() -> dict:
             op8_near_vectors,
             op9_token_counts,
             op10_line_dedup,
+            op11_suffix_dedup,
             op12_conversation_trie,
             op13_tokenizer_alignment,
         )
