@@ -5,34 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import kept
+from ..model import kept, release
+from .ranges import join_counted
 
 
-def link_components(links: DataFrame, left: str, right: str, most_rounds: int = 100) -> DataFrame:
+def _star(edges: DataFrame, both: DataFrame) -> DataFrame:
+    """edges (a > b), each end b of a node's neighbours replaced by the least of them; both is what the neighbours are taken from."""
+    least = kept(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+    moved = join_counted(edges, least, ["a"], F.col("b")).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.unionByName(least.where("a != m").select("a", F.col("m").alias("b"))).distinct()
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Every larger neighbour of a node is linked with the least of the node and its neighbours."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = kept(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n")))
+    return join_counted(both.where("b > a"), least, ["a"], F.col("b")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+
+
+def link_components(links: DataFrame, left: str, right: str, most_rounds: int = 60) -> DataFrame:
     """left, component: the smallest left value that is reachable over shared right values; links need not be distinct.
 
-    Each round passes the smallest label from left to right and back (two aggregations with map-side combining, so a value
-    that a third of all rows share is no single task's list), then follows the label's own label; it ends when none changes. Labels
-    that have not settled after most_rounds are an error.
+    Each right value becomes a star around its smallest left value. Then rounds of a large star and a small star step replace every
+    neighbourhood by a star around its least node, until nothing changes: their number grows with the logarithm of a chain's length.
+    A value that a third of all links share is a hub, whose links are dealt over many tasks (ranges.join_counted). Every step is
+    written to the shared folder, and the tables of the round before are deleted. Stars that have not settled after most_rounds are
+    an error. Links with a null on either side are ignored.
     """
-    links = kept(links.select(F.col(left).alias("l"), F.col(right).alias("r")).where("l IS NOT NULL AND r IS NOT NULL").distinct())
-    labels = kept(links.select("l").distinct().withColumn("c", F.col("l")))
+    links = kept(links.select(F.col(left).alias("a"), F.col(right).alias("r")).where("a IS NOT NULL AND r IS NOT NULL").distinct())
+    hubs = kept(links.groupBy("r").agg(F.min("a").alias("b"), F.count("*").alias("n")))
+    now = kept(join_counted(links, hubs, ["r"], F.col("a")).where("a != b").select("a", "b").distinct())
+    mark = None
     for _ in range(most_rounds):
-        to_right = links.join(labels, "l").groupBy("r").agg(F.min("c").alias("c"))
-        to_left = links.join(to_right, "r").groupBy("l").agg(F.min("c").alias("m"))
-        jumped = to_left.join(
-            labels.select(F.col("l").alias("m"), F.col("c").alias("c2")),
-            "m",
-            "left",
-        ).select("l", F.least("m", F.coalesce("c2", "m")).alias("c"))
-        new = kept(jumped)
-        changed = new.join(labels.withColumnRenamed("c", "old"), "l").where("c != old").limit(1).count()
-        labels = new
-        if not changed:
+        new = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).head()
+        if (new.n, new.s) == mark or not new.n:
             break
+        mark = (new.n, new.s)
+        wide = kept(_large_star(now))
+        small = kept(_star(wide, wide))
+        release(now, wide)
+        now = small
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return labels.select(F.col("l").alias(left), F.col("c").alias("component"))
+    every = links.select("a").distinct().join(now, "a", "left")
+    return every.select(F.col("a").alias(left), F.coalesce("b", "a").alias("component"))
 
 
 def component_evidence(findings: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import merge_title
 from ..model import micros
+from .ranges import in_windows, islands
 
 
 def hydrate_evidence(findings: DataFrame, events: DataFrame) -> DataFrame:
@@ -73,27 +74,21 @@ def exclude_prior(candidates: DataFrame, prior: DataFrame) -> DataFrame:
 
 
 def near_findings(events: DataFrame, times: DataFrame, window_s: int = 1800) -> DataFrame:
-    """Events within window_s seconds (inclusive) of any time of their case: times are put into buckets of that width and each event probes three."""
+    """Events within window_s seconds (inclusive) of any time of their case.
+
+    Times whose surroundings touch are merged into disjoint stretches first, so dense times are one row; an event meets at most one.
+    """
     w = window_s * 1_000_000
-    points = times.select("case_id", micros(F.col("ts")).alias("t_")).where("t_ IS NOT NULL").distinct()
-    spread = points.withColumn("b_", F.explode(F.array(*[F.floor(F.col("t_") / w) + d for d in (-1, 0, 1)])))
-    probe = events.withColumn("b_", F.floor(micros(F.col("ts_utc")) / w))
-    met = (probe["case_id"] == spread["case_id"]) & (probe["b_"] == spread["b_"]) & (F.abs(micros(probe["ts_utc"]) - spread["t_"]) <= w)
-    return probe.join(spread, met, "left_semi").drop("b_")
+    stamp = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
+    points = times.select("case_id", F.col("ts").alias("t_")).where("t_ IS NOT NULL").distinct()
+    runs = islands(points, ["case_id"], "t_", 2 * window_s, "t_", "run_").groupBy("case_id", "run_")
+    stretches = runs.agg(stamp(micros(F.min("t_")) - w).alias("lo_"), stamp(micros(F.max("t_")) + w).alias("hi_")).drop("run_")
+    return in_windows(events, stretches, ["case_id"], "ts_utc", "lo_", "hi_").drop("lo_", "hi_")
 
 
 def window_events(events: DataFrame, windows: DataFrame) -> DataFrame:
-    """Events of each window (case_id, cluster_id, win_start, win_end), both ends inclusive: windows are spread over hours, events probe their own."""
-    hour = 3_600_000_000
-    spread = windows.select(
-        "case_id",
-        "cluster_id",
-        "win_start",
-        "win_end",
-        F.explode(F.sequence(F.floor(micros(F.col("win_start")) / hour), F.floor(micros(F.col("win_end")) / hour))).alias("h_"),
-    )
-    probe = events.withColumn("h_", F.floor(micros(F.col("ts_utc")) / hour))
-    return probe.join(spread, ["case_id", "h_"]).where("ts_utc >= win_start AND ts_utc <= win_end").drop("h_")
+    """Events of each window (case_id, cluster_id, win_start, win_end), both ends inclusive; see ranges.in_windows."""
+    return in_windows(events, windows.select("case_id", "cluster_id", "win_start", "win_end"), ["case_id"], "ts_utc", "win_start", "win_end")
 
 
 def mark_detected(rows: DataFrame, findings: DataFrame) -> DataFrame:

@@ -9,13 +9,7 @@ from ..functions.scalars import event_data, image_of, norm_user, phase_rank, sev
 from ..model import kept, micros, seconds
 from .filters import drop_evtx_noise
 from .joins import burst_success, near_findings
-
-
-def islands(df: DataFrame, keys: list[str], ts: str, gap_s: int, tie: str, name: str) -> DataFrame:
-    """Numbers runs 1, 2, ... within keys: a new one begins where the gap to the row before is more than gap_s seconds."""
-    order = Window.partitionBy(*keys).orderBy(ts, tie)
-    new = F.coalesce((micros(F.col(ts)) - F.lag(micros(F.col(ts))).over(order) > gap_s * 1_000_000).cast("int"), F.lit(1))
-    return df.withColumn("new_", new).withColumn(name, F.sum("new_").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("new_")
+from .ranges import islands, nearest_point, top_rows
 
 
 def first_evidence(findings: DataFrame) -> DataFrame:
@@ -27,7 +21,7 @@ def first_evidence(findings: DataFrame) -> DataFrame:
 def cluster_findings(findings: DataFrame, gap_s: int = 1800) -> DataFrame:
     """cluster_id of each finding: by its first time, split where the gap is more than gap_s; undated ones form the last cluster of their case.
 
-    Needs case_id, finding_id, first_ts; a finding is one row, so a case's findings are few against its events.
+    Needs case_id, finding_id, first_ts. A case is dealt over ranges of time (see ranges.islands).
     """
     dated = findings.where("first_ts IS NOT NULL")
     numbered = islands(dated, ["case_id"], "first_ts", gap_s, "finding_id", "cluster_id")
@@ -109,12 +103,12 @@ def bruteforced_accounts(bursts: DataFrame) -> DataFrame:
 def stratified_sample(df: DataFrame, max_rows: int) -> DataFrame:
     """The earliest rows of each artifact, at most max(100, max(2000, 5 max_rows) / artifacts) each; evtx noise is left out.
 
-    The largest quota is a literal bound, which Spark applies in each task before the rows are shuffled.
+    The largest quota is a literal bound, by which each artifact is cut in salted parts before its parts are ranked together.
     """
     most = max(2000, 5 * max_rows)
     shares = df.groupBy("case_id").agg(F.countDistinct("artifact_id").alias("n_"))
-    order = Window.partitionBy("case_id", "artifact_id").orderBy(F.col("ts_utc").asc_nulls_last(), "audit_id")
-    first = drop_evtx_noise(df).withColumn("r_", F.row_number().over(order)).where(F.col("r_") <= most)
+    order = [F.col("ts_utc").asc_nulls_last(), F.col("audit_id").asc()]
+    first = top_rows(drop_evtx_noise(df), ["case_id", "artifact_id"], order, most, "r_", F.col("audit_id"))
     quota = F.greatest(F.lit(100), F.floor(F.lit(most) / F.col("n_")))
     return first.join(shares, "case_id").where(F.col("r_") <= quota).drop("r_", "n_")
 
@@ -199,14 +193,19 @@ def cluster_anchors(points: DataFrame, most: int = 96) -> DataFrame:
 
 
 def proximity_sample(rows: DataFrame, anchors: DataFrame, max_rows: int = 300) -> DataFrame:
-    """Of each cluster's window rows, for each artifact the max(30, max_rows / artifacts) nearest to an anchor, in whole seconds; without anchors the earliest."""
-    shares = rows.groupBy("case_id", "cluster_id").agg(F.countDistinct("artifact_id").alias("n_"))
-    held = drop_evtx_noise(rows).join(anchors, ["case_id", "cluster_id"], "left")
-    away = F.coalesce(F.array_min(F.transform("anchors", lambda a: F.abs(seconds(F.col("ts_utc")) - a))), F.lit(0))
-    order = Window.partitionBy("case_id", "cluster_id", "artifact_id").orderBy("away", "ts_utc", "audit_id")
-    first = held.withColumn("away", away).drop("anchors").withColumn("r_", F.row_number().over(order)).where(F.col("r_") <= max(30, max_rows))
+    """Of each cluster's window rows, for each artifact the max(30, max_rows / artifacts) nearest to an anchor, in whole seconds; without anchors the earliest.
+
+    Anchors and rows meet in one sorted stream (ranges.nearest_point), however many anchors a cluster has.
+    """
+    keys = ["case_id", "cluster_id"]
+    shares = rows.groupBy(*keys).agg(F.countDistinct("artifact_id").alias("n_"))
+    points = anchors.select(*keys, F.explode("anchors").alias("sec_"))
+    held = nearest_point(drop_evtx_noise(rows).withColumn("sec_", seconds(F.col("ts_utc"))), points, keys, "sec_", "away").drop("sec_")
+    held = held.withColumn("away", F.coalesce("away", F.lit(0)))
+    order = [F.col("away").asc(), F.col("ts_utc").asc(), F.col("audit_id").asc()]
+    first = top_rows(held, [*keys, "artifact_id"], order, max(30, max_rows), "r_", F.col("audit_id"))
     quota = F.greatest(F.lit(30), F.floor(F.lit(max_rows) / F.col("n_")))
-    return first.join(shares, ["case_id", "cluster_id"]).where(F.col("r_") <= quota).drop("r_", "n_")
+    return first.join(shares, keys).where(F.col("r_") <= quota).drop("r_", "n_")
 
 
 def cluster_boundaries(clusters: DataFrame) -> DataFrame:
@@ -248,34 +247,44 @@ def chase(clusters: DataFrame, flagged: DataFrame, window_s: int = 1800, rounds:
     """Follows flagged events out of each cluster's window for a few rounds: grow the hull by what the window shows, hold it within the bounds, widen again.
 
     Adds continues_from_prev, continues_into_next, chase_rounds and capped (a further round would still have grown).
+
+    A loop with a kept frontier: clusters and the flagged times are written once, a round joins the flagged times of open clusters
+    only (those that grew in the round before) and writes what it finds; clusters that stay as they are leave the loop. It ends early
+    where none is open.
     """
+    keys = ["case_id", "cluster_id"]
     stamp = lambda c: F.timestamp_micros(c.cast("long")).cast("timestamp_ntz")
-    now = cluster_window(cluster_boundaries(clusters), window_s).withColumn("from_prev", F.lit(False)).withColumn("into_next", F.lit(False)).withColumn("chase_rounds", F.lit(0)).withColumn("open_", F.lit(True))
+    off = F.lit(False)
+    start = cluster_window(cluster_boundaries(clusters), window_s)
+    frontier = kept(start.withColumns({"continues_from_prev": off, "continues_into_next": off, "chase_rounds": F.lit(0), "capped": off}))
+    times = kept(flagged.select(*keys, "ts_utc"))
+    done = []
     for k in range(1, rounds + 2):
-        shown = flagged.select("case_id", "cluster_id", "ts_utc").join(
-            now.select("case_id", "cluster_id", "win_start", "win_end"),
-            ["case_id", "cluster_id"],
-        ).where("ts_utc >= win_start AND ts_utc <= win_end")
-        t = shown.groupBy("case_id", "cluster_id").agg(F.min("ts_utc").alias("lo_"), F.max("ts_utc").alias("hi_"))
-        now = now.join(t, ["case_id", "cluster_id"], "left")
+        shown = times.join(frontier.select(*keys, "win_start", "win_end"), keys).where("ts_utc >= win_start AND ts_utc <= win_end")
+        t = shown.groupBy(*keys).agg(F.min("ts_utc").alias("lo_"), F.max("ts_utc").alias("hi_"))
         lo, hi = F.least("start_ts", F.coalesce("lo_", "start_ts")), F.greatest("end_ts", F.coalesce("hi_", "end_ts"))
-        cut_lo, cut_hi = F.coalesce(micros(lo) < F.col("prev_bound"), F.lit(False)), F.coalesce(micros(hi) > F.col("next_bound"), F.lit(False))
-        new_lo, new_hi = F.when(cut_lo, stamp(F.col("prev_bound"))).otherwise(lo), F.when(cut_hi, stamp(F.col("next_bound"))).otherwise(hi)
-        now = now.withColumn("cl_", cut_lo & F.col("open_")).withColumn("ch_", cut_hi & F.col("open_")).withColumn("nl_", new_lo).withColumn("nh_", new_hi).withColumn(
-            "grows_",
-            F.col("open_") & ((F.col("nl_") < F.col("start_ts")) | (F.col("nh_") > F.col("end_ts"))),
-        )
+        cut_lo, cut_hi = F.coalesce(micros(lo) < F.col("prev_bound"), off), F.coalesce(micros(hi) > F.col("next_bound"), off)
+        ends = {"nl_": F.when(cut_lo, stamp(F.col("prev_bound"))).otherwise(lo), "nh_": F.when(cut_hi, stamp(F.col("next_bound"))).otherwise(hi), "cl_": cut_lo, "ch_": cut_hi}
+        seen = frontier.join(t, keys, "left").withColumns(ends).withColumn("grows_", F.coalesce((F.col("nl_") < F.col("start_ts")) | (F.col("nh_") > F.col("end_ts")), off))
         if k > rounds:
-            return now.withColumn("capped", F.col("grows_")).drop("cl_", "ch_", "nl_", "nh_", "lo_", "hi_", "grows_", "open_").withColumnsRenamed(
-                {"from_prev": "continues_from_prev", "into_next": "continues_into_next"},
-            )
-        now = now.withColumn("from_prev", F.col("from_prev") | F.col("cl_")).withColumn("into_next", F.col("into_next") | F.col("ch_"))
-        now = now.withColumn("start_ts", F.when(F.col("grows_"), F.col("nl_")).otherwise(F.col("start_ts"))).withColumn("end_ts", F.when(F.col("grows_"), F.col("nh_")).otherwise(F.col("end_ts"))).withColumn(
-            "chase_rounds",
-            F.when(F.col("grows_"), F.lit(k)).otherwise(F.col("chase_rounds")),
-        ).withColumn("open_", F.col("grows_")).drop("cl_", "ch_", "nl_", "nh_", "lo_", "hi_", "grows_")
-        now = cluster_window(now, window_s)
-    return now
+            done.append(seen.withColumn("capped", F.col("grows_")).select(frontier.columns))
+            break
+        grown = {
+            "continues_from_prev": F.col("continues_from_prev") | F.col("cl_"),
+            "continues_into_next": F.col("continues_into_next") | F.col("ch_"),
+            "start_ts": F.when(F.col("grows_"), F.col("nl_")).otherwise(F.col("start_ts")),
+            "end_ts": F.when(F.col("grows_"), F.col("nh_")).otherwise(F.col("end_ts")),
+            "chase_rounds": F.when(F.col("grows_"), F.lit(k)).otherwise(F.col("chase_rounds")),
+        }
+        now = kept(cluster_window(seen.withColumns(grown), window_s).select(*frontier.columns, "grows_"))
+        done.append(now.where("NOT grows_").drop("grows_"))
+        frontier = now.where("grows_").drop("grows_")
+        if frontier.isEmpty():
+            break
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def merge_follow_ups(current: DataFrame, more: DataFrame) -> DataFrame:
