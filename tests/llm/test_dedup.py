@@ -251,3 +251,13 @@ def test_every_label_has_pivots(spark):
 
 def test_scratch_folder_comes_from_the_session(spark):
     assert common.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_jaccard_of_rows_that_share_a_doc_id(make):
+    """Every text of a doc_id links, and joins the groups of all others."""
+    rng = random.Random(6)
+    one, two, three = (" ".join(f"w{rng.randrange(500)}" for _ in range(80)) for _ in range(3))
+    rows = [(1, one), (1, two), (2, one + " near"), (3, two + " near"), (4, three), (5, three), (5, two), (7, "other text that links with nothing at all"), (None, one)]
+    got = {(r.doc_id, r.component_id) for r in jaccard.jaccard_components(make(rows)).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (7, 7), (None, None)}
+    assert {r.doc_id for r in jaccard.keep_one(make(rows)).collect()} == {1, 7, None}

@@ -404,3 +404,32 @@ def test_queries_run(spark, data):
     for name, f in Q.queries().items():
         rows = f(spark, data).count()
         assert rows == (spark.read.parquet(f"{data}/embeddings.parquet").count() if name.startswith("op8") else n), name
+
+
+def test_every_code_point_is_coded_as_by_the_library():
+    """Singly, and between letters before a combining mark; of blocks of ideographs and of planes without letters one in 16."""
+    raw = open(public_tokenizers.path("word_bpe_49k.json"), "rb").read()  # noqa: SIM115
+    own, library = bpe.Vocabulary(raw), Tokenizer.from_str(raw.decode())
+    even = [(0x3400, 0xA000), (0xAC00, 0xD800), (0xE000, 0xF900), (0x13000, 0x16000), (0x17000, 0x1B000), (0x20000, 0x110000)]
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c % 16 == 0 or not any(a <= c < b for a, b in even))]
+    texts = [f"{chr(c)} a{chr(c)}́b" for c in points]
+    want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [b for b, _ in own.encode(texts)] == want
+    assert [4 * own.count(t) for t in texts] == list(map(len, want))
+    rng = random.Random(8)
+    mixed = ["".join(rng.choice("aÉσΣ ᲉꟜꟋ́ͅ\U00032808'1.İﬁ한하ガガ") for _ in range(rng.randint(1, 40))) for _ in range(1500)]
+    for t, e in zip(mixed, library.encode_batch_fast(mixed, add_special_tokens=False), strict=True):
+        assert own.encode([t])[0][0] == np.array(e.ids, "<u4").tobytes() and own.count(t) == len(e.ids)
+
+
+@pytest.mark.parametrize("mark", [0, 1])
+def test_over_long_documents_do_not_cost_a_class(spark, make, monkeypatch, mark):
+    monkeypatch.setattr(toxicity, "SAMPLE_LONGEST", 100)
+    rows = [(i, "word " * (5000 if i % 2 == mark and i < 40 else 9)) for i in range(60)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = toxicity.chosen_rows(make(rows).select("doc_id", "text"), labels).collect()
+    assert {r.doc_id for r in got if r.toxic == mark} == {i for i in range(40, 60) if i % 2 == mark and zlib.crc32(str(i).encode()) % 5}
+    all_long = [(i, "word " * (5000 + i) if i % 2 == mark else "short") for i in range(60)]
+    got = [r for r in toxicity.chosen_rows(make(all_long).select("doc_id", "text"), labels).collect() if r.toxic == mark]
+    assert [r.doc_id for r in got] == [min(i for i in range(60) if i % 2 == mark and zlib.crc32(str(i).encode()) % 5)]
+    assert got[0].text == dict(all_long)[got[0].doc_id]

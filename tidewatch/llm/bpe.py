@@ -17,6 +17,7 @@ import hashlib
 import heapq
 import itertools
 import json
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -36,6 +37,11 @@ CACHE_WORDS, CACHE_LONGEST = 60_000, 40
 STRETCH, NEW_WORDS = 16 << 20, 30_000
 
 
+#: Code points outside the blocks whose letters, case and order all versions of Unicode since 5 agree on (a test compares every
+#: one inside with the library): Latin, Greek, Cyrillic, punctuation, kana without marks, common ideographs, Hangul, pictographs.
+UNUSUAL = re.compile("[^\x00-\u02ff\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u048a-\u04ff\u2010-\u2027\u2030-\u205e\u20a0-\u20b5\u3001-\u3020\u3041-\u3096\u30a1-\u30fe\u4e00-\u9fa5\uac00-\ud7a3\U0001f300-\U0001f5ff\U0001f600-\U0001f64f]")
+
+
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte: printable Latin-1 ones stand for themselves, others move above 255."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -52,6 +58,7 @@ class Vocabulary:
     """Symbols and merge ranks of one vocabulary file (kind: BPE, byte-level, word-end suffix)."""
 
     def __init__(self, content: bytes):
+        self.content = content
         spec = json.loads(content)
         model = spec["model"]
         ids, end = model["vocab"], model["end_of_word_suffix"]
@@ -89,14 +96,30 @@ class Vocabulary:
             return [(text, False)]
         return [(s, s in self.special) for s in self.cut_special.split(text) if s]
 
-    @staticmethod
-    def blanks(text: str) -> list[str]:
-        """The normalised text at its white space: no word crosses it. Lower case goes by single characters, so no final sigma."""
+    @functools.cached_property
+    def library(self) -> object:
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.content.decode())
+
+    def blanks(self, text: str) -> list[str]:
+        """The normalised text at its white space: no word crosses it. Lower case goes by single characters, so no final sigma.
+
+        Code points on whose class, case or order versions of Unicode differ are normalised by the vocabulary's library.
+        """
+        if not text.isascii() and UNUSUAL.search(text):
+            return [c for c in self.library.normalizer.normalize_str(text).split(" ") if c]
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python, not to the vocabulary's pattern
             return [c for c in regex.split(r"\p{White_Space}+", text) if c]
         return text.split()
 
+    def split(self, chunk: str) -> list[str]:
+        """The words of a normalised piece without white space."""
+        if not chunk.isascii() and UNUSUAL.search(chunk):
+            return [chunk[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
+        return [chunk] if chunk.isalpha() else self.word.findall(chunk)
+
     # -- pair occurrence index ------------------------------------------------------------------------------------
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
@@ -173,7 +196,7 @@ class Vocabulary:
 
     def learn(self, pieces_: set[str]) -> None:
         """Codes of all these pieces by one index. They stay for the task while its table has room, else until the next call."""
-        split = {c: (c,) if c.isalpha() else self.word.findall(c) for c in pieces_}
+        split = {c: self.split(c) for c in pieces_}
         words = list({w for ws in split.values() for w in ws} - self.coded.keys())
         new = dict(zip(words, self.coded_words(words), strict=True))
         of = {}
@@ -243,7 +266,7 @@ class Vocabulary:
 
     def chunk_tokens(self, chunk: str) -> int:
         n = 0
-        for w in (chunk,) if chunk.isalpha() else self.word.findall(chunk):
+        for w in self.split(chunk):
             k = self.words.get(w)
             if k is None:
                 k = self.word_tokens(w)

@@ -253,22 +253,33 @@ def dense_edges(members: DataFrame, sets: DataFrame, edges: DataFrame) -> DataFr
     return cut(edges.union(block_edges(groups, labels, sets)))
 
 
+def shared_ids(full: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (a, b) between classes that have a doc_id in common; most tables have none."""
+    held = full.select("doc_id", "set_key").distinct()
+    several = held.groupBy("doc_id").agg(F.min("set_key").alias("least"), F.count("*").alias("n")).where("n > 1")
+    pairs = join_facts(held, cut(several), ["doc_id"], F.col("set_key")).where("set_key != least").select("set_key", "least").distinct()
+    first = pairs.join(classes.select("set_key", F.col("node").alias("a")), "set_key")
+    return first.join(classes.select(F.col("set_key").alias("least"), F.col("node").alias("b")), "least").select("a", "b")
+
+
 def jaccard_components(df: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: groups of documents that are linked by Jaccard similarity of at least 0.8.
 
     The set of a document: distinct runs of five words (maximal runs without ASCII white space, A-Z in lower case); with
     fewer words all of them as one; null and empty texts have the empty set, which links with nothing. Rows with a null
-    doc_id link with nothing and have a null component. Rows that share a doc_id share a component; of their sets the one
-    with the smallest key that no smaller doc_id has is compared. Columns but doc_id and text, of any name, are ignored. An
-    empty table gives no rows.
+    doc_id link with nothing and have a null component. Rows that share a doc_id share a component: every one of their sets is
+    compared, and they are joined by an edge. Columns but doc_id and text, of any name, are ignored. An empty table gives no rows.
+
+    Classes of equal sets are nodes with a number of their own, called doc_id within this module's joins.
     """
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     all_rows = cut(prefixes_of(docs))
     full = all_rows.where("n > 0 AND doc_id IS NOT NULL")
-    classes = cut(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
-    chosen = cut(classes.groupBy(F.col("rep").alias("doc_id")).agg(F.min("set_key").alias("set_key")))
-    reps = full.join(chosen, ["doc_id", "set_key"], "left_semi").select("doc_id", "n", "tokens")
-    reps = cut(reps.groupBy("doc_id").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")))  # on the same partitioning
+    classes = cut(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()))
+    chosen = classes.select(F.col("rep").alias("doc_id"), "set_key", "node")
+    reps = full.select("doc_id", "set_key", "n", "tokens").join(chosen, ["doc_id", "set_key"])
+    reps = reps.groupBy("doc_id", "set_key").agg(*[F.first(c).alias(c) for c in ("node", "n", "tokens")])  # on the same partitioning
+    reps = cut(reps.select(F.col("node").alias("doc_id"), "n", "tokens"))
     flagged = cut(with_counts(reps, cut(token_counts(reps))))
     pairs = cut(sparse_pairs(flagged))
     least = F.ceil(F.col("n") * 4 / 5)
@@ -276,14 +287,18 @@ def jaccard_components(df: DataFrame) -> DataFrame:
         F.size(F.filter("c", lambda c: c > RARE)) >= F.least(F.floor((least - F.ceil(least * 4 / 5)) / 4) + 9, least),
     ).select("doc_id")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"), F.lit(False).alias("dense"))
-    wanted = cut(ends.union(dense.select("doc_id", F.lit(True))).groupBy("doc_id").agg(F.max("dense").alias("dense")).join(chosen, "doc_id"))
+    wanted = ends.union(dense.select("doc_id", F.lit(True))).groupBy(F.col("doc_id").alias("node")).agg(F.max("dense").alias("dense"))
+    wanted = cut(wanted.join(chosen, "node"))
     whole = sets_of(docs.join(wanted.select("doc_id"), "doc_id", "left_semi")).join(wanted, ["doc_id", "set_key"])
-    sets = cut(whole.groupBy("doc_id").agg(*[F.first(c).alias(c) for c in ("n", "tokens", "dense")]))
+    sets = cut(whole.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "tokens", "dense")]).withColumnRenamed("node", "doc_id"))
     edges = cut(verified(pairs, sets))
     thick = sets.where("dense").drop("dense")
     edges = dense_edges(dense_signatures(with_counts(thick, cut(token_counts(thick)))), thick, edges)
-    labels = components(edges).withColumnsRenamed({"node": "rep", "component": "comp"})
-    placed = cut(classes.join(labels, "rep", "left").select("set_key", F.coalesce("comp", "rep").alias("component_id"), F.col("n")))
+    labels = cut(components(edges.union(shared_ids(full, classes))))
+    named = labels.join(classes.select("node", "rep"), "node")
+    least = cut(named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n")))
+    found = join_facts(labels, least, ["component"], F.col("node")).select("node", "component_id")
+    placed = cut(classes.join(found, "node", "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id"), F.col("n")))
     linked = join_facts(full.select("doc_id", F.col("n").alias("n_shingles"), "set_key"), placed, ["set_key"], F.col("doc_id"))
     empty = all_rows.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.select("doc_id", "n_shingles", "component_id").union(empty)

@@ -27,9 +27,10 @@ WINDOW, STRIDE = 48, 24
 WORDS, GRAMS = 1 << 16, 1 << 17
 EMBED, HIDDEN = 4, 8
 INPUT = 2 * EMBED + 3
-#: Labelled documents that train the network at most: of each class the first by hash of doc_id, as many as have so many code
-#: points together. Documents are taken whole or not at all.
-SAMPLE_TOXIC, SAMPLE_OTHER, SAMPLE_TEXT = 1200, 2400, 10_000_000
+#: Labelled documents that train the network at most: of each class the first by hash of doc_id. Documents are taken whole or not
+#: at all. Those of more than SAMPLE_LONGEST code points are left out one by one, unless their class has no shorter one; then its
+#: shortest trains. The others train as far as they have SAMPLE_TEXT code points together, so at least 50 of a class do.
+SAMPLE_TOXIC, SAMPLE_OTHER, SAMPLE_LONGEST, SAMPLE_TEXT = 1200, 2400, 200_000, 10_000_000
 FOLDS, EPOCHS, BATCH, RATE = 4, 14, 64, 0.01
 #: Epochs that look for each document's highest window anew.
 LOOK_AT = (0, 1, 2, 4, 7, 10)
@@ -404,8 +405,11 @@ def chosen_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     first = lambda mark, n: marks.where(F.col("toxic") == mark).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = first(1, SAMPLE_TOXIC).union(first(0, SAMPLE_OTHER))  # at most 3,600 rows of 12 bytes
     found = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), "toxic")
-    so_far = F.sum("size").over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    fits = found.select("doc_id", "toxic", F.length("text").alias("size")).select("doc_id", "toxic", so_far.alias("size")).groupBy("doc_id").agg(F.max("size").alias("size")).where(F.col("size") <= SAMPLE_TEXT)
+    sizes = found.groupBy("doc_id", "toxic").agg(F.max(F.length("text")).alias("size")).withColumn("short", F.col("size") <= SAMPLE_LONGEST)
+    of_class = Window.partitionBy("toxic")
+    so_far = F.sum(F.when(F.col("short"), F.col("size")).otherwise(0)).over(of_class.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    alone = ~F.max("short").over(of_class) & (F.row_number().over(of_class.orderBy("size", "doc_id")) == 1)
+    fits = sizes.withColumns({"so_far": so_far, "alone": alone}).where((F.col("short") & (F.col("so_far") <= SAMPLE_TEXT)) | F.col("alone"))
     return found.join(F.broadcast(fits.select("doc_id")), "doc_id")
 
 
