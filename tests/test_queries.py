@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tidewatch.plans import catalog, more  # noqa: F401  register their queries
+from tidewatch.plans import catalog, deeper, more  # noqa: F401  register their queries
 from tidewatch.plans import queries as plans
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

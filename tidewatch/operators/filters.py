@@ -242,12 +242,30 @@ def shrink_payload(df: DataFrame, most: int = 200) -> DataFrame:
     return df.withColumn("payload", out)
 
 
-def digest_payload(df: DataFrame, most: int = 200) -> DataFrame:
-    """As shrink_payload, but numbers keep their length."""
-    return shrink_payload(df, 1 << 20).withColumn(
-        "payload",
-        F.transform_values("payload", lambda k, v: F.when(v.rlike(r"^-?\d+(\.\d+)?$"), v).otherwise(cut(v, most))),
-    )
+# The few keys that the older timeline shows of each artifact.
+DIGEST_KEYS = {
+    "evtx": ("Provider", "EventId", "Channel", "MapDescription"),
+    "registry": ("Category", "KeyPath", "ValueName"),
+    "scheduled_tasks": ("task_name", "run_as"),
+    "prefetch": ("ExecutableName", "RunCount"),
+    "amcache": ("FullPath", "amcache_table"),
+}
+
+
+def digest_payload(df: DataFrame) -> DataFrame:
+    """Adds payload: the artifact's few keys, whole, as text; none for other artifacts; an excerpt of 120 characters (_raw) where the JSON is no object.
+
+    A key that is there with a JSON null keeps a null.
+    """
+    pay = F.col("payload_json")
+    none = F.create_map().cast("map<string,string>")
+    out = none
+    present = F.coalesce(F.json_object_keys(pay), F.array().cast("array<string>"))
+    for artifact, keys in DIGEST_KEYS.items():
+        pairs = F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(*[json_field(pay, k) for k in keys]))
+        out = F.when(F.col("artifact_id") == artifact, F.map_filter(pairs, lambda k, v: F.array_contains(F.col("keys_"), k))).otherwise(out)
+    raw = F.create_map(F.lit("_raw"), F.when(F.length(pay) > 120, F.concat(F.substring(pay, 1, 120), F.lit("...[truncated]"))).otherwise(pay))
+    return df.withColumn("keys_", present).withColumn("payload", F.when(F.json_object_keys(pay).isNull(), raw).otherwise(out)).drop("keys_")
 
 
 def sample_schema(df: DataFrame, event_ids: int = 6, artifacts: int = 8) -> DataFrame:

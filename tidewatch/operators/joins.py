@@ -206,29 +206,34 @@ def missing_inputs(results: DataFrame) -> DataFrame:
 
 # Artifacts that can show a technique.
 ARTIFACTS_OF_TECHNIQUE = {
-    "T1003": ("evtx", "mft"),
-    "T1021": ("evtx", "shellbags"),
-    "T1053": ("scheduled_tasks", "evtx"),
-    "T1059": ("evtx", "prefetch"),
-    "T1070": ("evtx", "usn_journal"),
-    "T1078": ("evtx",),
+    "T1078": ("evtx", "registry"),
+    "T1547.001": ("registry", "lnk"),
+    "T1547.004": ("registry",),
+    "T1546.008": ("registry",),
+    "T1546.012": ("registry",),
+    "T1543.003": ("registry", "evtx"),
+    "T1053.005": ("scheduled_tasks", "evtx"),
+    "T1059.001": ("evtx", "prefetch"),
+    "T1059.003": ("evtx", "prefetch"),
     "T1110": ("evtx",),
-    "T1190": ("w3c_iis", "web_error"),
-    "T1204": ("prefetch", "amcache"),
-    "T1486": ("usn_journal", "mft"),
-    "T1505": ("w3c_iis", "iis_module", "mft"),
-    "T1543": ("registry", "evtx"),
-    "T1547": ("registry",),
-    "T1562": ("registry", "evtx"),
-    "T1566": ("browser_history", "evtx"),
+    "T1003": ("evtx", "prefetch", "amcache"),
+    "T1021": ("evtx",),
+    "T1021.001": ("evtx",),
+    "T1021.002": ("evtx",),
+    "T1070.001": ("evtx",),
+    "T1070.004": ("usn_journal", "mft"),
+    "T1112": ("registry",),
+    "T1083": ("prefetch", "shellbags", "jumplists"),
+    "T1105": ("browser_history", "evtx", "mft"),
+    "T1486": ("mft", "usn_journal", "evtx"),
 }
 
 
 def required_artifacts(techniques: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """Artifacts that can show each technique (by its base id), and whether one of them is at hand."""
+    """Artifacts that can show each technique (by its whole id), and whether one of them is at hand; null for others, which are not covered."""
     spark = techniques.sparkSession
-    table = spark.createDataFrame([(k, list(v)) for k, v in ARTIFACTS_OF_TECHNIQUE.items()], "base string, artifacts array<string>")
-    met = techniques.select("technique").distinct().withColumn("base", F.substring_index("technique", ".", 1)).join(F.broadcast(table), "base", "left")
+    table = spark.createDataFrame([(k, list(v)) for k, v in ARTIFACTS_OF_TECHNIQUE.items()], "technique string, artifacts array<string>")
+    met = techniques.select("technique").distinct().join(F.broadcast(table), "technique", "left")
     held = met.select("technique", F.explode("artifacts").alias("artifact_id")).join(
         artifacts.select("artifact_id").distinct(),
         "artifact_id",
@@ -259,3 +264,79 @@ def explain_actions(actions: DataFrame, findings: DataFrame, clusters: DataFrame
     return actions.join(f, ["rule_source", "rule_id"], "left").join(c, "cluster_id", "left")
 
 
+
+
+#: What explain_records adds; columns that the applying kind does not have are null.
+EXPLANATION = ("branch", "title", "description", "source_path", "sql", "mitre", "events_scanned", "prior_findings", "anomalies", "question", "answer", "open_questions", "attack_phase", "narrative")
+FOLLOW_UPS = ("active_search_generate", "active_search_interpret", "active_search_reframe")
+
+
+def one_spaced(text: Column) -> Column:
+    """Text with every run of white space as one space, and none at its ends."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+
+
+def explain_records(actions: DataFrame, findings: DataFrame, skills: DataFrame, clusters: DataFrame, searches: DataFrame, overall: DataFrame) -> DataFrame:
+    """Log records with what explains them: branch, and the columns of EXPLANATION that it fills; branch is null where nothing does.
+
+    Each record takes the first that applies: a rule's finding by (rule_source, rule_id); a skill's report by the record's detail,
+    unless it is empty; the first search of the record's cluster that ran the same SQL, its own or an attempt, white space aside; where
+    no SQL fits, the cluster's open questions; for model calls the whole narrative, or the cluster's, by the detail.
+
+    actions: actor, kind, detail, rule_source, rule_id, cluster_id, command. findings: source, rule_id, title, description,
+    source_path, sql, tactics, techniques. skills: skill, events_scanned, prior_findings, anomalies (array). clusters: cluster_id, attack_phase,
+    narrative, open_questions (array). searches: cluster_id, place, question, answer, sql, attempts (array). overall: narrative, one row.
+
+    Every attempt is one key (cluster, SQL) that keeps the smallest place, so a record meets one row of each table at most; all are
+    equi-joins, and a record only carries the key of its own kind, the others being null.
+    """
+    tier, kind = F.col("actor"), F.col("kind")
+    is_rule = F.coalesce((tier == "tier1a") & (kind == "rule_sql") & (F.col("rule_id") != "") & (F.col("rule_source") != ""), F.lit(False))
+    is_skill = F.coalesce((tier == "tier1b") & (kind == "llm_call") & (F.col("detail") != ""), F.lit(False))
+    is_sql = F.coalesce((tier == "tier2") & (kind == "active_sql"), F.lit(False))
+    is_call = F.coalesce((tier == "tier2") & (kind == "llm_call"), F.lit(False))
+    cluster = F.coalesce("cluster_id", F.lit(0))
+    keyed = actions.withColumns({
+        "k_source": F.when(is_rule, F.col("rule_source")),
+        "k_rule": F.when(is_rule, F.col("rule_id")),
+        "k_skill": F.when(is_skill, F.col("detail")),
+        "k_cluster": F.when(is_sql | is_call, cluster),
+        "k_sql": F.when(is_sql, one_spaced(F.col("command"))),
+        "k_all": is_call & F.coalesce(F.col("detail") == "overall_synthesis", F.lit(False)),
+        "is_sql": is_sql,
+    })
+    mitre = F.concat(F.coalesce("tactics", F.array()), F.coalesce("techniques", F.array()))
+    by_rule = findings.groupBy(F.col("source").alias("k_source"), F.col("rule_id").alias("k_rule")).agg(
+        F.min(F.struct("title", "description", "source_path", "sql", F.when(F.size(mitre) > 0, mitre).alias("mitre"))).alias("f"),
+    )
+    some = (F.coalesce("events_scanned", F.lit(0)) != 0) | (F.coalesce("prior_findings", F.lit(0)) != 0) | (F.coalesce(F.size("anomalies"), F.lit(0)) > 0)
+    by_skill = skills.where(some).groupBy(F.col("skill").alias("k_skill")).agg(F.min(F.struct("events_scanned", "prior_findings", "anomalies")).alias("s"))
+    tried = searches.select("cluster_id", "place", "question", "answer", F.explode(F.concat(F.array("sql"), F.coalesce("attempts", F.array()))).alias("t"))
+    by_sql = tried.groupBy(F.col("cluster_id").alias("k_cluster"), one_spaced(F.col("t")).alias("k_sql")).agg(F.min(F.struct("place", "question", "answer")).alias("q"))
+    by_cluster = clusters.groupBy(F.col("cluster_id").alias("k_cluster")).agg(F.min(F.struct("attack_phase", "narrative", "open_questions")).alias("c"))
+    whole = overall.where("narrative != ''").groupBy(F.lit(True).alias("k_all")).agg(F.min("narrative").alias("w"))
+    held = keyed.join(by_rule, ["k_source", "k_rule"], "left").join(by_skill, "k_skill", "left").join(by_sql, ["k_cluster", "k_sql"], "left")
+    held = held.join(by_cluster, "k_cluster", "left").join(F.broadcast(whole), "k_all", "left")  # one row
+    asked = F.col("is_sql") & F.col("q").isNull() & (F.coalesce(F.size("c.open_questions"), F.lit(0)) > 0)
+    of_cluster = ~F.col("is_sql") & F.col("c").isNotNull()
+    branch = F.coalesce(
+        F.when(F.col("f").isNotNull(), "rule"),
+        F.when(F.col("s").isNotNull(), "skill"),
+        F.when(F.col("q").isNotNull(), "search"),
+        F.when(asked, "open_questions"),
+        F.when(F.col("k_all") & F.col("w").isNotNull(), "overall"),
+        F.when(of_cluster & (F.col("detail") == "cluster_analysis"), "cluster"),
+        F.when(of_cluster & F.col("detail").isin(*FOLLOW_UPS), "follow_up"),
+    )
+    held = held.withColumn("branch", branch)
+    within = lambda *names: F.col("branch").isin(*names)
+    return held.select(
+        *actions.columns,
+        "branch",
+        *[F.col(f"f.{c}").alias(c) for c in ("title", "description", "source_path", "sql", "mitre")],
+        *[F.col(f"s.{c}").alias(c) for c in ("events_scanned", "prior_findings", "anomalies")],
+        *[F.col(f"q.{c}").alias(c) for c in ("question", "answer")],
+        F.when(within("open_questions", "cluster", "follow_up"), F.col("c.open_questions")).alias("open_questions"),
+        F.when(within("cluster", "follow_up"), F.col("c.attack_phase")).alias("attack_phase"),
+        F.when(within("overall"), F.col("w")).when(within("cluster"), F.col("c.narrative")).alias("narrative"),
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import event_data, image_of, norm_user, phase_rank, severity_rank, suspicious_path
+from ..functions.scalars import event_data, image_of, legacy_image_of, norm_user, phase_rank, severity_rank, suspicious_path
 from ..model import kept, micros, seconds
 from .filters import drop_evtx_noise
 from .joins import burst_success, near_findings
@@ -128,7 +128,7 @@ DIVERSITY_BOOST = {
 }
 
 
-def anomaly_candidates(df: DataFrame, cited: DataFrame, times: DataFrame, max_rows: int, boost: dict[str, int] | None = None, single_backslash: bool = False) -> DataFrame:
+def anomaly_candidates(df: DataFrame, cited: DataFrame, times: DataFrame, max_rows: int) -> DataFrame:
     """Scored events of the sample that are not cited yet: lenses, score, total; the top max_rows of each case by score and time.
 
     A1 before 6 or from 22 o'clock 2, A2 watched path 3, A4 image seen fewer than 3 times in the sample 2, A5 within 30
@@ -144,11 +144,11 @@ def anomaly_candidates(df: DataFrame, cited: DataFrame, times: DataFrame, max_ro
     ).join(images, ["case_id", "image_"], "left").join(near, ["case_id", "audit_id"], "left")
     hour = F.hour("ts_utc")
     points = F.lit(0)
-    for artifact, value in (DIVERSITY_BOOST if boost is None else boost).items():
+    for artifact, value in DIVERSITY_BOOST.items():
         points = F.when(F.col("artifact_id") == artifact, F.lit(value)).otherwise(points)
     lenses = [
         ("A1", (hour < 6) | (hour >= 22), F.lit(2)),
-        ("A2", suspicious_path(F.col("payload_json"), single_backslash), F.lit(3)),
+        ("A2", suspicious_path(F.col("payload_json")), F.lit(3)),
         ("A4", F.col("n_img") < 3, F.lit(2)),
         ("A5", F.coalesce("near_", F.lit(False)), F.lit(1)),
         ("A0", points > 0, points),
@@ -165,8 +165,47 @@ def anomaly_candidates(df: DataFrame, cited: DataFrame, times: DataFrame, max_ro
     return top.join(totals, "case_id").select("case_id", "audit_id", "artifact_id", "ts_utc", "lenses", "score", "place", "total")
 
 
+def earliest_rows(df: DataFrame, most: int) -> DataFrame:
+    """The `most` earliest rows of each case (ties by audit_id, those without a time last), over all its artifacts.
+
+    A table of rows a case and day gives the day on which the bound is reached; later rows are cut before any exchange of whole
+    rows, and the rest goes through ranges.top_rows.
+    """
+    day = F.coalesce(F.datediff("ts_utc", F.lit("1970-01-01")), F.lit(1 << 30))
+    days = df.groupBy("case_id", day.alias("day_")).agg(F.count("*").alias("n_"))
+    before = F.sum("n_").over(Window.partitionBy("case_id").orderBy("day_").rowsBetween(Window.unboundedPreceding, -1))
+    until = days.withColumn("before_", F.coalesce(before, F.lit(0))).where(F.col("before_") < most).groupBy("case_id").agg(F.max("day_").alias("until_"))
+    early = df.withColumn("day_", day).join(until, "case_id").where("day_ <= until_").drop("day_", "until_")
+    return top_rows(early, ["case_id"], [F.col("ts_utc").asc_nulls_last(), F.col("audit_id").asc()], most, "r_", F.col("audit_id")).drop("r_")
+
+
 def anomaly_candidates_legacy(df: DataFrame, cited: DataFrame, times: DataFrame, max_rows: int) -> DataFrame:
-    return anomaly_candidates(df, cited, times, max_rows, boost={}, single_backslash=True)
+    """The older candidates: of each case's earliest max(1000, 5 max_rows) events those with points that are not cited yet.
+
+    A1 before 6 or from 22 o'clock 2, A2 watched path 3, A4 image seen fewer than 3 times in the sample 2, A5 within 30 minutes of
+    a prior finding 1; the top max_rows of each case by score and time. total counts all events of the case.
+    """
+    most = max(1000, 5 * max_rows)
+    sample = kept(earliest_rows(df, most).withColumn("image_", F.lower(legacy_image_of(F.col("payload_json")))))  # each lens reads it
+    images = sample.where("image_ != ''").groupBy("case_id", "image_").agg(F.count("*").alias("n_img"))
+    near = near_findings(sample.select("case_id", "audit_id", "ts_utc"), times).select("case_id", "audit_id", F.lit(True).alias("near_")).distinct()
+    rows = sample.join(cited.select("case_id", "audit_id").distinct(), ["case_id", "audit_id"], "left_anti")
+    rows = rows.join(images, ["case_id", "image_"], "left").join(near, ["case_id", "audit_id"], "left")
+    hour = F.hour("ts_utc")
+    lenses = [
+        ("A1", (hour < 6) | (hour >= 22), 2),
+        ("A2", suspicious_path(F.col("payload_json"), single=True), 3),
+        ("A4", F.col("n_img") < 3, 2),
+        ("A5", F.col("near_"), 1),
+    ]
+    hit = {name: F.coalesce(on, F.lit(False)) for name, on, _ in lenses}
+    score = sum((F.when(hit[name], F.lit(points)).otherwise(0) for name, _, points in lenses), F.lit(0))
+    named = F.array_compact(F.array(*[F.when(on, F.lit(name)) for name, on in hit.items()]))
+    scored = rows.withColumn("lenses", named).withColumn("score", score.cast("int")).where("score > 0")
+    order = Window.partitionBy("case_id").orderBy(F.desc("score"), F.col("ts_utc").asc_nulls_first(), "audit_id")
+    top = scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_rows)
+    totals = df.groupBy("case_id").agg(F.count("*").alias("total"))
+    return top.join(totals, "case_id").select("case_id", "audit_id", "artifact_id", "ts_utc", "lenses", "score", "place", "total")
 
 
 def merge_candidates(cached: DataFrame, scored: DataFrame, cap: int) -> DataFrame:

@@ -647,21 +647,6 @@ def only_approved(spark, sf_dir):
     return L.only_approved(reviewed(spark, sf_dir)).select("finding_id")
 
 
-@query(f"{EV} SELECT audit_id, CAST(k * 1000000 AS VARCHAR) AS number, 'value' || '...' AS text FROM ev WHERE artifact_id = 'evtx'")
-def digest_payload(spark, sf_dir):
-    e = events(spark, sf_dir).where("artifact_id = 'evtx'").withColumn(
-        "payload_json",
-        F.concat(
-            F.lit('{"EventId":'),
-            (F.col("k") * 1000000).cast("string"),
-            F.lit(',"Channel":"values of '),
-            F.col("event_type"),
-            F.lit('","Dropped":1}'),
-        ),
-    )
-    return L.digest_payload(e, 5).select("audit_id", F.col("payload")["EventId"].alias("number"), F.col("payload")["Channel"].alias("text"))
-
-
 @query(f"{EV} SELECT audit_id, event_type AS kept, cardinality AS n_keys FROM (SELECT audit_id, event_type, CASE artifact_id WHEN 'registry' THEN 2 WHEN 'mft' THEN 1 WHEN 'evtx' THEN 1 WHEN 'prefetch' THEN 1 ELSE 1 END AS cardinality FROM ev)")
 def shrink_payload_keys(spark, sf_dir):
     """The kept keys of every artifact."""
@@ -925,21 +910,6 @@ def bruteforced_accounts(spark, sf_dir):
     return W.bruteforced_accounts(e)
 
 
-@query(f"{EV}, s AS (SELECT *, CASE WHEN hour(ts_utc) < 6 OR hour(ts_utc) >= 22 THEN 2 ELSE 0 END + CASE WHEN k % 4 = 0 THEN 3 ELSE 0 END AS score FROM ev), p AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, ts_utc, audit_id) AS place, count(*) OVER (PARTITION BY case_id) AS total FROM s WHERE score > 0) SELECT case_id, audit_id, score, place, total FROM p WHERE place <= 2000")
-def anomaly_candidates_legacy(spark, sf_dir):
-    e = events(spark, sf_dir).withColumn(
-        "payload_json",
-        F.when(F.col("k") % 4 == 0, F.lit('{"p":"c:\\windows\\temp\\b"}')).otherwise(F.lit('{"p":"c:\\\\windows\\\\temp\\\\b"}')),
-    )
-    none = e.limit(0)
-    return W.anomaly_candidates_legacy(
-        e,
-        none.select("case_id", "audit_id"),
-        none.select("case_id", F.col("ts_utc").alias("ts")),
-        2000,
-    ).select("case_id", "audit_id", "score", "place", F.col("total"))
-
-
 @query(f"{EV}, b AS (SELECT case_id, audit_id, ts_utc, 0 AS p, 10 AS score FROM ev WHERE k < 10 UNION ALL SELECT case_id, audit_id, ts_utc, 1, k FROM ev WHERE k >= 5), o AS (SELECT case_id, audit_id, min(ts_utc) AS ts_utc, min(p) AS p, max(score) AS score, count(*) AS n_lenses FROM b GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY p, score DESC, ts_utc, audit_id) AS place FROM o) SELECT case_id, audit_id, score, n_lenses, place FROM r WHERE place <= 900")
 def merge_candidates(spark, sf_dir):
     e = events(spark, sf_dir)

@@ -111,15 +111,6 @@ def input_presence(spark, sf_dir):
     return J.input_presence(catalog, held, e.select(F.col("event_type").alias("channel"))).select("input_id", "present")
 
 
-@query(f"WITH {EVENTS_SQL} SELECT DISTINCT 'T' || CAST(1000 + k AS VARCHAR) AS technique, 1000 + k IN (1003, 1021, 1053, 1059, 1070, 1078) AS covered FROM ev")
-def required_artifacts(spark, sf_dir):
-    e = with_k(unified_events(spark, sf_dir))
-    return J.required_artifacts(
-        e.select(F.concat(F.lit("T"), (F.col("k") + 1000).cast("string")).alias("technique")),
-        e,
-    ).select("technique", "covered")
-
-
 @query("SELECT n_nationkey AS case_id, c_custkey AS evidence_id, CASE WHEN c_custkey % 3 = 0 THEN 'Asia/Tokyo' WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'UTC' END AS timezone, c_custkey % 3 = 0 AS overridden FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def evidence_with_tz(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("case_id"), F.col("c_custkey").alias("evidence_id"))

@@ -6,7 +6,7 @@ from an earlier one (the W3C directive) is found by line number, not by reading
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import local_to_utc, split_uri
@@ -70,13 +70,29 @@ def detect_error_format(lines: DataFrame) -> DataFrame:
     return lines.where("line_no < 50").groupBy("file").agg(F.min_by(F.struct(kind.alias("k")), "line_no").alias("k_")).select("file", F.col("k_.k").alias("format"))
 
 
+#: Lines of a file that one task looks through for directives.
+BLOCK_LINES = 100_000
+
+
+def with_directive(lines: DataFrame, block: int = BLOCK_LINES) -> DataFrame:
+    """Lines with f_, the fields of the last directive before them in their file, and without the directives.
+
+    Carried over blocks: each block of a file gives its last directive, a table of one row a block gives every block the last one
+    of those before it, and within a block the last one seen so far counts.
+    """
+    names = F.split(F.trim(F.expr("substring(line, 9)")), r"\s+")
+    told = lines.withColumn("d_", F.when(F.col("line").startswith("#Fields:"), names)).withColumn("b_", F.floor(F.col("line_no") / block))
+    blocks = told.groupBy("file", "b_").agg(F.max_by("d_", F.when(F.col("d_").isNotNull(), F.col("line_no"))).alias("last_"))
+    before = F.last("last_", True).over(Window.partitionBy("file").orderBy("b_").rowsBetween(Window.unboundedPreceding, -1))
+    carried = blocks.select("file", "b_", before.alias("carry_"))
+    inside = Window.partitionBy("file", "b_").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    held = told.join(carried, ["file", "b_"]).withColumn("f_", F.coalesce(F.last("d_", True).over(inside), F.col("carry_")))
+    return held.where("d_ IS NULL").drop("d_", "b_", "carry_")
+
+
 def parse_w3c_log(lines: DataFrame) -> DataFrame:
     """file, line_no, ts_utc, row (field -> value): fields by the last directive before the line; short rows are padded with '-', what is over joins the last field."""
-    fields = F.split(F.trim(F.substring("line", 9, 100000)), r"\s+").alias("names")
-    told = lines.where(F.col("line").startswith("#Fields:")).select("file", F.struct(F.col("line_no").alias("at"), fields).alias("d"))
-    directives = told.groupBy("file").agg(F.array_sort(F.collect_list("d")).alias("all_"))  # one for each start of the server
-    last = F.try_element_at(F.filter("all_", lambda d: d["at"] < F.col("line_no")), F.lit(-1))["names"]
-    rows = lines.where(~F.col("line").startswith("#")).join(directives, "file").withColumn("f_", last).where(F.col("f_").isNotNull())
+    rows = with_directive(lines).where(~F.col("line").startswith("#") & F.col("f_").isNotNull())
     n, parts = F.size("f_"), F.split("line", " ")
     padded = F.concat(parts, F.array_repeat(F.lit("-"), F.greatest(F.lit(0), n - F.size(parts))))
     folded = F.when(
