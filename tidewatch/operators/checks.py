@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import base_technique, canonical_tactic, event_data, evtx_time, is_web_root, json_field, phase_rank, time_change_benign
@@ -79,19 +79,28 @@ CONTROL_MARKS = (
 )
 CONTROL_PROSE = ("defender", "antivirus", "anti-virus", "amsi", "applocker", "quarantine", "blocked", "検知", "遮断", "ブロック", "検疫", "防御製品", "セキュリティ製品")
 SALIENT = ("critical", "high")
-# This library's own actions by tactic, and what a tactic puts at risk.
+# Actions by tactic ("*": always), in the order in which each kind lists them.
 ACTIONS = (
-    ("initial-access", "containment", "block the entry point"), ("execution", "containment", "stop the processes"), ("persistence", "eradication", "remove the autostart entries"), (
-        "privilege-escalation",
-        "eradication",
-        "patch and reset privileges",
-    ), ("defense-evasion", "recovery", "restore logging and protection"),
-    ("credential-access", "containment", "reset the credentials"), ("lateral-movement", "containment", "isolate the hosts"), (
-        "collection",
-        "recovery",
-        "review the data that was gathered",
-    ), ("command-and-control", "containment", "block the addresses"), ("exfiltration", "recovery", "assess the data that left"), ("impact", "recovery", "restore from backups"), ("*", "recovery", "keep the evidence and watch for a return"),
+    ("credential-access", "containment", "Force-reset passwords for potentially compromised accounts and revoke active sessions"),
+    ("credential-access", "eradication", "Double-reset the KRBTGT account and monitor for abuse of stolen credentials"),
+    ("credential-access", "recovery", "Enforce multi-factor authentication for privileged accounts"),
+    ("defense-evasion", "containment", "Enable centralized event-log forwarding (WEF/SIEM) to resist further tampering"),
+    ("defense-evasion", "recovery", "Harden the audit policy and alert on log-clear events (EID 1102/104)"),
+    ("execution", "containment", "Terminate the identified suspicious processes and quarantine the associated binaries"),
+    ("execution", "eradication", "Remove dropped binaries (e.g. under C:\\Users\\Public)"),
+    ("execution", "recovery", "Consider application allow-listing (WDAC/AppLocker)"),
+    ("persistence", "eradication", "Remove malicious scheduled tasks, services and autorun entries"),
+    ("lateral-movement", "containment", "Restrict RDP, admin shares and WMI; isolate affected hosts on the network"),
+    ("lateral-movement", "eradication", "Identify and investigate candidate lateral-movement destination hosts"),
+    ("initial-access", "containment", "Disable potentially compromised accounts and block internet-exposed RDP"),
+    ("command-and-control", "containment", "Block communication to the identified C2 and isolate related hosts"),
+    ("impact", "containment", "Isolate affected hosts to prevent further destructive actions"),
+    ("impact", "eradication", "Verify the status of deleted shadow copies / backups"),
+    ("impact", "recovery", "Validate recovery from offline, tamper-resistant backups"),
+    ("*", "eradication", "Manually review every finding in this report and resolve the open questions"),
+    ("*", "recovery", "After scoping is complete, consider clean rebuilds of compromised hosts"),
 )
+# What a tactic puts at risk; this library's own words.
 AT_RISK = (
     ("credential-access", "account credentials"),
     ("collection", "user data"),
@@ -365,10 +374,12 @@ def entry_vector(mapping: DataFrame) -> DataFrame:
 
 
 def recommendations(f: DataFrame) -> DataFrame:
-    """Actions for the tactics of each case, and the general one."""
-    table = f.sparkSession.createDataFrame(list(ACTIONS), "tactic string, kind string, action string")
+    """case_id, kind, place, action, tactic: the actions for the tactics of each case and the general ones, numbered within their kind."""
+    rows = [(t, kind, i, action) for i, (t, kind, action) in enumerate(ACTIONS)]
+    table = f.sparkSession.createDataFrame(rows, "tactic string, kind string, i int, action string")
     tactics = f.select("case_id", F.explode("tactics").alias("tactic")).union(f.select("case_id", F.lit("*").alias("tactic"))).distinct()
-    return tactics.join(F.broadcast(table), "tactic").select("case_id", "kind", "action", "tactic")
+    place = F.row_number().over(Window.partitionBy("case_id", "kind").orderBy("i"))
+    return tactics.join(F.broadcast(table), "tactic").withColumn("place", place).select("case_id", "kind", "place", "action", "tactic")
 
 
 def timeline_view(f: DataFrame, clustered: DataFrame, noise: DataFrame | None = None) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import BAR, json_field, like_any, like_ci, norm_level, tactic_slugs, technique_ids
 from ..model import kept
+from .ranges import top_rows
 
 
 @dataclass(frozen=True)
@@ -783,10 +784,8 @@ def run_learned_queries(df: DataFrame, queries: tuple[Rule, ...], cap: int = 100
     """(candidates with lens S0 and score 10, queries of each event; hit totals of each query) of learned queries, in one scan."""
     hits = rule_hits(df, queries)
     totals = hits.groupBy("rule_id").agg(F.count("*").alias("hits"))
-    ranked = hits.withColumn(
-        "r_",
-        F.row_number().over(Window.partitionBy("case_id", "rule_id").orderBy(F.col("ts_utc").asc_nulls_last(), "audit_id")),
-    ).where(F.col("r_") <= cap)
+    order = [F.col("ts_utc").asc_nulls_last(), F.col("audit_id").asc()]
+    ranked = top_rows(hits, ["case_id", "rule_id"], order, cap, "r_", F.col("audit_id"))
     found = ranked.groupBy("case_id", "audit_id").agg(
         F.array_sort(F.collect_set("rule_id")).alias("queries"),
         F.min("ts_utc").alias("ts_utc"),

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.iocs import UNUSED_ADDRESSES, finding_iocs as iocs_of_findings, iocs_found_sql
 from ..model import EVENT_SCHEMA, EVENTS_SQL, shared_folder, table, unified_events
 from ..operators import filters as L
 from ..operators import joins as J
@@ -150,3 +151,18 @@ def explain_records(spark, sf_dir):
     overall = e.agg(F.count("*").alias("n")).select(F.lit("all").alias("narrative"))
     out = J.explain_records(actions, rules, skills, clusters, searches.union(more), overall)
     return out.select("event_id", "branch", "title", "events_scanned", F.col("question").cast("int").alias("question"), F.size("open_questions").alias("n_open"), "narrative")
+
+
+FOUND_SQL = " UNION ALL ".join(f"SELECT * FROM ({iocs_found_sql('d', 'doc_id', c)})" for c in ("summary", "reasoning", "excerpt"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, lang, text AS summary, 'from 10.' || CAST(doc_id % 50 AS VARCHAR) || '.0.7, C:{chr(92)}Temp{chr(92)}Run' || source || '.exe.' AS reasoning, 'TaskName: {chr(92)}Job' || CAST(doc_id % 9 AS VARCHAR) AS excerpt FROM documents),
+x AS (SELECT id, type, trim(value) AS value FROM ({FOUND_SQL}) WHERE trim(value) <> '' AND NOT (type = 'ipv4' AND value IN {UNUSED_ADDRESSES}))
+SELECT type, lower(value) AS key, min(value) AS value, count(DISTINCT id) AS n_findings, string_agg(DISTINCT lang, ',' ORDER BY lang) AS tactics FROM x JOIN d ON d.doc_id = x.id GROUP BY 1, 2""")
+def finding_iocs(spark, sf_dir):
+    """Documents as findings: the text is the summary, the language the tactic."""
+    d = table(spark, sf_dir, "documents")
+    ten = F.concat(F.lit("from 10."), (F.col("doc_id") % 50).cast("string"), F.lit(".0.7, C:\\Temp\\Run"), F.col("source"), F.lit(".exe."))
+    excerpts = F.array(F.concat(F.lit("TaskName: \\Job"), (F.col("doc_id") % 9).cast("string")))
+    f = d.select(F.col("doc_id").cast("string").alias("finding_id"), F.col("lang").alias("tactic"), F.col("text").alias("summary"), ten.alias("reasoning"), excerpts.alias("excerpts"))
+    return iocs_of_findings(f)[0].withColumn("tactics", F.array_join("tactics", ","))

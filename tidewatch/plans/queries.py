@@ -579,9 +579,12 @@ def case_consistency(spark, sf_dir):
     return C.check_case_consistency(f, unified_events(spark, sf_dir).withColumn("computer", F.when(case == "C1", "ONE").otherwise(F.col("computer"))))
 
 
-@query(f"WITH {FE}, a AS (SELECT * FROM (VALUES ('initial-access','containment'),('execution','containment'),('persistence','eradication'),('credential-access','containment'),('lateral-movement','containment'),('impact','recovery')) t(tactic, kind)) SELECT DISTINCT case_id, kind, tactic FROM fe JOIN a USING (tactic) UNION SELECT DISTINCT case_id, 'recovery', '*' FROM fe")
+ACTIONS_SQL = ", ".join(f"('{t}', '{kind}', {i}, '{action}')" for i, (t, kind, action) in enumerate(C.ACTIONS))
+
+
+@query(f"WITH {FE}, a(tactic, kind, i, action) AS (VALUES {ACTIONS_SQL}), t AS (SELECT DISTINCT case_id, tactic FROM fe UNION SELECT DISTINCT case_id, '*' FROM fe) SELECT case_id, kind, CAST(row_number() OVER (PARTITION BY case_id, kind ORDER BY i) AS INTEGER) AS place, action, tactic FROM t JOIN a USING (tactic)")
 def recommendations(spark, sf_dir):
-    return C.recommendations(findings(spark, sf_dir)).select("case_id", "kind", "tactic")
+    return C.recommendations(findings(spark, sf_dir))
 
 
 @query(f"WITH {FE} SELECT case_id, string_agg(DISTINCT computer, ',' ORDER BY computer) AS hosts, string_agg(DISTINCT 'u' || CAST(k % 10 AS VARCHAR), ',' ORDER BY 'u' || CAST(k % 10 AS VARCHAR)) AS accounts FROM fe GROUP BY 1")
