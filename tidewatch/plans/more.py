@@ -96,17 +96,21 @@ def apply_review(spark, sf_dir):
     return J.apply_review(f, d)[0].select("finding_id", "approved", "rejected")
 
 
-@query(f"WITH {CL}, a AS (SELECT case_id, source, rule_id, max(cluster_id) AS c FROM cl GROUP BY ALL) SELECT f.case_id, finding_id, c AS cluster_id FROM f JOIN a USING (case_id, source, rule_id)")
+@query(f"WITH {CL}, r AS (SELECT case_id, source, CASE WHEN rule_id IN ('R3', 'R13') THEN 'gone' ELSE rule_id END AS rule_id, title, cluster_id FROM cl WHERE title <> ' Event 13'), a AS (SELECT case_id, source, rule_id, max(cluster_id) AS c FROM r GROUP BY ALL), t AS (SELECT case_id, title, min(cluster_id) AS c FROM r GROUP BY ALL) SELECT f.case_id, finding_id, coalesce(a.c, t.c, 0) AS cluster_id FROM f LEFT JOIN a USING (case_id, source, rule_id) LEFT JOIN t ON t.case_id = f.case_id AND t.title = f.title")
 def assign_cluster(spark, sf_dir):
+    """Two rules lost their reference, so that the title decides, and one title has none either."""
     c = W.cluster_findings(W.first_evidence(findings(spark, sf_dir)))
     refs = c.select("case_id", "source", "rule_id", "title", "cluster_id", F.col("cluster_id").alias("pos"))
+    refs = refs.where("title != ' Event 13'").withColumn("rule_id", F.when(F.col("rule_id").isin("R3", "R13"), "gone").otherwise(F.col("rule_id")))
     return J.assign_cluster(c.drop("cluster_id"), refs).select("case_id", "finding_id", "cluster_id")
 
 
-@query(f"WITH {EVENTS_SQL} SELECT DISTINCT artifact_id AS input_id, artifact_id IN ('mft', 'registry') AS present FROM ev")
+@query(f"WITH {EVENTS_SQL} SELECT DISTINCT artifact_id AS input_id, artifact_id IN ('mft', 'registry', 'evtx') AS present FROM ev")
 def input_presence(spark, sf_dir):
     e = unified_events(spark, sf_dir)
-    catalog = e.select(F.col("artifact_id").alias("input_id"), "artifact_id").distinct().withColumn("tokens", F.array().cast("array<string>"))
+    catalog = e.select(F.col("artifact_id").alias("input_id"), "artifact_id").distinct()
+    tokens = F.when(F.col("artifact_id") == "evtx", F.array(F.lit(""), F.lit("nowhere"), F.lit("eRRo"))).when(F.col("artifact_id") == "prefetch", F.array(F.lit("nowhere")))
+    catalog = catalog.withColumn("tokens", F.coalesce(tokens, F.array().cast("array<string>")))
     held = e.where("artifact_id IN ('mft', 'registry')")
     return J.input_presence(catalog, held, e.select(F.col("event_type").alias("channel"))).select("input_id", "present")
 
@@ -135,9 +139,9 @@ def full_clusters(spark, sf_dir) -> DataFrame:
     )
 
 
-@query(f"WITH {CL} SELECT case_id, technique, count(DISTINCT cluster_id) AS n_clusters, min(tactic) AS tactic FROM cl GROUP BY 1, 2")
+@query(f"WITH {CL} SELECT case_id, technique, count(DISTINCT cluster_id) AS n_clusters, min(tactic) AS tactic FROM cl WHERE cluster_id % 4 <> 1 GROUP BY 1, 2")
 def mitre_mapping(spark, sf_dir):
-    return A.mitre_mapping(full_clusters(spark, sf_dir).withColumn("benign", F.lit(False))).select("case_id", "technique", "n_clusters", "tactic")
+    return A.mitre_mapping(full_clusters(spark, sf_dir).withColumn("benign", F.col("cluster_id") % 4 == 1)).select("case_id", "technique", "n_clusters", "tactic")
 
 
 @query(f"WITH {CL} SELECT case_id, 'T9999' AS technique, count(DISTINCT cluster_id) AS n_clusters FROM cl GROUP BY 1")
@@ -161,9 +165,9 @@ def technique_conflicts(spark, sf_dir):
     return C.technique_conflicts(rows.where("k < 40"), rows.where("k > 55"))
 
 
-@query(f"WITH {CL}, p AS (SELECT case_id, cluster_id, min(tactic) AS phase, min(first_ts) AS s FROM cl GROUP BY 1, 2) SELECT case_id, cluster_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY list_position(['initial-access','execution','persistence','privilege-escalation','defense-evasion','credential-access','discovery','lateral-movement','collection','command-and-control','exfiltration','impact'], phase), s, cluster_id) AS INTEGER) AS step FROM p")
+@query(f"WITH {CL}, p AS (SELECT case_id, cluster_id, min(tactic) AS phase, min(first_ts) AS s FROM cl GROUP BY 1, 2) SELECT case_id, cluster_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY list_position(['initial-access','execution','persistence','privilege-escalation','defense-evasion','credential-access','discovery','lateral-movement','collection','command-and-control','exfiltration','impact'], phase), s, cluster_id) AS INTEGER) AS step FROM p WHERE cluster_id % 5 <> 2")
 def intrusion_path(spark, sf_dir):
-    return W.intrusion_path(full_clusters(spark, sf_dir).withColumn("noise", F.lit(False))).select("case_id", "cluster_id", "step")
+    return W.intrusion_path(full_clusters(spark, sf_dir).withColumn("noise", F.col("cluster_id") % 5 == 2)).select("case_id", "cluster_id", "step")
 
 
 @query(f"WITH {CL} SELECT case_id, cluster_id, tactic, count(*) AS n_findings FROM cl WHERE severity IN ('critical', 'high') GROUP BY ALL")
@@ -191,9 +195,12 @@ def evidence_appendix(spark, sf_dir):
     return W.evidence_appendix(findings(spark, sf_dir)).select("case_id", "finding_id", "audit_id", "artifact_id")
 
 
-@query(f"WITH {FE} SELECT case_id, finding_id, least(n_e, 3) AS n FROM f")
+@query(f"WITH {FE} SELECT case_id, finding_id, array_to_string(list_slice(list(audit_id ORDER BY ts_utc, audit_id), 1, 3), ',') AS preview FROM fe GROUP BY 1, 2")
 def evidence_preview(spark, sf_dir):
-    return W.evidence_preview(findings(spark, sf_dir)).select("case_id", "finding_id", F.size("preview").cast("long").alias("n"))
+    f = findings(spark, sf_dir)
+    in_time = F.array_sort("evidence", lambda a, b: F.when(a["ts_utc"] < b["ts_utc"], -1).when(a["ts_utc"] > b["ts_utc"], 1).when(a["audit_id"] < b["audit_id"], -1).otherwise(1))
+    preview = F.transform("preview", lambda e: e["audit_id"])
+    return W.evidence_preview(f.withColumn("evidence", in_time)).select("case_id", "finding_id", F.array_join(preview, ",").alias("preview"))
 
 
 @query(f"WITH {EVENTS_SQL}, t AS (SELECT case_id, ts_utc, computer, ['TA0001','TA0002','TA0008','TA0009','TA0040'][k % 5 + 1] AS tactic FROM ev) SELECT case_id, count(DISTINCT computer) AS n_hosts, count(DISTINCT tactic) AS n_tactics, round(greatest(0, epoch_us(max(ts_utc) FILTER (tactic IN ('TA0040', 'TA0009', 'TA0008'))) - epoch_us(min(ts_utc) FILTER (tactic = 'TA0001'))) / 3600000000.0, 4) AS dwell_hours FROM t GROUP BY 1")
@@ -406,14 +413,14 @@ def parse_feature_files(spark, sf_dir):
     return P.parse_feature_files(log_lines(spark, sf_dir, line)).select("line_no", "offset", "value", "context")
 
 
-@query("SELECT event_id AS visit_id, ts AS ts_utc, ['link','typed','bookmark'][user_id % 3 + 1] AS transition FROM events")
+@query("SELECT e.event_id AS visit_id, e.ts AS ts_utc, ['link','typed','bookmark'][e.user_id % 3 + 1] AS transition, p.event_type AS referrer_url FROM events e LEFT JOIN events p ON p.event_id = e.event_id - 1 AND e.event_id % 2 = 0")
 def browser_visits_firefox(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     h = e.select(
         F.col("event_id").alias("id"),
         F.col("event_type").alias("place_id"),
         F.unix_micros(stamp()).alias("visit_date"),
-        F.lit(None).cast("long").alias("from_visit"),
+        F.when(F.col("event_id") % 2 == 0, F.col("event_id") - 1).alias("from_visit"),
         (F.col("user_id") % 3 + 1).alias("visit_type"),
     )
     places = e.select(F.col("event_type").alias("id")).distinct().select(
@@ -423,7 +430,7 @@ def browser_visits_firefox(spark, sf_dir):
         F.lit(1).alias("visit_count"),
         F.lit(0).alias("typed"),
     )
-    return T.browser_visits_firefox(h, places).select("visit_id", "ts_utc", "transition")
+    return T.browser_visits_firefox(h, places).select("visit_id", "ts_utc", "transition", "referrer_url")
 
 
 @query("SELECT event_id, 'T' || CAST(1000 + user_id % 90 AS VARCHAR) AS techniques, 'impact' AS tactics FROM events")

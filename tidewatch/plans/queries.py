@@ -721,14 +721,14 @@ def detect_log_format(spark, sf_dir):
     return P.detect_log_format(access_lines(spark, sf_dir))
 
 
-@query("SELECT event_id AS visit_id, make_timestamp(epoch_us(ts)) AS ts_utc, event_type AS url, CAST(NULL AS VARCHAR) AS referrer_url, ['link','typed','auto_bookmark'][user_id % 3 + 1] AS transition FROM events")
+@query("SELECT e.event_id AS visit_id, make_timestamp(epoch_us(e.ts)) AS ts_utc, e.event_type AS url, p.event_type AS referrer_url, ['link','typed','auto_bookmark'][e.user_id % 3 + 1] AS transition FROM events e LEFT JOIN events p ON p.event_id = e.event_id - 1 AND e.event_id % 2 = 0")
 def browser_visits(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     visits = e.select(
         F.col("event_id").alias("id"),
         F.col("event_type").alias("url"),
         (F.unix_micros(F.col("ts").cast("timestamp")) + 11644473600000000).alias("visit_time"),
-        F.lit(None).cast("long").alias("from_visit"),
+        F.when(F.col("event_id") % 2 == 0, F.col("event_id") - 1).alias("from_visit"),
         (F.col("user_id") % 3 + 512).cast("int").alias("transition"),
     )
     urls = e.select(F.col("event_type").alias("id")).distinct().select(
