@@ -85,6 +85,15 @@ def unpack_keys(data: bytes, n: int, width: int) -> np.ndarray:
     return np.bitwise_xor.accumulate(loosen(data, n, width), axis=0).view(f"S{width}").ravel() if n else np.empty(0, f"S{width}")
 
 
+def pack_texts(keys: np.ndarray) -> bytes:
+    """Strings of text as they are: neighbours overlap, which the compression finds."""
+    return pa.Codec("zstd", 3).compress(keys.tobytes(), asbytes=True)
+
+
+def unpack_texts(data: bytes, n: int, width: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, n * width, codec="zstd", asbytes=True), f"S{width}")
+
+
 def words(b: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The eight bytes at each position as one number, in the order of the bytes. b has eight spare bytes at its end."""
     return np.ndarray((len(b) - 7,), ">u8", b, 0, (1,))[at].astype(np.uint64)
@@ -288,6 +297,31 @@ def spans(marked: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # -- difference cover --------------------------------------------------------------------------------------------------
 
 
+def suffix_order(b: np.ndarray, n: int) -> np.ndarray:
+    """Positions 0 to n - 1 in the order of the 50 bytes at each; equal ones in any order.
+
+    By the first eight bytes; then, where these tie, by the group that ties and the next five, and so on.
+    """
+    order = np.argsort(words(b, np.arange(n)))
+    key = words(b, order)
+    group, depth = order, 8
+    place = np.arange(n)  # of the members of ties in the whole order
+    while depth < LENGTH and len(place):
+        same = key[1:] == key[:-1]
+        tied = np.r_[same, False] | np.r_[False, same]
+        if not tied.any():
+            break
+        number = np.cumsum(np.r_[True, ~same])[tied].astype(np.uint64)
+        place, group = place[tied], group[tied]
+        fresh = np.minimum(5, LENGTH - depth)
+        key = number << np.uint64(40) | words(b, group + depth) >> np.uint64(64 - 8 * fresh)
+        within = np.argsort(key)
+        key, group = key[within], group[within]
+        order[place] = group
+        depth += fresh
+    return order
+
+
 class Segments:
     """The segments of a slice, and the local order of their suffixes, from which the distinct strings of any depth follow."""
 
@@ -299,8 +333,7 @@ class Segments:
         self.segment = np.repeat(np.arange(len(size)), size)
         self.at = np.arange(len(self.segment)) - begin[self.segment]
         self.left = size[self.segment] - self.at
-        keys = strings(self.bytes, np.arange(len(self.segment)), LENGTH)
-        self.order = np.argsort(keys, kind="stable")
+        self.order = suffix_order(self.bytes, len(self.segment))
         self.common = np.zeros(len(self.segment), np.uint8)  # whether 42, 48 or 50 bytes are those of the suffix before, in this order
         same = np.r_[False, np.ones(len(self.segment) - 1, bool)]
         for depth, steps in ((DEEP, (0, 8, 16, 24, 32, DEEP - 8)), (MIDDLE, (MIDDLE - 8,)), (LENGTH, (LENGTH - 8,))):
@@ -380,7 +413,7 @@ def ask_deep(cuts: np.ndarray) -> Callable:
         s = Segments(row, cuts)
         at, _ = s.distinct(s.sampled(), DEEP)
         for part, a, b in s.parts(at):
-            yield row["slice"], part, [b - a], [pack_keys(strings(s.bytes, at[a:b], DEEP))]
+            yield row["slice"], part, [b - a], [pack_texts(strings(s.bytes, at[a:b], DEEP))]
 
     return question
 
@@ -388,7 +421,7 @@ def ask_deep(cuts: np.ndarray) -> Callable:
 def tell_deep(part: int, asked: list) -> list[list[bytes]]:
     """Ranks of the keys over all ranges: the range, and the place within it."""
     ns = [n[0] for n, _ in asked]
-    _, rank = np.unique(np.concatenate([unpack_keys(p[0], n, DEEP) for n, (_, p) in zip(ns, asked, strict=True)]), return_inverse=True)
+    _, rank = np.unique(np.concatenate([unpack_texts(p[0], n, DEEP) for n, (_, p) in zip(ns, asked, strict=True)]), return_inverse=True)
     rank = rank.ravel() + (part << LOCAL)
     return [[pack_numbers(x)] for x in np.split(rank, np.cumsum(ns)[:-1])]
 
