@@ -32,6 +32,8 @@ EVIDENCE_WORDS = 20
 PRIOR_WORDS = 200
 #: Rounds at most, the relative miss of every domain at which they end, and the weights of the pull to rate 1, taken in turn.
 MOST_ROUNDS, CLOSE, PULLS = 120, 1e-6, (1e-2, 1e-4, 1e-6, 1e-8, 1e-10)
+#: Steps of projected gradient at most, and after how many the rates are written.
+MOST_STEPS, KEEP_EVERY = 60, 8
 
 
 def words(text: Column) -> Column:
@@ -108,10 +110,14 @@ def _solve(a: list[list[float]], b: list[float]) -> list[float]:
 def fit_rates(held: DataFrame, targets: dict[str, float]) -> DataFrame:
     """held (n_words, p, ...) with columns rate >= 0 (expected tokens of each domain come to its share of all words) and miss.
 
-    Projected gradient for 1/2 |A r - 1|^2 + w/2 |r - 1|^2, A being each document's share of its domains' targets and w a
-    small pull to rate 1 that is lowered in turn. All steps are summed before they are projected, r = max(0, 1 - A'y), so
-    that y, one number a domain, is all that changes. A step is the gradient in y in the metric of the documents whose rate is
-    above 0; it is shortened until the objective's dual falls. A round is one aggregation: a dozen sums and products.
+    Projected gradient for |A r - 1|^2 over the documents' rates r, A being each document's share of its domains' targets: from
+    r = 1, r = max(0, r - A'z), z being the domains' misses A r - 1 in the metric of the documents with a rate above 0, so that a step
+    that clips nothing new meets all targets; it is halved until the misses fall. A round is one aggregation, a dozen sums and
+    products; the rates are a column of the documents and are written every few rounds.
+
+    Where that stops short, the targets are out of reach: the rates then start from the solution of the dual (_dual_start), if that
+    misses less, and plain projected gradient with the step 1 / |A A'| goes on until it gains nothing.
+
     miss is the largest |expected / target - 1| of a domain: at most CLOSE where the targets can be met, else what is left.
     A domain without expected tokens or without a target is left out.
     """
@@ -123,6 +129,71 @@ def fit_rates(held: DataFrame, targets: dict[str, float]) -> DataFrame:
     share = sum(targets[DOMAINS[i]] for i in live)
     a = [F.col("p")[i] * F.col("n_words") / F.lit(targets[DOMAINS[i]] / share * mass.n) for i in live]
     places = range(len(live))
+
+    def moved(df: DataFrame, z: list[float]) -> DataFrame:
+        return df.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - sum((a[i] * F.lit(z[i]) for i in places), F.lit(0.0))))
+
+    def look(df: DataFrame, free: Column | None = None) -> tuple[list[float], list[list[float]]]:
+        """Misses of the domains, and the metric of the free documents (by default those with a rate)."""
+        free = ((F.col("rate") > 0) if free is None else free).cast("double")
+        got = df.agg(
+            *[F.sum(a[i] * F.col("rate")).alias(f"e{i}") for i in places],
+            *[F.sum(a[i] * a[j] * free).alias(f"g{i}_{j}") for i in places for j in places if i <= j],
+        ).head()
+        return [got[f"e{i}"] - 1 for i in places], [[got[f"g{min(i, j)}_{max(i, j)}"] for j in places] for i in places]
+
+    off = lambda e: sum(x * x for x in e)
+    now = held.withColumn("rate", F.lit(1.0))
+    e, metric = look(now)
+    whole = metric  # all documents have a rate at first
+    scale = sum(metric[i][i] for i in places) / len(live)
+    steps = slow = 0
+    while max(map(abs, e)) > CLOSE and steps < MOST_STEPS and slow < 3:
+        z = _solve([[metric[i][j] + 1e-12 * scale * (i == j) for j in places] for i in places], e)
+        for size in (1.0, 0.5, 0.25, 0.125):
+            tried = moved(now, [size * v for v in z])
+            seen = look(tried)
+            if off(seen[0]) < off(e):
+                break
+        else:
+            break
+        slow = slow + 1 if off(seen[0]) > 0.9 * off(e) else 0
+        steps += 1
+        now, (e, metric) = cut(tried) if steps % KEEP_EVERY == 0 else tried, seen
+    if max(map(abs, e)) > CLOSE:
+        y = _dual_start(held, a)
+        other = moved(held.withColumn("rate", F.lit(1.0)), y)
+        seen = look(other)
+        if off(seen[0]) < off(e):
+            now, (e, metric) = other, seen
+        step = 1 / max(1e-300, _largest(whole))
+        for _ in range(MOST_STEPS):
+            tried = moved(now, [step * v for v in e])
+            seen = look(tried)
+            if off(seen[0]) >= (1 - 1e-6) * off(e):
+                break
+            steps += 1
+            now, (e, metric) = cut(tried) if steps % KEEP_EVERY == 0 else tried, seen
+    return now.withColumn("miss", F.lit(max(map(abs, e))))
+
+
+def _largest(m: list[list[float]]) -> float:
+    """The largest eigenvalue of a small symmetric matrix, by powers."""
+    v = [1.0] * len(m)
+    for _ in range(200):
+        w = [sum(x * y for x, y in zip(row, v, strict=True)) for row in m]
+        norm = math.sqrt(sum(x * x for x in w)) or 1.0
+        v = [x / norm for x in w]
+    return norm
+
+
+def _dual_start(held: DataFrame, a: list[Column]) -> list[float]:
+    """y of the rates max(0, 1 - A'y) that miss least, for targets out of reach.
+
+    The dual of |A r - 1|^2 + w |r - 1|^2, w being a small pull to rate 1 that is lowered in turn; y, one number a domain, is all that
+    changes. A step is the dual's gradient in the metric of the documents whose rate is above 0, shortened until the dual falls.
+    """
+    places, k = range(len(a)), len(a)
     rate_of = lambda y: F.greatest(F.lit(0.0), F.lit(1.0) - sum((a[i] * F.lit(y[i]) for i in places), F.lit(0.0)))
 
     def look(y: list[float]) -> tuple[list[float], list[list[float]], float]:
@@ -134,9 +205,9 @@ def fit_rates(held: DataFrame, targets: dict[str, float]) -> DataFrame:
         got = held.withColumn("rate", rate_of(y)).agg(F.sum(F.col("rate") * F.col("rate")).alias("r"), *sums).head()
         return [got[f"e{i}"] - 1 for i in places], [[got[f"g{min(i, j)}_{max(i, j)}"] for j in places] for i in places], got.r / 2
 
-    y = [0.0] * len(live)
+    y = [0.0] * k
     e, metric, half = look(y)
-    scale = sum(metric[i][i] for i in places) / len(live)
+    scale = sum(metric[i][i] for i in places) / k
     rounds = 1
     off = lambda e: sum(x * x for x in e)
     best, least = y, e
@@ -161,7 +232,7 @@ def fit_rates(held: DataFrame, targets: dict[str, float]) -> DataFrame:
         if off(e) >= off(least):  # out of reach, and as close as these numbers tell
             break
         best, least = y, e
-    return held.withColumns({"rate": rate_of(best), "miss": F.lit(max(map(abs, least)))})
+    return best
 
 
 def mix_rates(df: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
@@ -186,6 +257,8 @@ def draw(df: DataFrame, rates: DataFrame) -> DataFrame:
     any name pass through.
     """
     u = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("mix")), F.lit(1 << 32)) / float(1 << 32)
-    per_id = rates.groupBy("doc_id").agg(F.max("rate").alias("rate")).select("doc_id", F.floor(F.col("rate") + u).cast("int").alias("copies"))
-    whole = df.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")).join(per_id, "doc_id", "left")
-    return whole.select("row", F.explode(F.array_repeat(F.lit(0), F.coalesce("copies", F.lit(1)))).alias("i")).select("row.*")
+    per_id = rates.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("rate").alias("rate")).select("doc_id", F.floor(F.col("rate") + u).cast("int").alias("copies"))
+    rows = df.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    whole = rows.where("doc_id IS NOT NULL").join(per_id, "doc_id", "left")
+    drawn = whole.select("row", F.explode(F.array_repeat(F.lit(0), F.coalesce("copies", F.lit(1)))).alias("i")).select("row")
+    return drawn.union(rows.where("doc_id IS NULL").select("row")).select("row.*")
