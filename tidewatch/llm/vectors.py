@@ -14,9 +14,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranges import top_rows
 from .common import cut, join_facts
 from .components import components
 
@@ -49,13 +50,13 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def _pivots(classes: DataFrame) -> dict:
     """(label, dimension) -> unit pivots: the vectors with the smallest hashes of their ids, a number that follows each label's size."""
-    order = Window.partitionBy("label", "dim").orderBy(F.xxhash64("rep"), "rep")
+    order = [F.xxhash64("rep").asc(), F.col("rep").asc()]
     kinds = classes.withColumn("dim", F.size("embedding"))
     sizes = kinds.groupBy("label", "dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label", "dim").limit(MOST_PIVOTS // LEAST_PIVOTS)
     sizes = sizes.withColumn("want", F.greatest(F.lit(LEAST_PIVOTS), F.ceil(F.col("n") / CELL)))
     most = sizes.agg(F.sum("want")).head()[0] or 1
     share = F.greatest(F.lit(1), F.floor(F.col("want") * F.lit(min(1.0, MOST_PIVOTS / most)))).cast("int")
-    nth = kinds.select("label", "dim", "rep", F.row_number().over(order).alias("nth")).where(F.col("nth") <= MOST_PIVOTS)
+    nth = top_rows(kinds.select("label", "dim", "rep"), ["label", "dim"], order, MOST_PIVOTS, "nth", F.col("rep"))  # no label's rows meet in one task
     chosen = nth.join(F.broadcast(sizes.select("label", "dim", share.alias("want"))), ["label", "dim"]).where("nth <= want")
     rows = kinds.join(F.broadcast(chosen.select("rep")), "rep", "left_semi").orderBy("label", "dim", F.xxhash64("rep"), "rep").collect()  # at most MOST_PIVOTS
     out: dict = {}
