@@ -40,7 +40,7 @@ LENGTH = 50
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 ANCHOR = LENGTH - PERIOD + 1
 #: Bytes of a chunk; keys of a range; bits of a rank within its range.
-CHUNK, RANGE, LOCAL = 2 << 20, 3_000_000, 28
+CHUNK, RANGE, LOCAL = 4 << 20, 6_000_000, 28
 #: Bytes that the rank of a sampled suffix covers at the end of the recursion, and one level up.
 DEEP, MIDDLE = 42, 48
 
