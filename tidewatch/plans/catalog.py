@@ -718,10 +718,22 @@ RULE_CASES = (
 _RULE_VALUES = ", ".join(f"({i}, '{r}')" for i, (_, _, rules) in enumerate(RULE_CASES) for r in rules)
 
 
-def rule_events(spark, sf_dir) -> DataFrame:
-    """Unified events with the rule cases' artifacts and payloads in turn by k, so that every rule has rows to find."""
+#: By the place of a case: what of its payload, replaced by what, leaves one condition of its rules unmet.
+NEAR_MISSES = (
+    ("NTDS.dit", "NTDS.dit.bak"), ("-nop -W Hidden -c x", "-File x"), ("a.test/", "a.com/"), ("svchost.exe", "svchosts.exe"), ("public", "publicx"), ("RenameNewName", "DataExtend"),
+    ("bill.PDF.lnk", "bill.lnk"), (_APP, f"C:{_B}Windows{_B}System32{_B}"), ("C$", "Share"), ("payload.exe", "payload.txt"), ("s.aspx", "s.png"), ("x.exe", "x.txt"),
+    (f"System32{_B}", f"System32{_B}inetsrv{_B}"), ('"IsOsComponent":"false"', '"IsOsComponent":"true"'), ('"typed_count":"2"', '"typed_count":"0"'), ("A.DLL", "A.TXT"), (".pdf.exe", ".pdf.txt"),
+    ("Downloads", "Documents"), (f"D:{_B}run", f"D:{_B}apps{_B}run"), ("AppInit_DLLs", "Other"), ("NTUSER", "SYSTEM"), ("0x1", "0x0"), ("DEBUGGER", "Debug"), ("-enc AAAA", "-File a.ps1"),
+    ("%COMSPEC% /c x", f"system32{_B}drivers{_B}x.sys"), ("evil.exe", "explorer.exe"), (".vbs", ".txt"), (".jsp", ".txt"),
+)
+#: The cases, then their payloads under an artifact that no rule reads, then the near misses.
+HARD_CASES = (*RULE_CASES, *[("srum", c[1], ()) for c in RULE_CASES], *[(c[0], c[1].replace(*n), ()) for c, n in zip(RULE_CASES, NEAR_MISSES, strict=True)])
+
+
+def rule_events(spark, sf_dir, cases: tuple = RULE_CASES) -> DataFrame:
+    """Unified events with the cases' artifacts and payloads in turn by k, so that every rule has rows to find."""
     e = events(spark, sf_dir)
-    artifact, body = (choose(tuple(c[i] for c in RULE_CASES), F.col("k")) for i in (0, 1))
+    artifact, body = (choose(tuple(c[i] for c in cases), F.col("k")) for i in (0, 1))
     payload = F.concat(F.lit('{"k":'), F.col("k").cast("string"), F.lit(","), body.substr(F.lit(2), F.length(body)))
     return e.select(
         "case_id",
@@ -747,6 +759,12 @@ def run_all_rules(spark, sf_dir):
     )
 
 
+@query(f"{EV}, r AS (SELECT * FROM (VALUES {_RULE_VALUES}) t(i, rule_id)) SELECT case_id, rule_id, audit_id FROM ev JOIN r ON k % {len(HARD_CASES)} = i")
+def rule_near_misses(spark, sf_dir):
+    """All rules over hits, wrong artifacts and near misses: only the hits are found."""
+    return R.rule_hits(rule_events(spark, sf_dir, HARD_CASES), R.RULES).select("case_id", "rule_id", "audit_id")
+
+
 @query(f"{EV} SELECT case_id, 'ransom-locked-rename' AS rule_id, count(*) AS n FROM ev WHERE k % {len(RULE_CASES)} = 5 GROUP BY 1 UNION ALL SELECT case_id, 'lnk-double-extension', count(*) FROM ev WHERE k % {len(RULE_CASES)} = 6 GROUP BY 1 UNION ALL SELECT case_id, 'hacktool-self-delete', count(*) FROM ev WHERE k % {len(RULE_CASES)} = 9 GROUP BY 1")
 def prefilter_rules(spark, sf_dir):
     rules = R.prefilter_rules(R.RULES, {"usn_journal"})
