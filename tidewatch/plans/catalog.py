@@ -123,10 +123,10 @@ def rare_images(spark, sf_dir):
     return A.rare_images(events(spark, sf_dir).withColumn("payload_json", image_payload()), 60).select("case_id", "audit_id", "image", "n_image")
 
 
-@query(f"{EV} SELECT audit_id, k % 4 IN (0, 1) AS doubled, k % 4 = 2 AS single FROM ev")
+@query(f"{EV} SELECT audit_id, k % 4 IN (0, 1) AS doubled, k % 4 IN (1, 2) AS single FROM ev")
 def suspicious_path(spark, sf_dir):
     pay = choose(
-        ('{"p":"C:\\\\Users\\\\Public\\\\a"}', '{"p":"c:\\\\windows\\\\temp\\\\b"}', '{"p":"c:\\perflogs\\b"}', '{"p":"c:\\\\windows\\\\b"}'),
+        ('{"p":"C:\\\\Users\\\\Public\\\\a"}', '{"p":"c:\\\\windows\\\\temp\\\\b"}', '{"p":"c:\\users\\public\\b"}', '{"p":"c:\\\\windows\\\\b"}'),
         F.col("k"),
     )
     return events(spark, sf_dir).select("audit_id", S.suspicious_path(pay).alias("doubled"), S.suspicious_path(pay, True).alias("single"))
