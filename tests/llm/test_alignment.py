@@ -8,8 +8,13 @@ import pytest
 
 from tidewatch.llm.alignment import Aligner, align_tokenizers, cut_points, overlaps
 
+from tokenizers import Tokenizer
+
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
+LIBRARY = Tokenizer.from_file(A)
+LIBRARY.encode_special_tokens = True
+
 
 @pytest.fixture(scope="module")
 def aligner():
@@ -21,7 +26,7 @@ def brute(aligner, rows):
     docs, counts = [], Counter()
     for doc_id, text in rows:
         raw, out = b" " + (text or "").encode(), None
-        ids = aligner.a.encode(" " + (text or ""), add_special_tokens=False).ids, aligner.b.encode(text or "")
+        ids = LIBRARY.encode(" " + (text or ""), add_special_tokens=False).ids, aligner.b.encode(text or "")
         parts = [[t[i] for i in own] for own, t in zip(ids, (aligner.bytes_a, aligner.bytes_b), strict=True)]
         if text and all(b"".join(p) == raw for p in parts):
             spans = []
@@ -48,7 +53,7 @@ def brute(aligner, rows):
 
 TRICKY = [
     (1, "Plain words, and more plain words."), (2, ""), (3, None), (4, "a▁b"), (5, "<|endoftext|> <s> <0x41> <unk>"), (6, "  two  spaces \n\t tab"),
-    (7, "é é 中文字 \U0001f600\U0001f600 ﬁ"), (8, "\x00 nul"), (9, "x" * 400), (10, "x"), (10, "x"), (None, "no id"), (11, " "), (12, "\n"), (13, "internationalisation " * 40),
+    (7, "é é 中文字 \U0001f600\U0001f600 ﬁ"), (8, "\x00 nul"), (9, "x" * 400), (14, "a" + " " * 30_000 + "\n" * 20_000 + "b"), (15, "aa\u2581"), (16, "zz " * 5 + "<|endoftext|>"), (10, "x"), (10, "x"), (None, "no id"), (11, " "), (12, "\n"), (13, "internationalisation " * 40),
 ]
 
 
@@ -57,10 +62,10 @@ def got(df):
 
 
 def test_cut_points_and_overlaps():
-    assert cut_points([1, 3, 6], [3, 4, 6]) == [(2, 1), (3, 3)]
+    assert cut_points([1, 3, 6], [3, 4, 6]) == ([2, 3], [1, 3])
     table = [b"a", b"bc", b"def", b"abc", b"d", b"ef"]
-    assert overlaps((0, 1), (3,), table, table) == [(0, 3), (1, 3)]
-    assert overlaps((0, 1, 2), (3, 4, 5), table, table) == [(0, 3), (1, 3), (2, 4), (2, 5)]
+    assert overlaps([0, 1], [3], table, table) == [(0, 3), (1, 3)]
+    assert overlaps([0, 1, 2], [3, 4, 5], table, table) == [(0, 3), (1, 3), (2, 4), (2, 5)]
 
 
 def test_alignment_equals_brute_force(spark, make, corpus, aligner, monkeypatch):
@@ -81,3 +86,9 @@ def test_alignment_of_empty_tables_and_long_texts(spark, make):
     [row] = align_tokenizers(make([(1, text)]), A, B).collect()
     [one] = align_tokenizers(make([(1, text[: len(text) // 2]), (2, None)]).where("doc_id = 1"), A, B).collect()
     assert row.n_a == 2 * one.n_a - 1 and row.n_links > 400_000 and row.count_sum > one.count_sum
+
+
+def test_ids_of_all_code_points_equal_the_library(aligner):
+    every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f" a{chr(c)}b {chr(c)}1{chr(c)}\n" for c in every[lo : lo + 64]) for lo in range(0, len(every), 64)]
+    assert [aligner.a(t) for t in texts] == [e.ids for e in LIBRARY.encode_batch_fast(texts, add_special_tokens=False)]

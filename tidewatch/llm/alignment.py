@@ -15,8 +15,8 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
-import os
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from .bpe import byte_symbols
 from .common import cut, pieces, task_memory
 
 #: Bytes of text in a slice; groups whose text form and links a task remembers.
-SLICE, REMEMBERED = 4 << 20, 200_000
+SLICE, REMEMBERED = 4 << 20, 100_000
 #: An id pair in one number: B's id above A's, so that pairs of one B id are neighbours.
 SHIFT = 32
 
@@ -36,27 +36,50 @@ SLICES = (
     "slice long, doc_id array<long>, n_a array<int>, n_b array<int>, n_groups array<int>, n_links array<int>, groups_sha256 array<string>, "
     "pair array<long>, n array<int>, upto array<int>, held array<int>, times array<int>"
 )
+NONE = np.empty(0, np.int64)
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def byte_level_lengths(content: bytes) -> tuple[object, list[bytes]]:
-    """A byte-level tokenizer without special handling of its special strings, and the bytes of each id."""
+#: Fixed value: how byte-level vocabularies split a text into words.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Texts with so many blanks in a row go to the slower library, whose splitting does not backtrack over them.
+BLANKS = re.compile(r"\s{10000}")
+
+
+def byte_level(content: bytes) -> tuple[Callable[[str], list[int]], list[bytes]]:
+    """An encoder of a byte-level vocabulary, to which special strings are plain text, and the bytes of each id.
+
+    The vocabulary's ids above the single bytes are the ranks of its merges, so tiktoken gives the same ids as the vocabulary's own
+    library (a test goes through all code points) in a third of the time. Other vocabularies are refused.
+    """
+    import tiktoken
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_str(content.decode())
-    tokenizer.encode_special_tokens = True
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
     byte_of = {s: b for b, s in enumerate(byte_symbols())}
     spec = json.loads(content)
-    ids = dict(spec["model"]["vocab"]) | {t["content"]: t["id"] for t in spec["added_tokens"]}
-    tokens = [b""] * (1 + max(ids.values()))
+    ids, split = spec["model"]["vocab"], spec["pre_tokenizer"]
+    tokens = [b""] * (1 + max([*ids.values(), *(t["id"] for t in spec["added_tokens"])]))
+    special = {t["content"] for t in spec["added_tokens"]}
     for token, i in ids.items():
-        tokens[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
-    return tokenizer, tokens
+        tokens[i] = token.encode() if token in special else bytes(byte_of[c] for c in token)
+    pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
+    ranked = all(ids[x + y] == 256 + rank for rank, (x, y) in enumerate(pairs))
+    if spec["normalizer"] or split["type"] != "ByteLevel" or split["add_prefix_space"] or not split["use_regex"] or not ranked:
+        raise ValueError("not a plain byte-level vocabulary with ids in the order of its merges")
+    fast = tiktoken.Encoding("A", pat_str=SPLIT, mergeable_ranks={tokens[i]: i for t, i in ids.items() if t not in special}, special_tokens={})
+    slow = Tokenizer.from_str(content.decode())
+    slow.encode_special_tokens = True
+    slow.no_truncation()
+
+    def encode(text: str) -> list[int]:
+        if len(text) >= 10_000 and BLANKS.search(text):
+            return slow.encode(text, add_special_tokens=False).ids
+        return fast.encode_ordinary(text)
+
+    return encode, tokens
 
 
-def piece_lengths(content: bytes) -> tuple[object, list[bytes]]:
+def pieces_of(content: bytes) -> tuple[object, list[bytes]]:
     """A sentence-piece model and the bytes of each id: byte pieces stand for their byte, U+2581 for a space."""
     import sentencepiece
 
@@ -65,14 +88,14 @@ def piece_lengths(content: bytes) -> tuple[object, list[bytes]]:
     return model, [piece(i) for i in range(model.get_piece_size())]
 
 
-def cut_points(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int]]:
-    """How many tokens of A and of B end at or before each byte offset where tokens of both end, ascending."""
+def cut_points(ends_a: Iterable[int], ends_b: Iterable[int]) -> tuple[list[int], list[int]]:
+    """How many tokens of A, and of B, end at or before each byte offset where tokens of both end, ascending."""
     index_a, index_b = dict(zip(ends_a, itertools.count(1))), dict(zip(ends_b, itertools.count(1)))  # noqa: B905
     common = sorted(index_a.keys() & index_b.keys())
-    return list(zip(map(index_a.__getitem__, common), map(index_b.__getitem__, common), strict=True))
+    return list(map(index_a.__getitem__, common)), list(map(index_b.__getitem__, common))
 
 
-def overlaps(ids_a: tuple[int, ...], ids_b: tuple[int, ...], bytes_a: list[bytes], bytes_b: list[bytes]) -> list[tuple[int, int]]:
+def overlaps(ids_a: list[int], ids_b: list[int], bytes_a: list[bytes], bytes_b: list[bytes]) -> list[tuple[int, int]]:
     """All pairs of tokens of one group whose byte ranges overlap; the group's tokens cover the same bytes."""
     out, i, j = [], 0, 0
     end_a, end_b = len(bytes_a[ids_a[0]]), len(bytes_b[ids_b[0]])
@@ -95,53 +118,79 @@ class Aligner:
     """Both tokenizers of a task, and what it remembers of groups seen."""
 
     def __init__(self, content_a: bytes, content_b: bytes):
-        self.a, self.bytes_a = byte_level_lengths(content_a)
-        self.b, self.bytes_b = piece_lengths(content_b)
-        self.length_a, self.length_b = list(map(len, self.bytes_a)), list(map(len, self.bytes_b))
-        self.remembered: dict[tuple, tuple[str, list[int]]] = {}
-
-    def group(self, ids_a: tuple[int, ...], ids_b: tuple[int, ...]) -> tuple[str, list[int]]:
-        shown = f"{','.join(map(str, ids_a))}|{','.join(map(str, ids_b))}"
-        return shown, [b << SHIFT | a for a, b in overlaps(ids_a, ids_b, self.bytes_a, self.bytes_b)]
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of both of every text; none where either does not give the text's own bytes back."""
-        for text, of_a, of_b in zip(texts, self.a.encode_batch([" " + t for t in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1), strict=True):
-            raw, ids_a = b" " + text.encode(), of_a.ids
-            same = text and b"".join(map(self.bytes_a.__getitem__, ids_a)) == raw and b"".join(map(self.bytes_b.__getitem__, of_b)) == raw
-            yield (ids_a, of_b) if same else ([], [])
-
-    def align(self, ids_a: list[int], ids_b: list[int]) -> tuple[list[str], list[int]]:
-        """Text forms of the groups and the codes of all links, in order."""
-        shown, links, remembered = [], [], self.remembered
-        i = j = 0
-        ends_a, ends_b = itertools.accumulate(map(self.length_a.__getitem__, ids_a)), itertools.accumulate(map(self.length_b.__getitem__, ids_b))
-        for p, q in cut_points(list(ends_a), list(ends_b)):
-            key = (ids_a[i], ids_b[j]) if p == i + 1 and q == j + 1 else (tuple(ids_a[i:p]), tuple(ids_b[j:q]))
-            got = remembered.get(key)
-            if got is None:
-                got = self.group(tuple(ids_a[i:p]), tuple(ids_b[j:q]))
-                if len(remembered) < REMEMBERED and p - i + q - j < 20:
-                    remembered[key] = got
-            shown.append(got[0])
-            links += got[1]
-            i, j = p, q
-        return shown, links
+        self.a, self.bytes_a = byte_level(content_a)
+        self.b, self.bytes_b = pieces_of(content_b)
+        self.length_a, self.length_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
+        #: Groups of more than one token on a side: by ids, and each one's text form and link codes.
+        self.number: dict[tuple, int] = {}
+        self.groups: list[tuple[str, list[int]]] = []
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of both of every text; none where either does not give the text's own bytes back (A does by its kind)."""
+        for text, ids_b in zip(texts, self.b.encode(texts, num_threads=1), strict=True):
+            spaced = " " + text
+            same = text and b"".join(map(self.bytes_b.__getitem__, ids_b)) == spaced.encode()
+            yield (np.array(self.a(spaced), np.int64), np.array(ids_b, np.int64)) if same else (NONE, NONE)
+
+    def group(self, ids_a: list[int], ids_b: list[int]) -> int:
+        """The number of a group."""
+        key = (*ids_a, -1, *ids_b)
+        number = self.number.get(key)
+        if number is None:
+            shown = f"{','.join(map(str, ids_a))}|{','.join(map(str, ids_b))}"
+            number = len(self.groups)
+            self.groups.append((shown, [b << SHIFT | a for a, b in overlaps(ids_a, ids_b, self.bytes_a, self.bytes_b)]))
+            self.number[key] = number
+        return number
 
     def slice(self, doc_ids: list, texts: list[str]) -> tuple:
         """One row of SLICES without its number."""
-        sizes, digests, links, upto = [], [], [], []
-        for ids_a, ids_b in self.encode(texts):
-            shown, own = self.align(ids_a, ids_b)
-            sizes.append((len(ids_a), len(ids_b), len(shown), len(own)))
-            digests.append(hashlib.sha256(";".join(shown).encode()).hexdigest() if ids_a else "")
-            links.append(np.array(own, np.int64))
-        pair, place, n = np.unique(np.concatenate(links) if links else np.empty(0, np.int64), return_inverse=True, return_counts=True)
-        of_doc = np.repeat(np.arange(len(links)), [len(x) for x in links])
-        both, times = np.unique(of_doc * (len(pair) + 1) + place.ravel(), return_counts=True)
-        upto = np.searchsorted(both, (np.arange(len(links)) + 1) * (len(pair) + 1))
-        n_a, n_b, n_groups, n_links = (list(c) for c in zip(*sizes, strict=True))
-        return doc_ids, n_a, n_b, n_groups, n_links, digests, pair, n, upto, both % (len(pair) + 1), times
+        if len(self.groups) > REMEMBERED:
+            self.number.clear()
+            self.groups.clear()
+        ids: tuple[list, list] = [], []
+        cuts: tuple[list, list] = [], []
+        sizes, total = [], [0, 0]
+        for both in self.encode(texts):
+            found = cut_points(*(np.cumsum(length[own]).tolist() for length, own in zip((self.length_a, self.length_b), both, strict=True)))
+            for side in (0, 1):
+                cuts[side].append(np.fromiter(found[side], np.int64, len(found[side])) + total[side])
+                ids[side].append(both[side])
+                total[side] += len(both[side])
+            sizes.append((len(both[0]), len(both[1]), len(found[0])))
+        n_a, n_b, n_groups = (np.array(c, np.int64) for c in zip(*sizes, strict=True))
+        flat_a, flat_b, ends_a, ends_b = map(np.concatenate, (*ids, *cuts))
+        # A group begins where the one before ended: a text's last group ends with its last token.
+        begins_a, begins_b = np.r_[0, ends_a[:-1]], np.r_[0, ends_b[:-1]]
+        kind = np.empty(len(ends_a), np.int64)  # one token each: the link's own code; others: their number, below zero
+        single = (ends_a - begins_a == 1) & (ends_b - begins_b == 1)
+        kind[single] = flat_b[begins_b[single]] << SHIFT | flat_a[begins_a[single]]
+        places = (x[~single].tolist() for x in (begins_a, ends_a, begins_b, ends_b))
+        flat_a, flat_b = flat_a.tolist(), flat_b.tolist()
+        kind[~single] = [-1 - self.group(flat_a[i:p], flat_b[j:q]) for i, p, j, q in zip(*places, strict=True)]
+        kinds, place = np.unique(kind, return_inverse=True)
+        shown, links = [], []
+        for k in kinds.tolist():
+            form, own = self.groups[-1 - k] if k < 0 else (f"{k & 0xFFFFFFFF}|{k >> SHIFT}", (k,))
+            shown.append(form)
+            links.append(own)
+        upto = np.cumsum(n_groups)
+        names = list(map(shown.__getitem__, place.tolist()))
+        digests = [hashlib.sha256(";".join(names[e - n : e]).encode()).hexdigest() if n else "" for e, n in zip(upto.tolist(), n_groups.tolist(), strict=True)]
+        # How often each document holds each kind, then each pair.
+        both, times = np.unique(np.repeat(np.arange(len(texts)), n_groups) * (len(kinds) + 1) + place, return_counts=True)
+        of_kind = both % (len(kinds) + 1)
+        width = np.array([len(x) for x in links], np.int64)
+        pair, number = np.unique(np.fromiter(itertools.chain.from_iterable(links), np.int64, int(width.sum())), return_inverse=True)
+        first = np.cumsum(width) - width
+        n = width[of_kind] if len(width) else np.empty(0, np.int64)
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[of_kind] if len(first) else n, n)
+        held, where = np.unique(np.repeat(both // (len(kinds) + 1), n) * (len(pair) + 1) + number[at], return_inverse=True)
+        times = np.bincount(where, np.repeat(times, n), len(held)).astype(np.int64)
+        counts = np.bincount(held % (len(pair) + 1), times, len(pair)).astype(np.int64)
+        n_links = np.bincount(held // (len(pair) + 1), times, len(texts)).astype(np.int64)
+        ends = np.searchsorted(held, (np.arange(len(texts)) + 1) * (len(pair) + 1))
+        return doc_ids, n_a, n_b, n_groups, n_links, digests, pair, counts, ends, held % (len(pair) + 1), times
 
 
 def slices(df: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -154,7 +203,6 @@ def slices(df: DataFrame, path_a: str, path_b: str) -> DataFrame:
     schema = to_arrow_schema(StructType.fromDDL(SLICES), prefers_large_types=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         with task_memory():
             aligner = Aligner(*(c.value for c in contents))
             number = TaskContext.get().partitionId() << SHIFT
