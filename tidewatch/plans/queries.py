@@ -609,10 +609,11 @@ def link_components(spark, sf_dir):
     return G.link_components(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
 
 
-@query(LINKS_SQL.replace("FROM lineitem", "FROM lineitem WHERE l_quantity >= 49"))
+@query(LINKS_SQL.replace("l_partkey AS p", "concat_ws('-', l_partkey, CAST(l_quantity AS INTEGER), l_linenumber) AS p"))
 def link_components_sparse(spark, sf_dir):
-    """As link_components for orders linked by large quantities only: thousands of components rather than one."""
-    return G.link_components(table(spark, sf_dir, "lineitem").where("l_quantity >= 49"), "l_orderkey", "l_partkey")
+    """As link_components for orders that share a part, its quantity and its line: thousands of components rather than one."""
+    shared = F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber").cast("string"))
+    return G.link_components(table(spark, sf_dir, "lineitem").withColumn("shared", shared), "l_orderkey", "shared")
 
 
 @query("SELECT l_returnflag AS tactic, count(*) AS n, min(CAST(l_quantity AS DOUBLE)) AS min_events, max(CAST(l_quantity AS DOUBLE)) AS max_events, round(regr_slope(CAST(l_extendedprice AS DOUBLE), CAST(l_quantity AS DOUBLE)), 4) AS slope, round(regr_intercept(CAST(l_extendedprice AS DOUBLE), CAST(l_quantity AS DOUBLE)), 2) AS intercept, round(regr_r2(CAST(l_extendedprice AS DOUBLE), CAST(l_quantity AS DOUBLE)), 6) AS r2 FROM lineitem GROUP BY 1")

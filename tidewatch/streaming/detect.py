@@ -1,4 +1,4 @@
-"""Rules and burst counts over a stream of unified events."""
+"""Rules, and hits a window, over a stream of unified events."""
 
 from __future__ import annotations
 
