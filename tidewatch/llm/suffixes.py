@@ -39,8 +39,8 @@ LENGTH = 50
 #: A perfect difference cover: every distance modulo 21 is a difference of two of these.
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 ANCHOR = LENGTH - PERIOD + 1
-#: Bytes of a chunk; keys of a range; bits of a rank within its range.
-CHUNK, RANGE, LOCAL = 4 << 20, 6_000_000, 28
+#: Bytes of a chunk; keys of a range; bits of a rank within its range (a rank has 48 bits, so there are up to four million ranges).
+CHUNK, RANGE, LOCAL = 4 << 20, 6_000_000, 26
 #: Bytes that the rank of a sampled suffix covers at the end of the recursion, and one level up.
 DEEP, MIDDLE = 42, 48
 
@@ -422,10 +422,16 @@ def tell_deep(part: int, asked: list) -> list[list[bytes]]:
     """Ranks of the keys over all ranges: the range, and the place within it."""
     ns = [n[0] for n, _ in asked]
     _, rank = np.unique(np.concatenate([unpack_texts(p[0], n, DEEP) for n, (_, p) in zip(ns, asked, strict=True)]), return_inverse=True)
-    rank = rank.ravel() + (part << LOCAL)
+    rank = within(rank.ravel()) + (part << LOCAL)
     return [[pack_numbers(x)] for x in np.split(rank, np.cumsum(ns)[:-1])]
 
 
+def within(rank: np.ndarray) -> np.ndarray:
+    if len(rank) and rank.max() >= 1 << LOCAL:
+        raise ValueError(f"a range holds more than {1 << LOCAL} keys; lower RANGE")
+    return rank
+
+
 def ask_merge(cuts: np.ndarray, level: int) -> Callable:
     def question(row: dict):
         s = Segments(row, cuts)
@@ -470,7 +476,7 @@ def tell_merge(level: int) -> Callable:
         column = lambda i, read: np.concatenate([read(p[i], n[i // 3]) for n, p in asked])
         rank = merge([{kind: column(3 * t + k, unpack) for k, kind in enumerate(KINDS[t])} for t in range(3)])
         if level == 2:
-            told = [r + (part << LOCAL) for r in rank]
+            told = [within(r) + (part << LOCAL) for r in rank]
         else:
             doc = [column(3 * t + 2, unpack_numbers).astype(np.int64) for t in range(3)]
             every, place = np.unique(np.concatenate(rank), return_inverse=True)
@@ -551,7 +557,7 @@ def range_cuts(left: DataFrame, parts: int) -> np.ndarray:
 def hits(left: DataFrame) -> DataFrame:
     """HITS of all segments: sampled suffixes, their strings of names, all suffixes."""
     by = ["chunk", "slice"]
-    parts = max(1, math.ceil((left.agg(F.sum(F.octet_length("data"))).head()[0] or 0) / RANGE))
+    parts = min(1 << (48 - LOCAL), max(1, math.ceil((left.agg(F.sum(F.octet_length("data"))).head()[0] or 0) / RANGE)))
     cuts = range_cuts(left, parts)
     told = cut(ask(left, ask_deep(cuts), tell_deep, parts, by))
     for level in (2, 1):
