@@ -15,8 +15,9 @@ from ..model import kept, micros
 SALTS = 64
 #: A key is hot if more than one row in HOT_ONE_IN has it: no more than HOT_ONE_IN keys can be.
 HOT_ONE_IN = 1000
-#: Cells of the interval join: the narrowest is this many microseconds, each level is WIDER times as wide.
-CELL, WIDER = 60_000_000, 8
+#: Cells of the interval join: the narrowest is this many microseconds, each level is WIDER times as wide. From level DEALT on (an hour)
+#: a cell may hold most of a key's rows, so its rows are dealt over SALTS tasks.
+CELL, WIDER, DEALT = 60_000_000, 8, 2
 
 
 def top_rows(df: DataFrame, keys: list[str], order: list[Column], most: int, name: str, spread: Column, salts: int = SALTS) -> DataFrame:
@@ -83,7 +84,7 @@ def in_windows(events: DataFrame, windows: DataFrame, keys: list[str], ts: str,
 
     The width of a window chooses its level, on which it meets at most WIDER + 1 cells; an event probes its one cell of each level
     that any window has (at most 13 levels, from a minute to beyond a million years). So a window of ten years is a few rows, and a
-    minute's window does not meet a whole day's events.
+    minute's window does not meet a whole day's events. The events of a wide cell are dealt by their hash, its windows go to all parts.
     """
     a, b = micros(F.col(lo)), micros(F.col(hi))
     levels = range(13)
@@ -93,11 +94,13 @@ def in_windows(events: DataFrame, windows: DataFrame, keys: list[str], ts: str,
     spread = windows.where(F.col(lo).isNotNull() & F.col(hi).isNotNull() & (F.col(lo) <= F.col(hi))).withColumn("level_", level)
     used = sorted(r[0] for r in spread.select("level_").distinct().collect())  # at most 13 numbers
     spread = spread.withColumn("cell_", F.explode(F.sequence(cell(a, F.col("level_")), cell(b, F.col("level_")))))
-    probes = F.array(*[F.struct(F.lit(k).alias("level_"), cell(micros(F.col(ts)), F.lit(k)).alias("cell_")) for k in used])
-    if not used:
-        probes = F.array().cast("array<struct<level_: int, cell_: bigint>>")
-    probe = events.withColumn("at_", F.explode(probes)).select(*events.columns, "at_.level_", "at_.cell_")
-    return probe.join(spread, [*keys, "level_", "cell_"]).where((F.col(ts) >= F.col(lo)) & (F.col(ts) <= F.col(hi))).drop("level_", "cell_")
+    spread = spread.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.when(F.col("level_") >= DEALT, F.lit(SALTS - 1)).otherwise(0))))
+    own = F.pmod(F.xxhash64(*[c for c, kind in events.dtypes if "map<" not in kind]), F.lit(SALTS)).cast("int")
+    place = lambda k: F.struct(F.lit(k).alias("level_"), cell(micros(F.col(ts)), F.lit(k)).alias("cell_"), (own if k >= DEALT else F.lit(0)).alias("salt_"))
+    probes = F.array(*map(place, used)) if used else F.array().cast("array<struct<level_: int, cell_: bigint, salt_: int>>")
+    met = ["level_", "cell_", "salt_"]
+    probe = events.withColumn("at_", F.explode(probes)).select(*events.columns, *[f"at_.{c}" for c in met])
+    return probe.join(spread, [*keys, *met]).where((F.col(ts) >= F.col(lo)) & (F.col(ts) <= F.col(hi))).drop(*met)
 
 
 def join_counted(rows: DataFrame, facts: DataFrame, keys: list[str], spread: Column) -> DataFrame:
