@@ -403,6 +403,9 @@ def test_queries_run(spark, data):
     n = spark.read.parquet(f"{data}/documents.parquet").count()
     for name, f in Q.queries().items():
         rows = f(spark, data).count()
+        if name.startswith("op12"):  # nodes, counted in its own test
+            assert rows > 0
+            continue
         assert rows == (spark.read.parquet(f"{data}/embeddings.parquet").count() if name.startswith("op8") else n), name
 
 
