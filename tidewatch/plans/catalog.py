@@ -23,7 +23,7 @@ from ..operators import sinks as K
 from ..sources import logs as P
 from ..sources import tables as T
 from .more import full_clusters, log_lines, stamp
-from .queries import CL, FE, RANK, clusters, finding_rows, findings, query, with_k
+from .queries import CL, FE, RANK, clusters, findings, query, with_k
 
 EV = f"WITH {EVENTS_SQL}"
 
