@@ -174,15 +174,16 @@ def claims_table(df: DataFrame) -> DataFrame:
 
 
 def _mentions(df: DataFrame, text: str) -> DataFrame:
-    """df's key columns with label and techniques for each claim that the text names: one pass, no join."""
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    """df's key columns with label and techniques for each claim that the text names: one pass, no join; a text is lowered once."""
+    df = df.withColumn("low_", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    low = F.col("low_")
     hits = []
     for label, aliases, techniques in CLAIMS:
         said = F.lit(False)
         for a in aliases:
             said = said | low.contains(a)
         hits.append(F.when(said, F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, techniques)).cast("array<string>").alias("techniques"))))
-    return df.withColumn("m_", F.explode(F.array_compact(F.array(*hits)))).select("*", "m_.label", "m_.techniques").drop("m_")
+    return df.withColumn("m_", F.explode(F.array_compact(F.array(*hits)))).select("*", "m_.label", "m_.techniques").drop("m_", "low_")
 
 
 def uncorroborated_claims(mapping: DataFrame) -> DataFrame:
@@ -207,14 +208,10 @@ def ungrounded_mentions(prose: DataFrame, findings: DataFrame, confirmed: DataFr
         ),
         "g_",
     ).where(F.size("techniques") == 0).select("case_id", "label").distinct()
-    gated = said.where(F.size("techniques") > 0).select("case_id", "doc_id", "label", F.explode("techniques").alias("technique")).join(
-        confirmed.select("case_id", "technique").distinct(),
-        ["case_id", "technique"],
-        "left_semi",
-    ).select("case_id", "doc_id", "label")
-    tools = said.where(F.size("techniques") == 0).join(named, ["case_id", "label"], "left_anti").select("case_id", "doc_id", "label")
-    others = said.where(F.size("techniques") > 0).join(gated, ["case_id", "doc_id", "label"], "left_anti").select("case_id", "doc_id", "label")
-    return tools.union(others).distinct()
+    gated = claims_table(confirmed).select("label", F.explode("techniques").alias("technique")).distinct()
+    backed = confirmed.select("case_id", "technique").join(F.broadcast(gated), "technique").select("case_id", "label").distinct()
+    grounded = named.union(backed)  # the labels of a case that have ground: at most one row a claim
+    return said.select("case_id", "doc_id", "label").join(grounded, ["case_id", "label"], "left_anti").select("case_id", "doc_id", "label").distinct()
 
 
 def asserted_mentions(mentions: DataFrame, prose: DataFrame) -> DataFrame:
@@ -396,9 +393,15 @@ def timeline_view(f: DataFrame, clustered: DataFrame, noise: DataFrame | None =
         "e.ts_utc",
         "e.artifact_id",
     )
+    return timeline_rows(rows, clustered, noise).orderBy("case_id", F.col("ts_utc").asc_nulls_last(), "audit_id")
+
+
+def timeline_rows(rows: DataFrame, clustered: DataFrame, noise: DataFrame | None = None) -> DataFrame:
+    """The rows of timeline_view, unordered, where the evidence lies in rows: case_id, finding_id, title, severity, audit_id, ts_utc, artifact_id."""
+    rows = rows.select("case_id", "finding_id", "title", "severity", "audit_id", "ts_utc", "artifact_id")
     out = rows.join(clustered.select("case_id", "finding_id", "cluster_id"), ["case_id", "finding_id"], "left").fillna(0, ["cluster_id"])
     marks = clustered.select("case_id", "cluster_id").distinct().withColumn("noise", F.lit(False)) if noise is None else noise.select("case_id", "cluster_id", "noise")
-    return out.join(marks, ["case_id", "cluster_id"], "left").fillna(False, ["noise"]).orderBy("case_id", F.col("ts_utc").asc_nulls_last(), "audit_id")
+    return out.join(marks, ["case_id", "cluster_id"], "left").fillna(False, ["noise"])
 
 
 def timeline_clusters(timeline: DataFrame, clusters: DataFrame) -> DataFrame:
