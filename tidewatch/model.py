@@ -72,6 +72,16 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row, however often later filters and columns name them.
+
+    A filter is moved below the column it reads by writing the column's expression out in it, once for each mention, and so on down
+    to the table; a generated column stays where it is.
+    """
+    names = [c for c in df.columns if c not in columns]
+    return df.select(*names, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def audit_id(case: Column, artifact: Column, index: Column, raw: Column) -> Column:
     """First 32 hexadecimal digits of SHA-256 over the four parts, joined by the unit separator; the same row gives the same id."""
     joined = F.concat_ws(SEPARATOR, case, artifact, index.cast("string"), raw)

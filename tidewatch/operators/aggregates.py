@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import SEVERITY_ORDER, clean_ioc, evidence_host, first_line, image_of, ioc_class, ioc_class_of_key, ioc_confidence, is_noise, json_field, norm_severity, pretty_tactic, severity_confidence, severity_rank
-from ..model import micros
+from ..model import kept, micros, once
 
 
 def event_counts_by_case(parse_results: DataFrame) -> DataFrame:
@@ -57,8 +57,11 @@ def affected_hosts(timeline: DataFrame) -> DataFrame:
 
 
 def rare_images(df: DataFrame, below: int = 3) -> DataFrame:
-    """Events whose image, in lower case, occurs fewer than `below` times in its case."""
-    rows = df.withColumn("image", F.lower(image_of(F.col("payload_json")))).where("image != ''")
+    """Events whose image, in lower case, occurs fewer than `below` times in its case.
+
+    The image is taken from the payload once; what has one is written, to be counted and joined.
+    """
+    rows = kept(once(df, image=F.lower(image_of(F.col("payload_json")))).where("image != ''"))
     rare = rows.groupBy("case_id", "image").agg(F.count("*").alias("n_image")).where(F.col("n_image") < below)
     return rows.join(rare, ["case_id", "image"])
 
