@@ -17,7 +17,7 @@ from ..operators import sessions as W
 from ..operators import sinks as K
 from ..sources import logs as P
 from ..sources import tables as T
-from .queries import CL, FE, clusters, finding_rows, findings, query, signals, with_k
+from .queries import CL, FE, clusters, dated_findings, finding_rows, findings, query, signals, with_k
 
 
 @query(f"WITH {EVENTS_SQL}, t AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY ts_utc, audit_id) AS r, count(*) OVER (PARTITION BY case_id) AS total FROM ev WHERE k % 12 IN (5, 6) OR (artifact_id = 'prefetch' AND k % 12 > 7)) SELECT case_id, audit_id, total, total > 60 AS truncated FROM t WHERE r > 10 AND r <= 60")
@@ -76,7 +76,7 @@ def validate_citations(spark, sf_dir):
 
 @query(f"WITH {CL} SELECT case_id, cluster_id, finding_id, source, title FROM cl a WHERE NOT (source = 'hayabusa' AND EXISTS (SELECT 1 FROM cl b WHERE b.case_id = a.case_id AND b.cluster_id = a.cluster_id AND b.source = 'sigma' AND b.title = a.title))")
 def fold_twin_refs(spark, sf_dir):
-    refs = W.cluster_findings(W.first_evidence(findings(spark, sf_dir))).select("case_id", "cluster_id", "finding_id", "source", "title")
+    refs = W.cluster_findings(dated_findings(spark, sf_dir)).select("case_id", "cluster_id", "finding_id", "source", "title")
     return J.fold_twin_refs(refs).select("case_id", "cluster_id", "finding_id", "source", "title")
 
 
@@ -128,8 +128,12 @@ def evidence_with_tz(spark, sf_dir):
 
 def full_clusters(spark, sf_dir) -> DataFrame:
     """Clusters with phase, techniques and findings, as the mapping operators take them."""
-    c = W.cluster_findings(W.first_evidence(findings(spark, sf_dir)))
-    return c.groupBy("case_id", "cluster_id").agg(
+    return clusters_of(W.cluster_findings(dated_findings(spark, sf_dir)))
+
+
+def clusters_of(clustered: DataFrame) -> DataFrame:
+    """The clusters of clustered findings."""
+    return clustered.groupBy("case_id", "cluster_id").agg(
         F.min("first_ts").alias("start_ts"),
         F.max("first_ts").alias("end_ts"),
         F.min(F.col("tactics")[0]).alias("attack_phase"),
