@@ -46,3 +46,11 @@ def checks_evidence():
     from tidewatch.model import EVIDENCE
 
     return EVIDENCE
+
+
+def test_components_of_stars_need_no_further_round(spark):
+    from tidewatch.operators import graph
+
+    links = [(a, f"r{a % 3}") for a in range(1, 40)] * 2 + [(50, "own")]
+    out = graph.link_components(spark.createDataFrame(links, "l long, r string"), "l", "r", most_rounds=1)  # an error before
+    assert {r.l: r.component for r in out.collect()} == {a: (a % 3 or 3) for a in range(1, 40)} | {50: 50}

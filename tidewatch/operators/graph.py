@@ -23,6 +23,12 @@ def _large_star(edges: DataFrame) -> DataFrame:
     return join_counted(both.where("b > a"), least, ["a"], F.col("b")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether edges are stars: every node that has a smaller neighbour has one only, and that one has none."""
+    ends = edges.select("a", F.lit(1).alias("n"), F.lit(0).alias("p")).unionByName(edges.select(F.col("b").alias("a"), F.lit(0).alias("n"), F.lit(1).alias("p")))
+    return ends.groupBy("a").agg(F.sum("n").alias("n"), F.max("p").alias("p")).where("n > 1 OR (n = 1 AND p = 1)").isEmpty()
+
+
 def link_components(links: DataFrame, left: str, right: str, most_rounds: int = 60) -> DataFrame:
     """left, component: the smallest left value that is reachable over shared right values; links need not be distinct.
 
@@ -30,15 +36,19 @@ def link_components(links: DataFrame, left: str, right: str, most_rounds: int =
     neighbourhood by a star around its least node, until nothing changes: their number grows with the logarithm of a chain's length.
     A value that a third of all links share is a hub, whose links are dealt over many tasks (ranges.join_counted). Every step is
     written to the shared folder, and the tables of the round before are deleted. Stars that have not settled after most_rounds are
-    an error. Links with a null on either side are ignored.
+    an error. Links with a null on either side are ignored. Repeated links go with the edges they make, so links are not exchanged for that;
+    a right value of one link makes no edge. Once edges are fewer than nodes, rounds end as soon as they are stars, without a round that
+    changes nothing.
     """
-    links = kept(links.select(F.col(left).alias("a"), F.col(right).alias("r")).where("a IS NOT NULL AND r IS NOT NULL").distinct())
-    hubs = kept(links.groupBy("r").agg(F.min("a").alias("b"), F.count("*").alias("n")))
+    links = kept(links.select(F.col(left).alias("a"), F.col(right).alias("r")).where("a IS NOT NULL AND r IS NOT NULL"))
+    every = kept(links.select("a").distinct())
+    nodes = every.count()
+    hubs = kept(links.groupBy("r").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1"))
     now = kept(join_counted(links, hubs, ["r"], F.col("a")).where("a != b").select("a", "b").distinct())
     mark = None
     for _ in range(most_rounds):
         new = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).head()
-        if (new.n, new.s) == mark or not new.n:
+        if (new.n, new.s) == mark or not new.n or (new.n < nodes and _settled(now)):
             break
         mark = (new.n, new.s)
         wide = kept(_large_star(now))
@@ -47,8 +57,7 @@ def link_components(links: DataFrame, left: str, right: str, most_rounds: int =
         now = small
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    every = links.select("a").distinct().join(now, "a", "left")
-    return every.select(F.col("a").alias(left), F.coalesce("b", "a").alias("component"))
+    return every.join(now, "a", "left").select(F.col("a").alias(left), F.coalesce("b", "a").alias("component"))
 
 
 def component_evidence(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
