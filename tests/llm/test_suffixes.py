@@ -93,3 +93,39 @@ def test_packing_and_merging():
     keys = [{kind: np.array([code(p) for p in range(t, 390, 3)], np.uint64) for kind in kinds} for t, kinds in enumerate(suffixes.KINDS)]
     every = sorted(x for own in keys for x in next(iter(own.values())).tolist())
     assert all([every.index(x) for x in next(iter(own.values())).tolist()] == r.tolist() for own, r in zip(keys, merge(keys), strict=True))
+
+
+def test_names_are_places_in_the_order_of_50_bytes():
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abc") for _ in range(90)).encode()
+    data = b"".join([passage, b"\0" * 70, passage[3:], b"ab" * 60, b"a" * 120, bytes(rng.choice(b"ab\0") for _ in range(400)), passage[:60]])
+    b = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(64, np.uint8)])
+    chosen = np.array([p for p in range(len(data) - LENGTH + 1) if p % 7], np.int64)
+    name, joined = suffixes.suffix_names(b, chosen)
+    own = [data[p : p + LENGTH] for p in chosen.tolist()]
+    every = sorted(set(own))
+    assert [every[i] for i in name.tolist()] == own
+    assert joined.tolist() == [i > 0 and every[i][: suffixes.DEEP] == every[i - 1][: suffixes.DEEP] for i in range(len(every))]
+    keys = np.array(own, "S50")
+    assert [own[i] for i in suffixes.order_of(keys).tolist()] == sorted(own)
+
+
+def test_alike_segments_meet_and_no_passage_fills_a_bucket():
+    rng = random.Random(7)
+    text = lambda n: bytes(rng.choice(b"etaoin shrdlu") for _ in range(n))
+    passage = text(300)
+    data = [text(rng.randint(0, 20)) + passage + text(rng.randint(0, 20)) for _ in range(suffixes.ALIKE)] + [text(rng.randint(50, 300)) for _ in range(200)]
+    alike = suffixes.sketches(b"".join(data), np.cumsum([0, *map(len, data)]))
+    assert len(set(alike[: suffixes.ALIKE].tolist())) == 1 and len(set(alike.tolist())) == 201
+    same = {tuple(suffixes.bucket_of(alike[: suffixes.ALIKE], partition, 50)) for partition in range(suffixes.NEARBY)}
+    assert len(same) == 1 and len(set(same.pop())) == 1
+    held = np.bincount(suffixes.bucket_of(np.full(20_000, alike[0]), 3, 50), minlength=50)
+    assert held.min() > 0 and held.max() < 3 * held.mean()
+
+
+def test_texts_are_asked_about_in_three_rounds(spark, data, monkeypatch):
+    """Names, ranks and one merge: a fourth round, over two thirds of all suffixes, took a third of the time."""
+    asked, ask = [], suffixes.ask
+    monkeypatch.setattr(suffixes, "ask", lambda *a: asked.append(a) or ask(*a))
+    assert dedup_bytes(spark.read.parquet(f"{data}/documents.parquet")).where("n_removed > 0").count() > 0
+    assert len(asked) == 3

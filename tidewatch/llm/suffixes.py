@@ -1,24 +1,24 @@
 """Substring dedup by a distributed difference-cover suffix sort, over UTF-8 bytes.
 
-Only the order of suffixes by their first 50 bytes matters here, so every depth below is exact and the recursion is bounded.
+Only the order of suffixes by their first 50 bytes matters here, so every depth below is exact and nothing is left to recursion.
 
 0. Equal texts are one text, that of the smallest doc_id. Texts lie in chunks of a few MB, one row each.
 1. Unique names leave early. Positions of a difference cover modulo 21 are sampled; two equal 50-byte strings have a sampled
    position in common within their first 21 bytes, where 30 bytes are equal. The 30-byte strings are named by hashes, which each
    chunk sends sorted and once; the answer is one bit each: does another chunk have it? A string all of whose sampled positions have
    names of their own occurs once. What is left are segments of text, a fraction of the corpus.
-2. Difference cover modulo 3. The names of byte triples are their values. Positions 1 and 2 (mod 3) of a segment are sampled;
-   their triples form two strings of names, on which the same is done again: positions 1 and 2 (mod 3) of those are sampled, and
-   as only 14 names are needed there, the recursion ends by sorting these (42 bytes) into global ranks.
-3. Merging. The suffixes of the strings of names are ranked by their first 16 names (48 bytes): with s their names, G the rank
-   by 14 names, types 0, 1 and 2 compare by (s0, G+1, s15), (s0, s1, G+2) or (G, s14, s15), whichever both types have. Then all
-   suffixes of the segments by 50 bytes in the same way: by (c0, g+1, c49), (c0, c1, g+2) or (g, c48, c49).
-4. Suffixes next to each other in this order whose first 50 bytes are equal form a class; its smallest doc_id keeps the string,
+2. Alike segments come together. Segments are dealt to slices by the least hash of the words in them, so that a copied passage is mostly
+   sorted where its copies are: the suffixes of a slice are sorted once, and what follows sees each of their strings once a slice.
+3. Difference cover modulo 3. Positions 1 and 2 (mod 3) of a segment are sampled. Only 16 triples (48 bytes) of theirs are needed, so
+   the recursion ends where it begins: they are sorted at once into global ranks.
+4. Merging. With c the bytes of a suffix and g the rank of a sampled one, types 0, 1 and 2 compare by (c0, g+1, c49), (c0, c1, g+2) or
+   (g, c48, c49), whichever both types have.
+5. Suffixes next to each other in this order whose first 50 bytes are equal form a class; its smallest doc_id keeps the string,
    and every other start of it covers 50 bytes.
 
-Each step is a question and an answer between chunks and ranges of keys: a chunk sends its distinct keys to their range, packed,
-and gets one number or bit a key back in the same order. No task sees more than a chunk or a range, and a passage that a third
-of all texts share is one key a chunk.
+Each step is a question and an answer between chunks or slices and ranges of keys: a chunk sends its distinct keys to their range,
+packed, and gets one number or bit a key back in the same order. No task sees more than a chunk, a slice or a range, and a passage
+that a third of all texts share is one key a chunk.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,14 +42,17 @@ PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 ANCHOR = LENGTH - PERIOD + 1
 #: Bytes of a chunk; keys of a range; bits of a rank within its range (a rank has 48 bits, so there are up to four million ranges).
 CHUNK, RANGE, LOCAL = 4 << 20, 6_000_000, 26
-#: Bytes that the rank of a sampled suffix covers at the end of the recursion, and one level up.
-DEEP, MIDDLE = 42, 48
+#: Bytes that the rank of a sampled suffix covers.
+DEEP = 48
+#: Segments of a slice with the same least hash that go to one place; over how many partitions of chunks these share their places.
+ALIKE, NEARBY = 16, 64
 
 CHUNKS = "chunk long, key array<binary>, doc_id array<long>, size array<int>, data binary"
-SEGMENTS = "chunk long, slice int, doc array<int>, doc_id array<long>, start array<long>, size array<int>, data binary"
+PIECES = "bucket int, alike long, chunk long, doc int, doc_id long, start long, data binary"
+SEGMENTS = "chunk long, slice int, source array<long>, doc array<int>, doc_id array<long>, start array<long>, size array<int>, data binary, name binary, joined binary, sample array<long>"
 ASKED = "part int, chunk long, slice int, n array<int>, payload array<binary>"
 TOLD = "chunk long, slice int, part int, payload array<binary>"
-HITS = "chunk long, slice int, doc array<int>, begin array<long>, end array<long>"
+HITS = "chunk long, doc int, begin long, end long"
 RESULT = "key binary, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -66,12 +70,20 @@ def loosen(data: bytes, n: int, width: int) -> np.ndarray:
 
 
 def pack_numbers(a: np.ndarray) -> bytes:
-    """Numbers by their steps, which are small where they ascend."""
-    return squeeze(np.diff(a.astype(np.uint64), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)) if len(a) else b""
+    """Numbers by their steps, which are small where they ascend: only as many bytes of each as the largest needs."""
+    if not len(a):
+        return b""
+    steps = np.diff(a.astype(np.uint64), prepend=np.uint64(0))
+    width = max(1, -(-int(steps.max()).bit_length() // 8))
+    return bytes([width]) + squeeze(steps.view(np.uint8).reshape(-1, 8)[:, :width])
 
 
 def unpack_numbers(data: bytes, n: int) -> np.ndarray:
-    return np.cumsum(loosen(data, n, 8).view(np.uint64).ravel(), dtype=np.uint64) if n else np.empty(0, np.uint64)
+    if not n:
+        return np.empty(0, np.uint64)
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, : data[0]] = loosen(data[1:], n, data[0])
+    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -152,6 +164,11 @@ def told_of(row: dict, at: int, i: int, n_parts: list[tuple[int, int]], unpack:
     return np.concatenate([unpack(by_part[part], n) for part, n in n_parts if n]) if any(n for _, n in n_parts) else unpack(b"", 0)
 
 
+def changes(a: np.ndarray) -> np.ndarray:
+    """Where an array has another value than before; its first place too."""
+    return np.r_[np.ones(min(1, len(a)), bool), a[1:] != a[:-1]]
+
+
 def runs(part: np.ndarray) -> list[tuple[int, int, int]]:
     """(value, begin, end) of the stretches of equal values of an ascending array."""
     if not len(part):
@@ -195,22 +212,20 @@ class Slice:
         self.doc, self.start, self.size = (np.array(c, np.int64) for c in zip(*own, strict=True))
         self.bytes = np.concatenate([*(data[base[i] + s : base[i] + s + n] for i, s, n in own), np.zeros(64, np.uint8)])
         self.begin = np.cumsum(self.size) - self.size
-        self.piece = np.repeat(np.arange(len(own)), self.size)
-        self.at = np.arange(len(self.piece)) - self.begin[self.piece]
-        self.left = self.size[self.piece] - self.at
 
-    def anchors(self) -> np.ndarray:
-        chosen = np.zeros(PERIOD, bool)
-        chosen[list(COVER)] = True
-        return np.flatnonzero(chosen[self.at % PERIOD] & (self.left >= ANCHOR))
-
-    def names(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sampled positions, and the hashes of the 30 bytes there."""
-        at = self.anchors()
-        h = _mixed(words(self.bytes, at))
-        for step in (8, 16, ANCHOR - 8):
-            h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + words(self.bytes, at + step))
-        return at, h >> np.uint64(64 - bits)
+    def names(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sampled positions in ascending order, the pieces they lie in, and the hashes of the 30 bytes there."""
+        periods = -(-self.size // PERIOD)
+        piece = np.repeat(np.arange(len(periods)), periods)
+        first = self.begin[piece] + PERIOD * (np.arange(len(piece)) - (np.cumsum(periods) - periods)[piece])
+        at, piece = (first[:, None] + np.array(COVER)).ravel(), np.repeat(piece, len(COVER))
+        whole = at + ANCHOR <= (self.begin + self.size)[piece]
+        at, piece = at[whole], piece[whole]
+        found = strings(self.bytes, at, 32).view("<u8").reshape(-1, 4)
+        h = _mixed(found[:, 0])
+        for word in (found[:, 1], found[:, 2], found[:, 3] & np.uint64((1 << 8 * (ANCHOR - 24)) - 1)):
+            h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + word)
+        return at, piece, h >> np.uint64(64 - bits)
 
 
 def slices(row: dict) -> Iterator[tuple[int, Slice]]:
@@ -229,7 +244,8 @@ def slices(row: dict) -> Iterator[tuple[int, Slice]]:
 def ask_names(bits: int, parts: int) -> Callable:
     def question(row: dict):
         for number, s in slices(row):
-            h = np.unique(s.names(bits)[1])
+            h = np.sort(s.names(bits)[2])
+            h = h[changes(h)]
             for part, a, b in runs(part_of(h, bits, parts)):
                 yield number, part, [b - a], [pack_numbers(h[a:b])]
 
@@ -255,36 +271,100 @@ def bits_of(data: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
 
 
-def segments(bits: int, parts: int) -> Callable:
-    """What is left of a chunk: runs of starts whose strings may occur elsewhere, with the bytes they cover."""
+def segments(bits: int, parts: int, buckets: int) -> Callable:
+    """What is left of a chunk as PIECES: runs of starts whose strings may occur elsewhere, with the bytes they cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_in(batches):
             for number, s in slices(row):
-                at, h = s.names(bits)
-                known, place = np.unique(h, return_inverse=True)
-                told = told_of(row, number, 0, [(p, b - a) for p, a, b in runs(part_of(known, bits, parts))], bits_of)
-                least, most = np.full(len(known), 1 << 62), np.full(len(known), -1)
-                np.minimum.at(least, place, s.doc[s.piece[at]])
-                np.maximum.at(most, place, s.doc[s.piece[at]])
-                shared = (told | (least != most))[place]
-                edge = np.zeros(len(s.piece) + 1, np.int64)
-                hit = at[shared]
-                np.add.at(edge, np.maximum(hit - (PERIOD - 1), s.begin[s.piece[hit]]), 1)
-                np.add.at(edge, hit + 1, -1)
-                starts = (np.cumsum(edge[:-1]) > 0) & (s.left >= LENGTH)
-                begin, end = spans(starts, s.at == 0)
-                if not len(begin):
+                at, piece, h = s.names(bits)
+                if not len(at):
+                    continue
+                order = np.argsort(h)
+                h = h[order]
+                first = np.flatnonzero(changes(h))
+                told = told_of(row, number, 0, [(p, b - a) for p, a, b in runs(part_of(h[first], bits, parts))], bits_of)
+                doc = s.doc[piece[order]]
+                several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+                shared = np.empty(len(at), bool)
+                shared[order] = np.repeat(told | several, np.diff(first, append=len(h)))
+                at, piece = at[shared], piece[shared]
+                low, high = np.maximum(at - (PERIOD - 1), s.begin[piece]), np.minimum(at, (s.begin + s.size)[piece] - LENGTH) + 1
+                low, high, piece = low[low < high], high[low < high], piece[low < high]
+                if not len(low):
                     continue
-                piece, size = s.piece[begin], end - begin + LENGTH - 1
-                data = b"".join([s.bytes[a : a + n].tobytes() for a, n in zip(begin.tolist(), size.tolist(), strict=True)])
+                new = np.r_[True, (low[1:] > high[:-1]) | (piece[1:] != piece[:-1])]
+                begin, end, piece = low[new], high[np.r_[new[1:], True]] + LENGTH - 1, piece[new]
+                data = b"".join([s.bytes[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
+                offset = np.r_[0, np.cumsum(end - begin)]
+                alike = sketches(data, offset)
                 doc = s.doc[piece]
-                yield batch_of([(row["chunk"], number, doc, row["doc_id"][doc], s.start[piece] + s.at[begin], size, data)], schema)
-
-    schema = arrow_schema(SEGMENTS)
+                columns = [
+                    bucket_of(alike, row["chunk"] >> 32, buckets), alike.view(np.int64), np.full(len(doc), row["chunk"]), doc.astype(np.int32),
+                    row["doc_id"][doc], s.start[piece] + begin - s.begin[piece],
+                ]
+                binary = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(offset.astype(np.int32)), pa.py_buffer(data)])
+                whole = pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, schema, strict=False)), binary], schema=schema)
+                yield from pieces(whole)
+
+    schema = arrow_schema(PIECES)
     return run
 
 
+def sketches(data: bytes, offset: np.ndarray) -> np.ndarray:
+    """The least hash of the words in each segment, but for those of its first and last bytes, which alike segments need not share."""
+    edge = PERIOD - 1
+    h = _mixed(np.ndarray((len(data) - 7,), "<u8", data, 0, (1,)) * np.uint64(0x9E3779B97F4A7C15))
+    return np.minimum.reduceat(h, np.stack([offset[:-1] + edge, offset[1:] - edge - 8], 1).ravel())[::2]
+
+
+def bucket_of(alike: np.ndarray, partition: int, buckets: int) -> np.ndarray:
+    """Where segments go: by their sketch, and where a slice has more than ALIKE of one, by their number too. So no sketch fills a bucket."""
+    order = np.argsort(alike, kind="stable")
+    first = np.flatnonzero(changes(alike[order]))
+    number = np.empty(len(alike), np.uint64)
+    number[order] = (np.arange(len(alike)) - np.repeat(first, np.diff(first, append=len(alike)))) // ALIKE
+    return (_mixed(alike + _mixed(number + np.uint64(partition // NEARBY << 32))) % np.uint64(buckets)).astype(np.int32)
+
+
+def sorted_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SEGMENTS of a bucket's PIECES, with the names of their suffixes: places in their order by 50 bytes."""
+    schema = pa.schema([
+        ("chunk", pa.int64()), ("slice", pa.int32()), ("source", pa.list_(pa.int64())), ("doc", pa.list_(pa.int32())), ("doc_id", pa.list_(pa.int64())), ("start", pa.list_(pa.int64())),
+        ("size", pa.list_(pa.int32())), ("data", pa.binary()), ("name", pa.binary()), ("joined", pa.binary()), ("sample", pa.list_(pa.int64())),
+    ])
+    number, held, total = 0, [], 0
+    for batch in batches:
+        for part in pieces(batch, CHUNK):
+            held.append(part)
+            total += part.nbytes
+            if total >= CHUNK:
+                yield batch_of([one_slice(number, held)], schema)
+                number, held, total = number + 1, [], 0
+    if held:
+        yield batch_of([one_slice(number, held)], schema)
+
+
+def one_slice(number: int, held: list[pa.RecordBatch]) -> tuple:
+    t = pa.Table.from_batches(held).sort_by("alike")
+    size = pc.binary_length(t["data"]).to_numpy()
+    data = b"".join(t["data"].to_pylist())
+    b = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(64, np.uint8)])
+    long = np.flatnonzero(lefts(size) >= DEEP)
+    name, joined = suffix_names(b, long)
+    place = np.empty(len(joined), np.int64)
+    place[name] = long
+    sample = words(b, place[::512]) ^ np.uint64(1 << 63)
+    columns = [t[c].to_numpy() for c in ("chunk", "doc", "doc_id", "start")]
+    return t["bucket"][0].as_py(), number, *columns, size, data, squeeze(name.astype(np.int32).view(np.uint8).reshape(-1, 4)), np.packbits(joined).tobytes(), sample.view(np.int64)
+
+
+def lefts(size: np.ndarray) -> np.ndarray:
+    """For each byte of the segments how many its segment has from there on."""
+    end = np.cumsum(size.astype(np.int64))
+    return np.repeat(end, size) - np.arange(end[-1] if len(end) else 0)
+
+
 def spans(marked: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """[begin, end) of the runs of marked places; a run ends where new begins."""
     if not len(marked):
@@ -297,24 +377,55 @@ def spans(marked: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # -- difference cover --------------------------------------------------------------------------------------------------
 
 
-def suffix_order(b: np.ndarray, n: int) -> np.ndarray:
-    """Positions 0 to n - 1 in the order of the 50 bytes at each; equal ones in any order.
+def suffix_names(b: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the chosen positions, ascending from 0 with the 50 bytes at each, equal for equal ones; and for each name whether its first
+    48 bytes are those of the name before.
 
-    By the first eight bytes; then, where these tie, by the group that ties and the next five, and so on.
+    By doubling: places in the order of 8 bytes, of 16 by pairs of these, of 32; 50 bytes are two strings of 32 that overlap.
     """
-    order = np.argsort(words(b, np.arange(n)))
-    key = words(b, order)
-    group, depth = order, 8
-    place = np.arange(n)  # of the members of ties in the whole order
-    while depth < LENGTH and len(place):
+    n = len(b) - 64
+    key = words(b, np.arange(n))
+    order = np.argsort(key)
+    new = changes(key[order])
+    rank = np.zeros(n + 64, np.int64)  # behind the end lie zero bytes: their rank is 0, that of no string within
+    for step in (8, 16, 0):
+        rank[order] = np.cumsum(new)
+        if not step:
+            break
+        same = ~new
+        tied = np.flatnonzero(same | np.r_[same[1:], False])
+        own = order[tied]
+        key = rank[own] << 32 | rank[own + step]
+        within = np.argsort(key)
+        order[tied] = own[within]
+        new[tied] |= changes(key[within])
+    key = rank[chosen] << 32 | rank[chosen + LENGTH - 32]
+    order = np.argsort(key)
+    new = changes(key[order])
+    name = np.empty(len(chosen), np.int64)
+    name[order] = np.cumsum(new) - 1
+    first = chosen[order[new]]
+    deep = rank[first] << 32 | rank[first + DEEP - 32]
+    return name, ~changes(deep)
+
+
+def order_of(keys: np.ndarray) -> np.ndarray:
+    """The order of byte strings of one width, by eight bytes; then, where these tie, by the group that ties and the next five, and so on."""
+    rows = keys.view(np.uint8).reshape(len(keys), -1)
+    column = lambda own, at, n: np.pad(rows[own, at : at + n], ((0, 0), (8 - n, 0))).view(">u8").ravel().astype(np.uint64)
+    key = column(slice(None), 0, 8)
+    order = np.argsort(key)
+    key, place, depth = key[order], np.arange(len(keys)), 8
+    group = order
+    while depth < rows.shape[1]:
         same = key[1:] == key[:-1]
         tied = np.r_[same, False] | np.r_[False, same]
         if not tied.any():
             break
         number = np.cumsum(np.r_[True, ~same])[tied].astype(np.uint64)
         place, group = place[tied], group[tied]
-        fresh = np.minimum(5, LENGTH - depth)
-        key = number << np.uint64(40) | words(b, group + depth) >> np.uint64(64 - 8 * fresh)
+        fresh = min(5, rows.shape[1] - depth)
+        key = number << np.uint64(40) | column(group, depth, fresh)
         within = np.argsort(key)
         key, group = key[within], group[within]
         order[place] = group
@@ -323,76 +434,49 @@ def suffix_order(b: np.ndarray, n: int) -> np.ndarray:
 
 
 class Segments:
-    """The segments of a slice, and the local order of their suffixes, from which the distinct strings of any depth follow."""
+    """The segments of a slice, and the names of their suffixes, from which the distinct strings of both depths follow."""
 
     def __init__(self, row: dict, cuts: np.ndarray):
         self.row, self.cuts = row, cuts
         self.bytes = np.concatenate([np.frombuffer(row["data"], np.uint8), np.zeros(64, np.uint8)])
         size = row["size"].astype(np.int64)
-        begin = np.cumsum(size) - size
         self.segment = np.repeat(np.arange(len(size)), size)
-        self.at = np.arange(len(self.segment)) - begin[self.segment]
-        self.left = size[self.segment] - self.at
-        self.order = suffix_order(self.bytes, len(self.segment))
-        self.common = np.zeros(len(self.segment), np.uint8)  # whether 42, 48 or 50 bytes are those of the suffix before, in this order
-        same = np.r_[False, np.ones(len(self.segment) - 1, bool)]
-        for depth, steps in ((DEEP, (0, 8, 16, 24, 32, DEEP - 8)), (MIDDLE, (MIDDLE - 8,)), (LENGTH, (LENGTH - 8,))):
-            for step in steps:
-                w = words(self.bytes, self.order + step)
-                same[1:] &= w[1:] == w[:-1]
-            self.common[same] = depth
+        self.at = np.arange(len(self.segment)) - (np.cumsum(size) - size)[self.segment]
+        self.left = lefts(size)
+        long = self.left >= DEEP
+        self.name = np.full(len(self.segment), -1)
+        self.name[long] = loosen(row["name"], int(long.sum()), 4).view(np.int32).ravel()
+        self.deep = np.cumsum(~bits_of(row["joined"], int(self.name.max()) + 1)) - 1  # the name of the first 48 bytes, by name
 
     def distinct(self, chosen: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the distinct strings of this depth among the chosen ones, ascending by string, and for all positions the index of theirs."""
-        new = self.common < depth
-        new[0] = True
-        name = np.cumsum(new) - 1  # of the order's places, among all suffixes
-        own = chosen[self.order]
-        names = name[own]
-        first = np.r_[True, names[1:] != names[:-1]] if len(names) else np.zeros(0, bool)
-        index = np.full(len(self.segment), -1)
-        index[self.order[own]] = np.cumsum(first) - 1
-        return self.order[own][first], index
+        """Positions of the distinct strings of this depth among the chosen ones, ascending by string, and the index of theirs for each chosen one."""
+        at = np.flatnonzero(chosen)
+        name = self.name[at] if depth == LENGTH else self.deep[self.name[at]]
+        place = np.full(len(self.deep), -1)
+        place[name] = at
+        return place[place >= 0], (np.cumsum(place >= 0) - 1)[name]
 
     def parts(self, at: np.ndarray) -> list[tuple[int, int, int]]:
         return runs(np.searchsorted(self.cuts, words(self.bytes, at), side="right"))
 
     def sampled(self) -> np.ndarray:
-        """Starts sampled at the lower level: triples 1 and 2 (mod 3) of the strings of names."""
-        return (self.at % 3 > 0) & (self.at // 3 % 3 > 0) & (self.left >= DEEP)
+        return (self.at % 3 > 0) & (self.left >= DEEP)
 
-    def of_type(self, level: int) -> list[np.ndarray]:
-        if level == 2:
-            return [(self.at % 3 > 0) & (self.at // 3 % 3 == t) & (self.left >= MIDDLE) for t in range(3)]
+    def of_type(self) -> list[np.ndarray]:
         return [(self.at % 3 == t) & (self.left >= LENGTH) for t in range(3)]
 
     def answers(self, told: list, i: int, at: np.ndarray, unpack: Callable) -> np.ndarray:
         return told_of({"told": told}, self.row["slice"], i, [(p, b - a) for p, a, b in self.parts(at)], unpack)
 
-    def ranks(self, told: list, level: int) -> np.ndarray:
-        """The answered ranks of a level at all positions; -1 where there is none."""
-        out = np.full(len(self.segment) + 8, -1)
-        for i, chosen in enumerate([self.sampled()] if level == 3 else self.of_type(level)):
-            at, index = self.distinct(chosen, DEEP if level == 3 else MIDDLE)
-            got = self.answers(told, i, at, unpack_numbers).astype(np.int64)
-            out[:-8][chosen] = got[index[chosen]]
+    def ranks(self, told: list) -> np.ndarray:
+        """The answered ranks at all positions; -1 where there is none."""
+        out, chosen = np.full(len(self.segment) + 8, -1), self.sampled()
+        at, index = self.distinct(chosen, DEEP)
+        out[:-8][chosen] = self.answers(told, 0, at, unpack_numbers).astype(np.int64)[index]
         return out
 
-    def name_keys(self, kind: str, at: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        """Keys of twelve bytes by which two types of suffixes of the strings of names compare."""
-        b, out = self.bytes, np.empty((len(at), 12), np.uint8)
-        number = lambda p: rank[p].astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:]
-        triples = lambda p, n: np.stack([b[p + k] for k in range(n)], 1)
-        if kind == "A":
-            out[:, :3], out[:, 3:9], out[:, 9:] = triples(at, 3), number(at + 3), triples(at + 45, 3)
-        elif kind == "B":
-            out[:, :6], out[:, 6:] = triples(at, 6), number(at + 6)
-        else:
-            out[:, :6], out[:, 6:] = number(at), triples(at + DEEP, 6)
-        return out.view("S12").ravel()
-
-    def byte_keys(self, kind: str, at: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        """The same for suffixes of the bytes themselves, in one number."""
+    def keys(self, kind: str, at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """Numbers by which two types of suffixes compare."""
         b = self.bytes
         byte = lambda k: b[at + k].astype(np.uint64)
         number = lambda p: rank[p].astype(np.uint64)
@@ -421,8 +505,11 @@ def ask_deep(cuts: np.ndarray) -> Callable:
 def tell_deep(part: int, asked: list) -> list[list[bytes]]:
     """Ranks of the keys over all ranges: the range, and the place within it."""
     ns = [n[0] for n, _ in asked]
-    _, rank = np.unique(np.concatenate([unpack_texts(p[0], n, DEEP) for n, (_, p) in zip(ns, asked, strict=True)]), return_inverse=True)
-    rank = within(rank.ravel()) + (part << LOCAL)
+    keys = np.concatenate([unpack_texts(p[0], n, DEEP) for n, (_, p) in zip(ns, asked, strict=True)])
+    order = order_of(keys)
+    place = np.cumsum(changes(keys[order])) - 1
+    rank = np.empty(len(keys), np.int64)
+    rank[order] = within(place) + (part << LOCAL)
     return [[pack_numbers(x)] for x in np.split(rank, np.cumsum(ns)[:-1])]
 
 
@@ -432,24 +519,20 @@ def within(rank: np.ndarray) -> np.ndarray:
     return rank
 
 
-def ask_merge(cuts: np.ndarray, level: int) -> Callable:
+def ask_merge(cuts: np.ndarray) -> Callable:
     def question(row: dict):
         s = Segments(row, cuts)
-        rank = s.ranks(row["told"], level + 1)
-        keys = s.name_keys if level == 2 else s.byte_keys
+        rank = s.ranks(row["told"])
         by_part: dict[int, tuple[list, list]] = {}
-        for t, chosen in enumerate(s.of_type(level)):
-            at, index = s.distinct(chosen, MIDDLE if level == 2 else LENGTH)
-            if level == 1:
-                least = np.full(len(at), np.iinfo(np.int64).max)
-                np.minimum.at(least, index[chosen], row["doc_id"][s.segment[chosen]])
+        for t, chosen in enumerate(s.of_type()):
+            at, index = s.distinct(chosen, LENGTH)
+            least = np.full(len(at), np.iinfo(np.int64).max)
+            np.minimum.at(least, index, row["doc_id"][s.segment[chosen]])
+            keys = [s.keys(kind, at, rank) for kind in KINDS[t]]
             for part, a, b in s.parts(at):
                 ns, payloads = by_part.setdefault(part, ([0, 0, 0], [b""] * 9))
                 ns[t] = b - a
-                for k, kind in enumerate(KINDS[t]):
-                    payloads[3 * t + k] = (pack_keys if level == 2 else pack_numbers)(keys(kind, at[a:b], rank))
-                if level == 1:
-                    payloads[3 * t + 2] = pack_numbers(least[a:b])
+                payloads[3 * t : 3 * t + 3] = [pack_numbers(x[a:b]) for x in (*keys, least)]
         for part, (ns, payloads) in sorted(by_part.items()):
             yield row["slice"], part, ns, payloads
 
@@ -469,24 +552,20 @@ def merge(keys: list[dict[str, np.ndarray]]) -> list[np.ndarray]:
     return out
 
 
-def tell_merge(level: int) -> Callable:
-    def answer(part: int, asked: list) -> list[list[bytes]]:
-        unpack = (lambda p, n: unpack_keys(p, n, 12)) if level == 2 else unpack_numbers
-        ns = [[n[t] for n, _ in asked] for t in range(3)]
-        column = lambda i, read: np.concatenate([read(p[i], n[i // 3]) for n, p in asked])
-        rank = merge([{kind: column(3 * t + k, unpack) for k, kind in enumerate(KINDS[t])} for t in range(3)])
-        if level == 2:
-            told = [within(r) + (part << LOCAL) for r in rank]
-        else:
-            doc = [column(3 * t + 2, unpack_numbers).astype(np.int64) for t in range(3)]
-            every, place = np.unique(np.concatenate(rank), return_inverse=True)
-            least = np.full(len(every), np.iinfo(np.int64).max)
-            np.minimum.at(least, place, np.concatenate(doc))
-            told = [x < d for x, d in zip(np.split(least[place], np.cumsum([len(r) for r in rank])[:-1]), doc, strict=True)]
-        split = [np.split(x, np.cumsum(n)[:-1]) for x, n in zip(told, ns, strict=True)]
-        return [[(pack_numbers(x[i]) if level == 2 else np.packbits(x[i]).tobytes()) for x in split] for i in range(len(asked))]
-
-    return answer
+def tell_merge(part: int, asked: list) -> list[list[bytes]]:
+    """A bit for each suffix: whether a smaller doc_id has its string."""
+    ns = [[n[t] for n, _ in asked] for t in range(3)]
+    column = lambda i: np.concatenate([unpack_numbers(p[i], n[i // 3]) for n, p in asked])
+    rank = merge([{kind: column(3 * t + k) for k, kind in enumerate(KINDS[t])} for t in range(3)])
+    doc = np.concatenate([column(3 * t + 2).astype(np.int64) for t in range(3)])
+    rank = np.concatenate(rank)
+    order = np.argsort(rank)
+    first = np.flatnonzero(changes(rank[order]))
+    smaller = np.empty(len(doc), bool)
+    smaller[order] = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(first, append=len(doc))) < doc[order]
+    told = np.split(smaller, np.cumsum([sum(n) for n in ns])[:-1])
+    split = [np.split(x, np.cumsum(n)[:-1]) for x, n in zip(told, ns, strict=True)]
+    return [[np.packbits(x[i]).tobytes() for x in split] for i in range(len(asked))]
 
 
 def covered(cuts: np.ndarray) -> Callable:
@@ -496,19 +575,19 @@ def covered(cuts: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_in(batches):
             s = Segments(row, cuts)
-            doc_id = row["doc_id"][s.segment]
             hit = np.zeros(len(s.segment), bool)
-            for t, chosen in enumerate(s.of_type(1)):
+            for t, chosen in enumerate(s.of_type()):
                 at, index = s.distinct(chosen, LENGTH)
+                doc_id = row["doc_id"][s.segment[chosen]]
                 least = np.full(len(at), np.iinfo(np.int64).max)
-                np.minimum.at(least, index[chosen], doc_id[chosen])
-                smaller = s.answers(row["told"], t, at, bits_of)
-                hit[chosen] = (smaller | False)[index[chosen]] | (doc_id[chosen] > least[index[chosen]])
+                np.minimum.at(least, index, doc_id)
+                hit[chosen] = s.answers(row["told"], t, at, bits_of)[index] | (doc_id > least[index])
             begin, end = spans(hit, s.at == 0)
             if len(begin):
                 segment = s.segment[begin]
                 first = row["start"][segment] + s.at[begin]
-                yield batch_of([(row["chunk"], row["slice"], row["doc"][segment], first, first + (end - begin) + LENGTH - 1)], schema)
+                columns = row["source"][segment], row["doc"][segment], first, first + (end - begin) + LENGTH - 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return run
 
@@ -519,8 +598,7 @@ def remainders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for row in rows_in(batches):
         gone: dict[int, list[tuple[int, int]]] = {}
         for t in row["told"] or ():
-            for doc, a, b in zip(t["doc"], t["begin"], t["end"], strict=True):
-                gone.setdefault(doc, []).append((a, b))
+            gone.setdefault(t["doc"], []).append((t["begin"], t["end"]))
         base, out = 0, []
         for i, (key, n) in enumerate(zip(row["key"], row["size"].tolist(), strict=True)):
             kept, at, removed, n_spans = hashlib.sha256(), 0, 0, 0
@@ -540,33 +618,24 @@ def remainders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def range_cuts(left: DataFrame, parts: int) -> np.ndarray:
-    """Quantiles of the first eight bytes of the suffixes, of one in 512 of each slice in order; they only balance the ranges."""
+    """Quantiles of the first eight bytes of the suffixes, of one in 512 distinct ones of each slice in order; they only balance the ranges."""
     if parts == 1:
         return np.empty(0, np.uint64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in rows_in(batches):
-            b = np.concatenate([np.frombuffer(row["data"], np.uint8), np.zeros(8, np.uint8)])
-            w = np.sort(words(b, np.arange(len(b) - 8)))[::512] ^ np.uint64(1 << 63)
-            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64))], names=["w"])
-
-    found = left.mapInArrow(run, "w long").select(F.percentile_approx("w", [i / parts for i in range(1, parts)], max(10_000, 20 * parts))).head()[0]
+    found = left.select(F.explode("sample").alias("w")).select(F.percentile_approx("w", [i / parts for i in range(1, parts)], max(10_000, 20 * parts))).head()[0]
     return np.unique(np.array(found or [], np.int64).view(np.uint64) ^ np.uint64(1 << 63))
 
 
 def hits(left: DataFrame) -> DataFrame:
-    """HITS of all segments: sampled suffixes, their strings of names, all suffixes."""
+    """HITS of all segments: ranks of the sampled suffixes, then all suffixes merged by these."""
     by = ["chunk", "slice"]
     parts = min(1 << (48 - LOCAL), max(1, math.ceil((left.agg(F.sum(F.octet_length("data"))).head()[0] or 0) / RANGE)))
     cuts = range_cuts(left, parts)
-    told = cut(ask(left, ask_deep(cuts), tell_deep, parts, by))
-    for level in (2, 1):
-        asked = left.join(told.hint("shuffle_hash"), by)
-        answers = cut(ask(asked, ask_merge(cuts, level), tell_merge(level), parts, by))
-        release(told)
-        told = answers
-    found = cut(left.join(told.hint("shuffle_hash"), by).mapInArrow(covered(cuts), HITS))
-    release(told)
+    with_answers = lambda told: left.join(told.hint("shuffle_hash"), by)
+    ranks = cut(ask(left, ask_deep(cuts), tell_deep, parts, by))
+    smaller = cut(ask(with_answers(ranks), ask_merge(cuts), tell_merge, parts, by))
+    release(ranks)
+    found = cut(with_answers(smaller).mapInArrow(covered(cuts), HITS))
+    release(smaller)
     return found
 
 
@@ -589,7 +658,9 @@ def dedup_bytes(df: DataFrame) -> DataFrame:
     n_names = total * len(COVER) / PERIOD
     bits, parts = max(40, 8 + math.ceil(math.log2(n_names + 2))), max(1, math.ceil(n_names / RANGE))
     repeats = cut(ask(held, ask_names(bits, parts), tell_repeats, parts, ["chunk"]))
-    left = cut(held.join(repeats.hint("shuffle_hash"), "chunk").mapInArrow(segments(bits, parts), SEGMENTS))
+    buckets = max(1, math.ceil(total / (2 * CHUNK)))
+    dealt = held.join(repeats.hint("shuffle_hash"), "chunk").mapInArrow(segments(bits, parts, buckets), PIECES).repartitionById(buckets, F.col("bucket"))
+    left = cut(dealt.mapInArrow(sorted_slices, SEGMENTS))
     release(repeats)
     found = hits(left)
     told = found.groupBy("chunk").agg(F.collect_list(F.struct("doc", "begin", "end")).alias("told"))
