@@ -1,6 +1,7 @@
 """Case tables in place, directives carried over blocks, log explanations and the older candidates on small cases."""
 
 import datetime as dt
+import re
 import tempfile
 
 import pytest
@@ -123,3 +124,21 @@ def test_earliest_rows_over_days_ties_and_nulls(spark):
     for most in (1, 37, 199, 203, 500):
         want = {r[1] for c in "cd" for r in sorted([m for m in made if m[0] == c], key=lambda m: (m[2] is None, m[2] or T0, m[1]))[:most]}
         assert {r.audit_id for r in sessions.earliest_rows(df, most).collect()} == want
+
+
+def test_earliest_rows_bring_no_case_into_one_task(spark, monkeypatch):
+    """Where the table is too large for a broadcast, rows are dealt by case and salt: not by case, as the join with a case's last day did."""
+    made = [(c, f"{i:03}", T0 + dt.timedelta(hours=7 * (i % 40))) for c in "cd" for i in range(100)] + [("e", "one", T0), (None, "none", T0)]
+    df = spark.createDataFrame(made, "case_id string, audit_id string, ts_utc timestamp_ntz").repartition(6)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for one_in in (1, 1000):  # no case is cut by its days; all but the smallest are
+            monkeypatch.setattr(sessions, "HOT_ONE_IN", one_in, raising=False)
+            out = sessions.earliest_rows(df, 37)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert re.search(r"Exchange hashpartitioning\(case_id#\d+, salt_#\d+", plan)
+            want = {(c, r[1]) for c in "cde" for r in sorted([m for m in made if m[0] == c], key=lambda m: (m[2], m[1]))[:37]}
+            assert {(r.case_id, r.audit_id) for r in out.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

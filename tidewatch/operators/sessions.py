@@ -9,7 +9,7 @@ from ..functions.scalars import event_data, image_of, legacy_image_of, norm_user
 from ..model import kept, micros, seconds
 from .filters import drop_evtx_noise
 from .joins import burst_success, near_findings
-from .ranges import islands, nearest_point, top_rows
+from .ranges import HOT_ONE_IN, islands, nearest_point, top_rows
 
 
 def first_evidence(findings: DataFrame) -> DataFrame:
@@ -174,13 +174,19 @@ def earliest_rows(df: DataFrame, most: int) -> DataFrame:
     """The `most` earliest rows of each case (ties by audit_id, those without a time last), over all its artifacts.
 
     A table of rows a case and day gives the day on which the bound is reached; later rows are cut before any exchange of whole
-    rows, and the rest goes through ranges.top_rows.
+    rows, and the rest goes through ranges.top_rows. Only cases with more than one row in HOT_ONE_IN are cut so: their days are
+    broadcast, HOT_ONE_IN rows at most. A join on the case instead would bring all rows of a case into one task.
     """
     day = F.coalesce(F.datediff("ts_utc", F.lit("1970-01-01")), F.lit(1 << 30))
-    days = df.groupBy("case_id", day.alias("day_")).agg(F.count("*").alias("n_"))
+    known = df.where("case_id IS NOT NULL")
+    days = kept(known.groupBy("case_id", day.alias("day_")).agg(F.count("*").alias("n_")))
+    total = days.agg(F.sum("n_")).head()[0] or 0
     before = F.sum("n_").over(Window.partitionBy("case_id").orderBy("day_").rowsBetween(Window.unboundedPreceding, -1))
-    until = days.withColumn("before_", F.coalesce(before, F.lit(0))).where(F.col("before_") < most).groupBy("case_id").agg(F.max("day_").alias("until_"))
-    early = df.withColumn("day_", day).join(until, "case_id").where("day_ <= until_").drop("day_", "until_")
+    reached = days.withColumn("before_", F.coalesce(before, F.lit(0))).groupBy("case_id").agg(
+        F.max(F.when(F.col("before_") < most, F.col("day_"))).alias("until_"), F.sum("n_").alias("n_"),
+    )
+    until = F.broadcast(reached.where(F.col("n_") > max(1, total // HOT_ONE_IN)).select("case_id", "until_"))
+    early = known.withColumn("day_", day).join(until, "case_id", "left").where("until_ IS NULL OR day_ <= until_").drop("day_", "until_")
     return top_rows(early, ["case_id"], [F.col("ts_utc").asc_nulls_last(), F.col("audit_id").asc()], most, "r_", F.col("audit_id")).drop("r_")
 
 
