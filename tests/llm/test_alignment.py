@@ -1,12 +1,14 @@
 """The alignment of two tokenizers against a plain loop over byte positions."""
 
 import hashlib
+import random
+import tracemalloc
 from collections import Counter
 
 import public_tokenizers
 import pytest
 
-from tidewatch.llm.alignment import Aligner, align_tokenizers, cut_points, overlaps
+from tidewatch.llm.alignment import Aligner, align_tokenizers, cut_points, overlaps, slices
 
 from tokenizers import Tokenizer
 
@@ -92,3 +94,28 @@ def test_ids_of_all_code_points_equal_the_library(aligner):
     every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     texts = ["".join(f" a{chr(c)}b {chr(c)}1{chr(c)}\n" for c in every[lo : lo + 64]) for lo in range(0, len(every), 64)]
     assert [aligner.a(t) for t in texts] == [e.ids for e in LIBRARY.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def prose(n, words=3000):
+    rng = random.Random(5)
+    known = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(words)]
+    return [" ".join(rng.choices(known, k=100)) for _ in range(n)]
+
+
+def test_rows_of_slices_are_small(make):
+    """Spark's readers hold a file's arrays at once: besides the distinct pairs, a slice's row is a fraction of its text."""
+    texts = prose(2000)
+    rows = slices(make(enumerate(texts)).coalesce(1), A, B).drop("slice", "pair", "n").collect()
+    held = sum(len(x) if isinstance(x, bytes | bytearray | str) else 4 * len(x) for r in rows for x in r)
+    assert rows and held < sum(map(len, texts))
+
+
+def test_memory_of_a_slice(aligner):
+    """A worker's memory while it aligns a slice, in bytes for one of text."""
+    texts = prose(2000)
+    aligner.slice(list(range(len(texts))), texts)  # groups are known from here on
+    tracemalloc.start()
+    aligner.slice(list(range(len(texts))), texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * sum(map(len, texts))

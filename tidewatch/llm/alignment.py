@@ -7,11 +7,13 @@ pair of an A and a B token whose ranges overlap is a link.
 Counts of id pairs over the corpus go through Spark in aggregated form: a slice of a partition (a few MB of text) writes its
 distinct pairs with their counts, once, and for every document which of them it holds how often. Pairs are summed over all
 slices, compared with the highest count of their B id, and go back to the slices that hold them, where the documents' sums are
-made. Texts are encoded once, no link travels on its own, and the most frequent pair has one row a slice.
+made. Texts are encoded once, no link travels on its own, and the most frequent pair has one row a slice. What a slice's documents
+hold travels packed, as Spark reads a whole file's arrays at once and only Python looks into them.
 """
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import itertools
 import json
@@ -32,10 +34,12 @@ SLICE, REMEMBERED = 4 << 20, 100_000
 #: An id pair in one number: B's id above A's, so that pairs of one B id are neighbours.
 SHIFT = 32
 
-SLICES = (
-    "slice long, doc_id array<long>, n_a array<int>, n_b array<int>, n_groups array<int>, n_links array<int>, groups_sha256 array<string>, "
-    "pair array<long>, n array<int>, upto array<int>, held array<int>, times array<int>"
-)
+SLICES = "slice long, pair array<long>, n array<int>, documents binary"
+#: What is packed in documents, as one row: each document's figures, the end of its part of held and times, the pairs held as steps.
+DOCUMENTS = pa.schema([
+    *((c, pa.list_(pa.int64() if c == "doc_id" else pa.int32())) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")),
+    ("groups_sha256", pa.list_(pa.string())), *((c, pa.list_(pa.int32())) for c in ("upto", "held", "times")),
+])
 NONE = np.empty(0, np.int64)
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -114,6 +118,26 @@ def overlaps(ids_a: list[int], ids_b: list[int], bytes_a: list[bytes], bytes_b:
             end_b += len(bytes_b[ids_b[j]])
 
 
+def packed(row: Iterable) -> bytes:
+    """One row of DOCUMENTS, compressed."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, DOCUMENTS, options=pa.ipc.IpcWriteOptions(compression="zstd", use_threads=False)) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, DOCUMENTS, strict=True)], schema=DOCUMENTS))
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(content: pa.Buffer) -> dict[str, pa.Array]:
+    """The columns that packed() was given."""
+    batch = pa.ipc.open_stream(content).read_next_batch()
+    return {c: batch.column(c)[0].values for c in DOCUMENTS.names}
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can: workers wait for later tasks, and keep it otherwise."""
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 class Aligner:
     """Both tokenizers of a task, and what it remembers of groups seen."""
 
@@ -127,8 +151,8 @@ class Aligner:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of both of every text; none where either does not give the text's own bytes back (A does by its kind)."""
-        for text, ids_b in zip(texts, self.b.encode(texts, num_threads=1), strict=True):
-            spaced = " " + text
+        for text in texts:
+            spaced, ids_b = " " + text, self.b.encode(text)
             same = text and b"".join(map(self.bytes_b.__getitem__, ids_b)) == spaced.encode()
             yield (np.array(self.a(spaced), np.int64), np.array(ids_b, np.int64)) if same else (NONE, NONE)
 
@@ -144,7 +168,7 @@ class Aligner:
         return number
 
     def slice(self, doc_ids: list, texts: list[str]) -> tuple:
-        """One row of SLICES without its number."""
+        """One row of SLICES without its number. Lists of numbers are made of a document, or of the rare groups, never of all tokens."""
         if len(self.groups) > REMEMBERED:
             self.number.clear()
             self.groups.clear()
@@ -160,23 +184,24 @@ class Aligner:
             sizes.append((len(both[0]), len(both[1]), len(found[0])))
         n_a, n_b, n_groups = (np.array(c, np.int64) for c in zip(*sizes, strict=True))
         flat_a, flat_b, ends_a, ends_b = map(np.concatenate, (*ids, *cuts))
+        del ids, cuts
         # A group begins where the one before ended: a text's last group ends with its last token.
-        begins_a, begins_b = np.r_[0, ends_a[:-1]], np.r_[0, ends_b[:-1]]
+        size_a, size_b = np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0)
         kind = np.empty(len(ends_a), np.int64)  # one token each: the link's own code; others: their number, below zero
-        single = (ends_a - begins_a == 1) & (ends_b - begins_b == 1)
-        kind[single] = flat_b[begins_b[single]] << SHIFT | flat_a[begins_a[single]]
-        places = (x[~single].tolist() for x in (begins_a, ends_a, begins_b, ends_b))
-        flat_a, flat_b = flat_a.tolist(), flat_b.tolist()
-        kind[~single] = [-1 - self.group(flat_a[i:p], flat_b[j:q]) for i, p, j, q in zip(*places, strict=True)]
+        single = (size_a == 1) & (size_b == 1)
+        kind[single] = flat_b[ends_b[single] - 1] << SHIFT | flat_a[ends_a[single] - 1]
+        longer_a, longer_b = (flat[np.repeat(~single, size)].tolist() for flat, size in ((flat_a, size_a), (flat_b, size_b)))
+        places = (itertools.pairwise([0, *np.cumsum(size[~single]).tolist()]) for size in (size_a, size_b))
+        kind[~single] = [-1 - self.group(longer_a[i:p], longer_b[j:q]) for (i, p), (j, q) in zip(*places, strict=True)]
+        del flat_a, flat_b, ends_a, ends_b, size_a, size_b, single, longer_a, longer_b
         kinds, place = np.unique(kind, return_inverse=True)
         shown, links = [], []
         for k in kinds.tolist():
             form, own = self.groups[-1 - k] if k < 0 else (f"{k & 0xFFFFFFFF}|{k >> SHIFT}", (k,))
             shown.append(form)
             links.append(own)
-        upto = np.cumsum(n_groups)
-        names = list(map(shown.__getitem__, place.tolist()))
-        digests = [hashlib.sha256(";".join(names[e - n : e]).encode()).hexdigest() if n else "" for e, n in zip(upto.tolist(), n_groups.tolist(), strict=True)]
+        named = lambda lo, hi: ";".join(map(shown.__getitem__, place[lo:hi].tolist())).encode()
+        digests = [hashlib.sha256(named(lo, hi)).hexdigest() if lo < hi else "" for lo, hi in itertools.pairwise([0, *np.cumsum(n_groups).tolist()])]
         # How often each document holds each kind, then each pair.
         both, times = np.unique(np.repeat(np.arange(len(texts)), n_groups) * (len(kinds) + 1) + place, return_counts=True)
         of_kind = both % (len(kinds) + 1)
@@ -190,7 +215,8 @@ class Aligner:
         counts = np.bincount(held % (len(pair) + 1), times, len(pair)).astype(np.int64)
         n_links = np.bincount(held // (len(pair) + 1), times, len(texts)).astype(np.int64)
         ends = np.searchsorted(held, (np.arange(len(texts)) + 1) * (len(pair) + 1))
-        return doc_ids, n_a, n_b, n_groups, n_links, digests, pair, counts, ends, held % (len(pair) + 1), times
+        held = np.diff(held % (len(pair) + 1), prepend=0)
+        return pair, counts, packed((doc_ids, n_a, n_b, n_groups, n_links, digests, ends, held, times))
 
 
 def slices(df: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -202,15 +228,18 @@ def slices(df: DataFrame, path_a: str, path_b: str) -> DataFrame:
     contents = [context.broadcast(open(p, "rb").read()) for p in (path_a, path_b)]  # noqa: SIM115
     schema = to_arrow_schema(StructType.fromDDL(SLICES), prefers_large_types=False)
 
+    def coded(aligner: Aligner, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << SHIFT
+        for batch in batches:
+            for part in pieces(batch, SLICE):
+                row = aligner.slice(part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((number, *row), schema, strict=True)], schema=schema)
+                number += 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with task_memory():
-            aligner = Aligner(*(c.value for c in contents))
-            number = TaskContext.get().partitionId() << SHIFT
-            for batch in batches:
-                for part in pieces(batch, SLICE):
-                    row = aligner.slice(part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()])
-                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((number, *row), schema, strict=True)], schema=schema)
-                    number += 1
+            yield from coded(Aligner(*(c.value for c in contents)), batches)
+        trim()
 
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SLICES)
 
@@ -233,20 +262,20 @@ def align_tokenizers(df: DataFrame, path_a: str, path_b: str) -> DataFrame:
     coded = cut(slices(df, path_a, path_b))
     wanted = coded.select("slice", F.explode("pair").alias("pair"))
     found = wanted.join(cut(pair_counts(coded)), "pair").groupBy("slice").agg(F.array_sort(F.collect_list(F.struct("pair", "count", "best"))).alias("found"))
-    rows = coded.drop("pair", "n").join(found.select("slice", F.col("found.count").alias("count"), F.col("found.best").alias("best")), "slice", "left")
+    rows = coded.select("slice", "documents").join(found.select("slice", F.col("found.count").alias("count"), F.col("found.best").alias("best")), "slice", "left")
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     schema = pa.schema([(c, pa.string() if c == "groups_sha256" else pa.int64()) for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].values for c in batch.schema.names if c != "slice"}
-                sums = {}
+                row, sums = unpacked(batch.column("documents")[i].as_buffer()), {}
+                held = np.cumsum(row["held"].to_numpy())
                 for c, of in (("n_best", "best"), ("count_sum", "count")):
-                    each = np.zeros(1 + len(row["held"]), np.int64)
-                    if len(row["held"]):
-                        known = row[of].to_numpy(zero_copy_only=False).astype(np.int64)
-                        np.cumsum(row["times"].to_numpy() * known[row["held"].to_numpy()], out=each[1:])
+                    each = np.zeros(1 + len(held), np.int64)
+                    if len(held):
+                        known = batch.column(of)[i].values.to_numpy(zero_copy_only=False).astype(np.int64)
+                        np.cumsum(row["times"].to_numpy() * known[held], out=each[1:])
                     sums[c] = np.diff(each[row["upto"].to_numpy()], prepend=0)
                 yield pa.RecordBatch.from_arrays([pa.array(sums[c]) if c in sums else row[c].cast(f.type) for c, f in zip(names, schema, strict=True)], schema=schema)
 
